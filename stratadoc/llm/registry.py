@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import packing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_warc": warc.op7_warc,
+}
+ORACLES: dict[str, str] = {
+    "op7_warc": warc.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
