@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens, warc
+from . import chat, packing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_chat_windows": chat.op2_chat_windows,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
 }
