@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, tokens, warc
+from . import chat, media, packing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_chat_windows": chat.op2_chat_windows,
+    "op3_media": media.op3_media,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
 }
