@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, packing, tokens, warc
+from . import chat, media, packing, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": media.op3_media,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
