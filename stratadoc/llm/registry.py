@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, packing, simhash, tokens, warc
+from . import chat, langid, media, packing, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
     "op9_simhash": simhash.op9_simhash,
+    "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
