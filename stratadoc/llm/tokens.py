@@ -11,6 +11,7 @@ White space separates pre-tokens and normalisation never crosses it, so words ar
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
@@ -27,7 +28,26 @@ SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0            
 #: The tokenizer's contractions, in its order; fixed values.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: A worker's memo is emptied at this many entries, and holds no longer words than this.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 64
+#: Most entries are no longer than this.
+USUAL = 8
+#: No rank.
+NEVER = 1 << 60
+
+
+#: A mark after a letter, where a pre-token ends in any case.
+AFTER_LETTER = re.compile(r"[.,;:!?)](?<=[^\W\d_].)")
+#: Where simplified() broke a word without white space.
+BROKEN = "\x1e"
+
+
+def simplified(text: str) -> str:
+    """Text of the same tokens, character for character, with fewer different words: lower case where that is safe."""
+    if "<|" not in text and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        low = text.lower()
+        if len(low) == len(text) and (text.isascii() or unicodedata.is_normalized("NFC", low)):
+            text = low
+    return text.replace("\n", " ")
 
 
 def default_tokenizer() -> str:
@@ -56,59 +76,95 @@ class PrefixCounter:
         self.end = model["end_of_word_suffix"]
         self.vocab = frozenset(model["vocab"])
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
+        self.ending = frozenset(t[: -len(self.end)] for t in self.vocab if t.endswith(self.end))
         self.longest = max(map(len, self.vocab))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.symbols = byte_symbols()
+        self.unknown: dict[str, str] = {}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
+        self.states: dict[str, tuple[str, int, int]] = {}
         self.words: dict[str, bytes] = {}
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """BPE: the lowest-ranked pair first, the leftmost of equals first."""
+    def split(self, token: str) -> tuple[str, str, int] | None:
+        """The last merge that makes a token out of its symbols, and its rank; none for a single symbol."""
+        body, end = (token[: -len(self.end)], self.end) if token.endswith(self.end) else (token, "")
+        parts = [*body]
+        parts[-1] += end
+        last = None
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+            rank, i = min((self.ranks.get(pair, NEVER), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == NEVER:
+                return None
+            last = parts[i], parts[i + 1], rank
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return last
+
+    def spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """What stands at a token's right (1) or left (0) edge while BPE builds it, each with the rank that ends it."""
+        if (known := self.spines.get((token, side))) is None:
+            made = self.split(token)
+            known = [(token, NEVER)]
+            if made:
+                inner = self.spine(made[side], side)
+                known += [(made[side], made[2]), *inner[1:]]
+            self.spines[token, side] = known
+        return known
 
     def kept_apart(self, left: str, right: str) -> bool:
+        """Whether BPE of both together ends as these two: no merge across the border comes before those inside."""
         if (known := self.apart.get((left, right))) is None:
-            tail = [*right]
-            if right.endswith(self.end):
-                tail = [*right[: -len(self.end)]]
-                tail[-1] += self.end
-            known = self.merged([*left, *tail]) == [left, right]
-            if len(self.apart) > 4 * MEMO_ENTRIES:
+            ranks = self.ranks
+            known = not any((r := ranks.get((u, v))) is not None and r < u_end and r <= v_end for u, u_end in self.spine(left, 1) for v, v_end in self.spine(right, 0))
+            if len(self.apart) > 2 * MEMO_ENTRIES:
                 self.apart.clear()
             self.apart[left, right] = known
         return known
 
     def run(self, text: str) -> list[int]:
-        """For each prefix of a pre-token (in characters, from 1) its count, with the end mark after it."""
-        if (known := self.runs.get(text)) is not None:
-            return known
-        word = "".join(map(self.symbols.__getitem__, text.encode()))
-        ends = range(1, len(word) + 1) if text.isascii() else [*accumulate(len(c.encode()) for c in text)]
-        wanted, out = frozenset(ends), []
-        last, count, vocab, apart = [""], [0], self.vocab, self.kept_apart
-        for i in range(1, len(word) + 1):
-            low = max(0, i - self.longest)
-            for j in range(low, i):
-                if (t := word[j:i]) in vocab and (not j or apart(last[j], t)):
-                    last.append(t)
-                    count.append(count[j] + 1)
-                    break
-            if i in wanted:
-                for j in range(low, i):
-                    if (t := word[j:i] + self.end) in vocab and (not j or apart(last[j], t)):
-                        out.append(count[j] + 1)
+        """For each prefix of a pre-token (in characters, from 1) its count, with the end mark after it.
+
+        States (last entry, count, count with the end mark) are kept by prefix: words share their beginnings.
+        """
+        simple = text.isascii() and text.isprintable()
+        word = text if simple else "".join(map(self.symbols.__getitem__, text.encode()))
+        states, vocab, ending, apart, end = self.states, self.vocab, self.ending, self.kept_apart, self.end
+        n = len(word)
+        k = min(n, MEMO_CHARS)
+        while k and word[:k] not in states:
+            k -= 1
+        row = [("", 0, 0), *[states[word[:j]] for j in range(1, k + 1)]]
+        for i in range(k + 1, n + 1):
+            last = count = total = None
+            for j in range(max(0, i - USUAL), i) if i <= USUAL else (*range(i - USUAL, i), *range(max(0, i - self.longest), i - USUAL)):
+                t = word[j:i]
+                if last is None and t in vocab and (not j or apart(row[j][0], t)):
+                    last, count = t, row[j][1] + 1
+                    if total is not None:
                         break
-        if len(text) <= MEMO_CHARS:
-            if len(self.runs) > MEMO_ENTRIES:
-                self.runs.clear()
-            self.runs[text] = out
-        return out
+                if total is None and t in ending and (not j or apart(row[j][0], t + end)):
+                    total = row[j][1] + 1
+                    if last is not None:
+                        break
+            row.append((last, count, total))
+            if i <= MEMO_CHARS:
+                states[word[:i]] = row[-1]
+        if len(states) > 2 * MEMO_ENTRIES:
+            states.clear()
+        if simple:
+            return [x[2] for x in row[1:]]
+        return [row[i][2] for i in accumulate(len(c.encode()) for c in text)]
+
+    def kind(self, c: str) -> str:
+        """L, N or another letter: the tokenizer's class, also of characters that this Python doesn't know yet."""
+        kind = unicodedata.category(c)
+        if kind == "Cn":
+            if c not in self.unknown:
+                from tokenizers import Regex, pre_tokenizers
+
+                self.unknown[c] = next((k for k in "LN" if pre_tokenizers.Split(Regex(rf"\p{{{k}}}"), "removed", invert=True).pre_tokenize_str(c)), "C")
+            return self.unknown[c]
+        return kind[0]
 
     def plain(self, text: str) -> list[int]:
         """Counts at every prefix of normalised text without special strings."""
@@ -122,12 +178,12 @@ class PrefixCounter:
             if c == "'" and (hit := next((x for x in CONTRACTIONS if text.startswith(x, i)), None)):
                 counts, j = [1, self.run(hit)[-1]] if len(hit) == 2 else [1, 2, self.run(hit)[-1]], i + len(hit)
             else:
-                kind, j = unicodedata.category(c)[0], i + 1
+                kind, j = self.kind(c), i + 1
                 if kind == "L":
-                    while j < n and unicodedata.category(text[j])[0] == "L":
+                    while j < n and self.kind(text[j]) == "L":
                         j += 1
                 elif kind != "N":
-                    while j < n and text[j] not in SPACE and unicodedata.category(text[j])[0] not in "LN":
+                    while j < n and text[j] not in SPACE and self.kind(text[j]) not in "LN":
                         j += 1
                 counts = self.run(text[i:j])
             out += [total + x for x in counts]
@@ -178,22 +234,28 @@ class PrefixCounter:
             text = text[at + len(s) :]
 
     def word(self, word: str) -> bytes:
-        """How much each character of a word adds, as int8 (a character adds few tokens, or takes few away)."""
-        if (known := self.words.get(word)) is None:
-            counts = self.prefixes(word)
-            known = np.diff(np.array([0, *counts])).astype(np.int8).tobytes()
-            if len(word) <= MEMO_CHARS:
-                if len(self.words) > MEMO_ENTRIES:
-                    self.words.clear()
-                self.words[word] = known
+        """How much each character of a word adds, as int8 (a character adds few tokens, or takes few away).
+
+        A zero for the space after the word follows, unless the word ends in the mark of a break.
+        """
+        body = word.removesuffix(BROKEN)
+        counts = self.run(body) if body.isascii() and body.isalpha() and body.islower() else self.prefixes(body)
+        known = bytes([(b - a) & 255 for a, b in zip([0, *counts], counts, strict=False)]) + b"\0" * (body is word)
+        if len(word) <= MEMO_CHARS:
+            if len(self.words) > MEMO_ENTRIES:
+                self.words.clear()
+            self.words[word] = known
         return known
 
     def table(self, text: str) -> np.ndarray:
         """table[k]: the tokens of the first k characters."""
-        known, words = self.words.get, text.replace("\n", " ").split(" ")
-        steps = b"\0".join([w if (w := known(x)) is not None else self.word(x) for x in words])
         out = np.zeros(len(text) + 1, np.int64)
-        np.cumsum(np.frombuffer(steps, np.int8), out=out[1:], dtype=np.int64)
+        if BROKEN in text:
+            out[1:] = self.prefixes(text)
+            return out
+        known, words = self.words.get, AFTER_LETTER.sub(BROKEN + r" \g<0>", simplified(text)).split(" ")
+        steps = b"".join([w if (w := known(x)) is not None else self.word(x) for x in words])
+        np.cumsum(np.frombuffer(steps, np.int8, len(text)), out=out[1:], dtype=np.int64)
         return out
 
 
