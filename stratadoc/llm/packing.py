@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .tokens import MEMO_CHARS, MEMO_ENTRIES, default_tokenizer
+from .tokens import AFTER_LETTER, MEMO_CHARS, MEMO_ENTRIES, default_tokenizer, simplified
 
 DIMS, BITS, HASHED = 4, 15, 256
 
@@ -59,6 +59,12 @@ class Encoder:
         self.size = max(self.lib.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         mixed = np.arange(self.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -66,18 +72,33 @@ class Encoder:
         self.sign = np.where((mixed >> np.uint64(33)) & np.uint64(1), 1.0, -1.0)
         self.matrix = np.random.default_rng(1).standard_normal((HASHED, DIMS))
 
+    def alone(self, words: list[str]) -> None:
+        """Encode words into the memo; plain letters together, as each of those ends with its one end-of-word entry."""
+        plain = [w for w in words if w.isascii() and w.isalpha()] if self.ends is not None else []
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            self.memo.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        other = [w for w in words if w not in self.memo] if plain else words
+        for w, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, self.kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [AFTER_LETTER.sub(r" \g<0>", simplified(t)).split(" ") for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        fresh = list(set().union(*split).difference(self.memo))
-        new = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-        memo = self.memo
-        memo.update(new)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), self.kind) for words in split]
+        get = self.memo.get
+        found = [list(map(get, words)) for words in split]
+        fresh = {w for words, own in zip(split, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
+        if fresh:
+            self.alone(list(fresh))
+            found = [list(map(get, words)) if None in own else own for words, own in zip(split, found, strict=True)]
+        out = [np.frombuffer(b"".join(own), self.kind) for own in found]
         for w in fresh:
             if len(w) > MEMO_CHARS:
-                del memo[w]
+                del self.memo[w]
         return out
 
     def keys(self, rows: list[np.ndarray]) -> np.ndarray:
