@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,3 +51,10 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int =
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of steps whose results are written; it waits for a collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, packing, simhash, suffix, tokens, warc
+from . import chat, langid, media, packing, quality, simhash, suffix, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_chat_windows": chat.op2_chat_windows,
     "op3_media": media.op3_media,
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
     "op9_simhash": simhash.op9_simhash,
