@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, packing, quality, simhash, suffix, tokens, warc
+from . import chat, decontam, langid, media, packing, quality, simhash, suffix, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_warc": warc.op7_warc,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
 }
