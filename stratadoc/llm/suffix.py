@@ -18,7 +18,6 @@ No step gathers the windows of a document group: what is shuffled is anchors, co
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -27,17 +26,17 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import release, slices, written
 
 SIZE, GRAM = 50, 20
 BLOB = 2 << 20
 #: Text bytes whose anchors one bucket holds, and context bytes of one suffix array.
 BUCKET, SHARD = 256 << 20, 4 << 20
 LEAST_BUCKETS = 256
-STORE = "blob long, ids binary, sizes binary, digests array<binary>, n_bytes long, data binary"
+STORE = "blob long, ids binary, sizes binary, digests array<binary>, n_bytes long, data binary, rest array<string>"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -48,8 +47,8 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def store(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blobs of whole documents, some megabytes each; rows without id come as id -1 in blobs of their own kind."""
+def store(docs: DataFrame, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
+    """Blobs of whole documents that have an id, some megabytes each; rest: what else to carry for each, as text."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -57,12 +56,13 @@ def store(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in slices(batches, 1, BLOB):
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
             whole = b"".join(data)
-            row = (number, pack(np.array(batch.column(0).to_pylist(), np.int64)), pack(np.array([*map(len, data)], np.int64)), [hashlib.blake2b(d, digest_size=16).digest() for d in data], len(whole), zstandard.compress(whole, 3))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.binary()]
+            row = (number, pack(np.array(batch.column(0).to_pylist(), np.int64)), pack(np.array([*map(len, data)], np.int64)), [hashlib.blake2b(d, digest_size=16).digest() for d in data], len(whole), zstandard.compress(whole, 3), batch.column(2).to_pylist())
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
             number += 1
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(fill, STORE)
+    carried = F.lit(None).cast("string") if rest is None else rest
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried.alias("rest")).where("id is not null").mapInArrow(fill, STORE)
 
 
 def copies(blobs: DataFrame) -> DataFrame:
@@ -386,27 +386,22 @@ def marks(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.groupBy("shard").applyInPandas(judge, MARKS)
 
 
-def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row: each text's UTF-8 bytes without the removed ones.
-
-    kept is binary: a cut may fall inside a character. Null texts are empty. Rows that share an id never judge each
-    other; rows without id lose nothing and make nothing go. An empty table gives none; other columns are ignored.
-    """
-    blobs = written(store(docs, id_col, text_col), "blobs")
+def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256, rest) of the rows that have an id."""
+    blobs = written(store(docs, id_col, text_col, rest), "blobs")
     total = blobs.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET)
     light = ["blob", "ids", "sizes", "n_bytes", "data"]
     same = written(copies(blobs), "copies")
     keep = shared(anchors(with_blobs(blobs.select(*light), same), size, buckets))
     kept = written(keep.groupBy("blob").agg(F.collect_list(F.struct("bucket", "keep")).alias("kept")), "kept")
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of the steps above, whose results are written
+    release(docs.sparkSession)
     found = marks(repeated_contexts(with_blobs(blobs.select(*light), same, kept), size, buckets), size)
     gathered = found.groupBy("blob").agg(F.collect_list(F.struct("at", "sizes")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rest"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
         for batch in batches:
             for row in batch.to_pylist():
                 blob = Blob(row, row["copied"])
@@ -423,15 +418,50 @@ def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
                         own = np.ones(n, bool)
                     rest = text[~own].tobytes()
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-                    rows.append((doc, n, int(own.sum()), spans, rest, hashlib.sha256(rest).hexdigest()))
+                    rows.append((doc, n, int(own.sum()), spans, rest, hashlib.sha256(rest).hexdigest(), row["rest"][i]))
                     start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    each = with_blobs(blobs.select(*light), same, gathered).mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return with_blobs(blobs.select(*light, "rest"), same, gathered).mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, rest string")
+
+
+def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row: each text's UTF-8 bytes without the removed ones.
+
+    kept is binary: a cut may fall inside a character. Null texts are empty. Rows that share an id never judge each
+    other; rows without id lose nothing and make nothing go. An empty table gives none; other columns are ignored.
+    """
+    each = cut_documents(docs, size, id_col, text_col).drop("rest")
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     nameless = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.alias("kept"), F.sha2(text, 256).alias("kept_sha256"))
     return each.unionByName(nameless).withColumnRenamed("id", id_col)
 
 
+def deduplicated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with what is left of their texts; characters of which a part went, go whole.
+
+    Other columns pass as JSON, so they hold numbers, texts, booleans, or arrays and structs of such. A null text
+    stays null; rows without id stay as they are.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    empty = F.col(text_col).isNull().alias("no_text")
+    form = "no_text boolean"
+    rest = F.to_json(F.struct(empty))
+    if others:
+        rest = F.to_json(F.struct(empty, F.struct(*others).alias("own")))
+        form += ", own " + docs.select(F.struct(*others).alias("x")).schema["x"].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x.decode(errors="ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["id", "kept", "rest"])
+
+    each = cut_documents(docs, size, id_col, text_col, rest).select("id", "kept", "rest").mapInArrow(decode, "id long, kept string, rest string")
+    each = each.withColumn("rest", F.from_json("rest", form))
+    cols = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.when(~F.col("rest.no_text"), F.col("kept"))}
+    each = each.select(*[cols[c].alias(c) if c in cols else F.col(f"rest.own.`{c}`").alias(c) for c in docs.columns])
+    return each.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

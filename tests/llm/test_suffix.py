@@ -82,3 +82,10 @@ def test_empty(spark):
 def test_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert run(df, 50) == plain([(r.doc_id, r.text.encode()) for r in df.collect()], 50)
+
+
+def test_rows_keep_their_columns(spark):
+    text = "".join(f"sentence {i} is here. " for i in range(9))
+    df = spark.createDataFrame([(1, text, "a", 2), (2, "x " + text + "é", None, 3), (3, None, "c", None), (None, text, "d", 4)], "doc_id long, text string, rest string, n int")
+    got = {(r.doc_id, r.text, r.rest, r.n) for r in suffix.deduplicated(df).collect()}
+    assert got == {(1, text, "a", 2), (2, "x é", None, 3), (3, None, "c", None), (None, text, "d", 4)}
