@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import content_queries, text_queries
 
-GROUPS = [text_queries]
+GROUPS = [content_queries, text_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for g in GROUPS for k, v in g.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for g in GROUPS for k, v in g.ORACLES.items()}
