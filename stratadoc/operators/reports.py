@@ -66,3 +66,22 @@ def subagents(events: DataFrame, tools: DataFrame) -> DataFrame:
     reason = F.when(F.size("_parents") > 1, "parent_conflict").when(F.size("_parents") == 0, "parent_missing").when(F.col("_known").isNull(), "parent_unknown")
     status = F.when((F.col("_starts") > 0) & (F.col("_stops") > 0), "completed").when(F.col("_starts") > 0, "started").otherwise("unknown")
     return rows.select("run_id", "agent_id", status.alias("status"), "elapsed_ms", reason.alias("reason"))
+
+
+def actor_edges(events: DataFrame, tools: DataFrame, agents: DataFrame) -> DataFrame:
+    """(run_id, source_event_id, edge, target, status): events to their parent tool use and to their subagent; broken ones stay."""
+    parents = events.where("parent_tool_use_id is not null").select("run_id", "source_event_id", F.lit("parent").alias("edge"), F.col("parent_tool_use_id").alias("target")).distinct()
+    actors = events.where("agent_id is not null").select("run_id", "source_event_id", F.lit("actor").alias("edge"), F.col("agent_id").alias("target")).distinct()
+    known = tools.select("run_id", F.lit("parent").alias("edge"), F.col("tool_use_id").alias("target")).unionByName(agents.select("run_id", F.lit("actor").alias("edge"), F.col("agent_id").alias("target"))).distinct()
+    rows = parents.unionByName(actors).join(known.withColumn("_k", F.lit("verified")), ["run_id", "edge", "target"], "left")
+    return rows.select("run_id", "source_event_id", "edge", "target", F.coalesce("_k", F.lit("broken")).alias("status"))
+
+
+def align_regions(gold: DataFrame, actual: DataFrame) -> DataFrame:
+    """(pair_id, region_id, actual_region, status): by id, else the one region of the same owner at the same place."""
+    ids = actual.groupBy("pair_id", "region_id").agg(F.count("*").alias("n_id"))
+    places = actual.groupBy("pair_id", "owner", "location").agg(F.count("*").alias("n_at"), F.min("region_id").alias("at_region"))
+    rows = gold.join(ids, ["pair_id", "region_id"], "left").join(places, ["pair_id", "owner", "location"], "left")
+    by_id, by_place = F.col("n_id") == 1, F.col("n_id").isNull() & (F.col("n_at") == 1)
+    status = F.when(by_id | by_place, "MATCHED").when(F.coalesce("n_id", "n_at") > 1, "AMBIGUOUS").otherwise("MISSING")
+    return rows.select("pair_id", "region_id", F.when(by_id, F.col("region_id")).when(by_place, F.col("at_region")).alias("actual_region"), status.alias("status"))

@@ -83,3 +83,31 @@ both(
     " g AS (SELECT run_id, agent AS agent_id, count(*) FILTER (k2 = 'subagent_start') AS st, count(*) FILTER (k2 = 'subagent_stop') AS sp, list(DISTINCT parent) FILTER (parent IS NOT NULL) AS ps, max(offset_ms) - min(offset_ms) AS elapsed_ms FROM a WHERE agent IS NOT NULL GROUP BY ALL)"
     " SELECT g.run_id, agent_id, CASE WHEN st > 0 AND sp > 0 THEN 'completed' WHEN st > 0 THEN 'started' ELSE 'unknown' END AS status, elapsed_ms, CASE WHEN len(ps) > 1 THEN 'parent_conflict' WHEN coalesce(len(ps), 0) = 0 THEN 'parent_missing' WHEN t.tool_use_id IS NULL THEN 'parent_unknown' END AS reason FROM g LEFT JOIN t ON t.run_id = g.run_id AND len(ps) = 1 AND t.tool_use_id = ps[1]",
 )
+
+
+def edged(s, d):
+    n = F.col("source_sequence")
+    e = events(s, d).withColumn("agent_id", F.when(n % 3 > 0, F.concat(F.lit("ag"), (n % 8).cast("string")))).withColumn("parent_tool_use_id", F.when(n % 8 < 6, F.concat(F.lit("tu-"), (n % 40).cast("string"))))
+    return R.actor_edges(e, e.select("run_id", "tool_use_id").distinct(), e.where("kind = 'tool_use' and agent_id is not null").select("run_id", "agent_id").distinct())
+
+
+both(
+    "jn27_actor_edges",
+    edged,
+    f"WITH {EVENTS}, a AS (SELECT *, CASE WHEN source_sequence % 3 > 0 THEN 'ag' || source_sequence % 8 END AS agent, CASE WHEN source_sequence % 8 < 6 THEN 'tu-' || source_sequence % 40 END AS parent FROM ev), g AS (SELECT DISTINCT run_id, source_event_id, 'parent' AS edge, parent AS target FROM a WHERE parent IS NOT NULL UNION ALL SELECT DISTINCT run_id, source_event_id, 'actor', agent FROM a WHERE agent IS NOT NULL)"
+    " SELECT run_id, source_event_id, edge, target, CASE WHEN edge = 'parent' AND EXISTS (SELECT 1 FROM ev WHERE ev.run_id = g.run_id AND ev.tool_use_id = g.target) OR edge = 'actor' AND EXISTS (SELECT 1 FROM a WHERE a.run_id = g.run_id AND a.agent = g.target AND a.kind = 'tool_use') THEN 'verified' ELSE 'broken' END AS status FROM g",
+)
+
+
+def regions(s, d):
+    k = F.col("o_orderkey")
+    o = X.table(s, d, "orders").select(F.col("o_custkey").alias("pair_id"), F.concat(F.lit("g"), k.cast("string")).alias("region_id"), F.concat(F.lit("w"), (k % 2).cast("string")).alias("owner"), (k % 6).alias("location"), k.alias("k"))
+    return o.where("k % 5 > 0").drop("k"), o.where("k % 3 > 0").drop("k")
+
+
+both(
+    "jn14_align_regions",
+    lambda s, d: R.align_regions(*regions(s, d)),
+    "WITH o AS (SELECT o_custkey AS pair_id, 'g' || o_orderkey AS region_id, 'w' || o_orderkey % 2 AS owner, o_orderkey % 6 AS location, o_orderkey AS k FROM orders), a AS (SELECT * FROM o WHERE k % 3 > 0), x AS (SELECT g.pair_id, g.region_id, (SELECT count(*) FROM a WHERE a.pair_id = g.pair_id AND a.region_id = g.region_id) AS ni, (SELECT count(*) FROM a WHERE a.pair_id = g.pair_id AND a.owner = g.owner AND a.location = g.location) AS na, (SELECT min(region_id) FROM a WHERE a.pair_id = g.pair_id AND a.owner = g.owner AND a.location = g.location) AS ar FROM o g WHERE g.k % 5 > 0)"
+    " SELECT pair_id, region_id, CASE WHEN ni = 1 THEN region_id WHEN ni = 0 AND na = 1 THEN ar END AS actual_region, CASE WHEN ni = 1 OR (ni = 0 AND na = 1) THEN 'MATCHED' WHEN ni > 1 OR (ni = 0 AND na > 1) THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status FROM x",
+)

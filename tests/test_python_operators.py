@@ -58,3 +58,16 @@ def test_streams_equal_batches(spark, tmp_path):
     runs.open_lifecycles(stream(), 60_000).writeStream.outputMode("append").format("memory").queryName("open").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start().awaitTermination()
     ends = events.where(F.col("kind").isin(*runs.T.TERMINAL_KINDS)).select("run_id", "tool_use_id").distinct().count()
     assert spark.table("open").where("state = 'closed'").select("run_id", "tool_use_id").distinct().count() == ends
+
+
+def test_alignment_queries(spark):
+    from stratadoc.plans import alignment_queries as Q
+
+    gold, _ = Q.versions(spark, SF)
+    rows = Q.QUERIES["ud02_align_paragraphs"](spark, SF).collect()
+    assert len(rows) == gold.count()
+    for doc in {r.doc_id for r in rows}:
+        partners = [r.actual_block for r in sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.block) if r.actual_block is not None]
+        assert partners == sorted(set(partners))
+    assert Q.QUERIES["ud01_similarity"](spark, SF).where("similarity between 0 and 1").count() > 0
+    assert Q.QUERIES["ud04_align_pages"](spark, SF).count() == gold.count()
