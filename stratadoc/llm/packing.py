@@ -126,6 +126,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         for batch in slices(batches):
             rows = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.keys(rows)), pa.array([len(r) + 1 for r in rows], pa.int64()), pa.array([r.tobytes() + end for r in rows], pa.binary())], names=["doc_id", "hilbert_key", "doc_tokens", "ids"])
+        enc.memo.clear()  # the worker may go on to other stages
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(encode, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, hilbert_key long, doc_tokens long, ids binary")
@@ -190,7 +191,6 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, id_col: str = "do
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "hilbert_key"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(path).kind
         cutter, schema = Cutter(length, TaskContext.get().partitionId() << 32), None
 
         def out() -> pa.RecordBatch:
@@ -199,15 +199,16 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, id_col: str = "do
 
         for batch in batches:
             schema = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            for doc_id, key, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
-                cutter.add(doc_id.as_py(), key.as_py(), np.frombuffer(ids.as_py(), width))
+            for doc_id, key, ids, n in zip(*(batch.column(i) for i in range(4)), strict=True):
+                data = ids.as_py()
+                cutter.add(doc_id.as_py(), key.as_py(), np.frombuffer(data, f"<u{len(data) // n.as_py()}"))
                 if len(cutter.rows) >= 2000:
                     yield out()
         cutter.finish()
         if cutter.rows:
             yield out()
 
-    along = rows.select("doc_id", "hilbert_key", "ids").repartitionByRange("hilbert_key", "doc_id").sortWithinPartitions("hilbert_key", "doc_id")
+    along = rows.select("doc_id", "hilbert_key", "ids", "doc_tokens").repartitionByRange("hilbert_key", "doc_id").sortWithinPartitions("hilbert_key", "doc_id")
     return along.mapInArrow(cut, f"doc_id {kind}, {PIECES}")
 
 
