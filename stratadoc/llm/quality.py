@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, written
+from .common import drop_written, release, slices, written
 
 ORDER, BITS = 4, 12
 BLOB, SHARDS = 8 << 20, 64
@@ -34,6 +34,8 @@ WORST = 0.02
 HIGH, LOW = 0.995, 0.01
 TRUSTED, TOXIC = 1, 2
 SPACE = 1
+#: Log probabilities travel as 16-bit multiples of this; the last value means none.
+GRAIN, NONE = 1 / 2048, 0xFFFF
 BLOBS = "blob long, ids array<long>, langs array<string>, sizes array<long>, n_bytes long, data binary"
 COUNT = {TRUSTED: "t", TOXIC: "x"}
 
@@ -43,7 +45,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1, BLOB):
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            row = (number, batch.column(0).to_pylist(), batch.column(2).to_pylist(), [*map(len, data)], sum(map(len, data)), zstandard.compress(b"".join(data), 6))
+            row = (number, batch.column(0).to_pylist(), batch.column(2).to_pylist(), [*map(len, data)], sum(map(len, data)), zstandard.compress(b"".join(data), 9))
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOBS.split(", ")])
             number += 1
@@ -185,14 +187,23 @@ def shard_of(codes: np.ndarray) -> np.ndarray:
     return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.int64) % SHARDS
 
 
+def codes_of(row: dict) -> np.ndarray:
+    """The distinct n-grams of a blob, in order."""
+    every, held = np.zeros(0, np.int64), []
+    for text, lang in zip(texts(row), row["langs"], strict=True):
+        held.append(np.unique(grams(text, lang)[0]))
+        if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 512:
+            every, held = np.unique(np.concatenate([every, *held])), []
+    return np.unique(np.concatenate([every, *held]))
+
+
 def requests(blobs: DataFrame) -> DataFrame:
     """(shard, blob, codes): the distinct n-grams of each blob, in order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = [np.unique(grams(t, lang)[0]) for t, lang in zip(texts(row), row["langs"], strict=True)]
-                code = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+                code = codes_of(row)
                 shard = shard_of(code)
                 rows = [(s, row["blob"], pack(np.diff(code[shard == s], prepend=0))) for s in np.unique(shard).tolist()]
                 if rows:
@@ -220,23 +231,31 @@ def distinct_codes(asked: DataFrame) -> DataFrame:
     return asked.select("codes").mapInArrow(each, "code long").distinct()
 
 
+def grained(logs: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(logs), NONE, np.minimum(np.round(-np.nan_to_num(logs) / GRAIN), NONE - 1)).astype(np.uint16)
+
+
+def ungrained(grains: np.ndarray) -> np.ndarray:
+    return np.where(grains == NONE, np.nan, grains * -GRAIN)
+
+
 def answers(asked: DataFrame, found: DataFrame) -> DataFrame:
-    """(blob, codes, l_t, l_x): each request with its log probabilities, shard by shard."""
+    """(blob, shard, l_t, l_x): the log probabilities of each request's n-grams, in its order."""
 
     def answer(ask: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("code")
-        code, logs = known["code"].to_numpy(np.int64), [known[c].to_numpy(np.float32) for c in ("l_t", "l_x")]
+        code, logs = known["code"].to_numpy(np.int64), [grained(known[c].to_numpy(np.float64)) for c in ("l_t", "l_x")]
         rows = []
         for row in ask.itertuples():
             at = np.searchsorted(code, np.cumsum(unpack(row.codes, np.int64)))
-            rows.append((row.blob, row.codes, *(pack(x[at]) for x in logs)))
-        return pd.DataFrame(rows, columns=["blob", "codes", "l_t", "l_x"])
+            rows.append((row.blob, row.shard, *(pack(x[at]) for x in logs)))
+        return pd.DataFrame(rows, columns=["blob", "shard", "l_t", "l_x"])
 
     def sharded(codes: pd.Series) -> pd.Series:
         return pd.Series(shard_of(codes.to_numpy(np.int64)).astype(np.int32))
 
     keyed = found.withColumn("shard", F.pandas_udf(sharded, "int")("code"))
-    return asked.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(answer, "blob long, codes binary, l_t binary, l_x binary")
+    return asked.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(answer, "blob long, shard int, l_t binary, l_x binary")
 
 
 SCORES = "doc_id long, lang string, n_words long, perplexity double, contrast double"
@@ -248,10 +267,11 @@ def scores(blobs: DataFrame, answered: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                got = [(np.cumsum(unpack(x["codes"], np.int64)), unpack(x["l_t"], np.float32), unpack(x["l_x"], np.float32)) for x in row["answers"] or []]
-                code, trusted, toxic = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), *[np.zeros(0, np.float32)] * 2)
-                order = np.argsort(code)
-                code, trusted, toxic = code[order], trusted[order].astype(np.float64), toxic[order].astype(np.float64)
+                code = codes_of(row)
+                shard, trusted, toxic = shard_of(code), np.full(len(code), np.nan), np.full(len(code), np.nan)
+                for x in row["answers"] or []:
+                    of = shard == x["shard"]
+                    trusted[of], toxic[of] = (ungrained(unpack(x[k], np.uint16)) for k in ("l_t", "l_x"))
                 rows = []
                 for doc, lang, text in zip(row["ids"], row["langs"], texts(row), strict=True):
                     own, starts = grams(text, lang)
@@ -268,7 +288,7 @@ def scores(blobs: DataFrame, answered: DataFrame) -> DataFrame:
                     rows.append((doc, lang, words, perplexity, contrast))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64()], strict=True)], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    gathered = answered.groupBy("blob").agg(F.collect_list(F.struct("codes", "l_t", "l_x")).alias("answers"))
+    gathered = answered.groupBy("blob").agg(F.collect_list(F.struct("shard", "l_t", "l_x")).alias("answers"))
     return blobs.join(gathered, "blob", "left").mapInArrow(score, SCORES)
 
 
@@ -286,8 +306,11 @@ def judged(docs: DataFrame, labels: DataFrame, high: float = HIGH, low: float =
     release(docs.sparkSession)
     asked = written(requests(blobs.select("blob", "langs", "sizes", "n_bytes", "data")), "requests")
     found = written(probabilities(distinct_codes(asked), n4), "probabilities")
+    answered = written(answers(asked, found), "answers")
+    drop_written(asked, found, n4)
     release(docs.sparkSession)
-    each = written(scores(blobs.select("blob", "ids", "langs", "sizes", "n_bytes", "data"), answers(asked, found)), "scores")
+    each = written(scores(blobs.select("blob", "ids", "langs", "sizes", "n_bytes", "data"), answered), "scores")
+    drop_written(answered, blobs)
     own = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0")
     trusted = each.join(own, "doc_id", "left_semi")
     cut = [F.percentile_approx("perplexity", high, 100_000).alias("high"), F.percentile_approx("contrast", low, 100_000).alias("low")]
