@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed into 2**16 features, whose document frequencies are counted over all documents. A randomised SVD
+Document frequencies are counted over all documents, for words hashed into 2**16 features. A randomised SVD
 of the benchmark passages' TF-IDF rows gives the latent space; windows of every document are projected into it and
 compared with the passages by cosine. Pairs above a threshold are checked by the longest common subsequence of
 words, and by the passage's answer words where the wording differs much.
@@ -25,8 +25,8 @@ from .common import slices
 FEATURES, RANK = 1 << 16, 256
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 32, 16
-#: Benchmark words in a block: its items and the basis (at most FEATURES x RANK floats) are sent to every task.
-BLOCK_WORDS = 200_000
+#: Benchmark words in a block: its items and the basis (a row of RANK floats for each different word) are sent to every task.
+BLOCK_WORDS = 20_000
 #: Least cosine of a candidate; least share of a passage's words in common order, and that with most answer words.
 COSINE, SAME, ALIKE, ANSWERS = 0.35, 0.6, 0.45, 0.7
 #: How many of a passage's rarest words are its answer, where no answer is given.
@@ -47,7 +47,9 @@ class Words:
         if len(memo) > 500_000:
             memo.clear()
         for w in set(words).difference(memo):
-            clean = CLEAN.sub("", w)
+            clean = w.rstrip(".,;:!?")
+            if not clean.isalnum():
+                clean = CLEAN.sub("", w)
             memo[w] = xxhash.xxh64_intdigest(clean.encode(), 3) | 1 if clean else 0
         out = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         return out[out != 0]
@@ -82,23 +84,23 @@ def weights(frequencies: np.ndarray, documents: int) -> np.ndarray:
     return np.log((1 + documents) / (1 + frequencies)) + 0.05
 
 
-def vector(feature: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A passage as features and TF-IDF values of length one."""
-    own, n = np.unique(feature, return_counts=True)
-    value = n * weight[own]
+def vector(ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A passage as distinct words and TF-IDF values of length one; a word's weight is its feature's."""
+    own, n = np.unique(ids, return_counts=True)
+    value = n * weight[features(own)]
     return own, value / max(1e-12, float(np.sqrt((value * value).sum())))
 
 
-def random_rows(feature: np.ndarray, rank: int) -> np.ndarray:
-    """The rows of the SVD's Gaussian test matrix that belong to these features."""
-    return np.stack([np.random.default_rng([5, int(f)]).standard_normal(rank) for f in feature]) if len(feature) else np.zeros((0, rank))
+def random_rows(ids: np.ndarray, rank: int) -> np.ndarray:
+    """The rows of the SVD's Gaussian test matrix that belong to these words."""
+    return np.stack([np.random.default_rng([5, int(x)]).standard_normal(rank) for x in ids]) if len(ids) else np.zeros((0, rank))
 
 
 def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(features, basis): right singular vectors of the passages' TF-IDF matrix A, a row per feature.
+    """(words, basis): right singular vectors of the passages' TF-IDF matrix A, a row per word.
 
     Halko, Martinsson and Tropp's scheme: tasks sum their shares of A'(A Omega) and of the small Gram matrix of A Q;
-    the driver has the factors of at most FEATURES x rank values.
+    the driver has the factors of one block, so of at most BLOCK_WORDS x rank values.
     """
     sent = passages.sparkSession.sparkContext.broadcast(weight)
 
@@ -106,18 +108,18 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> t
         words, total = Words(), {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own, value = vector(features(words.ids(text or "")), sent.value)
+                own, value = vector(words.ids(text or ""), sent.value)
                 image = value @ random_rows(own, rank)
-                for f, v in zip(own.tolist(), value, strict=True):
-                    total[f] = total.get(f, 0) + v * image
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["feature", "part"])
+                for w, v in zip(own.view(np.int64).tolist(), value, strict=True):
+                    total[w] = total.get(w, 0) + v * image
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["word", "part"])
 
-    parts = passages.select("text").mapInArrow(sketch, "feature int, part array<double>")
-    sums = parts.select("feature", F.posexplode("part").alias("k", "x")).groupBy("feature", "k").agg(F.sum("x").alias("x")).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("own"))
-    rows = sums.select("feature", "own.x").orderBy("feature").collect()
+    parts = passages.select("text").mapInArrow(sketch, "word long, part array<double>")
+    sums = parts.select("word", F.posexplode("part").alias("k", "x")).groupBy("word", "k").agg(F.sum("x").alias("x")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("own"))
+    rows = sorted(sums.select("word", "own.x").collect(), key=lambda r: r[0] % (1 << 64))  # bounded by BLOCK_WORDS
     if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, rank))
-    known = np.array([r[0] for r in rows], np.int64)
+        return np.zeros(0, np.uint64), np.zeros((0, rank))
+    known = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     q, r = np.linalg.qr(np.array([r[1] for r in rows]))
     q = q[:, np.abs(np.diag(r)) > 1e-9 * np.abs(np.diag(r)).max()]
     basis = passages.sparkSession.sparkContext.broadcast(q)
@@ -126,7 +128,7 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> t
         words, total = Words(), np.zeros((basis.value.shape[1],) * 2)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own, value = vector(features(words.ids(text or "")), sent.value)
+                own, value = vector(words.ids(text or ""), sent.value)
                 image = value @ basis.value[np.searchsorted(known, own)]
                 total += np.outer(image, image)
         i, j = np.nonzero(total)
@@ -157,45 +159,57 @@ class Index:
     def __init__(self, items: list[tuple], weight: np.ndarray, known: np.ndarray, basis: np.ndarray):
         words = Words()
         self.weight = weight
-        self.row = np.full(FEATURES, len(known), np.int64)
-        self.row[known] = np.arange(len(known))
-        self.basis = np.concatenate([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        self.square = np.where(self.row < len(known), weight * weight, 0)
+        self.known, self.basis = known, basis.astype(np.float32)
+        self.maybe = np.zeros(FEATURES, bool)
+        self.maybe[features(known)] = True
         self.items, latent = [], []
         for item_id, text, answer in items:
             ids = words.ids(text or "")
             if not len(ids):
                 continue
-            own, value = vector(features(ids), weight)
+            own, value = vector(ids, weight)
             rare = ids[np.argsort(-weight[features(ids)], kind="stable")]
             told = set(words.ids(answer).tolist()) if answer else set([*dict.fromkeys(rare.tolist())][:RAREST])
             self.items.append((item_id, ids.tolist(), told))
-            latent.append(value @ self.basis[self.row[own]])
+            latent.append(value @ self.basis[np.searchsorted(known, own)])
         latent = np.array(latent).reshape(-1, self.basis.shape[1])
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        self.scores = self.basis @ latent.T.astype(np.float32)  # what each word adds to a window's product with each passage, in the latent space
 
     def candidates(self, ids: np.ndarray) -> list[tuple[float, int, int]]:
-        """(cosine, window's first word, item) above the threshold; a window's bound by known features comes first."""
+        """(cosine, window's first word, item) above the threshold; a window's bound by known words comes first."""
         feature = features(ids)
         steps = np.arange(0, len(ids), STRIDE)
         weight = self.weight[feature]
-        every = np.add.reduceat(weight * weight, steps)
-        inside = np.add.reduceat(self.square[feature], steps)
+        square = weight * weight
+        row = np.full(len(ids), -1)
+        at = np.flatnonzero(self.maybe[feature])
+        place = np.minimum(np.searchsorted(self.known, ids[at]), len(self.known) - 1)
+        row[at] = np.where(self.known[place] == ids[at], place, -1)
+        every = np.add.reduceat(square, steps)
+        inside = np.add.reduceat(np.where(row >= 0, square, 0), steps)
         if len(steps) > 1:
             every, inside = every[:-1] + every[1:], inside[:-1] + inside[1:]
-        live = np.flatnonzero(inside >= COSINE * COSINE * every)
+        live = inside >= COSINE * COSINE * every
+        known = np.flatnonzero(row >= 0)
         out = []
-        for low in range(0, len(live), 256):
-            part = live[low : low + 256]
-            vectors = np.stack([(weight[s : s + WINDOW, None] * self.basis[self.row[feature[s : s + WINDOW]]]).sum(0) for s in (part * STRIDE).tolist()])
-            cosines = (vectors @ self.latent) / np.sqrt(every[part])[:, None]
+        for low in range(0, len(live), 512):
+            part = np.flatnonzero(live[low : low + 512])
+            if not len(part):
+                continue
+            own = known[np.searchsorted(known, low * STRIDE) : np.searchsorted(known, (low + 513) * STRIDE)]
+            step = own // STRIDE - low
+            first = np.flatnonzero(np.diff(step, prepend=-1))
+            sums = np.zeros((514, self.scores.shape[1]), np.float32)
+            sums[step[first]] = np.add.reduceat(weight[own, None].astype(np.float32) * self.scores[row[own]], first, axis=0)
+            cosines = (sums[part] + sums[part + 1]) / np.sqrt(every[low + part])[:, None]
             w, i = np.nonzero(cosines >= COSINE)
-            out += [(float(cosines[a, b]), int(part[a]) * STRIDE, int(b)) for a, b in zip(w, i, strict=True)]
+            out += [(float(cosines[a, b]), (low + int(part[a])) * STRIDE, int(b)) for a, b in zip(w, i, strict=True)]
         return out
 
     def hits(self, text: str, words: Words) -> list[tuple]:
         ids = words.ids(text)
-        if not len(ids) or not self.items:
+        if not len(ids) or not self.items or not len(self.known):
             return []
         best: dict[int, tuple] = {}
         for cosine, start, i in self.candidates(ids):
@@ -203,6 +217,8 @@ class Index:
             low, high = max(0, start - len(own)), start + WINDOW + len(own)
             part = ids[low:high].tolist()
             seen = set(part)
+            if sum(map(seen.__contains__, own)) < ALIKE * len(own):  # no common subsequence is longer
+                continue
             share = common_length(own, part) / len(own)
             answers = sum(x in seen for x in told) / max(1, len(told))
             if share >= SAME or (share >= ALIKE and answers >= ANSWERS):
