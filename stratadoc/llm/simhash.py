@@ -8,6 +8,9 @@ a spanning forest of its links, never its pairs, and components are joined by al
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,21 +328,121 @@ def wide_prints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataF
     return src.mapInArrow(make, f"id {src.schema['id'].dataType.simpleString()}, class binary, print binary, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row: components of documents whose `size`-word shingle sets are about this similar.
+@functools.cache
+def candidate_radius(similarity: float, bits: int = WIDE_BITS) -> int:
+    """The distance that SimHashes of two sets with at least this Jaccard similarity exceed once in a billion times.
 
-    Similarity is judged by SimHash: at most wide_radius(similarity) of 1024 bits may differ (a standard error of
-    about 0.03 of similarity at 0.8). Pairs are looked for where one of eight min-wise keys agrees, which two sets at
-    0.8 miss in three of a million cases. Rows of the same words (A-Z in lower case) are one node, wordless and null
-    ones too. Rows without id link nothing and take the component of their words. Groups of any size are compared
-    in blocks and leave a spanning forest.
+    Six standard errors above the largest expected distance: wide_radius for large sets, and more for some small ones,
+    whose majorities are near ties; those are worked out over all sizes of union up to 64.
+    """
+    worst = wide_radius(similarity, bits) / bits
+    for union in range(2, 65):
+        common = int(np.ceil(similarity * union - 1e-9))
+        chance = np.array([math.comb(common, k) for k in range(common + 1)]) / 2.0**common
+        for own in range(union - common + 1):
+            ones = []  # the chance of a set's bit, after how many of the common shingles have it
+            for extra in (own, union - common - own):
+                more = np.array([math.comb(extra, k) for k in range(extra + 1)]) / 2.0**extra
+                ones.append(np.array([more[2 * (k + np.arange(extra + 1)) > common + extra].sum() for k in range(common + 1)]))
+            x, y = ones
+            worst = max(worst, float((chance * (x * (1 - y) + y * (1 - x))).sum()))
+    return min(bits, math.ceil(bits * worst + 6 * math.sqrt(bits * worst * (1 - worst))))
+
+
+def proposals(blocks: DataFrame, radius: int, low: int, high: int) -> DataFrame:
+    """(a, b): candidate pairs of blocks(key, node, component, print), to be checked.
+
+    They have one key, different components, places in the key's run that are `low` to under `high` apart, and prints
+    that differ in at most radius bits.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, node: np.ndarray, component: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            longest = int(np.diff(first, append=len(key)).max())
+            for apart in range(low, min(high, longest)):
+                at = np.flatnonzero((key[apart:] == key[:-apart]) & (component[apart:] != component[:-apart]))
+                for i in range(0, len(at), 1 << 14):
+                    x = at[i : i + (1 << 14)]
+                    x = x[np.bitwise_count(prints[x] ^ prints[x + apart]).sum(1) <= radius]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[x + apart])), pa.array(np.maximum(node[x], node[x + apart]))], names=["a", "b"])
+
+        held, size = [], 0
+
+        def rows() -> tuple[np.ndarray, ...]:
+            key, node, component = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            return key, node, component, np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if size >= 1 << 14 and batch.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
+                yield from out(*rows())
+                held, size = [], 0
+            elif size >= 1 << 14:
+                own = batch.column(0).to_numpy()
+                end = int(np.argmax(own != own[0])) if own[-1] != own[0] else 0
+                if end:
+                    held.append(batch.slice(0, end))
+                    yield from out(*rows())
+                    held, size, batch = [], 0, batch.slice(end)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield from out(*rows())
+
+    dealt = blocks.select("key", "node", "component", "print").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the hashes of each text's distinct shingles; docs(node, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            sets = [shingle_hashes(hashes.of(w), size).view(np.int64) if (w := words_of(t or "")) else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row: components of documents whose sets of `size`-word shingles are at least this similar.
+
+    Pairs are looked for where one of eight min-wise keys agrees, which two sets at 0.8 miss in three of a million
+    cases; SimHashes within candidate_radius propose them, and the exact Jaccard similarity of the shingles decides.
+    Each round offers the pairs of a key at some places apart and only across components, so a group of near copies is
+    joined by its first links and costs no pairs; a key is done when its rows are one component or all pairs were
+    offered. Rows of the same words (A-Z in lower case) are one node, wordless and null ones too. Rows without id link
+    nothing and take the component of their words.
     """
     rows = written(wide_prints(docs, size, id_col, text_col), "wide")
     nodes = written(rows.groupBy("class").agg(F.min("id").cast("long").alias("node"), F.first("print").alias("print"), F.first("keys").alias("keys")), "nodes")
-    blocks = nodes.where("node is not null").select("node", "print", F.posexplode("keys").alias("table", "least"))
-    found = components(links(blocks.select(F.xxhash64("table", "least").alias("key"), "node", "print"), wide_radius(similarity)))
-    classes = nodes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("id", "class").join(classes, "class", "left").select(F.col("id").alias(id_col), "component_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    keys = nodes.where("node is not null").select("node", F.posexplode("keys").alias("table", "least")).select("table", F.xxhash64("table", "least").alias("key"), "node")
+    prints = nodes.where("node is not null").select("node", "print")
+    radius, edges, found = candidate_radius(similarity), None, None
+    spans = itertools.chain([(0, 1, 2), (MIN_KEYS, 1, 2)], ((MIN_KEYS, 1 << i, 8 << i) for i in itertools.count(1, 3)))
+    for tables, low, high in spans:  # the first table alone at first: its links spare the others most of theirs
+        own = keys.withColumn("component", F.col("node")) if found is None else keys.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(f"n > {low} and least < most").select("key")
+        blocks = written(own.join(still, "key", "left_semi"), "blocks")
+        if not blocks.take(1):
+            break
+        keys = blocks.select("table", "key", "node")
+        pairs = written(proposals(blocks.where(F.col("table") <= tables).join(prints, "node"), radius, low, high), "pairs")
+        sets = written(shingle_sets(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), size), "sets")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        good = written(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+        drop_written(pairs, sets)
+        edges = good if edges is None else edges.unionByName(good)
+        found = components(edges)
+    classes = nodes.select("class", "node")
+    classes = classes.withColumn("component_id", F.col("node")) if found is None else classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("id", "class").join(classes.select("class", "component_id"), "class", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,3 +105,37 @@ def test_similar_documents(spark):
     rows.append((90, " ".join(half)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicated(df).collect()} == {0, 90, *range(50, 70)}
+
+
+def test_near_duplicates_at_the_similarity(spark):
+    """Pairs of 0.8 and a little more are one component each; those a little below stay apart."""
+    rng, rows, above = random.Random(4), [], {}
+    for i in range(400):
+        n, common = ((400, 357 + i % 3), (400, 353 - i % 3), (12, 12), (9, 8), (60, 54), (60, 53))[i % 6]  # shingles of both, and those they share
+        word = lambda: f"w{rng.randrange(10**9)}"
+        words = [word() for _ in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: common + 4] + [word() for _ in range(n - common)]))]
+        above[2 * i + 1] = common >= 0.8 * (2 * n - common)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(above.values()) > 150 and {d: got[d] == d - 1 for d in above} == above
+    assert simhash.candidate_radius(0.8) > simhash.wide_radius(0.8) + 48
+
+
+def test_no_pivot_stands_for_unchecked_links(spark):
+    """A group in which many pairs are near 0.8, against all pairs by brute force."""
+    rng, rows = random.Random(6), []
+    base = [f"w{i}" for i in range(204)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            words[rng.randrange(204)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(200)} for w in (t.split() for _, t in rows)]
+    parent = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = parent[i], parent[j]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(parent)) and len(set(parent)) > 3
