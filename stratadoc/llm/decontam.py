@@ -173,8 +173,13 @@ class Index:
             self.items.append((item_id, ids.tolist(), told))
             latent.append(value @ self.basis[np.searchsorted(known, own)])
         latent = np.array(latent).reshape(-1, self.basis.shape[1])
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        norm = np.linalg.norm(latent, axis=1)
+        latent /= np.maximum(norm, 1e-12)[:, None]
         self.scores = self.basis @ latent.T.astype(np.float32)  # what each word adds to a window's product with each passage, in the latent space
+        for i in np.flatnonzero(norm < 0.999).tolist():  # the basis doesn't hold it whole: its own values
+            own, value = vector(np.array(self.items[i][1], np.uint64), weight)
+            self.scores[:, i] = 0
+            self.scores[np.searchsorted(known, own), i] = value
 
     def candidates(self, ids: np.ndarray) -> list[tuple[float, int, int]]:
         """(cosine, window's first word, item) above the threshold; a window's bound by known words comes first."""
@@ -236,8 +241,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str =
     """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
-    total = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    blocks = -(-total // BLOCK_WORDS) or 1
+    total, passages = (x or 0 for x in items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.count("text")).first())
+    blocks = max(1, -(-total // BLOCK_WORDS), 1 if passages <= rank else -(-passages * 4 // (rank * 3)))  # dealt by hash, so with room
     frequencies, n = document_frequencies(docs, text_col)
     weight = weights(frequencies, n)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -76,3 +76,12 @@ def test_paraphrases_blocks_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 20_000)
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {*range(20, 60), 100, 101, 102, None}
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_more_passages_than_directions(spark):
+    """A verbatim copy of each of 1,000 passages is found, in one block of words."""
+    rng = random.Random(3)
+    items = [made(rng, 20) for _ in range(1000)]
+    docs = [(i, " ".join(made(rng, 60) + x + made(rng, 60))) for i, x in enumerate(items)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} >= {(i, i) for i in range(1000)}
