@@ -2,7 +2,8 @@
 
 Document frequencies are counted over all documents, for words hashed into 2**16 features. A randomised SVD
 of the benchmark passages' TF-IDF rows gives the latent space; windows of every document are projected into it and
-compared with the passages by cosine. Pairs above a threshold are checked by the longest common subsequence of
+compared with the passages by cosine; long passages are indexed in chunks, and windows are as wide as chunks are
+long. Pairs above a gate that follows the check's own share are checked by the longest common subsequence of
 words, and by the passage's answer words where the wording differs much.
 
 The benchmark is the stated side: it is cut into blocks of bounded size, and each block meets all documents where
@@ -20,18 +21,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 FEATURES, RANK = 1 << 16, 256
-#: Words of a window, and from one window to the next.
+#: Words of the widest window, and from one of them to the next; shorter passages have narrower windows, half a width apart.
 WINDOW, STRIDE = 32, 16
+WIDTHS = (8, 16, WINDOW)
 #: Benchmark words in a block: its items and the basis (a row of RANK floats for each different word) are sent to every task.
 BLOCK_WORDS = 20_000
-#: Least cosine of a candidate; least share of a passage's words in common order, and that with most answer words.
-COSINE, SAME, ALIKE, ANSWERS = 0.35, 0.6, 0.45, 0.7
+#: Blocks that one reading of the documents serves.
+TOGETHER = 4
+#: How much of the least cosine by equal weights a candidate needs, as weights differ; least share of a passage's words in common order, and that with most answer words.
+SLACK, SAME, ALIKE, ANSWERS = 0.8, 0.6, 0.45, 0.7
 #: How many of a passage's rarest words are its answer, where no answer is given.
 RAREST = 5
 CLEAN = re.compile(r"[\W_]+")
+#: Scripts without spaces, whose words are their characters: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 HITS = "item_id long, cosine double, common_share double, answer_share double, start_word long, end_word long"
 
 
@@ -42,7 +48,7 @@ class Words:
         self.memo: dict[str, int] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+        words = (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).lower().split()
         memo = self.memo
         if len(memo) > 500_000:
             memo.clear()
@@ -153,8 +159,38 @@ def common_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def chunks(text: str) -> list[str]:
+    """A passage in even parts of about WINDOW words."""
+    words = (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).split()
+    words = [w for w in words if CLEAN.sub("", w)]
+    parts = max(1, round(len(words) / WINDOW))
+    cuts = [len(words) * i // parts for i in range(parts + 1)]
+    return [" ".join(words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+
+
+def parted(items: DataFrame) -> DataFrame:
+    """items(item_id, text, answer) with their chunks."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([chunks(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=["item_id", "text", "answer", "chunks"])
+
+    return items.select("item_id", "text", "answer").mapInArrow(part, "item_id long, text string, answer string, chunks array<string>")
+
+
+def width_of(length: int) -> int:
+    return next((w for w in WIDTHS if length < 1.5 * w), WINDOW)
+
+
+def least_cosine(length: int, width: int) -> float:
+    """The gate for a chunk: by equal weights, what the best window has of a chunk of which the share ALIKE is in place."""
+    inside = min(length, width / 4 + length / 2)
+    return SLACK * ALIKE * inside / (length * width) ** 0.5
+
+
 class Index:
-    """A block of passages in the latent space."""
+    """A block of passages in the latent space; the chunks of a passage each propose it."""
 
     def __init__(self, items: list[tuple], weight: np.ndarray, known: np.ndarray, basis: np.ndarray):
         words = Words()
@@ -162,64 +198,76 @@ class Index:
         self.known, self.basis = known, basis.astype(np.float32)
         self.maybe = np.zeros(FEATURES, bool)
         self.maybe[features(known)] = True
-        self.items, latent = [], []
-        for item_id, text, answer in items:
+        self.items, entries = [], {w: [] for w in WIDTHS}
+        for item_id, text, answer, parts in items:
             ids = words.ids(text or "")
             if not len(ids):
                 continue
-            own, value = vector(ids, weight)
             rare = ids[np.argsort(-weight[features(ids)], kind="stable")]
             told = set(words.ids(answer).tolist()) if answer else set([*dict.fromkeys(rare.tolist())][:RAREST])
+            for part in parts:
+                own = words.ids(part)
+                entries[width_of(len(own))].append((len(self.items), own))
             self.items.append((item_id, ids.tolist(), told))
-            latent.append(value @ self.basis[np.searchsorted(known, own)])
-        latent = np.array(latent).reshape(-1, self.basis.shape[1])
+        self.classes = [(w, *self.projected(own, w)) for w, own in entries.items() if own]
+
+    def projected(self, entries: list[tuple[int, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(scores, gates, items) of chunks: what each word adds to a window's product with each chunk, in the latent space.
+
+        A chunk that the basis doesn't hold whole takes its own values.
+        """
+        vectors = [vector(ids, self.weight) for _, ids in entries]
+        places = [np.searchsorted(self.known, own) for own, _ in vectors]
+        latent = np.array([value @ self.basis[at] for (_, value), at in zip(vectors, places, strict=True)]).reshape(len(entries), -1)
         norm = np.linalg.norm(latent, axis=1)
-        latent /= np.maximum(norm, 1e-12)[:, None]
-        self.scores = self.basis @ latent.T.astype(np.float32)  # what each word adds to a window's product with each passage, in the latent space
-        for i in np.flatnonzero(norm < 0.999).tolist():  # the basis doesn't hold it whole: its own values
-            own, value = vector(np.array(self.items[i][1], np.uint64), weight)
-            self.scores[:, i] = 0
-            self.scores[np.searchsorted(known, own), i] = value
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[float, int, int]]:
-        """(cosine, window's first word, item) above the threshold; a window's bound by known words comes first."""
+        scores = self.basis @ (latent / np.maximum(norm, 1e-12)[:, None]).T.astype(np.float32)
+        for i in np.flatnonzero(norm < 0.999).tolist():
+            scores[:, i] = 0
+            scores[places[i], i] = vectors[i][1]
+        return scores, np.array([least_cosine(len(ids), width) for _, ids in entries], np.float32), [i for i, _ in entries]
+
+    def candidates(self, ids: np.ndarray) -> list[tuple[float, int, int, int]]:
+        """(cosine, window's first word, its width, item) above the gates; a window's bound by known words comes first."""
         feature = features(ids)
-        steps = np.arange(0, len(ids), STRIDE)
-        weight = self.weight[feature]
-        square = weight * weight
         row = np.full(len(ids), -1)
         at = np.flatnonzero(self.maybe[feature])
         place = np.minimum(np.searchsorted(self.known, ids[at]), len(self.known) - 1)
         row[at] = np.where(self.known[place] == ids[at], place, -1)
-        every = np.add.reduceat(square, steps)
-        inside = np.add.reduceat(np.where(row >= 0, square, 0), steps)
-        if len(steps) > 1:
-            every, inside = every[:-1] + every[1:], inside[:-1] + inside[1:]
-        live = inside >= COSINE * COSINE * every
         known = np.flatnonzero(row >= 0)
+        if not len(known):
+            return []
+        weight = self.weight[feature]
+        square = weight * weight
+        held = np.where(row >= 0, square, 0)
         out = []
-        for low in range(0, len(live), 512):
-            part = np.flatnonzero(live[low : low + 512])
-            if not len(part):
-                continue
-            own = known[np.searchsorted(known, low * STRIDE) : np.searchsorted(known, (low + 513) * STRIDE)]
-            step = own // STRIDE - low
-            first = np.flatnonzero(np.diff(step, prepend=-1))
-            sums = np.zeros((514, self.scores.shape[1]), np.float32)
-            sums[step[first]] = np.add.reduceat(weight[own, None].astype(np.float32) * self.scores[row[own]], first, axis=0)
-            cosines = (sums[part] + sums[part + 1]) / np.sqrt(every[low + part])[:, None]
-            w, i = np.nonzero(cosines >= COSINE)
-            out += [(float(cosines[a, b]), (low + int(part[a])) * STRIDE, int(b)) for a, b in zip(w, i, strict=True)]
+        for width, scores, gates, items in self.classes:
+            stride = width // 2
+            steps = np.arange(0, len(ids), stride)
+            every, inside = np.add.reduceat(square, steps), np.add.reduceat(held, steps)
+            if len(steps) > 1:
+                every, inside = every[:-1] + every[1:], inside[:-1] + inside[1:]
+            live = inside >= float(gates.min()) ** 2 * every
+            for low in range(0, len(live), 512):
+                part = np.flatnonzero(live[low : low + 512])
+                if not len(part):
+                    continue
+                own = known[np.searchsorted(known, low * stride) : np.searchsorted(known, (low + 513) * stride)]
+                step = own // stride - low
+                first = np.flatnonzero(np.diff(step, prepend=-1))
+                sums = np.zeros((514, scores.shape[1]), np.float32)
+                sums[step[first]] = np.add.reduceat(weight[own, None].astype(np.float32) * scores[row[own]], first, axis=0)
+                cosines = (sums[part] + sums[part + 1]) / np.sqrt(every[low + part])[:, None]
+                w, i = np.nonzero(cosines >= gates)
+                out += [(float(cosines[a, b]), (low + int(part[a])) * stride, width, items[b]) for a, b in zip(w, i, strict=True)]
         return out
 
-    def hits(self, text: str, words: Words) -> list[tuple]:
-        ids = words.ids(text)
+    def hits(self, ids: np.ndarray) -> list[tuple]:
         if not len(ids) or not self.items or not len(self.known):
             return []
         best: dict[int, tuple] = {}
-        for cosine, start, i in self.candidates(ids):
+        for cosine, start, width, i in self.candidates(ids):
             item_id, own, told = self.items[i]
-            low, high = max(0, start - len(own)), start + WINDOW + len(own)
+            low, high = max(0, start - len(own)), start + width + len(own)
             part = ids[low:high].tolist()
             seen = set(part)
             if sum(map(seen.__contains__, own)) < ALIKE * len(own):  # no common subsequence is longer
@@ -227,7 +275,7 @@ class Index:
             share = common_length(own, part) / len(own)
             answers = sum(x in seen for x in told) / max(1, len(told))
             if share >= SAME or (share >= ALIKE and answers >= ANSWERS):
-                row = (item_id, min(1.0, round(cosine, 4)), round(share, 4), round(answers, 4), start, min(start + WINDOW, len(ids)))
+                row = (item_id, min(1.0, round(cosine, 4)), round(share, 4), round(answers, 4), start, min(start + width, len(ids)))
                 if i not in best or (row[2], row[1], -row[4]) > (best[i][2], best[i][1], -best[i][4]):
                     best[i] = row
         return [best[i] for i in sorted(best)]
@@ -241,22 +289,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str =
     """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
-    total, passages = (x or 0 for x in items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.count("text")).first())
-    blocks = max(1, -(-total // BLOCK_WORDS), 1 if passages <= rank else -(-passages * 4 // (rank * 3)))  # dealt by hash, so with room
+    items = written(parted(items), "items")
+    total, parts = (x or 0 for x in items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.sum(F.size("chunks"))).first())
+    blocks = max(1, -(-total // BLOCK_WORDS), 1 if parts <= rank else -(-parts * 4 // (rank * 3)))  # dealt by hash, so with room
     frequencies, n = document_frequencies(docs, text_col)
     weight = weights(frequencies, n)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, {HITS}"
     context, found = docs.sparkSession.sparkContext, []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        known, basis = latent_basis(own, weight, rank)
-        sent = context.broadcast(([tuple(r) for r in own.orderBy("item_id", "text").collect()], weight, known, basis))  # bounded by BLOCK_WORDS
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, words = Index(*sent.value), Words()
+    for low in range(0, blocks, TOGETHER):
+        sent = []
+        for block in range(low, min(blocks, low + TOGETHER)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+            known, basis = latent_basis(own.select(F.explode("chunks").alias("text")), weight, rank)
+            sent.append(context.broadcast(([tuple(r) for r in own.orderBy("item_id", "text").collect()], weight, known, basis)))  # bounded by BLOCK_WORDS
+
+        def search(batches: Iterator[pa.RecordBatch], sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
+            indexes, words = [Index(*x.value) for x in sent], Words()
             for batch in slices(batches):
-                rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in index.hits(text, words)]
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = words.ids(text or "")
+                    rows += [(doc, *hit) for index in indexes for hit in index.hits(ids)]
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 cols = zip(*rows, strict=True) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", *[x.split()[0] for x in HITS.split(", ")]])

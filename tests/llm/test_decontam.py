@@ -85,3 +85,25 @@ def test_more_passages_than_directions(spark):
     docs = [(i, " ".join(made(rng, 60) + x + made(rng, 60))) for i, x in enumerate(items)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} >= {(i, i) for i in range(1000)}
+
+
+def test_passages_of_all_lengths(spark):
+    """Verbatim copies of 3 to 600 words at any place, copies with half of the words changed, and scripts without spaces."""
+    rng = random.Random(5)
+    word = lambda: made(rng, 1)[0]
+    items = [made(rng, n) for n in (3, 4, 5, 6, 8, 10, 12, 14, 20, 30, 45, 60, 100, 200, 300, 500, 600) for _ in range(6)]
+    docs = []
+    for i, x in enumerate(items):
+        if i % 6 > 3 and len(x) > 14:
+            answer = set(x[:2])
+            x = [w if w in answer or k % 2 else word() for k, w in enumerate(x)]
+        docs.append((i, " ".join(made(rng, rng.randint(40, 90)) + x + made(rng, 70))))
+    answers = [" ".join(x[:2]) for x in items]
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (12, 40, 90, 300)]
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(40))
+    own = len(items)
+    docs += [(own + i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(77)) + x + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(50))) for i, x in enumerate(han)] + [(own + 4, "กขค" * 20 + thai + "งจฉ" * 20)]
+    rows = [(i, " ".join(x), a) for i, (x, a) in enumerate(zip(items, answers, strict=True))] + [(own + i, x, None) for i, x in enumerate([*han, thai])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string, answer string")
+    missing = {i for i in range(len(rows))} - {r.doc_id for r in decontam.leaks(df, bench).collect() if r.doc_id == r.item_id}
+    assert not missing
