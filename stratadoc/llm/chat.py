@@ -1,29 +1,35 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens choose spans of whole turns. A window holds the conversation's system turn, up to
-`history` turns that an earlier window already had (as far as they fit), and new turns; only new assistant turns
-are under the loss mask, so repeated targets are masked. Conversations stream through in order: memory holds one
-window, however long a conversation is.
+A turn's size is the exact token count of its formatted text; as each ends in a line end, a window's count is the sum
+of its turns'. Prefix sums of these sizes deal a conversation into runs of bounded length, and choose spans of whole
+turns in each run. A window holds the system turn in effect, up to `history` turns before the span (as far as they
+fit), and the span; only assistant turns of the span are under the loss mask, so repeated targets are masked.
+
+Prefix sums come from range partitions, each with what the partitions before it add to its conversation. So a
+conversation of any length is spread over tasks; a task holds one run.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import drop_written, slices, written
 from .packing import encoder
 from .tokens import default_tokenizer
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of a turn's marks besides its role and text.
-MARKS = 4
+#: A run has this many budgets of tokens, but for its last turn; spans don't cross runs.
+RUN = 64
 SPAN = pa.struct([("turn_no", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("role_start", pa.int64()), ("role_stop", pa.int64()), ("repeated", pa.bool_()), ("loss", pa.bool_())])
 WINDOWS = "window_no long, text string, turns array<struct<turn_no:long,start:long,stop:long,role_start:long,role_stop:long,repeated:boolean,loss:boolean>>, n_tokens long"
 
@@ -35,141 +41,180 @@ def escaped(text: str, line: bool = False) -> str:
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text)
-
-
-class Windows:
-    """The open window of one conversation."""
-
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
-        self.number, self.system, self.past, self.new, self.turn_no = 0, None, [], [], 0
-
-    def room(self) -> int:
-        return self.budget - (self.system[3] if self.system else 0)
-
-    def add(self, role: str, text: str, size: int) -> tuple | None:
-        """The window that this turn closes, if any. A turn is (number, role, text, tokens)."""
-        turn, done = (self.turn_no, role, text, size), None
-        self.turn_no += 1
-        if turn[0] == 0 and role == "system":
-            self.system = turn
-            return None
-        if self.new and sum(t[3] for t in self.new) + size > self.room():
-            done = self.close()
-        self.new.append(turn)
-        return done
-
-    def close(self) -> tuple:
-        """As much history as fits before the new turns, by prefix sums from the nearest turn back."""
-        sums = [*accumulate(t[3] for t in reversed(self.past))]
-        fits = bisect_right(sums, self.room() - sum(t[3] for t in self.new))
-        kept = self.past[len(self.past) - fits :]
-        text, spans, total = [], [], 0
-        for t in [*([self.system] if self.system else []), *kept, *self.new]:
-            number, role, body, size = t
-            repeated = self.number > 0 if t is self.system else number < self.new[0][0]
-            role_at = total + len(START)
-            role_text, body_text = escaped(role, True), escaped(body)
-            at = role_at + len(role_text) + 1
-            text += [START, role_text, "\n", body_text, END, "\n"]
-            spans.append({"turn_no": number, "start": at, "stop": at + len(body_text), "role_start": role_at, "role_stop": role_at + len(role_text), "repeated": repeated, "loss": role == "assistant" and not repeated})
-            total = at + len(body_text) + len(END) + 1
-        out = self.number, "".join(text), spans, sum(t[3] for t in [*([self.system] if self.system else []), *kept, *self.new])
-        self.past = (self.past + self.new)[-self.history :] if self.history else []
-        self.new, self.number = [], self.number + 1
-        return out
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.DOTALL)
+
+
+def formatted(role: str, text: str) -> str:
+    return f"{START}{escaped(role, True)}\n{escaped(text)}{END}\n"
+
+
+def sized(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """turns(conv_id, turn, role, text) with the tokens of each formatted turn."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in slices(batches, 3):
+            _, sizes = enc.encode([formatted(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["conv_id", "turn", "role", "text", "size"])
+
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    return turns.mapInArrow(measure, f"{kinds}, role string, text string, size long")
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """sized() with turn_no (from 0) and before, the tokens of the conversation's earlier turns."""
+    order = ["turn", "role", "text", "row"]
+    rows = written(turns.withColumn("row", F.monotonically_increasing_id()), "sized")  # range sorting samples its input
+    dealt = written(rows.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()), "dealt")
+    drop_written(rows)
+    sums = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    ahead = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part that has the conversation
+    carried = sums.select(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("size0"))
+    own = W.partitionBy("conv_id", "part").orderBy(*order)
+    inside = dealt.withColumn("n", F.row_number().over(own) - 1).withColumn("sum", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    both = inside.join(carried, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    return both.select("conv_id", "role", "text", "size", (F.col("n") + F.col("n0")).alias("turn_no"), (F.col("sum") + F.col("size0")).alias("before"))
+
+
+def runs(turns: DataFrame, length: int, history: int) -> DataFrame:
+    """numbered() dealt into runs of `length` tokens; each run also has the turns before it that its windows may repeat (own is false)."""
+    turns = turns.withColumn("run", F.floor(F.col("before") / length))
+    system = F.max(F.when(F.col("role") == "system", F.col("turn_no")))
+    firsts = turns.groupBy("conv_id", "run").agg(F.min("turn_no").alias("first"), system.alias("system"))
+    ahead = W.partitionBy("conv_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    repeats = firsts.select("conv_id", "run", "first", F.max("system").over(ahead).alias("system"))
+    listed = F.array_union(F.array_compact(F.array("system")), F.filter(F.sequence(F.col("first") - history - 1, F.col("first") - 1), lambda n: n >= 0))
+    need = repeats.select(F.col("conv_id").alias("of"), F.col("run").alias("into"), F.explode(listed).alias("of_turn"))
+    again = turns.join(need, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("turn_no") == F.col("of_turn")))
+    columns = ["conv_id", "role", "text", "size", "turn_no"]
+    return turns.select("run", *columns, F.lit(True).alias("own")).unionByName(again.select(F.col("into").alias("run"), *columns, F.lit(False).alias("own")))
+
+
+def spans(sizes: list[int], roles: list[str], first: int, budget: int, history: int) -> Iterator[tuple[list[int], int, int]]:
+    """(repeated turns, first new turn, turn after the last new one) of each window; turns before `first` belong to earlier runs."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at, system = first, max((i for i in range(first) if roles[i] == "system"), default=None)
+    while at < len(sizes):
+        head = [] if system is None or roles[at] == "system" else [system]
+        room = budget - sum(sizes[i] for i in head)
+        stop = max(at + 1, int(np.searchsorted(sums, sums[at] + room, "right")) - 1)
+        room -= int(sums[stop] - sums[at])
+        past = [i for i in range(max(0, at - history - 1), at) if i not in head][-history:] if history else []
+        back = np.cumsum([sizes[i] for i in reversed(past)])
+        past = past[len(past) - int(np.searchsorted(back, room, "right")) :]
+        yield sorted(head + past), at, stop
+        system = max((i for i in range(at, stop) if roles[i] == "system"), default=system)
+        at = stop
+
+
+def window(turns: list[tuple[int, str, str, int]], repeated: int) -> tuple[str, list[dict], int]:
+    """(text, spans, tokens) of turns (number, role, text, size), of which the first ones are repeated."""
+    text, places, total = [], [], 0
+    for k, (number, role, body, _) in enumerate(turns):
+        role_text, body_text = escaped(role, True), escaped(body)
+        role_at = total + len(START)
+        at = role_at + len(role_text) + 1
+        text += [START, role_text, "\n", body_text, END, "\n"]
+        places.append({"turn_no": number, "start": at, "stop": at + len(body_text), "role_start": role_at, "role_stop": role_at + len(role_text), "repeated": k < repeated, "loss": role == "assistant" and k >= repeated})
+        total = at + len(body_text) + len(END) + 1
+    return "".join(text), places, sum(t[3] for t in turns)
 
 
 def windows(conversations: DataFrame, budget: int = 1024, history: int = 2, tokenizer: str | None = None) -> DataFrame:
     """(conv_id, window_no, text, turns, n_tokens) of conversations(conv_id, turn, role, text).
 
-    turns: for each turn of the window its number (from 0, in order), where its escaped text and role lie (code
-    points), whether an earlier window had it, and whether it is under the loss mask. A turn above the budget has
-    a window of its own. Rows go by turn, then role and text where turns tie (nulls first); repeated rows are turns
-    of their own. Null texts and roles are empty. An empty table gives no windows; other columns are ignored.
+    n_tokens: exactly the library's count of the window's text, at most the budget unless one new turn, with the
+    system turn in effect, is above it: such a turn has a window of its own. turns: for each turn of the window its
+    number (from 0, in order), where its escaped text and role lie (code points), whether an earlier window had it,
+    and whether it is under the loss mask. window_no orders a conversation's windows and has gaps. The system turn in
+    effect is the last one before the window's new turns. Rows go by turn, then role and text where turns tie (nulls
+    first); repeated rows are turns of their own. Null texts and roles are empty; null ids are one conversation. An
+    empty table gives no windows; other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    src = conversations.select("conv_id", "turn", empty("role"), empty("text"))
+    dealt = runs(numbered(sized(src, path)), RUN * budget, history)
+    kind, names = to_arrow_type(src.schema["conv_id"].dataType), ["conv_id", "window_no", "text", "turns", "n_tokens"]
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, state, conv, rows, kind = encoder(path), None, None, [], None
-        names = ["conv_id", "window_no", "text", "turns", "n_tokens"]
-
-        def out() -> pa.RecordBatch:
-            nonlocal rows
-            cols, rows = [*zip(*rows, strict=True)], []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind, pa.int64(), pa.string(), pa.list_(SPAN), pa.int64()], strict=True)], names=names)
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            roles, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in (1, 2))
-            sizes = [len(r) for r in enc.encode([f"{a} {b}" for a, b in zip(roles, texts, strict=True)])]
-            for key, role, text, size in zip(batch.column(0).to_pylist(), roles, texts, sizes, strict=True):
-                if state is None or key != conv:
-                    if state is not None:
-                        rows.append((conv, *state.close()))
-                    state, conv = Windows(budget, history), key
-                if done := state.add(role, text, size + MARKS):
-                    rows.append((conv, *done))
-                if len(rows) >= 2000:
-                    yield out()
-        if state is not None:
-            rows.append((conv, *state.close()))
-        if rows:
-            yield out()
-
-    src = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    ordered = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(form, f"conv_id {src.schema['conv_id'].dataType.simpleString()}, {WINDOWS}")
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        out = []
+        for (conv, run), group in groupby(rows(), lambda r: r[:2]):
+            turns = [r[2:] for r in group]
+            first = next(i for i, t in enumerate(turns) if t[4])
+            for k, (again, start, stop) in enumerate(spans([t[3] for t in turns], [t[1] for t in turns], first, budget, history)):
+                out.append((conv, (run << 20) + k, *window([t[:4] for t in [turns[i] for i in again] + turns[start:stop]], len(again))))
+            if len(out) >= 500:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [kind, pa.int64(), pa.string(), pa.list_(SPAN), pa.int64()], strict=True)], names=names)
+
+    ordered = dealt.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", "turn_no").select("conv_id", "run", "turn_no", "role", "text", "size", "own")
+    return ordered.mapInArrow(form, f"conv_id {src.schema["conv_id"].dataType.simpleString()}, {WINDOWS}")
 
 
 TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation what its windows say: turns are parsed out of the text by the marks, loss text by the mask."""
+    """Per conversation what its windows say: turns are parsed out of the text by the marks, loss text by the mask.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, rows, kind = None, None, [], None
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-
-        def close() -> None:
-            rows.append((conv, state["n"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["formatted"], state["windows"]))
-
-        def out() -> pa.RecordBatch:
-            nonlocal rows
-            cols, rows = [*zip(*rows, strict=True)], []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind, *kinds], strict=True)], names=names)
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for key, text, turns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if state is None or key != conv:
-                    if state is not None:
-                        close()
-                    conv, state = key, {"n": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "windows": 0}
-                state["formatted"] += len(text)
-                state["windows"] += 1
+    Windows are parsed where they lie; in a conversation's order, only digests are made.
+    """
+    kind_of = formatted.schema["conv_id"].dataType
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            counts, said_all, lost = [], [], []
+            for key, text, turns in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                whole, loss = [], []
                 for said, span in zip(TURN.finditer(text), turns, strict=True):
                     if (said.start(2), said.end(2), said.start(1)) != (span["start"], span["stop"], span["role_start"]):
                         raise ValueError(f"conversation {key}: a turn lies elsewhere than its span")
                     if not span["repeated"]:
-                        state["n"] += 1
-                        state["all"].update(f"{unescaped(said[1])}\n{unescaped(said[2])}\n".encode())
+                        whole.append(f"{unescaped(said[1])}\n{unescaped(said[2])}\n")
                     if span["loss"]:
-                        target = unescaped(text[span["start"] : span["stop"]])
-                        state["chars"] += len(target)
-                        state["loss"].update(target.encode())
-            if len(rows) >= 2000:
-                yield out()
-        if state is not None:
-            close()
-        if rows:
-            yield out()
-
-    ordered = formatted.select("conv_id", "window_no", "text", "turns").repartition("conv_id").sortWithinPartitions("conv_id", "window_no").select("conv_id", "text", "turns")
-    return ordered.mapInArrow(read, f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+                        loss.append(unescaped(text[span["start"] : span["stop"]]))
+                counts.append(len(whole))
+                said_all.append("".join(whole))
+                lost.append("".join(loss))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(said_all, pa.string()), pa.array(lost, pa.string()), pa.array([*map(len, batch.column(2).to_pylist())], pa.int64())], names=["conv_id", "window_no", "n", "said", "lost", "chars"])
+
+    kind, names = to_arrow_type(kind_of), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=names)
+
+        out = []
+        for conv, group in groupby(rows(), lambda r: r[0]):
+            turns, loss, n, lost_chars, chars, n_windows = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
+            for _, count, said, lost, size in group:
+                turns.update(said.encode())
+                loss.update(lost.encode())
+                n, lost_chars, chars, n_windows = n + count, lost_chars + len(lost), chars + size, n_windows + 1
+            out.append((conv, n, turns.hexdigest(), lost_chars, loss.hexdigest(), chars, n_windows))
+            if len(out) >= 2000:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    parsed = formatted.select("conv_id", "window_no", "text", "turns").mapInArrow(parse, f"conv_id {kind_of.simpleString()}, window_no long, n long, said string, lost string, chars long")
+    ordered = parsed.repartition("conv_id").sortWithinPartitions("conv_id", "window_no").select("conv_id", "n", "said", "lost", "chars")
+    return ordered.mapInArrow(read, f"conv_id {kind_of.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def op2_chat_windows(spark, sf_dir: str) -> DataFrame:

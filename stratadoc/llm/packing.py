@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .tokens import AFTER_LETTER, MEMO_CHARS, MEMO_ENTRIES, default_tokenizer, simplified
+from .tokens import default_tokenizer
+from .words import Layout, WordTable
 
 DIMS, BITS, HASHED = 4, 15, 256
 
@@ -50,7 +51,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, word by word with a memo (white space separates words there)."""
+    """Ids of texts by the tokenizers library, each different word once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,13 +59,11 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.size = max(self.lib.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.table = WordTable(self.kind, self.alone)
         suffix = getattr(self.lib.model, "end_of_word_suffix", None)
-        self.ends = None
+        self.ends = np.zeros(self.size, bool)
         if suffix:
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.ends[[i for t, i in self.lib.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         mixed = np.arange(self.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -72,42 +71,61 @@ class Encoder:
         self.sign = np.where((mixed >> np.uint64(33)) & np.uint64(1), 1.0, -1.0)
         self.matrix = np.random.default_rng(1).standard_normal((HASHED, DIMS))
 
-    def alone(self, words: list[str]) -> None:
-        """Encode words into the memo; plain letters together, as each of those ends with its one end-of-word entry."""
-        plain = [w for w in words if w.isascii() and w.isalpha()] if self.ends is not None else []
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-            data = ids.tobytes()
-            self.memo.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        other = [w for w in words if w not in self.memo] if plain else words
-        for w, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [AFTER_LETTER.sub(r" \g<0>", simplified(t)).split(" ") for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        get = self.memo.get
-        found = [list(map(get, words)) for words in split]
-        fresh = {w for words, own in zip(split, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
-        if fresh:
-            self.alone(list(fresh))
-            found = [list(map(get, words)) if None in own else own for words, own in zip(split, found, strict=True)]
-        out = [np.frombuffer(b"".join(own), self.kind) for own in found]
-        for w in fresh:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
-        return out
-
-    def keys(self, rows: list[np.ndarray]) -> np.ndarray:
-        vectors = np.stack([np.bincount(self.cell[r], self.sign[r], HASHED) for r in rows])
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word. Words of letters go together: each ends with its one end-of-word entry, or they go singly."""
+        ids, sizes = [np.zeros(0, self.kind)] * len(words), np.zeros(len(words), np.int64)
+        singly = [i for i, w in enumerate(words) if not w.isalpha()] if self.ends.any() else [*range(len(words))]
+        plain = [i for i, w in enumerate(words) if w.isalpha()] if self.ends.any() else []
+        flat, flat_sizes = [], []
+        for low in range(0, len(plain), 4096):
+            part = plain[low : low + 4096]
+            own = np.array(self.lib.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[own]) + 1
+            if len(stops) != len(part) or stops[-1] != len(own):
+                singly += part
+                continue
+            sizes[part] = np.diff(stops, prepend=0)
+            flat.append(own)
+            flat_sizes += part
+        for i, e in zip(singly, self.lib.encode_batch_fast([words[i] for i in singly], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, self.kind)
+            sizes[i] = len(e.ids)
+        stops = np.cumsum(sizes)
+        out = np.zeros(stops[-1] if len(stops) else 0, self.kind)
+        if flat_sizes:
+            own = sizes[flat_sizes]
+            begin = np.repeat(stops[flat_sizes] - own - np.cumsum(own) + own, own)
+            out[begin + np.arange(len(begin))] = np.concatenate(flat)
+        for i in singly:
+            out[stops[i] - sizes[i] : stops[i]] = ids[i]
+        return out, sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        layout = Layout(texts)
+        ids, sizes = self.table.of(layout)
+        stops = np.concatenate([[0], np.cumsum(sizes)])[layout.per_text()]
+        return ids, np.diff(stops, prepend=0)
+
+    def keys(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n = len(sizes)
+        vectors = np.bincount(np.repeat(np.arange(n) * HASHED, sizes) + self.cell[ids], self.sign[ids], n * HASHED).reshape(n, HASHED)
         vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
         place = 1 / (1 + np.exp(-1.702 * np.round(vectors @ self.matrix, 6)))
         return hilbert_keys(np.minimum(place * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
 
 
+def ended(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> pa.Array:
+    """A binary of ids for each text, the end id last."""
+    stops = np.cumsum(sizes + 1)
+    out = np.full(len(ids) + len(sizes), end_id, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[stops - 1] = False
+    out[own] = ids
+    offsets = np.concatenate([[0], stops]).astype(np.int64) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -122,11 +140,9 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in slices(batches):
-            rows = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.keys(rows)), pa.array([len(r) + 1 for r in rows], pa.int64()), pa.array([r.tobytes() + end for r in rows], pa.binary())], names=["doc_id", "hilbert_key", "doc_tokens", "ids"])
-        enc.memo.clear()  # the worker may go on to other stages
+            ids, sizes = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.keys(ids, sizes)), pa.array(sizes + 1, pa.int64()), ended(ids, sizes, end_id)], names=["doc_id", "hilbert_key", "doc_tokens", "ids"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(encode, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, hilbert_key long, doc_tokens long, ids binary")

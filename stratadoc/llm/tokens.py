@@ -5,13 +5,12 @@ pre-tokens plus that of the broken one. Inside a pre-token, the encoding of a pr
 vocabulary entry t for which BPE keeps (last entry before t, t) apart; as BPE encodings are exactly the
 sequences whose neighbours are all kept apart, one table over prefixes gives every count in linear time.
 
-White space separates pre-tokens and normalisation never crosses it, so words are memoised.
+White space separates pre-tokens and normalisation never crosses it, so each different word is worked out once.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
@@ -22,34 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .words import Layout, WordTable
 
 #: The tokenizer's white space (Unicode White_Space); fixed values.
 SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 #: The tokenizer's contractions, in its order; fixed values.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: A worker's memo is emptied at this many entries, and holds no longer words than this.
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 64
+#: A worker's memos are emptied at this many entries, and hold no longer prefixes than this.
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
+#: What the bytes of a character add before its last one.
+ZEROS = [[0] * k for k in range(4)]
 #: Most entries are no longer than this.
 USUAL = 8
 #: No rank.
 NEVER = 1 << 60
 
 
-#: A mark after a letter, where a pre-token ends in any case.
-AFTER_LETTER = re.compile(r"[.,;:!?)](?<=[^\W\d_].)")
-#: Where simplified() broke a word without white space.
-BROKEN = "\x1e"
-
-
-def simplified(text: str) -> str:
-    """Text of the same tokens, character for character, with fewer different words: lower case where that is safe."""
-    if "<|" not in text and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-        low = text.lower()
-        if len(low) == len(text) and (text.isascii() or unicodedata.is_normalized("NFC", low)):
-            text = low
-    return text.replace("\n", " ")
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -84,7 +71,7 @@ class PrefixCounter:
         self.apart: dict[tuple[str, str], bool] = {}
         self.spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.states: dict[str, tuple[str, int, int]] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = WordTable(np.dtype(np.int8), self.steps)
 
     def split(self, token: str) -> tuple[str, str, int] | None:
         """The last merge that makes a token out of its symbols, and its rank; none for a single symbol."""
@@ -233,30 +220,41 @@ class PrefixCounter:
             out.append(base)
             text = text[at + len(s) :]
 
-    def word(self, word: str) -> bytes:
-        """How much each character of a word adds, as int8 (a character adds few tokens, or takes few away).
-
-        A zero for the space after the word follows, unless the word ends in the mark of a break.
-        """
-        body = word.removesuffix(BROKEN)
-        counts = self.run(body) if body.isascii() and body.isalpha() and body.islower() else self.prefixes(body)
-        known = bytes([(b - a) & 255 for a, b in zip([0, *counts], counts, strict=False)]) + b"\0" * (body is word)
-        if len(word) <= MEMO_CHARS:
-            if len(self.words) > MEMO_ENTRIES:
-                self.words.clear()
-            self.words[word] = known
-        return known
+    def steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How much each character of each word adds, as int8 at its last byte (a character adds few tokens, or takes few away)."""
+        out, sizes = [], []
+        for word in words:
+            if word.isascii():
+                counts = self.run(word) if word.isalpha() and word.islower() else self.prefixes(word)
+                out += [b - a for a, b in zip([0, *counts], counts, strict=False)]
+                sizes.append(len(word))
+                continue
+            last, start = 0, len(out)
+            for c, n in zip(word, self.prefixes(word), strict=True):
+                out += ZEROS[len(c.encode()) - 1]
+                out.append(n - last)
+                last = n
+            sizes.append(len(out) - start)
+        return np.array(out, np.int8), np.array(sizes, np.int64)
+
+    def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, starts, sizes): counts[start + k] is the tokens of the first k characters of a text, which has `size` of them."""
+        layout = Layout(texts)
+        added = np.zeros(len(layout.bytes), np.int8)
+        added[~layout.gap] = self.words.of(layout)[0]
+        total = np.cumsum(added, dtype=np.int64)
+        last = np.ones(len(total), bool)  # of each character its last byte; the space after a text stands for its beginning
+        last[:-1] = (layout.bytes[1:] & 0xC0) != 0x80
+        counts = np.concatenate([[0], total[last]])
+        stops = np.cumsum(last)[layout.stops]
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        sizes = stops - starts - 1
+        return counts - np.repeat(counts[starts], np.diff(np.append(starts, len(counts)))), starts, sizes
 
     def table(self, text: str) -> np.ndarray:
         """table[k]: the tokens of the first k characters."""
-        out = np.zeros(len(text) + 1, np.int64)
-        if BROKEN in text:
-            out[1:] = self.prefixes(text)
-            return out
-        known, words = self.words.get, AFTER_LETTER.sub(BROKEN + r" \g<0>", simplified(text)).split(" ")
-        steps = b"".join([w if (w := known(x)) is not None else self.word(x) for x in words])
-        np.cumsum(np.frombuffer(steps, np.int8, len(text)), out=out[1:], dtype=np.int64)
-        return out
+        counts, _, sizes = self.tables([text])
+        return counts[: sizes[0] + 1]
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -284,9 +282,8 @@ def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in slices(batches):
-            rows = [count.table(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+            counts, starts, sizes = count.tables([t or "" for t in batch.column(1).to_pylist()])
+            values = pa.ListArray.from_arrays(pa.array(np.append(starts, starts[-1] + sizes[-1] + 1).astype(np.int32)), pa.array(counts[: starts[-1] + sizes[-1] + 1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "counts"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -305,13 +302,12 @@ def token_budget(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col:
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in slices(batches):
-            total, fits = [], []
-            for text in batch.column(1).to_pylist():
-                table = count.table(text or "")
-                total.append(int(table[-1]))
-                fits.append(longest_prefix(table, budget))
+            counts, starts, sizes = count.tables([t or "" for t in batch.column(1).to_pylist()])
+            total, fits = counts[starts + sizes], sizes.copy()  # a text within the budget fits whole
+            for i in np.flatnonzero(total > budget).tolist():
+                fits[i] = longest_prefix(counts[starts[i] : starts[i] + sizes[i] + 1], budget)
             n_bytes = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(total, pa.int64()), pa.array([n > budget for n in total]), pa.array(fits, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(total, pa.int64()), pa.array(total > budget), pa.array(fits, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -319,6 +315,5 @@ def token_budget(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col:
 
 
 
-
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_budget(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2048).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")

@@ -4,7 +4,12 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from stratadoc.llm import chat
+from stratadoc.llm.tokens import default_tokenizer
+
+LIB = Tokenizer.from_file(default_tokenizer())
 
 
 @given(st.text(alphabet="a\\<|n\n>im_endstar"), st.booleans())
@@ -30,18 +35,38 @@ ROWS = [(1, i, "system" if i == 0 else ("user", "assistant")[i % 2], f"turn {i}
 ]
 
 
-@pytest.mark.parametrize("budget,history", [(20, 2), (60, 3), (1024, 2), (40, 0)])
-def test_against_plain_python(spark, budget, history):
-    df = spark.createDataFrame([(*r, 0) for r in ROWS], "conv_id long, turn long, role string, text string, window_no int").repartition(3)
+#: A system turn in the middle, many short turns, and one turn of megabytes.
+LONG = [(9, i, "system" if i in (7, 30) else ("user", "assistant")[i % 2], f"s{i}") for i in range(400)] + [(10, 0, "user", "long words " * 200_000), (10, 1, "assistant", "<|x \\ " * 1000), (10, 2, "user", "end")]
+
+
+@pytest.mark.parametrize("budget,history,run", [(40, 2, 64), (60, 3, 2), (1024, 2, 64), (45, 0, 1)])
+def test_against_plain_python(spark, monkeypatch, budget, history, run):
+    monkeypatch.setattr(chat, "RUN", run)
+    rows = ROWS + LONG
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, window_no int").repartition(3)
     made = chat.windows(df, budget, history)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(made).collect()}
-    assert got == expected(ROWS)
+    assert got == expected(rows)
+    system = {}
+    for conv, turn, role, _ in rows:
+        if conv in (1, 9) and role == "system":
+            system.setdefault(conv, []).append(turn)
     for w in made.collect():
         fresh = [t for t in w.turns if not t.repeated]
-        assert w.n_tokens <= budget or len(fresh) == 1 or (len(fresh) == 2 and fresh[0].turn_no == 0)
+        assert w.n_tokens == len(LIB.encode(w.text, add_special_tokens=False).ids)
+        assert w.n_tokens <= budget or len(fresh) == 1 and len(w.turns) <= 2
         assert sum(t.repeated for t in w.turns) <= history + 1
-        if w.conv_id == 1:
-            assert w.turns[0].turn_no == 0
+        assert [t.turn_no for t in w.turns] == sorted({t.turn_no for t in w.turns})
+        if before := [n for n in system.get(w.conv_id, []) if n < fresh[0].turn_no]:
+            assert fresh[0].turn_no in system[w.conv_id] or before[-1] in [t.turn_no for t in w.turns]
+
+
+def test_spans_use_the_budget():
+    """Each new turn that would have fit a window is in it."""
+    sizes, roles = [9, 4, 5, 6, 30, 2, 2, 2, 2], ["system"] + ["user"] * 8
+    got = [*chat.spans(sizes, roles, 0, 24, 1)]
+    assert got == [([], 0, 4), ([0], 4, 5), ([0], 5, 9)]
+    assert [*chat.spans([1, 1, 3, 3, 3, 3], ["user"] * 6, 2, 8, 2)] == [([0, 1], 2, 4), ([], 4, 6)]
 
 
 def test_empty(spark):

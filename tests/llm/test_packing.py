@@ -18,6 +18,16 @@ def test_hilbert_neighbours_are_adjacent():
         assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_ids_are_the_library_s():
+    letters = [chr(c) for c in range(0x3100) if chr(c).isalnum()]
+    texts = [f"A{c}{m}b {c} {m}{c}" for c in letters for m in ".!)"] + ["", " ", "Merhaba Diyarbakİ. Hİ!", "don't. can't? 'tis", "x" * 300, "<|endoftext|>.a<|endoftext|>", "ab\tc.d\u00a0e.", "\u09a1\u09bc. e\u0301. É."]
+    ids, sizes = packing.encoder(default_tokenizer()).encode(texts)
+    own = [e.ids for e in LIB.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [*map(len, own)] and ids.tolist() == [i for x in own for i in x]
+    got = packing.ended(ids, sizes, 1).to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*x, 1] for x in own]
+
+
 def checked(rows, docs, length=2048):
     ids = {d: LIB.encode(t or "", add_special_tokens=False).ids + [1] for d, t in docs}
     by_doc, by_seq = {}, {}
