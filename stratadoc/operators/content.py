@@ -134,15 +134,16 @@ def plan_batches(items: DataFrame, most: int = 32, most_bytes: int = 24_000) ->
     The rule depends on where the last batch ended, so it is a fold over each document's ordered sizes.
     """
     listed = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "inline", F.octet_length(F.coalesce("value", F.lit(""))).cast("long").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array(F.lit(0)).alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
         full = (a["n"] > 0) & ((a["n"] >= most) | (a["bytes"] + x["size"] > most_bytes))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(a["bytes"] + x["size"]).alias("bytes"), F.array_append(a["out"], batch).alias("out"))
+        return F.struct((a["at"] + 1).alias("at"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(a["bytes"] + x["size"]).alias("bytes"), F.when(full, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts"))
 
-    zipped = listed.select("doc_id", F.arrays_zip("rows", F.aggregate("rows", start, step)["out"].alias("batch")).alias("z"))
-    return zipped.select("doc_id", F.explode("z").alias("z")).select("doc_id", F.col("z.rows.block").alias("block"), F.col("z.rows.inline").alias("inline"), F.col("z.rows.size").alias("size"), F.col("z.batch").alias("batch"))
+    folded = listed.select("doc_id", "rows", F.aggregate("rows", start, step)["starts"].alias("starts"))
+    stop = lambda i: F.coalesce(F.try_element_at("starts", i + 2), F.size("rows"))
+    cuts = folded.select("doc_id", F.posexplode(F.transform("starts", lambda s, i: F.slice("rows", s + 1, stop(i) - s))).alias("batch", "part"))
+    return cuts.select("doc_id", F.col("batch").cast("long").alias("batch"), F.inline("part")).select("doc_id", "block", "inline", "size", "batch")
 
 
 def batch_context(batches: DataFrame, k: int = 3) -> DataFrame:
@@ -219,14 +220,27 @@ def audit_presence(placed: DataFrame, final: DataFrame, norm) -> DataFrame:
     return placed.join(final, "doc_id").where(~norm(F.col("final_text")).contains(norm(F.col("text")))).select("doc_id", "block")
 
 
+#: A protected string of 2 GRAM - 1 characters or more holds a whole aligned piece of GRAM characters of any text that has it.
+GRAM = 8
+
+
 def leak_scan(canaries: DataFrame, surfaces: DataFrame, names: list[str]) -> DataFrame:
-    """How many texts of each surface hold a protected string; strings without hits keep a zero.
+    """How many texts of each surface hold a protected string, anywhere in it; strings without hits keep a zero.
 
-    names: the surfaces. The protected strings are the stated side: each goes by its second word, and each text offers its distinct
-    words, so candidates meet by an equal join before the substring test.
+    names: the surfaces. Texts offer their pieces of GRAM characters from the start, strings those at their first GRAM
+    places; what meets by an equal join is tested for the string. Shorter strings are the stated side of a plain test
+    of each text. Empty strings are in every text; null strings and texts in none.
     """
-    own = canaries.select("canary_id", F.col("text").alias("canary"), F.element_at(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)), 2).alias("word"))
-    offered = surfaces.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))))
-    hits = offered.join(own, "word").where(F.col("text").contains(F.col("canary"))).groupBy("canary_id", "surface").agg(F.count("*").alias("hits"))
+    own = canaries.select("canary_id", F.col("text").alias("canary"))
+    long = own.where(F.length("canary") >= 2 * GRAM - 1)
+    short = own.where(F.length("canary") < 2 * GRAM - 1)
+    asked = long.select("canary_id", "canary", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda i: F.substring("canary", i, F.lit(GRAM)))).alias("piece"))
+    texts = surfaces.select("surface", "text", F.xxhash64("text").alias("digest"))
+    offered = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{GRAM}}}"), F.lit(0)))).alias("piece"))
+    met = offered.join(asked, "piece").select("digest", "canary_id", "canary").distinct()
+    hits = texts.join(met, "digest").where(F.col("text").contains(F.col("canary"))).select("canary_id", "surface")
+    if short.take(1):
+        hits = hits.unionByName(texts.join(F.broadcast(short), F.col("text").contains(F.col("canary"))).select("canary_id", "surface"))
+    counts = hits.groupBy("canary_id", "surface").agg(F.count("*").alias("hits"))
     every = own.select("canary_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("surface"))
-    return every.join(hits, ["canary_id", "surface"], "left").select("canary_id", "surface", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return every.join(counts, ["canary_id", "surface"], "left").select("canary_id", "surface", F.coalesce("hits", F.lit(0)).alias("hits"))

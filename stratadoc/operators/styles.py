@@ -8,29 +8,34 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Chains longer than this are reported as cut.
-DEEPEST = 64
+#: Squared relations are followed only while they have at most so many times the rows of the first one.
+GROWTH = 4
 
 
 def style_chain(styles: DataFrame) -> DataFrame:
     """(style_id, ancestor, depth, reason): each style's chain upward, depth 0 itself.
 
-    reason is set on the last row: cycle (the whole chain is void), missing (an ancestor isn't there) or wrong_type.
-    Chains grow by one equal join a round; a frontier without rows ends it.
+    reason is set on the last row: cycle (an ancestor comes again; the whole chain is void), missing (an ancestor isn't
+    there) or wrong_type. Chains double their length each round, so a chain of any depth takes a logarithmic number of
+    rounds; a chain that meets itself stops growing.
     """
-    own = styles.select(F.col("style_id").alias("key"), "based_on", "style_type")
-    step = styles.select("style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"), F.col("based_on").alias("next"), F.col("style_type").alias("type"), F.array("style_id").alias("path"), F.lit(None).cast("string").alias("reason"))
-    rounds, depth = [step], 0
-    while depth < DEEPEST and (frontier := step.where("next is not null and reason is null")).take(1):
-        depth += 1
-        joined = frontier.select("style_id", "path", F.col("next").alias("key"), "type").join(own, "key", "left")
-        reason = F.when(F.array_contains("path", F.col("key")), "cycle").when(F.col("style_type").isNull(), "missing").when(F.col("style_type") != F.col("type"), "wrong_type")
-        step = cut(joined.select("style_id", F.col("key").alias("ancestor"), F.lit(depth).alias("depth"), F.when(reason.isNull(), F.col("based_on")).alias("next"), "type", F.array_append("path", F.col("key")).alias("path"), reason.alias("reason")))
-        rounds.append(step)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out.select("style_id", "ancestor", "depth", "reason")
+    own = styles.select(F.col("style_id").alias("parent"), F.col("style_type").alias("parent_type"), F.lit(True).alias("there"))
+    links = cut(styles.where("based_on is not null").select("style_id", F.col("based_on").alias("parent"), "style_type").join(own, "parent", "left"))
+    ends = F.when(F.col("there").isNull(), "missing").when(F.col("parent_type") != F.col("style_type"), "wrong_type")
+    links = links.select("style_id", "parent", ends.alias("reason"))
+    first = links.where("reason is null").select("style_id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    above, length, open_ = first, 1, first
+    while open_.take(1):
+        further = open_.join(above.select(F.col("style_id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more")), "ancestor").select("style_id", F.col("next").alias("ancestor"), (F.lit(length) + F.col("more")).alias("depth"))
+        above, length = cut(above.unionByName(further)), 2 * length
+        again = above.groupBy("style_id", "ancestor").agg(F.count("*").alias("n")).where("n > 1 or ancestor = style_id").select("style_id").distinct()
+        open_ = above.where(F.col("depth") == length).join(again, "style_id", "left_anti")
+    every = styles.select("style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(above)
+    place = F.row_number().over(W.partitionBy("style_id", "ancestor").orderBy("depth"))
+    met = every.withColumn("_n", place).where("_n = 2").groupBy("style_id").agg(F.min("depth").alias("at"))
+    rows = every.join(met, "style_id", "left").where("at is null or depth <= at").select("style_id", "ancestor", "depth", F.when(F.col("depth") == F.col("at"), "cycle").alias("reason"))
+    last = rows.where("reason is null").join(links.where("reason is not null").select(F.col("style_id").alias("ancestor"), "parent", F.col("reason").alias("end")), "ancestor")
+    return rows.unionByName(last.select("style_id", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.col("end").alias("reason")))
 
 
 def resolve_chain(chain: DataFrame, props: DataFrame) -> DataFrame:
@@ -51,30 +56,82 @@ def cascade(layers: DataFrame) -> DataFrame:
     return layers.groupBy("occurrence_id", "path").agg(flip.alias("value"), F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["rank"].cast("string"), x["value"])), ",").alias("trail"))
 
 
+def squared(jumps: DataFrame, most: int) -> DataFrame | None:
+    """Two jumps (src, dst) at once; none if there are more than `most` such pairs, or no pair."""
+    pairs = cut(jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct())
+    return pairs if 0 < pairs.count() <= most else None
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node) reached from the seeds over edges(src, dst, external), and (node) targets that aren't known.
 
-    Breadth first: each round joins the new nodes alone, so every edge is followed once.
+    Breadth first, to the end: each round joins the new nodes alone. In deep graphs, squared edges are followed too,
+    as long as they are few.
     """
-    inner = edges.where("not external").select("src", "dst")
-    seen = frontier = seeds.select("node").distinct()
-    for _ in range(DEEPEST):
-        fresh = cut(frontier.join(inner, frontier.node == inner.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+    steps = jumps = edges.where("not external").select("src", "dst").distinct()
+    seen = frontier = cut(seeds.select("node").distinct())
+    rounds, most = 0, None
+    while True:
+        fresh = cut(frontier.join(steps, frontier.node == steps.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if not fresh.take(1):
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-    return seen, seen.join(known.select("node"), "node", "left_anti")
+            return seen, seen.join(known.select("node"), "node", "left_anti")
+        seen, frontier, rounds = seen.unionByName(fresh), fresh, rounds + 1
+        if rounds % 4 == 0 and jumps is not None:
+            most = steps.count() * GROWTH if most is None else most
+            jumps = squared(jumps, most)
+            if jumps is not None:
+                seen = frontier = cut(seen)
+                steps = steps.unionByName(jumps)
 
 
-def find_cycles(edges: DataFrame, most: int = DEEPEST) -> DataFrame:
-    """Nodes on a cycle or leading into one: what is left when nodes without outgoing edges are taken away again and again."""
-    left = edges.select("src", "dst").distinct()
-    for _ in range(most):
-        kept = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        if kept.count() == left.count():
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges on paths from cycle to cycle: what begins or ends a path that doesn't go on is taken away again and again.
+
+    Later rounds look 2, 4, 8 ... edges ahead and back at once, while such pairs are few.
+    """
+    left, rounds = cut(edges.select("src", "dst").distinct()), 0
+    n = left.count()
+    most = GROWTH * n
+    while n:
+        rounds, jumps = rounds + 1, left
+        for _ in range(rounds // 2):
+            if (more := squared(jumps, most)) is None:
+                break
+            jumps = more
+        left = cut(left.join(jumps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(jumps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        before, n = n, left.count()
+        if n == before:
             break
-        left = kept
-    return left.select(F.col("src").alias("node")).distinct()
+    return left
+
+
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle of edges(src, dst), an edge from a node to itself included.
+
+    What only leads into cycles or out of them is trimmed. If then each node has one edge, all are on cycles; else each
+    node takes the smallest name that reaches it as its colour, and the nodes of a colour that reach back to that name
+    are one component, whose edges go, until no edge is left.
+    """
+    left, found = trimmed(edges), edges.select(F.col("src").alias("node")).limit(0)
+    while n := left.count():
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        if nodes.count() == n:
+            return found.unionByName(nodes)
+        colour, changed = cut(nodes.withColumn("colour", F.col("node"))), 1
+        while changed:
+            incoming = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            new = cut(colour.join(incoming, "node", "left").select("node", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("changed")))
+            changed, colour = new.where("changed").count(), new.select("node", "colour")
+        of_src, of_dst = (colour.select(F.col("node").alias(x), F.col("colour").alias(f"_{x}")) for x in ("src", "dst"))
+        back = left.join(of_src, "src").join(of_dst, "dst").where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("external"))
+        heads = colour.where("node = colour").select("node")
+        members = cut(reachable(heads, back, heads)[0].join(colour, "node"))
+        several = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        loops = left.where("src = dst").select(F.col("src").alias("node"))
+        found = found.unionByName(members.join(several, "colour", "left_semi").select("node")).unionByName(members.select("node").join(loops, "node", "left_semi"))
+        gone = members.select("node")
+        left = trimmed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found.distinct()
 
 
 def select_roles(actual: DataFrame, school: DataFrame, preset: DataFrame) -> DataFrame:

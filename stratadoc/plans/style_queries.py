@@ -78,7 +78,7 @@ both("rc05_missing_targets", lambda s, d: S.reachable(seeds(s, d), edges(s, d),
 both(
     "rc04_find_cycles",
     lambda s, d: S.find_cycles(styles(s, d).where("based_on is not null").select(F.col("style_id").alias("src"), F.col("based_on").alias("dst"))),
-    STYLES + ", up(style_id, a) AS (SELECT style_id, based_on FROM st WHERE based_on IS NOT NULL UNION SELECT up.style_id, st.based_on FROM up JOIN st ON st.style_id = up.a WHERE st.based_on IS NOT NULL) SELECT DISTINCT style_id AS node FROM up WHERE a IN (10, 11)",
+    STYLES + ", up(style_id, a) AS (SELECT style_id, based_on FROM st WHERE based_on IS NOT NULL UNION SELECT up.style_id, st.based_on FROM up JOIN st ON st.style_id = up.a WHERE st.based_on IS NOT NULL) SELECT DISTINCT style_id AS node FROM up WHERE a = style_id",
 )
 
 
