@@ -23,12 +23,6 @@ def test_alignment(spark):
     assert [(r.m, round(r.s, 2)) for r in pairs.select(score.alias("s"), method.alias("m")).collect()] == [("exact", 1.0), ("normalised", 0.96), ("empty", 0.62), ("contained", 0.86), ("ratio", 0.81), ("none", 0.0)]
 
 
-def test_pages(spark):
-    a = spark.createDataFrame([(1, 1, "intro words here"), (1, 2, "body of the text"), (1, 3, "")], "doc_id long, page long, text string")
-    b = spark.createDataFrame([(1, 1, "a cover"), (1, 2, "intro words here"), (1, 3, "body of the text")], "doc_id long, page long, text string")
-    assert {r.page: r.other_page for r in alignment.align_pages(a, b).collect()} == {1: 2, 2: 3, 3: 3}
-
-
 def test_docx(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>One</w:t></w:r><w:r><w:t>Two</w:t></w:r></w:p><w:p><w:pPr><w:sectPr/></w:pPr></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:sdt><w:sdtPr><w:tag w:val="title"/></w:sdtPr></w:sdt></w:body></w:document>'
@@ -55,16 +49,3 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == want
     runs.run_states(stream()).writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("states").select("run_id", "event_count", "status").collect())) == sorted(map(tuple, runs.T.run_state(events).select("run_id", "event_count", "status").collect()))
-
-
-def test_alignment_queries(spark):
-    from stratadoc.plans import alignment_queries as Q
-
-    gold, _ = Q.versions(spark, SF)
-    rows = Q.QUERIES["ud02_align_paragraphs"](spark, SF).collect()
-    assert len(rows) == gold.count()
-    for doc in {r.doc_id for r in rows}:
-        partners = [r.actual_block for r in sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.block) if r.actual_block is not None]
-        assert partners == sorted(set(partners))
-    assert Q.QUERIES["ud01_similarity"](spark, SF).where("similarity between 0 and 1").count() > 0
-    assert Q.QUERIES["ud04_align_pages"](spark, SF).count() == gold.count()
