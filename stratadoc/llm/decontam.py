@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
+from .words import Layout, WordTable
 
 FEATURES, RANK = 1 << 16, 256
 #: Words of the widest window, and from one of them to the next; shorter passages have narrower windows, half a width apart.
@@ -41,24 +43,31 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31
 HITS = "item_id long, cosine double, common_share double, answer_share double, start_word long, end_word long"
 
 
+def word_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of the parts of words without their punctuation and case, and how many each word has: none without a letter or digit."""
+    out, sizes = [], []
+    for word in words:
+        parts = (word if word.isascii() else UNSPACED.sub(r" \g<0> ", word)).lower().split()
+        own = [xxhash.xxh64_intdigest(clean.encode(), 3) | 1 for x in parts if (clean := x if x.isalnum() else CLEAN.sub("", x))]
+        out += own
+        sizes.append(len(own))
+    return np.array(out, np.uint64), np.array(sizes, np.int64)
+
+
 class Words:
-    """64-bit ids of words without their punctuation and case, memoised; 0 for what has no letter or digit."""
+    """Word ids of texts. A word ends at white space, or at a mark after a letter; characters of unspaced scripts are words."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.table = WordTable(np.dtype(np.uint64), word_ids)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        layout = Layout(texts)
+        ids, sizes = self.table.of(layout)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[layout.per_text()], prepend=0)
 
     def ids(self, text: str) -> np.ndarray:
-        words = (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).lower().split()
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            clean = w.rstrip(".,;:!?")
-            if not clean.isalnum():
-                clean = CLEAN.sub("", w)
-            memo[w] = xxhash.xxh64_intdigest(clean.encode(), 3) | 1 if clean else 0
-        out = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        return out[out != 0]
+        return self.of([text])[0]
 
 
 def features(ids: np.ndarray) -> np.ndarray:
@@ -71,11 +80,12 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros(FEATURES + 1, np.int64)
         for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                own = np.zeros(FEATURES + 1, bool)
-                own[features(words.ids(text or ""))] = True
-                own[FEATURES] = own.any()
-                total += own
+            ids, sizes = words.of([t or "" for t in batch.column(0).to_pylist()])
+            own = np.repeat(np.arange(len(sizes), dtype=np.uint32) << np.uint32(16), sizes) | (ids >> np.uint64(48)).astype(np.uint32)  # a slice has at most 2**16 rows
+            own.sort()
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+            total[:FEATURES] += np.bincount(own & np.uint32(0xFFFF), minlength=FEATURES)
+            total[FEATURES] += int((sizes > 0).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
 
@@ -122,11 +132,14 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> t
 
     parts = passages.select("text").mapInArrow(sketch, "word long, part array<double>")
     sums = parts.select("word", F.posexplode("part").alias("k", "x")).groupBy("word", "k").agg(F.sum("x").alias("x")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("own"))
-    rows = sorted(sums.select("word", "own.x").collect(), key=lambda r: r[0] % (1 << 64))  # bounded by BLOCK_WORDS
-    if not rows:
+    rows = sums.select("word", "own.x").toArrow().combine_chunks()  # bounded by BLOCK_WORDS
+    if not rows.num_rows:
         return np.zeros(0, np.uint64), np.zeros((0, rank))
-    known = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    q, r = np.linalg.qr(np.array([r[1] for r in rows]))
+    known = rows["word"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    image = pa.compute.list_flatten(rows["x"]).to_numpy().reshape(len(known), rank)[order]
+    q, r = np.linalg.qr(image)
     q = q[:, np.abs(np.diag(r)) > 1e-9 * np.abs(np.diag(r)).max()]
     basis = passages.sparkSession.sparkContext.broadcast(q)
 
@@ -226,59 +239,65 @@ class Index:
             scores[places[i], i] = vectors[i][1]
         return scores, np.array([least_cosine(len(ids), width) for _, ids in entries], np.float32), [i for i, _ in entries]
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[float, int, int, int]]:
-        """(cosine, window's first word, its width, item) above the gates; a window's bound by known words comes first."""
+    def candidates(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, float, int, int, int]]:
+        """(text, cosine, window's first word, its width, item) above the gates, of texts one after the other.
+
+        Windows are two neighbouring steps of half a width; texts are a step apart. A window's bound by the
+        greatest score of each of its words comes first.
+        """
         feature = features(ids)
-        row = np.full(len(ids), -1)
         at = np.flatnonzero(self.maybe[feature])
         place = np.minimum(np.searchsorted(self.known, ids[at]), len(self.known) - 1)
-        row[at] = np.where(self.known[place] == ids[at], place, -1)
-        known = np.flatnonzero(row >= 0)
-        if not len(known):
-            return []
+        same = self.known[place] == ids[at]
+        at, row = at[same], place[same]
+        if not len(at):
+            return
         weight = self.weight[feature]
-        square = weight * weight
-        held = np.where(row >= 0, square, 0)
-        out = []
+        square, own = weight * weight, weight[at].astype(np.float32)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         for width, scores, gates, items in self.classes:
             stride = width // 2
-            steps = np.arange(0, len(ids), stride)
-            every, inside = np.add.reduceat(square, steps), np.add.reduceat(held, steps)
-            if len(steps) > 1:
-                every, inside = every[:-1] + every[1:], inside[:-1] + inside[1:]
-            live = inside >= float(gates.min()) ** 2 * every
+            steps = -(-sizes // stride) + 1
+            base = np.cumsum(steps) - steps
+            step = base[text] + place // stride
+            known, n = step[at], int(steps.sum()) + 1
+            every, most = np.bincount(step, square, n), np.bincount(known, own * scores.max(1)[row], n)
+            every, most = every[:-1] + every[1:], most[:-1] + most[1:]
+            live = np.flatnonzero((most >= 0.9999 * float(gates.min()) * np.sqrt(every)) & (np.bincount(known, minlength=n)[:-1] + np.bincount(known, minlength=n)[1:] > 0))
             for low in range(0, len(live), 512):
-                part = np.flatnonzero(live[low : low + 512])
-                if not len(part):
-                    continue
-                own = known[np.searchsorted(known, low * stride) : np.searchsorted(known, (low + 513) * stride)]
-                step = own // stride - low
-                first = np.flatnonzero(np.diff(step, prepend=-1))
-                sums = np.zeros((514, scores.shape[1]), np.float32)
-                sums[step[first]] = np.add.reduceat(weight[own, None].astype(np.float32) * scores[row[own]], first, axis=0)
-                cosines = (sums[part] + sums[part + 1]) / np.sqrt(every[low + part])[:, None]
-                w, i = np.nonzero(cosines >= gates)
-                out += [(float(cosines[a, b]), (low + int(part[a])) * stride, width, items[b]) for a, b in zip(w, i, strict=True)]
-        return out
-
-    def hits(self, ids: np.ndarray) -> list[tuple]:
+                part = live[low : low + 512]
+                first, count = np.searchsorted(known, part), np.searchsorted(known, part + 2) - np.searchsorted(known, part)
+                ends = np.cumsum(count)
+                which = np.arange(ends[-1]) + np.repeat(first - ends + count, count)
+                sums = np.add.reduceat(own[which, None] * scores[row[which]], ends - count, axis=0)
+                w, i = np.nonzero(sums >= gates * np.sqrt(every[part])[:, None])
+                cosine = sums[w, i] / np.sqrt(every[part[w]])
+                doc = np.searchsorted(base, part[w], "right") - 1
+                yield from zip(doc.tolist(), cosine.tolist(), ((part[w] - base[doc]) * stride).tolist(), [width] * len(w), (items[k] for k in i.tolist()), strict=True)
+
+    def hits(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+        """(text, *HITS) of texts one after the other, by text and item."""
         if not len(ids) or not self.items or not len(self.known):
             return []
-        best: dict[int, tuple] = {}
-        for cosine, start, width, i in self.candidates(ids):
+        best: dict[tuple[int, int], tuple] = {}
+        starts = np.cumsum(sizes) - sizes
+        for text, cosine, start, width, i in self.candidates(ids, sizes):
             item_id, own, told = self.items[i]
-            low, high = max(0, start - len(own)), start + width + len(own)
-            part = ids[low:high].tolist()
+            n, base = int(sizes[text]), int(starts[text])
+            low, high = max(0, start - len(own)), min(n, start + width + len(own))
+            part = ids[base + low : base + high].tolist()
             seen = set(part)
             if sum(map(seen.__contains__, own)) < ALIKE * len(own):  # no common subsequence is longer
                 continue
             share = common_length(own, part) / len(own)
             answers = sum(x in seen for x in told) / max(1, len(told))
             if share >= SAME or (share >= ALIKE and answers >= ANSWERS):
-                row = (item_id, min(1.0, round(cosine, 4)), round(share, 4), round(answers, 4), start, min(start + width, len(ids)))
-                if i not in best or (row[2], row[1], -row[4]) > (best[i][2], best[i][1], -best[i][4]):
-                    best[i] = row
-        return [best[i] for i in sorted(best)]
+                row = (item_id, min(1.0, round(cosine, 4)), round(share, 4), round(answers, 4), start, min(start + width, n))
+                old = best.get((text, i))
+                if old is None or (row[2], row[1], -row[4]) > (old[2], old[1], -old[4]):
+                    best[text, i] = row
+        return [(text, *best[text, i]) for text, i in sorted(best)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,10 +326,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str =
         def search(batches: Iterator[pa.RecordBatch], sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
             indexes, words = [Index(*x.value) for x in sent], Words()
             for batch in slices(batches):
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = words.ids(text or "")
-                    rows += [(doc, *hit) for index in indexes for hit in index.hits(ids)]
+                every, sizes = words.of([t or "" for t in batch.column(1).to_pylist()])
+                found_here = sorted((hit for index in indexes for hit in index.hits(every, sizes)), key=lambda x: x[0])
+                own = batch.column(0).to_pylist()
+                rows = [(own[x[0]], *x[1:]) for x in found_here]
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 cols = zip(*rows, strict=True) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", *[x.split()[0] for x in HITS.split(", ")]])
