@@ -37,9 +37,28 @@ def trimmed(c: Column) -> Column:
     return without(without(c, f"^{WS}+"), f"{WS}+$")
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding makes of characters that are lower case already: of one character, and of several."""
+    made = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c or len(c.lower()) == 1}
+    lower = {c.lower(): fold for c, fold in made.items() if fold != c.lower()}
+    return {c: f for c, f in lower.items() if len(f) == 1}, {c: f for c, f in lower.items() if len(f) > 1}
+
+
+FOLD_ONE, FOLD_SEVERAL = _folds()
+
+
+def case_folded(c: Column) -> Column:
+    """Full case folding: lower case, then what Unicode folds further, as the final sigma, the sharp s and ligatures."""
+    c = F.translate(F.lower(c), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    several = c
+    for char, fold in FOLD_SEVERAL.items():
+        several = F.replace(several, F.lit(char), F.lit(fold))
+    return F.when(c.rlike("[" + "".join(FOLD_SEVERAL) + "]"), several).otherwise(c)
+
+
 def norm_text(c: Column) -> Column:
-    """Comparable text: no white space, case folded (the sharp s becomes ss)."""
-    return F.replace(F.lower(without(c, WS)), F.lit("ß"), F.lit("ss"))
+    """Comparable text: no white space, case folded."""
+    return case_folded(without(c, WS))
 
 
 def match_norm(c: Column) -> Column:

@@ -16,19 +16,21 @@ def with_offsets(words: DataFrame, norm) -> DataFrame:
 
 
 def locate_text(words: DataFrame, targets: DataFrame, norm) -> DataFrame:
-    """(page_id, target_id, first_word, last_word, left, right): runs of words whose joined form is a target's.
+    """(page_id, target_id, first_word, last_word, left, right, quality): runs of words whose joined form is a target's.
 
-    A run starts and stops on word borders: where the page's string has the target, both offsets must be words' own.
+    A run starts and stops on word borders; words without comparable characters also open one. Words that begin a target
+    meet it by page; where the target's length ends on a border too, the words between are joined and compared. quality
+    tells whether the words as they stand make the target (exact_text) or their comparable forms do (normalized_text).
     """
     rows = with_offsets(words, norm)
-    page = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "norm"))), lambda x: x["norm"]), "").alias("page"))
-    hits = page.join(targets.withColumn("goal", norm(F.col("target"))).where("goal <> ''"), "page_id").where(F.col("page").contains(F.col("goal")))
-    at = F.filter(F.sequence(F.lit(0), F.length("page") - F.length("goal")), lambda i: F.substr("page", i + 1, F.length("goal")) == F.col("goal"))
-    spans = hits.select("page_id", "target_id", F.explode(at).alias("at"), F.length("goal").alias("n"))
-    starts = rows.where("norm <> ''").select("page_id", F.col("start").alias("at"), F.col("word_no").alias("first_word"))
+    goals = targets.select("page_id", "target_id", "target", norm(F.col("target")).alias("goal")).where("goal <> ''")
+    starts = rows.select("page_id", F.col("start").alias("at"), F.col("word_no").alias("first_word"), F.col("norm").alias("head"))
+    opened = goals.join(starts, "page_id").where(F.col("goal").startswith(F.col("head"))).withColumn("end", F.col("at") + F.length("goal")).drop("at", "head")
     stops = rows.where("norm <> ''").select("page_id", F.col("stop").alias("end"), F.col("word_no").alias("last_word"))
-    both = spans.join(starts, ["page_id", "at"]).withColumn("end", F.col("at") + F.col("n")).join(stops, ["page_id", "end"])
-    return both.join(words.select("page_id", "word_no", "x0", "x1"), "page_id").where("word_no between first_word and last_word").groupBy("page_id", "target_id", "first_word", "last_word").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
+    runs = opened.join(stops, ["page_id", "end"]).where("first_word <= last_word").withColumn("word_no", F.explode(F.sequence("first_word", "last_word")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", c))), lambda x: x[c]), "")
+    said = runs.join(rows.select("page_id", "word_no", "text", "norm", "x0", "x1"), ["page_id", "word_no"]).groupBy("page_id", "target_id", "target", "goal", "first_word", "last_word").agg(joined("norm").alias("said"), joined("text").alias("raw"), F.min("x0").alias("left"), F.max("x1").alias("right"))
+    return said.where("said = goal").select("page_id", "target_id", "first_word", "last_word", "left", "right", F.when(F.col("raw") == F.col("target"), "exact_text").otherwise("normalized_text").alias("quality"))
 
 
 def disambiguate(hits: DataFrame, context: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Values an event may have; fixed values.
 SOURCES = ("app", "sdk", "permission", "tool", "report")
@@ -15,6 +20,12 @@ IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$"
 RUN_ID = r"^run_[a-f0-9]{32}$"
 CODE = r"^[a-z][a-z0-9_]{0,63}$"
 MOST_BYTES = 64 * 1024
+#: Conditions of a comparison with their groups, and the groups that forbid one; fixed values.
+CONDITIONS = {
+    "source_sha256": "input", "template_sha256": "input", "requirements_sha256": "input", "backend": "runtime", "model": "runtime", "sdk_version": "runtime", "app_version": "runtime", "skill_name": "runtime", "knowledge_version": "runtime", "knowledge_digest": "runtime",
+    "tool_version": "runtime", "officecli_version": "runtime", "renderer": "runtime", "renderer_version": "runtime", "route_fingerprint": "runtime", "routing_policy": "runtime", "task_authorization": "runtime", "validation_requirement": "validation", "final_evidence_category": "validation",
+}
+BLOCKING = ("input", "validation")
 RANKS = {"verified": 0, "partial": 1, "broken": 2, "conflict": 3}
 
 
@@ -138,17 +149,37 @@ def tool_edges(tools: DataFrame, events: DataFrame) -> DataFrame:
     return ends.join(used, ["run_id", "tool_use_id"], "left").withColumn("status", F.coalesce("status", F.lit("broken")))
 
 
+def nearest_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """(by, rank_value): the nearest-rank quantile of each group's values that aren't null, exactly, without a group's values in one place.
+
+    Values are counted in bins of one hundredth of their size, in order; only the bin that holds the rank is looked into.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    own = own.withColumn("_bin", F.signum("_v") * F.floor(F.log(1 + F.abs("_v")) * 100))
+    counts = own.groupBy("_by", "_bin").agg(F.count("*").alias("_n"))
+    order = W.partitionBy("_by").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_rank", F.greatest(F.ceil(F.lit(share) * F.sum("_n").over(W.partitionBy("_by"))), F.lit(1)))
+    held = counts.where("_upto - _n < _rank and _rank <= _upto").select("_by", "_bin", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_left"))
+    near = own.join(held, ["_by", "_bin"]).groupBy("_by", "_v", "_left").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy("_by").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    return near.withColumn("_upto", upto).where("_upto >= _left").groupBy("_by").agg(F.min("_v").alias("rank_value")).withColumnRenamed("_by", by)
+
+
 def tool_stats(tools: DataFrame, complete: Column) -> DataFrame:
     """Per tool: calls, outcomes, and total, mean and nearest-rank p95 durations, those only where all are known and the run is complete."""
     known = F.bool_and(complete & F.col("duration_ms").isNotNull())
-    return tools.groupBy("tool_name").agg(
+    own = tools.groupBy("tool_name").agg(
         F.count("*").alias("calls"),
         F.count_if(F.col("status") == "ok").alias("ok"),
+        F.count_if(F.col("status") == "needs_input").alias("needs_input"),
         F.count_if(F.col("status").isin("error", "denied", "conflict")).alias("errors"),
         F.when(known, F.round(F.sum("duration_ms"), 3)).alias("total_ms"),
         F.when(known, F.round(F.avg("duration_ms"), 3)).alias("mean_ms"),
-        F.when(known, F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)")).alias("p95_ms"),
+        known.alias("_known"),
     )
+    p95 = nearest_rank(tools, "tool_name", "duration_ms", 0.95).select(F.col("tool_name").alias("_tool"), "rank_value")
+    rows = own.join(p95, F.col("tool_name").eqNullSafe(F.col("_tool")), "left")
+    return rows.select("tool_name", "calls", "ok", "needs_input", "errors", "total_ms", "mean_ms", F.when(F.col("_known"), F.col("rank_value")).alias("p95_ms"))
 
 
 def run_metrics(events: DataFrame, tools: DataFrame) -> DataFrame:
@@ -184,8 +215,14 @@ def reported_values(events: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 
 def history_revision(runs: DataFrame) -> DataFrame:
-    """One digest per page of runs (here by status) over their ordered rows; it changes if any row does."""
-    return runs.groupBy("status").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("|", "run_id", F.col("event_count").cast("string"))))), 256).alias("revision"))
+    """One digest per page of runs (here by status); it changes if any row does.
+
+    Rows are digested in order in each of 256 buckets by their run, and then the buckets' digests, so no page is gathered whole.
+    """
+    bucket = F.substring(F.md5("run_id"), 1, 2).alias("bucket")
+    lines = F.array_sort(F.collect_list(F.concat_ws("|", "run_id", F.col("event_count").cast("string"))))
+    parts = runs.groupBy("status", bucket).agg(F.sha2(F.concat_ws("\n", lines), 256).alias("digest"))
+    return parts.groupBy("status").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "digest")))), 256).alias("revision"))
 
 
 def run_state(events: DataFrame) -> DataFrame:
@@ -205,6 +242,56 @@ def enforce_quota(events: DataFrame, most: int, most_bytes: int) -> DataFrame:
     return events.withColumn("kept", (F.count("*").over(order) <= most) & (F.sum("size").over(order) <= most_bytes))
 
 
+def evict_by_priority(events: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """Adds `kept`: events arrive in order; where a run is full, the oldest of the lowest class below the newcomer's goes, again and again.
+
+    Where none is left below it, the newcomer goes itself. Classes are P0, P1 and P2, the first the highest; P0 is never
+    evicted. A run's events stream by in order; a task holds those that are kept, so at most `most` of a run.
+    """
+    names = [f.name for f in events.schema.fields]
+    order = ["run_id", "source_sequence", "source_event_id", "kind"]
+    at = {c: names.index(c) for c in ("run_id", "priority", "size")}
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, held, bytes_held, out = None, {"P0": deque(), "P1": deque(), "P2": deque()}, 0, []
+
+        def done() -> None:
+            nonlocal bytes_held
+            for queue in held.values():
+                out.extend((*row, True) for row in queue)
+                queue.clear()
+            bytes_held = 0
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate([*names, "kept"])})
+            out.clear()
+            return made
+
+        for part in frames:
+            for row in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
+                if row[at["run_id"]] != run:
+                    done()
+                    run = row[at["run_id"]]
+                own, size = row[at["priority"]], row[at["size"]]
+                full = lambda s=size: sum(map(len, held.values())) >= most or bytes_held + s > most_bytes
+                while full() and (lower := next((c for c in ("P2", "P1") if c > own and held[c]), None)):
+                    gone = held[lower].popleft()
+                    bytes_held -= gone[at["size"]]
+                    out.append((*gone, False))
+                if full():
+                    out.append((*row, False))
+                else:
+                    held[own].append(row)
+                    bytes_held += size
+            if len(out) > 5000:
+                yield frame()
+        done()
+        yield frame()
+
+    dealt = events.repartition("run_id").sortWithinPartitions(*order)
+    return dealt.mapInPandas(decide, T.StructType([*events.schema.fields, T.StructField("kept", T.BooleanType())]))
+
+
 def retain(runs: DataFrame, now_ms: float, days: int, newest: int) -> DataFrame:
     """Runs that stay: active ones, and completed ones that are young enough and among the newest."""
     top = runs.where("completed_ms is not null").orderBy(F.desc("completed_ms"), F.desc("run_id")).limit(newest).select("run_id")  # a top-k
@@ -223,17 +310,44 @@ def prune_bytes(runs: DataFrame, budget: int, slot_ms: int = 86_400_000) -> Data
     return done.join(earlier, "_slot").withColumn("_before", before).where(F.lit(total) - F.col("_before") > budget).drop("_slot", "_earlier", "_before")
 
 
-def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Metrics of two runs side by side; a delta only where both are known."""
-    l, r = left.select("metric", F.col("value").alias("left_value")), right.select("metric", F.col("value").alias("right_value"))  # noqa: E741
-    return l.join(r, "metric", "full").select("metric", "left_value", "right_value", (F.col("right_value") - F.col("left_value")).alias("delta"))
+def compare_runs(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_run, right_run, metric, left_value, right_value, delta): metrics(run_id, metric, value) of each pair of runs side by side.
+
+    A delta only where both are known; a metric that one run lacks has a null there.
+    """
+    wanted = pairs.select("left_run", "right_run")
+    side = lambda name: wanted.join(metrics.select(F.col("run_id").alias(f"{name}_run"), "metric", F.col("value").alias(f"{name}_value")), f"{name}_run")
+    both = side("left").join(side("right"), ["left_run", "right_run", "metric"], "full")
+    return both.select("left_run", "right_run", "metric", "left_value", "right_value", (F.col("right_value") - F.col("left_value")).alias("delta"))
+
+
+def compare_conditions(attributes: DataFrame, pairs: DataFrame, conditions: dict[str, str] = CONDITIONS, blocking: tuple[str, ...] = BLOCKING) -> DataFrame:
+    """(left_run, right_run, matched, different, unknown, comparability, conclusion, winner) over attributes(run_id, key, value).
+
+    A condition is unknown where a run has no value, a match where both have the same values. A difference in a blocking
+    group is not_comparable; else all matched is strict, and the rest conditional. A conclusion needs comparable runs with
+    every blocking condition known; there is never a winner.
+    """
+    groups = F.create_map(*[F.lit(x) for p in conditions.items() for x in p])
+    own = attributes.where(F.col("key").isin([*conditions]) & F.col("value").isNotNull()).groupBy("run_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    rows = pairs.select("left_run", "right_run", F.explode(F.array(*[F.lit(c) for c in conditions])).alias("key"))
+    for name in ("left", "right"):
+        rows = rows.join(own.select(F.col("run_id").alias(f"{name}_run"), "key", F.col("values").alias(f"{name}_values")), [f"{name}_run", "key"], "left")
+    state = F.when(F.col("left_values").isNull() | F.col("right_values").isNull(), "unknown").when(F.col("left_values") == F.col("right_values"), "match").otherwise("different")
+    rows = rows.withColumn("state", state).withColumn("blocks", groups[F.col("key")].isin(*blocking))
+    listed = lambda name: F.array_join(F.array_sort(F.collect_list(F.when(F.col("state") == name, F.col("key")))), ",")
+    any_of = lambda name: F.bool_or(F.col("blocks") & (F.col("state") == name))
+    out = rows.groupBy("left_run", "right_run").agg(listed("match").alias("matched"), listed("different").alias("different"), listed("unknown").alias("unknown"), F.bool_and(F.col("state") == "match").alias("_all"), any_of("different").alias("_apart"), any_of("unknown").alias("_dark"))
+    level = F.when(F.col("_apart"), "not_comparable").when(F.col("_all"), "strict").otherwise("conditional")
+    return out.select("left_run", "right_run", "matched", "different", "unknown", level.alias("comparability"), F.when(F.col("_apart") | F.col("_dark"), "not_allowed").otherwise("differences_only").alias("conclusion"), F.lit(None).cast("string").alias("winner"))
 
 
 def overhead(samples: DataFrame) -> DataFrame:
     """Whether p95 increments of paired on and off samples fit the budgets: 3 % of the base or 0.25 s, 5 % CPU, 64 MiB."""
     pairs = samples.groupBy("pair").agg(*[F.max(F.when(F.col("mode") == m, F.col(c))).alias(f"{c}_{m}") for m in ("on", "off") for c in ("wall", "cpu", "rss")])
-    p95 = lambda c: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
-    got = pairs.where("wall_on is not null and wall_off is not null").agg(p95("wall_on - wall_off").alias("wall"), p95("wall_off").alias("base"), p95("(cpu_on - cpu_off) / cpu_off").alias("cpu"), p95("rss_on - rss_off").alias("rss"))
+    wanted = {"wall": "wall_on - wall_off", "base": "wall_off", "cpu": "(cpu_on - cpu_off) / cpu_off", "rss": "rss_on - rss_off"}
+    long = pairs.where("wall_on is not null and wall_off is not null").select(F.explode(F.create_map(*[x for k, e in wanted.items() for x in (F.lit(k), F.expr(e).cast("double"))])).alias("metric", "value"))
+    got = nearest_rank(long, "metric", "value", 0.95).agg(*[F.max(F.when(F.col("metric") == k, F.col("rank_value"))).alias(k) for k in wanted])
     return got.select("wall", "cpu", "rss", ((F.col("wall") <= F.greatest(0.03 * F.col("base"), F.lit(0.25))) & (F.col("cpu") <= 0.05) & (F.col("rss") <= 64.0 * 1024 * 1024)).alias("passed"))
 
 

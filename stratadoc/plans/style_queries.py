@@ -147,11 +147,13 @@ WORDS = "WITH e AS (SELECT page_id, regexp_extract_all(html, '(?is)<(h1|p|li)\\b
 
 def targets(s, d):
     w = words(s, d).where("word_no in (7, 8, 9)")
-    return w.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("target")).withColumn("target_id", F.lit(1))
+    between = F.when(F.col("page_id") % 2 == 0, " ").otherwise("")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"])
+    return w.groupBy("page_id").agg(texts.alias("t")).select("page_id", F.array_join(F.transform("t", lambda x: F.concat(x, between)), "").alias("target"), F.lit(1).alias("target_id"))
 
 
-SPANS = WORDS + f", n AS (SELECT *, {norm_sql('text')} AS nm FROM wx), tg AS (SELECT page_id, string_agg(nm, '' ORDER BY word_no) AS goal FROM n WHERE word_no IN (7, 8, 9) GROUP BY page_id), ru AS (SELECT a.page_id, a.word_no AS first_word, b.word_no AS last_word FROM n a JOIN n b ON b.page_id = a.page_id AND b.word_no BETWEEN a.word_no AND a.word_no + 12 WHERE a.nm <> '' AND b.nm <> ''), sp AS (SELECT ru.page_id, first_word, last_word, string_agg(nm, '' ORDER BY word_no) AS joined, min(x0) AS \"left\", max(x1) AS \"right\" FROM ru JOIN n ON n.page_id = ru.page_id AND n.word_no BETWEEN first_word AND last_word GROUP BY ALL)"
-both("jn31_locate_text", lambda s, d: P.locate_text(words(s, d), targets(s, d), T.norm_text), SPANS + " SELECT page_id, 1 AS target_id, first_word, last_word, \"left\", \"right\" FROM sp JOIN tg USING (page_id) WHERE joined = goal AND goal <> ''")
+SPANS = WORDS + f", n AS (SELECT *, {norm_sql('text')} AS nm FROM wx), tg AS (SELECT page_id, string_agg(nm, '' ORDER BY word_no) AS goal, page_id % 2 = 1 AS tight, string_agg(text, '' ORDER BY word_no) AS raw FROM n WHERE word_no IN (7, 8, 9) GROUP BY page_id), ru AS (SELECT a.page_id, a.word_no AS first_word, b.word_no AS last_word FROM n a JOIN n b ON b.page_id = a.page_id AND b.word_no BETWEEN a.word_no AND a.word_no + 12 WHERE b.nm <> ''), sp AS (SELECT ru.page_id, first_word, last_word, string_agg(nm, '' ORDER BY word_no) AS joined, string_agg(text, '' ORDER BY word_no) AS said, min(x0) AS \"left\", max(x1) AS \"right\" FROM ru JOIN n ON n.page_id = ru.page_id AND n.word_no BETWEEN first_word AND last_word GROUP BY ALL)"
+both("jn31_locate_text", lambda s, d: P.locate_text(words(s, d), targets(s, d), T.norm_text), SPANS + " SELECT page_id, 1 AS target_id, first_word, last_word, \"left\", \"right\", CASE WHEN tight AND said = raw THEN 'exact_text' ELSE 'normalized_text' END AS quality FROM sp JOIN tg USING (page_id) WHERE joined = goal AND goal <> ''")
 
 
 def repeated(s, d):

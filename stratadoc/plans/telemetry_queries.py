@@ -112,7 +112,7 @@ both("jn26_tool_edges", lambda s, d: T.tool_edges(tools(s, d), events(s, d)), TO
 both(
     "ag14_tool_stats",
     lambda s, d: T.tool_stats(tools(s, d).where("duration_ms is not null and tool_name <> 'write' or tool_name = 'write'"), F.lit(True)),
-    TOOLS + " SELECT tool_name, count(*) AS calls, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status IN ('error', 'denied', 'conflict')) AS errors, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(sum(duration_ms), 3) END AS total_ms, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(avg(duration_ms), 3) END AS mean_ms, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN quantile_disc(duration_ms, 0.95) END AS p95_ms FROM tl WHERE (duration_ms IS NOT NULL AND tool_name <> 'write') OR tool_name = 'write' GROUP BY tool_name",
+    TOOLS + " SELECT tool_name, count(*) AS calls, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'needs_input') AS needs_input, count(*) FILTER (status IN ('error', 'denied', 'conflict')) AS errors, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(sum(duration_ms), 3) END AS total_ms, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(avg(duration_ms), 3) END AS mean_ms, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN quantile_disc(duration_ms, 0.95) END AS p95_ms FROM tl WHERE (duration_ms IS NOT NULL AND tool_name <> 'write') OR tool_name = 'write' GROUP BY tool_name",
 )
 both(
     "ag15_run_metrics",
@@ -122,8 +122,8 @@ both(
 both("ag16_run_result", lambda s, d: T.run_result(events(s, d), F.when(F.col("source") == "report", F.col("status"))), ", v AS (SELECT run_id, list_sort(list(DISTINCT status) FILTER (source = 'report' AND status IS NOT NULL)) AS v FROM ev GROUP BY run_id) SELECT run_id, CASE WHEN len(v) = 1 THEN v[1] ELSE 'unknown' END AS result, coalesce(len(v), 0) > 1 AS conflict FROM v")
 both(
     "ag17_run_coverage",
-    lambda s, d: T.run_coverage(events(s, d).where("source_sequence % 11 > 5")),
-    f", m AS (SELECT run_id, list_filter(list_sort({array(T.SOURCES)}), lambda x: NOT list_contains(s, x)) AS missing, s FROM (SELECT run_id, list(DISTINCT source) AS s FROM ev WHERE source_sequence % 11 > 5 GROUP BY run_id)) SELECT run_id, array_to_string(missing, ',') AS missing, CASE WHEN s = ['report'] THEN 'unavailable' WHEN len(missing) > 0 THEN 'degraded' ELSE 'complete' END AS coverage FROM m",
+    lambda s, d: T.run_coverage(events(s, d).withColumn("source", F.when(F.col("source_sequence") % 11 > 5, F.col("source")).otherwise("report"))),
+    f", m AS (SELECT run_id, list_filter(list_sort({array(T.SOURCES)}), lambda x: NOT list_contains(s, x)) AS missing, s FROM (SELECT run_id, list(DISTINCT CASE WHEN source_sequence % 11 > 5 THEN source ELSE 'report' END) AS s FROM ev GROUP BY run_id)) SELECT run_id, array_to_string(missing, ',') AS missing, CASE WHEN s = ['report'] THEN 'unavailable' WHEN len(missing) > 0 THEN 'degraded' ELSE 'complete' END AS coverage FROM m",
 )
 both("ag18_worst_status", lambda s, d: T.worst_status(tools(s, d), "run_id", "association"), TOOLS + " SELECT run_id, ['verified', 'partial', 'broken', 'conflict'][max(CASE association WHEN 'verified' THEN 1 WHEN 'partial' THEN 2 WHEN 'broken' THEN 3 ELSE 4 END)] AS worst FROM tl GROUP BY run_id")
 both(
@@ -133,7 +133,7 @@ both(
 )
 STATE = ", st AS (SELECT run_id, min(offset_ms) AS first_ms, max(offset_ms) AS last_ms, arg_max(status, ROW(offset_ms, source_sequence, source_event_id)) FILTER (status IS NOT NULL) AS status, count(*) AS event_count, CAST(sum(size) AS BIGINT) AS event_bytes FROM ev GROUP BY run_id)"
 both("ss04_run_state", lambda s, d: T.run_state(events(s, d)), STATE + " SELECT * FROM st")
-both("ag20_history_revision", lambda s, d: T.history_revision(T.run_state(events(s, d))), STATE + " SELECT status, sha256(string_agg(run_id || '|' || event_count, chr(10) ORDER BY run_id || '|' || event_count)) AS revision FROM st GROUP BY status")
+both("ag20_history_revision", lambda s, d: T.history_revision(T.run_state(events(s, d))), STATE + ", pt AS (SELECT status, substr(md5(run_id), 1, 2) AS b, sha256(string_agg(run_id || '|' || event_count, chr(10) ORDER BY run_id || '|' || event_count)) AS h FROM st GROUP BY ALL) SELECT status, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS revision FROM pt GROUP BY status")
 both(
     "ss05_enforce_quota",
     lambda s, d: T.enforce_quota(events(s, d).dropDuplicates(["run_id", "source_sequence"]), 20, 1800).select("run_id", "source_sequence", "kept"),
@@ -149,20 +149,44 @@ RUNS = STATE + ", rn AS (SELECT *, CASE WHEN event_count % 4 > 0 THEN last_ms EN
 both("ss06_retain", lambda s, d: T.retain(runs(s, d), 2.6e9, 20, 25).select("run_id", "completed_ms"), RUNS + ", k AS (SELECT run_id FROM rn WHERE completed_ms IS NOT NULL ORDER BY completed_ms DESC, run_id DESC LIMIT 25) SELECT run_id, completed_ms FROM rn WHERE completed_ms IS NULL OR (completed_ms >= 2.6e9 - 20 * 86400000 AND run_id IN (SELECT run_id FROM k))")
 both("ss07_prune_bytes", lambda s, d: T.prune_bytes(runs(s, d), 60_000).select("run_id", "event_bytes"), RUNS + ", b AS (SELECT *, (SELECT sum(event_bytes) FROM rn) AS total, coalesce(sum(event_bytes) OVER (ORDER BY completed_ms, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM rn WHERE completed_ms IS NOT NULL) SELECT run_id, event_bytes FROM b WHERE total - gone > 60000")
 both("tk02_list_runs", lambda s, d: T.list_runs(runs(s, d), 10).select("run_id", "completed_ms", "last_ms"), RUNS + " SELECT run_id, completed_ms, last_ms FROM rn ORDER BY coalesce(completed_ms, last_ms) DESC, run_id LIMIT 10")
-both("tk03_replay", lambda s, d: events(s, d).where(F.col("run_id") == F.concat(F.lit("run_"), F.md5(F.lit("1")))).orderBy("source_sequence").select("run_id", "source_sequence", "kind"), " SELECT run_id, source_sequence, kind FROM ev WHERE run_id = 'run_' || md5('1') ORDER BY source_sequence")
+both("tk03_replay", lambda s, d: events(s, d).orderBy("run_id", "source_sequence").select("run_id", "source_sequence", "kind"), " SELECT run_id, source_sequence, kind FROM ev ORDER BY run_id, source_sequence")
+QUERIES["ss05_evict_by_priority"] = lambda s, d: T.evict_by_priority(events(s, d).dropDuplicates(["run_id", "source_sequence"]), 20, 2200).select("run_id", "source_sequence", "priority", "size", "kept")
+
+
+def neighbours(spark, sf):
+    """Each user's run with the next user's."""
+    run = lambda u: F.concat(F.lit("run_"), F.md5(u.cast("string")))
+    return X.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct().select(run(F.col("u")).alias("left_run"), run(F.col("u") + 1).alias("right_run"))
+
+
+NEIGHBOURS = ", nb AS (SELECT DISTINCT 'run_' || md5(CAST(user_id AS VARCHAR)) AS left_run, 'run_' || md5(CAST(user_id + 1 AS VARCHAR)) AS right_run FROM events)"
 
 
 def compared(spark, sf):
     rows = T.run_metrics(events(spark, sf), tools(spark, sf))
     long = rows.select("run_id", F.explode(F.create_map(*[x for c in ("events", "tools", "tool_ms", "elapsed_ms") for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
-    of = lambda n: long.where(F.col("run_id") == F.concat(F.lit("run_"), F.md5(F.lit(n))))
-    return T.compare_runs(of("1"), of("2"))
+    return T.compare_runs(long, neighbours(spark, sf))
 
 
 both(
     "jn29_compare_runs",
     compared,
-    TOOLS + ", m AS (SELECT run_id, count(*) AS tools, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(sum(duration_ms), 3) END AS tool_ms FROM tl GROUP BY run_id), w AS (SELECT e.run_id, count(*)::DOUBLE AS events, max(offset_ms) AS elapsed_ms, any_value(tools)::DOUBLE AS tools, any_value(tool_ms) AS tool_ms FROM ev e LEFT JOIN m USING (run_id) GROUP BY e.run_id), l AS (SELECT run_id, unnest(['events', 'tools', 'tool_ms', 'elapsed_ms']) AS metric, unnest([events, tools, tool_ms, elapsed_ms]) AS value FROM w) SELECT metric, a.value AS left_value, b.value AS right_value, b.value - a.value AS delta FROM (SELECT * FROM l WHERE run_id = 'run_' || md5('1')) a FULL JOIN (SELECT * FROM l WHERE run_id = 'run_' || md5('2')) b USING (metric)",
+    TOOLS + NEIGHBOURS + ", m AS (SELECT run_id, count(*) AS tools, CASE WHEN bool_and(duration_ms IS NOT NULL) THEN round(sum(duration_ms), 3) END AS tool_ms FROM tl GROUP BY run_id), w AS (SELECT e.run_id, count(*)::DOUBLE AS events, max(offset_ms) AS elapsed_ms, any_value(tools)::DOUBLE AS tools, any_value(tool_ms) AS tool_ms FROM ev e LEFT JOIN m USING (run_id) GROUP BY e.run_id), l AS (SELECT run_id, unnest(['events', 'tools', 'tool_ms', 'elapsed_ms']) AS metric, unnest([events, tools, tool_ms, elapsed_ms]) AS value FROM w), a AS (SELECT nb.*, metric, value FROM nb JOIN l ON run_id = left_run), b AS (SELECT nb.*, metric, value FROM nb JOIN l ON run_id = right_run) SELECT left_run, right_run, metric, a.value AS left_value, b.value AS right_value, b.value - a.value AS delta FROM a FULL JOIN b USING (left_run, right_run, metric)",
+)
+
+
+def attributes(spark, sf):
+    u = F.col("user_id")
+    given = {"source_sha256": F.md5((u % 2).cast("string")), "template_sha256": F.when(u % 5 > 0, "t"), "requirements_sha256": F.lit("r"), "backend": F.concat(F.lit("b"), (u % 3).cast("string")), "model": F.col("event_type"), "validation_requirement": F.when(u % 4 > 0, "v").otherwise("w"), "final_evidence_category": F.lit("f")}
+    rows = X.table(spark, sf, "events").select(F.concat(F.lit("run_"), F.md5(u.cast("string"))).alias("run_id"), F.explode(F.create_map(*[x for k, c in given.items() for x in (F.lit(k), c)])).alias("key", "value"))
+    return rows.distinct()
+
+
+both(
+    "jn29_compare_conditions",
+    lambda s, d: T.compare_conditions(attributes(s, d), neighbours(s, d)),
+    NEIGHBOURS
+    + f", atr AS (SELECT DISTINCT 'run_' || md5(CAST(user_id AS VARCHAR)) AS run_id, unnest(['source_sha256', 'template_sha256', 'requirements_sha256', 'backend', 'model', 'validation_requirement', 'final_evidence_category']) AS key, unnest([md5(CAST(user_id % 2 AS VARCHAR)), CASE WHEN user_id % 5 > 0 THEN 't' END, 'r', 'b' || user_id % 3, event_type, CASE WHEN user_id % 4 > 0 THEN 'v' ELSE 'w' END, 'f']) AS value FROM events), vs AS (SELECT run_id, key, list_sort(list(DISTINCT value)) AS v FROM atr WHERE value IS NOT NULL GROUP BY ALL), cd AS (SELECT left_run, right_run, unnest({array(T.CONDITIONS)}) AS key, unnest({array(T.CONDITIONS.values())}) AS grp FROM nb), s AS (SELECT cd.*, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'unknown' WHEN a.v = b.v THEN 'match' ELSE 'different' END AS state FROM cd LEFT JOIN vs a ON a.run_id = left_run AND a.key = cd.key LEFT JOIN vs b ON b.run_id = right_run AND b.key = cd.key) SELECT left_run, right_run, coalesce(string_agg(key, ',' ORDER BY key) FILTER (state = 'match'), '') AS matched, coalesce(string_agg(key, ',' ORDER BY key) FILTER (state = 'different'), '') AS different, coalesce(string_agg(key, ',' ORDER BY key) FILTER (state = 'unknown'), '') AS unknown, CASE WHEN bool_or(state = 'different' AND grp <> 'runtime') THEN 'not_comparable' WHEN bool_and(state = 'match') THEN 'strict' ELSE 'conditional' END AS comparability, CASE WHEN bool_or(state <> 'match' AND grp <> 'runtime') THEN 'not_allowed' ELSE 'differences_only' END AS conclusion, NULL AS winner FROM s GROUP BY ALL",
 )
 
 
