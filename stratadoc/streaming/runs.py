@@ -24,13 +24,16 @@ def deduplicated(stream: DataFrame, time_col: str, delay: str = "30 days") -> Da
 
 
 def write_events(stream: DataFrame, path: str, checkpoint: str, time_col: str):
-    """Accepted, deduplicated events as Parquet by day; each micro-batch is one append, all there is now is read."""
+    """Accepted, deduplicated events as Parquet by batch and day; all there is now is read.
+
+    Each micro-batch owns a folder and overwrites it, so a batch that is played again after a failure is there once.
+    """
     accepted, _ = validated(stream)
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("day", F.to_date(time_col)).write.mode("append").partitionBy("day").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("day", F.to_date(time_col)).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
-    return deduplicated(accepted, time_col).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return deduplicated(accepted, time_col).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_states(stream: DataFrame) -> DataFrame:
