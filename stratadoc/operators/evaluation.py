@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: Fields of a registry, a versioned snapshot that goes into the plan as a literal.
-MOST_FIELDS = 1000
+#: Queries of a search that are sent to every task at once.
+QUERY_BLOCK = 1000
 
 
 def first_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -77,10 +77,35 @@ def compare_hierarchy(actual: DataFrame, gold: DataFrame, relations: DataFrame)
     return rows.select("doc_id", "object_id", how.alias("result"))
 
 
-def compare_provenance(actual: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per document, whether item ids, order and bindings agree on every place."""
-    rows = actual.select("doc_id", "pos", F.col("object_id").alias("a"), F.col("field_id").alias("af")).join(gold.select("doc_id", "pos", F.col("object_id").alias("g"), F.col("field_id").alias("gf")), ["doc_id", "pos"], "full")
-    return rows.groupBy("doc_id").agg(F.bool_and(F.col("a").isNotNull() & F.col("g").isNotNull()).alias("places"), F.bool_and(F.col("a").eqNullSafe(F.col("g"))).alias("ids"), F.bool_and(F.col("af").eqNullSafe(F.col("gf"))).alias("bindings"))
+def compare_provenance(heads: DataFrame, actual: DataFrame, inventory: DataFrame, refs: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, seven checks, mismatches), and a row (doc_id, object_id, present, document, locator) for each gold reference that doesn't hold.
+
+    heads: (doc_id, hashes and registry identities of the three sides). actual and inventory: items (doc_id, pos, item_id,
+    block, inline, object_ids, locators), whose lists must agree place by place. refs: the gold's (doc_id, object_id,
+    document_sha256, locator), nulls unchecked; objects: (doc_id, object_id, locators), all names of each.
+    """
+    side = lambda df, n: df.select("doc_id", "pos", F.struct("item_id").alias(f"{n}_id"), F.struct("block", "inline").alias(f"{n}_order"), F.struct("item_id", "object_ids", "locators", "block", "inline").alias(f"{n}_bound"))
+    both = side(actual, "a").join(side(inventory, "i"), ["doc_id", "pos"], "full")
+    agree = lambda n: F.bool_and(F.col(f"a_{n}").eqNullSafe(F.col(f"i_{n}")))
+    places = both.groupBy("doc_id").agg(agree("id").alias("item_ids"), agree("order").alias("orders"), agree("bound").alias("bindings"))
+    own = objects.select("doc_id", "object_id", "locators", F.lit(True).alias("there"))
+    found = refs.join(own, ["doc_id", "object_id"], "left").join(heads.select("doc_id", "inventory_sha256"), "doc_id", "left")
+    present = F.coalesce("there", F.lit(False))
+    document = present & (F.col("document_sha256").isNull() | F.coalesce(F.col("document_sha256") == F.col("inventory_sha256"), F.lit(False)))
+    locator = present & (F.col("locator").isNull() | F.coalesce(F.array_contains("locators", F.col("locator")), F.lit(False)))
+    bad = found.select("doc_id", "object_id", present.alias("present"), document.alias("document"), locator.alias("located")).where("not (present and document and located)")
+    rows = heads.join(places, "doc_id", "left").join(bad.groupBy("doc_id").agg(F.count("*").alias("mismatches")), "doc_id", "left")
+    same = lambda *c: F.coalesce(F.col(c[0]) == F.col(c[1]), F.lit(False))
+    checks = rows.select(
+        "doc_id",
+        (same("actual_sha256", "inventory_sha256") & same("inventory_sha256", "gold_sha256")).alias("source"),
+        same("actual_registry", "gold_registry").alias("registry_identity"),
+        same("actual_registry_sha256", "gold_registry_sha256").alias("registry_hash"),
+        *[F.coalesce(c, F.lit(True)).alias(c) for c in ("item_ids", "orders", "bindings")],
+        F.col("mismatches").isNull().alias("source_references"),
+        F.coalesce("mismatches", F.lit(0)).alias("mismatches"),
+    )
+    return checks, bad
 
 
 def crosswalk(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -157,25 +182,45 @@ def residue_scan(regions: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "region_id", F.when(F.col("forbidden").isNull(), "UNKNOWN").when(F.col("text").contains(F.col("forbidden")), "FAIL").otherwise("PASS").alias("status"))
 
 
+#: The keys of a registry's field that are kept; fixed values.
+FIELD = "field_id string, label string, meaning string, content_type string, cardinality string, language string, parent_field_id string, notes string, value_sources array<string>, student_extraction_policy string, normalization map<string,string>"
+
+
+def load_registry(rows: DataFrame) -> DataFrame:
+    """Fields of a registry from rows with a JSON text each; unknown keys go, other columns stay."""
+    return rows.withColumn("_field", F.from_json("json", FIELD)).select(*[c for c in rows.columns if c != "json"], "_field.*")
+
+
 def check_registry(registry: DataFrame) -> DataFrame:
-    """(field_id, code): missing ids, duplicates, unknown parents and policies outside the list."""
+    """(field_id, code): missing ids, duplicates, unknown parents, empty sources and policies outside the list."""
     blank = registry.where("field_id is null").select("field_id", F.lit("field_id_missing").alias("code"))
     twice = registry.where("field_id is not null").groupBy("field_id").agg(F.count("*").alias("n")).where("n > 1").select("field_id", F.lit("field_id_duplicate").alias("code"))
-    parents = registry.where("parent_field_id is not null").join(registry.select(F.col("field_id").alias("parent_field_id")), "parent_field_id", "left_anti").select("field_id", F.lit("parent_unknown").alias("code"))
-    policy = registry.where("policy not in ('required', 'optional', 'not_applicable')").select("field_id", F.lit("policy_invalid").alias("code"))
-    return blank.unionByName(twice).unionByName(parents).unionByName(policy)
+    known = registry.where("field_id is not null").select(F.col("field_id").alias("parent_field_id")).distinct()
+    parents = registry.where("parent_field_id is not null").join(known, "parent_field_id", "left_anti").select("field_id", F.lit("parent_unknown").alias("code"))
+    empty = (F.size("value_sources") == 0) | F.exists("value_sources", lambda x: F.coalesce(x, F.lit("")) == "")
+    sources = registry.where(empty).select("field_id", F.lit("value_sources_empty").alias("code"))
+    policy = registry.where("student_extraction_policy not in ('required', 'optional', 'not_applicable')").select("field_id", F.lit("policy_invalid").alias("code"))
+    return blank.unionByName(twice).unionByName(parents).unionByName(sources).unionByName(policy)
 
 
 def search_registry(queries: DataFrame, registry: DataFrame, norm, k: int = 5) -> DataFrame:
-    """The k best fields for each query: exact 1000, contained 800, in the meaning 500, else per term; ties by registry order."""
-    known = registry.select("seq", "field_id", "label", "meaning").orderBy("seq").limit(MOST_FIELDS + 1).collect()
-    if len(known) > MOST_FIELDS:
-        raise ValueError(f"a registry of over {MOST_FIELDS} fields is no dimension table")
-    fields = F.array(*[F.struct(F.lit(r[0]).alias("seq"), F.lit(r[1]).alias("field_id"), F.lit(r[2]).alias("label"), F.lit(r[3]).alias("meaning")) for r in known])
-    rows = queries.withColumn("_q", norm(F.col("query"))).select("*", F.inline(fields))
-    rows = rows.withColumn("_f", norm(F.col("field_id"))).withColumn("_l", norm(F.col("label"))).withColumn("_m", norm(F.col("meaning")))
+    """The k best fields for each query: exact 1000, contained 800, in the meaning 500, else per term; ties by registry order.
+
+    Queries are the stated side: blocks of QUERY_BLOCK of them meet the fields where they lie. A query's fields are
+    ranked in buckets first, so a frequent term is no single task.
+    """
+    fields = registry.select("seq", "field_id", norm(F.col("field_id")).alias("_f"), norm(F.col("label")).alias("_l"), norm(F.col("meaning")).alias("_m"))
+    asked = queries.withColumn("_q", norm(F.col("query"))).select("query_id", "terms", "_q")
+    blocks, found = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    inside = lambda x: F.coalesce(F.col("_f").contains(x) | F.col("_l").contains(x) | F.col("_m").contains(x), F.lit(False))
     term = lambda t: F.when(F.col("_f").contains(t), 110).when(F.col("_l").contains(t), 90).when(F.col("_m").contains(t), 40).otherwise(0)
     terms = F.aggregate("terms", F.lit(0), lambda a, t: a + term(t))
     score = F.when((F.col("_q") == F.col("_f")) | (F.col("_q") == F.col("_l")), 1000).when(F.col("_f").contains(F.col("_q")) | F.col("_l").contains(F.col("_q")), 800).when(F.col("_m").contains(F.col("_q")), 500).otherwise(terms)
-    ranked = rows.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "seq")))
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = fields.join(F.broadcast(own), inside(F.col("_q")) | F.exists("terms", inside)).select("query_id", "seq", "field_id", score.cast("long").alias("score"))
+        found = rows if found is None else found.unionByName(rows)
+    best = [F.desc("score"), F.col("seq")]
+    near = found.where("score > 0").withColumn("_r", F.row_number().over(W.partitionBy("query_id", F.pmod(F.xxhash64("seq"), F.lit(64))).orderBy(*best))).where(F.col("_r") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best)))
     return ranked.where(F.col("rank") <= k).select("query_id", "field_id", "score", F.col("rank").cast("long").alias("rank"))

@@ -83,11 +83,27 @@ both(
     + ", i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS n FROM items), bc AS (SELECT c.doc_id, c.object_id, arg_min(t.object_id, abs(t.block - c.block) * 1000000 + (CASE WHEN t.n < c.n THEN 0 ELSE 1 END) * 100000 + abs(t.n - c.n)) AS target FROM i c JOIN i t ON t.doc_id = c.doc_id AND c.field_id = t.field_id || '.caption' AND abs(t.block - c.block) <= 2 GROUP BY ALL)"
     " SELECT p2.doc_id, CASE WHEN p2.parent_id IS NULL AND p1.parent_id IS NULL THEN 'root' WHEN p2.parent_id = p1.parent_id THEN 'direct' WHEN bc.target = p2.parent_id THEN 'relation' ELSE 'mismatch' END AS result, count(*) AS n FROM p2 JOIN p1 ON p1.doc_id = p2.doc_id AND p1.object_id = p2.object_id LEFT JOIN bc ON bc.doc_id = p2.doc_id AND bc.object_id = p2.object_id GROUP BY ALL",
 )
+def provenance(s, d):
+    """Items of both sides, some missing, moved or bound otherwise; heads of documents of which some differ; references to each item's object."""
+    i, doc, block = X.items(s, d).where("status = 'classified'"), F.col("doc_id"), F.col("block")
+    key = doc + block
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    heads = X.table(s, d, "documents").select("doc_id", sha(doc).alias("inventory_sha256"), sha(F.when(doc % 5 == 0, -1).otherwise(doc)).alias("actual_sha256"), sha(doc).alias("gold_sha256"), F.lit("fields@1").alias("actual_registry"), F.when(doc % 7 > 0, "fields@1").otherwise("fields@2").alias("gold_registry"), F.lit("h").alias("actual_registry_sha256"), F.when(doc % 11 > 0, "h").alias("gold_registry_sha256"))
+    item = lambda df, spot: df.select("doc_id", block.alias("pos"), F.col("object_id").alias("item_id"), spot.alias("block"), "inline", F.array("object_id").alias("object_ids"), F.array(F.concat(F.lit("/p["), spot.cast("string"), F.lit("]"))).alias("locators"))
+    locators = F.array(*[F.concat(F.lit(x), block.cast("string"), F.lit("]")) for x in ("/p[", "/body/p[")])
+    objects = i.where(block % 13 > 0).select("doc_id", "object_id", locators.alias("locators"))
+    refs = i.where(doc % 3 > 0).select("doc_id", "object_id", F.when(block % 2 == 0, sha(F.when(key % 31 == 0, 0).otherwise(doc))).alias("document_sha256"), F.when(block % 3 == 0, F.concat(F.lit("/body/p["), F.when(key % 37 == 0, -1).otherwise(block).cast("string"), F.lit("]"))).alias("locator"))
+    return heads, item(i.where(key % 101 > 0), F.when(key % 103 == 0, block + 1).otherwise(block)), item(i, block), refs, objects
+
+
+PROVENANCE = """, it AS (SELECT doc_id, block, doc_id + block AS key FROM items WHERE status = 'classified'), pl AS (SELECT doc_id, bool_and(key % 101 > 0) AS item_ids, bool_and(key % 101 > 0 AND key % 103 > 0) AS orders FROM it GROUP BY doc_id),
+bad AS (SELECT doc_id, sha256(doc_id || '-' || block) AS object_id, block % 13 > 0 AS present, block % 13 > 0 AND (block % 2 = 1 OR key % 31 > 0 OR doc_id = 0) AS document, block % 13 > 0 AND (block % 3 > 0 OR key % 37 > 0) AS located FROM it WHERE doc_id % 3 > 0), bd AS (SELECT * FROM bad WHERE NOT (present AND document AND located))"""
 both(
     "jn03_compare_provenance",
-    lambda s, d: E.compare_provenance(X.items(s, d).where("block <= 12").withColumnRenamed("block", "pos"), X.gold(s, d).where("pos <= 12")),
-    " SELECT doc_id, bool_and(i.object_id IS NOT NULL AND g.object_id IS NOT NULL) AS places, bool_and(i.object_id IS NOT DISTINCT FROM g.object_id) AS ids, bool_and(i.field_id IS NOT DISTINCT FROM g.field_id) AS bindings FROM (SELECT *, block AS pos FROM items WHERE block <= 12) i FULL JOIN (SELECT * FROM gold WHERE pos <= 12) g USING (doc_id, pos) GROUP BY doc_id",
+    lambda s, d: E.compare_provenance(*provenance(s, d))[0],
+    PROVENANCE + " SELECT d.doc_id, d.doc_id % 5 > 0 AS source, d.doc_id % 7 > 0 AS registry_identity, d.doc_id % 11 > 0 AS registry_hash, coalesce(item_ids, true) AS item_ids, coalesce(orders, true) AS orders, coalesce(orders, true) AS bindings, coalesce(m, 0) = 0 AS source_references, coalesce(m, 0) AS mismatches FROM documents d LEFT JOIN pl USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM bd GROUP BY doc_id) USING (doc_id)",
 )
+both("jn03_reference_mismatches", lambda s, d: E.compare_provenance(*provenance(s, d))[1], PROVENANCE + " SELECT * FROM bd")
 
 
 def walked(s, d):
@@ -96,6 +112,8 @@ def walked(s, d):
     return E.crosswalk(refs, objects).groupBy("doc_id", "how").agg(F.count("*").alias("n"), F.count("resolved").alias("resolved"))
 
 
+
+
 both(
     "jn02_crosswalk",
     walked,
@@ -122,25 +140,31 @@ both(
     lambda s, d: E.guard_binding(X.items(s, d).select("doc_id", "block", F.sha2(F.col("doc_id").cast("string"), 256).alias("snapshot")), X.table(s, d, "documents").where("doc_id % 6 > 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("doc_id").cast("string")), 256).alias("snapshot")), "doc_id", "snapshot").groupBy("code").agg(F.count("*").alias("n")),
     " SELECT CASE WHEN doc_id % 6 = 0 THEN 'absent' WHEN doc_id % 5 = 0 THEN 'stale' ELSE 'current' END AS code, count(*) AS n FROM items GROUP BY ALL",
 )
-FIELDS = [("title", None, "Title", "name of the thesis 题目", "required"), ("author", None, "Author", "student who wrote it", "required"), ("author.student_id", "author", "Student id", "number of the author", "optional"), ("advisor", None, "Advisor", "supervising teacher", "optional"), ("advisor.title", "advisor", "Advisor title", "rank of the advisor", "optional"), ("body.figure", "body", "Figure", "a picture in the body", "optional"), ("body.paragraph", None, "Paragraph", "text of the body", "required"), ("title", None, "Title again", "a duplicate", "maybe"), (None, None, "Nameless", "no id", "optional")]
-
-
 def registry(s, d):
-    """A row of the table per field and region, so that the registry comes from given rows."""
-    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), *[F.lit(v).cast("string").alias(k) for k, v in zip(("field_id", "parent_field_id", "label", "meaning", "policy"), f, strict=True)]) for i, f in enumerate(FIELDS)])
-    return X.table(s, d, "region").where("r_regionkey = 0").select(F.inline(rows))
-
-
-REGISTRY = ", reg(seq, field_id, parent_field_id, label, meaning, policy) AS (VALUES " + ", ".join("(" + str(i) + ", " + ", ".join("NULL" if v is None else f"'{v}'" for v in f) + ")" for i, f in enumerate(FIELDS)) + ")"
+    """A registry with a field for each part: some lack their id, repeat one, or name no parent, no sources or an odd policy."""
+    p = F.col("p_partkey")
+    field = F.struct(
+        F.when(p % 41 > 0, F.concat(F.lit("f."), F.when(p % 50 == 7, 1).otherwise(p).cast("string"))).alias("field_id"),
+        F.when(p % 7 == 0, F.concat(F.lit("f."), F.floor(p / 7).cast("string"))).when(p % 90 == 3, "f.none").alias("parent_field_id"),
+        F.col("p_name").alias("label"),
+        F.concat("p_type", F.lit(" "), "p_brand").alias("meaning"),
+        F.when(p % 37 == 0, F.array().cast("array<string>")).when(p % 43 == 0, F.array(F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("a"))).alias("value_sources"),
+        F.when(p % 61 == 0, "maybe").when(p % 2 == 0, "required").otherwise("optional").alias("student_extraction_policy"),
+        F.lit("blue").alias("colour"),
+    )
+    return E.load_registry(X.table(s, d, "part").select(p.cast("long").alias("seq"), F.to_json(field).alias("json")))
+
+
+REGISTRY = ", reg AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 41 > 0 THEN 'f.' || CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE p_partkey END END AS field_id, CASE WHEN p_partkey % 7 = 0 THEN 'f.' || p_partkey // 7 WHEN p_partkey % 90 = 3 THEN 'f.none' END AS parent_field_id, p_name AS label, p_type || ' ' || p_brand AS meaning, p_partkey % 37 = 0 OR p_partkey % 43 = 0 AS bare, p_partkey % 61 = 0 AS maybe FROM part)"
 both(
     "src03_check_registry",
     lambda s, d: E.check_registry(registry(s, d)),
-    REGISTRY + " SELECT field_id, 'field_id_missing' AS code FROM reg WHERE field_id IS NULL UNION ALL SELECT field_id, 'field_id_duplicate' FROM reg WHERE field_id IS NOT NULL GROUP BY field_id HAVING count(*) > 1 UNION ALL SELECT field_id, 'parent_unknown' FROM reg WHERE parent_field_id IS NOT NULL AND parent_field_id NOT IN (SELECT field_id FROM reg WHERE field_id IS NOT NULL) UNION ALL SELECT field_id, 'policy_invalid' FROM reg WHERE policy NOT IN ('required', 'optional', 'not_applicable')",
+    REGISTRY + " SELECT field_id, 'field_id_missing' AS code FROM reg WHERE field_id IS NULL UNION ALL SELECT field_id, 'field_id_duplicate' FROM reg WHERE field_id IS NOT NULL GROUP BY field_id HAVING count(*) > 1 UNION ALL SELECT field_id, 'parent_unknown' FROM reg WHERE parent_field_id IS NOT NULL AND parent_field_id NOT IN (SELECT field_id FROM reg WHERE field_id IS NOT NULL) UNION ALL SELECT field_id, 'value_sources_empty' FROM reg WHERE bare UNION ALL SELECT field_id, 'policy_invalid' FROM reg WHERE maybe",
 )
 both(
     "jn34_integrity",
-    lambda s, d: E.integrity(C.bind_hierarchy(X.items(s, d)), registry(s, d).where("field_id is not null").select("field_id").distinct(), X.items(s, d).where("block % 8 > 0")).groupBy("doc_id", "code").agg(F.count("*").alias("n")),
-    REGISTRY + HIERARCHY + " SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, 'field_unregistered' AS code FROM items WHERE field_id NOT IN (SELECT field_id FROM reg WHERE field_id IS NOT NULL) UNION ALL SELECT doc_id, 'source_stale' FROM items WHERE block % 8 = 0 UNION ALL SELECT p.doc_id, 'parent_stale' FROM p JOIN items q ON q.doc_id = p.doc_id AND q.object_id = p.parent_id WHERE q.block % 8 = 0) GROUP BY ALL",
+    lambda s, d: E.integrity(C.bind_hierarchy(X.items(s, d)), X.items(s, d).where("physical_type = 'text' and field_id is not null").select("field_id").distinct(), X.items(s, d).where("block % 8 > 0")).groupBy("doc_id", "code").agg(F.count("*").alias("n")),
+    HIERARCHY + ", known AS (SELECT DISTINCT field_id FROM items WHERE physical_type = 'text' AND field_id IS NOT NULL) SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, 'field_unregistered' AS code FROM items WHERE field_id NOT IN (SELECT field_id FROM known) UNION ALL SELECT doc_id, 'source_stale' FROM items WHERE block % 8 = 0 UNION ALL SELECT p.doc_id, 'parent_stale' FROM p JOIN items q ON q.doc_id = p.doc_id AND q.object_id = p.parent_id WHERE q.block % 8 = 0) GROUP BY ALL",
 )
 
 
@@ -191,14 +215,14 @@ both(
 
 
 def asked(s, d):
-    return X.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in ("Title", "author student", "advisor", "rank of", "题目", "nothing here")]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("query")).withColumn("terms", F.split("query", " "))
+    return X.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in ("Cold Widget", "widget", "promo", "small promo", "brand#1", "nothing here")]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("query")).withColumn("terms", F.split("query", " "))
 
 
 TERM = "CASE WHEN contains(lower(field_id), lower(t)) THEN 110 WHEN contains(replace(lower(label), ' ', ''), lower(t)) THEN 90 WHEN contains(replace(lower(meaning), ' ', ''), lower(t)) THEN 40 ELSE 0 END"
 both(
     "tk01_search_registry",
     lambda s, d: E.search_registry(asked(s, d).withColumn("terms", F.transform("terms", F.lower)), registry(s, d).where("field_id is not null"), T.norm_text, 3),
-    REGISTRY + f""", qs AS (SELECT n_nationkey AS query_id, ['Title', 'author student', 'advisor', 'rank of', '题目', 'nothing here'][n_nationkey % 6 + 1] AS q FROM nation), nq AS (SELECT *, replace(lower(q), ' ', '') AS x, replace(lower(label), ' ', '') AS l, replace(lower(meaning), ' ', '') AS m FROM qs, reg WHERE field_id IS NOT NULL),
+    REGISTRY + f""", qs AS (SELECT n_nationkey AS query_id, ['Cold Widget', 'widget', 'promo', 'small promo', 'brand#1', 'nothing here'][n_nationkey % 6 + 1] AS q FROM nation), nq AS (SELECT *, replace(lower(q), ' ', '') AS x, replace(lower(label), ' ', '') AS l, replace(lower(meaning), ' ', '') AS m FROM qs, reg WHERE field_id IS NOT NULL),
     sc AS (SELECT *, CASE WHEN x = field_id OR x = l THEN 1000 WHEN contains(field_id, x) OR contains(l, x) THEN 800 WHEN contains(m, x) THEN 500 ELSE CAST((SELECT sum({TERM}) FROM (SELECT unnest(string_split(q, ' ')) AS t)) AS BIGINT) END AS score FROM nq)
     SELECT query_id, field_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""",
 )
