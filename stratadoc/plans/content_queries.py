@@ -108,13 +108,13 @@ both(
 
 def words_of_blocks(spark, sf):
     rows = X.blocks(spark, sf).select("doc_id", "block", F.col("text").alias("block_text"), F.posexplode(F.split("text", " ")).alias("k", "value"))
-    return rows.select("doc_id", "block", "block_text", "value", (F.col("k") == 2).alias("structural"), F.lit(None).cast("string").alias("field_id"), F.col("k").cast("string").alias("object_id"))
+    return rows.select("doc_id", "block", "block_text", "value", (F.col("k") == 2).alias("structural"), F.lit(None).cast("string").alias("field_id"), F.lpad(F.col("k").cast("string"), 6, "0").alias("object_id"))
 
 
 both(
     "wn01_source_order",
     lambda s, d: C.assign_order(words_of_blocks(s, d)).select("doc_id", "block", "object_id", "inline"),
-    f"WITH {X.BLOCKS}, w AS (SELECT doc_id, block, text, unnest(string_split(text, ' ')) AS value, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS k FROM blocks) SELECT doc_id, block, CAST(k AS VARCHAR) AS object_id, row_number() OVER (PARTITION BY doc_id, block ORDER BY CASE WHEN k = 2 THEN 0 ELSE 1 END, instr(text, value), k) - 1 AS \"inline\" FROM w",
+    f"WITH {X.BLOCKS}, w AS (SELECT doc_id, block, text, unnest(string_split(text, ' ')) AS value, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS k FROM blocks) SELECT doc_id, block, lpad(CAST(k AS VARCHAR), 6, '0') AS object_id, row_number() OVER (PARTITION BY doc_id, block ORDER BY CASE WHEN k = 2 THEN 0 ELSE 1 END, instr(text, value), k) - 1 AS \"inline\" FROM w",
 )
 both(
     "wn04_unique_ids",
