@@ -189,6 +189,50 @@ def run_metrics(events: DataFrame, tools: DataFrame) -> DataFrame:
     return own.join(used, "run_id", "left")
 
 
+#: Sums of what a run's results report; fixed values.
+REPORTED = {"agent_turns": "num_turns", "input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_creation_input_tokens": "cache_creation_input_tokens", "cache_read_input_tokens": "cache_read_input_tokens", "total_cost_usd": "total_cost_usd"}
+
+
+def run_measures(events: DataFrame, tools: DataFrame, subagents: DataFrame, coverage: DataFrame, render: str = "render", review: str = "visual_review", question: str = "ask_user") -> DataFrame:
+    """(run_id, measure, value, source): 18 measures of each run; source is reported, estimated or unknown, whose value is null, never 0.
+
+    events: (run_id, kind, tool_name, status, duration_ms, attributes map of texts, pages array of (render, page));
+    tools: (run_id, tool_name, status); subagents: (run_id); coverage: (run_id, coverage). Reported ones are sums over
+    results, or a value that all reports agree on. Derived ones need a complete run, and every part of a sum known.
+    """
+    number = lambda c: F.col("attributes")[c].try_cast("double")
+    is_kind = lambda k: F.col("kind") == k
+    of = lambda cond, value: F.when(cond, value)
+    post = is_kind("tool_post")
+    rendered, reviewed = post & (F.col("tool_name") == render), post & (F.col("tool_name") == review)
+    hit = F.col("attributes")["cache_hit"].try_cast("boolean")
+    agreed = lambda cond, value: F.when(F.count_distinct(of(cond, value)) == 1, F.min(of(cond, value)))
+    every = lambda cond, known, value: F.when(F.count_if(cond & known.isNotNull()) == F.count_if(cond), F.coalesce(F.sum(of(cond, value)), F.lit(0.0)))
+    own = events.groupBy("run_id").agg(
+        agreed(is_kind("run_finished"), F.round("duration_ms", 9)).alias("total_duration_ms"),
+        agreed(is_kind("conversion_report"), number("warning_count")).alias("warnings"),
+        *[F.sum(of(is_kind("sdk_result"), number(c))).alias(name) for name, c in REPORTED.items()],
+        every(rendered, hit, hit.cast("double")).alias("cache_hits"),
+        every(rendered, hit, (~hit).cast("double")).alias("render_executions"),
+        every(reviewed, number("image_count"), number("image_count")).alias("image_count"),
+        every(reviewed, number("image_bytes"), number("image_bytes")).alias("image_bytes"),
+        F.count_if(is_kind("permission_decision") & (F.col("status") == "deny")).alias("permission_denials"),
+        F.greatest(F.count_if(is_kind("backend_started")) - 1, F.lit(0)).alias("retries"),
+        F.bool_or(F.exists("pages", lambda x: x["render"].isNull())).alias("_loose"),
+    )
+    pages = events.select("run_id", F.inline("pages")).where("render is not null").groupBy("run_id").agg(F.count_distinct("render", "page").alias("_pages"))
+    used = tools.groupBy("run_id").agg(F.count("*").alias("tool_calls"), F.count_if(F.col("tool_name") == question).alias("user_questions"), F.count_if(F.col("status").isin("error", "denied", "conflict")).alias("errors"))
+    rows = own.join(pages, "run_id", "left").join(used, "run_id", "left").join(subagents.groupBy("run_id").agg(F.count("*").alias("subagents")), "run_id", "left").join(coverage.select("run_id", (F.col("coverage") == "complete").alias("_whole")), "run_id", "left")
+    rows = rows.withColumn("pages_viewed", F.coalesce("_pages", F.when(~F.coalesce("_loose", F.lit(False)), F.lit(0))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = rows.select("*", *[zero(c).alias(f"_{c}") for c in ("tool_calls", "user_questions", "errors", "subagents")])
+    reported = {c: F.col(c) for c in ("total_duration_ms", "warnings", *REPORTED)}
+    derived = {c: F.col(c) for c in ("cache_hits", "render_executions", "pages_viewed", "image_count", "image_bytes", "permission_denials", "retries")} | {c: F.col(f"_{c}") for c in ("tool_calls", "user_questions", "errors", "subagents")}
+    row = lambda name, value, source: F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"), F.when(value.isNull(), "unknown").otherwise(source).alias("source"))
+    listed = [row(n, v, "reported") for n, v in reported.items()] + [row(n, F.when(F.coalesce("_whole", F.lit(False)), v), "estimated") for n, v in derived.items()]
+    return rows.select("run_id", F.inline(F.array(*listed)))
+
+
 def run_result(events: DataFrame, status: Column) -> DataFrame:
     """The single value that a run's events agree on, else unknown with a conflict flag."""
     values = F.array_sort(F.collect_set(status))

@@ -221,3 +221,31 @@ both(
     ", l AS (SELECT run_id, source || ':' || kind AS label, min(source_sequence) AS seq FROM ev GROUP BY ALL) SELECT run_id, list(label ORDER BY seq, label) AS labels FROM l GROUP BY run_id",
 )
 both("wn10_latest_report", lambda s, d: T.latest(events(s, d).where("source = 'report'"), "run_id", F.desc("offset_ms"), F.desc("source_sequence")).select("run_id", "source_sequence", "kind"), " SELECT run_id, source_sequence, kind FROM ev WHERE source = 'report' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY offset_ms DESC, source_sequence DESC) = 1")
+
+
+def measured(spark, sf):
+    """Events as parts of runs: results, reports, tool calls with their attributes and pages, each with some part unknown."""
+    raw = X.table(spark, sf, "events")
+    e, u = F.col("event_id"), F.col("user_id")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    given = {"num_turns": F.when(e % 7 > 0, e % 5), "input_tokens": e % 100, "output_tokens": F.when(u % 3 > 0, e % 10), "total_cost_usd": (e % 4) * 0.25, "warning_count": u % 4 + F.when((u % 5 == 0) & (e % 2 == 0), 1).otherwise(0), "cache_hit": F.when(u % 6 > 0, e % 2 == 0), "image_count": e % 3, "image_bytes": F.when(u % 7 > 0, e % 1000)}
+    page = F.struct(F.when(u % 9 > 0, F.concat(F.lit("r"), (e % 3).cast("string"))).alias("render"), (e % 4).cast("string").alias("page"))
+    events = raw.select(u.cast("string").alias("run_id"), pick(("run_finished", "sdk_result", "conversion_report", "tool_post", "tool_post", "permission_decision", "backend_started", "other"), e % 8).alias("kind"), pick(("render", "visual_review", "read"), e % 3).alias("tool_name"), F.when(e % 2 == 1, "deny").otherwise("ok").alias("status"), (u % 11 + F.when(u % 4 == 0, e % 2).otherwise(0)).cast("double").alias("duration_ms"), F.create_map(*[x for k, c in given.items() for x in (F.lit(k), c.cast("string"))]).alias("attributes"), F.when((u % 2 == 0) & (e % 6 == 0), F.array(page)).otherwise(F.array().cast("array<struct<render:string,page:string>>")).alias("pages"))
+    tools = raw.where(e % 3 > 0).select(u.cast("string").alias("run_id"), pick(("ask_user", "read"), e % 2).alias("tool_name"), pick(("ok", "error", "denied"), e % 3).alias("status"))
+    return events, tools, raw.where(e % 13 == 0).select(u.cast("string").alias("run_id")), raw.select(u.cast("string").alias("run_id"), F.when(u % 8 > 0, "complete").otherwise("degraded").alias("coverage")).distinct()
+
+
+QUERIES["ag15_run_measures"] = lambda s, d: T.run_measures(*measured(s, d))
+ORACLES["ag15_run_measures"] = """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS run_id, user_id AS u, event_id AS e, event_id % 8 AS k, event_id % 3 AS t FROM events),
+m AS (SELECT run_id, u,
+CASE WHEN count(DISTINCT CASE WHEN k = 0 THEN u % 11 + CASE WHEN u % 4 = 0 THEN e % 2 ELSE 0 END END) = 1 THEN min(CASE WHEN k = 0 THEN u % 11 + CASE WHEN u % 4 = 0 THEN e % 2 ELSE 0 END END) END AS total_duration_ms,
+CASE WHEN count(DISTINCT CASE WHEN k = 2 THEN u % 4 + CASE WHEN u % 5 = 0 AND e % 2 = 0 THEN 1 ELSE 0 END END) = 1 THEN min(CASE WHEN k = 2 THEN u % 4 + CASE WHEN u % 5 = 0 AND e % 2 = 0 THEN 1 ELSE 0 END END) END AS warnings,
+sum(CASE WHEN k = 1 AND e % 7 > 0 THEN e % 5 END) AS agent_turns, sum(CASE WHEN k = 1 THEN e % 100 END) AS input_tokens, sum(CASE WHEN k = 1 AND u % 3 > 0 THEN e % 10 END) AS output_tokens, NULL AS cache_creation_input_tokens, NULL AS cache_read_input_tokens, sum(CASE WHEN k = 1 THEN (e % 4) * 0.25 END) AS total_cost_usd,
+count(*) FILTER (k IN (3, 4) AND t = 0) AS nr, count(*) FILTER (k IN (3, 4) AND t = 0 AND e % 2 = 0) AS hits, count(*) FILTER (k IN (3, 4) AND t = 1) AS nv, coalesce(sum(CASE WHEN k IN (3, 4) AND t = 1 THEN e % 3 END), 0) AS ic, coalesce(sum(CASE WHEN k IN (3, 4) AND t = 1 THEN e % 1000 END), 0) AS ib,
+count(*) FILTER (k = 5 AND e % 2 = 1) AS permission_denials, greatest(count(*) FILTER (k = 6) - 1, 0) AS retries, count(*) FILTER (u % 2 = 0 AND e % 6 = 0) AS np, count(DISTINCT CASE WHEN u % 2 = 0 AND e % 6 = 0 AND u % 9 > 0 THEN (e % 3) || '-' || (e % 4) END) AS pg,
+count(*) FILTER (e % 3 > 0) AS tool_calls, count(*) FILTER (e % 3 > 0 AND e % 2 = 0) AS user_questions, count(*) FILTER (e % 3 > 0) AS errors, count(*) FILTER (e % 13 = 0) AS subagents FROM x GROUP BY ALL),
+d AS (SELECT *, CASE WHEN u % 6 > 0 OR nr = 0 THEN hits END AS cache_hits, CASE WHEN u % 6 > 0 OR nr = 0 THEN nr - hits END AS render_executions, ic AS image_count, CASE WHEN u % 7 > 0 OR nv = 0 THEN ib END AS image_bytes, CASE WHEN pg > 0 THEN pg WHEN np = 0 THEN 0 END AS pages_viewed FROM m),
+r AS (SELECT run_id, u, unnest(['total_duration_ms', 'warnings', 'agent_turns', 'input_tokens', 'output_tokens', 'cache_creation_input_tokens', 'cache_read_input_tokens', 'total_cost_usd']) AS measure, unnest([total_duration_ms::DOUBLE, warnings::DOUBLE, agent_turns::DOUBLE, input_tokens::DOUBLE, output_tokens::DOUBLE, NULL, NULL, total_cost_usd::DOUBLE]) AS value, 'reported' AS source FROM d
+UNION ALL SELECT run_id, u, unnest(['cache_hits', 'render_executions', 'pages_viewed', 'image_count', 'image_bytes', 'permission_denials', 'retries', 'tool_calls', 'user_questions', 'errors', 'subagents']), unnest([cache_hits::DOUBLE, render_executions::DOUBLE, pages_viewed::DOUBLE, image_count::DOUBLE, image_bytes::DOUBLE, permission_denials::DOUBLE, retries::DOUBLE, tool_calls::DOUBLE, user_questions::DOUBLE, errors::DOUBLE, subagents::DOUBLE]), 'estimated' FROM d),
+f AS (SELECT run_id, measure, source, CASE WHEN source = 'reported' OR u % 8 > 0 THEN value END AS value FROM r)
+SELECT run_id, measure, value, CASE WHEN value IS NULL THEN 'unknown' ELSE source END AS source FROM f"""
