@@ -61,33 +61,39 @@ def sized(turns: DataFrame, tokenizer: str) -> DataFrame:
     return turns.mapInArrow(measure, f"{kinds}, role string, text string, size long")
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """sized() with turn_no (from 0) and before, the tokens of the conversation's earlier turns."""
-    order = ["turn", "role", "text", "row"]
-    rows = written(turns.withColumn("row", F.monotonically_increasing_id()), "sized")  # range sorting samples its input
-    dealt = written(rows.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()), "dealt")
+def dealt_out(turns: DataFrame) -> DataFrame:
+    """sized() in order: place rises along a conversation; its upper bits are the range partition."""
+    order = ["turn", "role", "text"]
+    rows = written(turns, "sized")  # range sorting samples its input
+    out = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *order, "_row").sortWithinPartitions("conv_id", *order, "_row")
+    out = written(out.select("conv_id", "role", "text", "size", F.monotonically_increasing_id().alias("place")), "dealt")
     drop_written(rows)
-    sums = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return out
+
+
+def numbered(dealt: DataFrame) -> DataFrame:
+    """(conv_id, place, system, turn_no, before): turn_no from 0, and the tokens of the conversation's earlier turns; no text moves."""
+    light = dealt.select("conv_id", "place", "size", (F.col("role") == "system").alias("system"), F.shiftright("place", 33).alias("part"))
+    sums = light.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     ahead = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part that has the conversation
     carried = sums.select(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("size0"))
-    own = W.partitionBy("conv_id", "part").orderBy(*order)
-    inside = dealt.withColumn("n", F.row_number().over(own) - 1).withColumn("sum", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    own = W.partitionBy("conv_id", "part").orderBy("place")
+    inside = light.withColumn("n", F.row_number().over(own) - 1).withColumn("sum", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     both = inside.join(carried, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    return both.select("conv_id", "role", "text", "size", (F.col("n") + F.col("n0")).alias("turn_no"), (F.col("sum") + F.col("size0")).alias("before"))
+    return both.select("conv_id", "place", "system", (F.col("n") + F.col("n0")).alias("turn_no"), (F.col("sum") + F.col("size0")).alias("before"))
 
 
-def runs(turns: DataFrame, length: int, history: int) -> DataFrame:
-    """numbered() dealt into runs of `length` tokens; each run also has the turns before it that its windows may repeat (own is false)."""
-    turns = turns.withColumn("run", F.floor(F.col("before") / length))
-    system = F.max(F.when(F.col("role") == "system", F.col("turn_no")))
-    firsts = turns.groupBy("conv_id", "run").agg(F.min("turn_no").alias("first"), system.alias("system"))
+def runs(dealt: DataFrame, length: int, history: int) -> DataFrame:
+    """dealt_out() in runs of `length` tokens; each run also has the turns before it that its windows may repeat (own is false)."""
+    turns = written(numbered(dealt).withColumn("run", F.floor(F.col("before") / length)), "numbered")
+    firsts = turns.groupBy("conv_id", "run").agg(F.min("turn_no").alias("first"), F.max(F.when(F.col("system"), F.col("turn_no"))).alias("system"))
     ahead = W.partitionBy("conv_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     repeats = firsts.select("conv_id", "run", "first", F.max("system").over(ahead).alias("system"))
     listed = F.array_union(F.array_compact(F.array("system")), F.filter(F.sequence(F.col("first") - history - 1, F.col("first") - 1), lambda n: n >= 0))
     need = repeats.select(F.col("conv_id").alias("of"), F.col("run").alias("into"), F.explode(listed).alias("of_turn"))
     again = turns.join(need, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("turn_no") == F.col("of_turn")))
-    columns = ["conv_id", "role", "text", "size", "turn_no"]
-    return turns.select("run", *columns, F.lit(True).alias("own")).unionByName(again.select(F.col("into").alias("run"), *columns, F.lit(False).alias("own")))
+    places = turns.select("place", "turn_no", "run", F.lit(True).alias("own")).unionByName(again.select("place", "turn_no", F.col("into").alias("run"), F.lit(False).alias("own")))
+    return dealt.join(places, "place")
 
 
 def spans(sizes: list[int], roles: list[str], first: int, budget: int, history: int) -> Iterator[tuple[list[int], int, int]]:
@@ -134,7 +140,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 2, toke
     path = tokenizer or default_tokenizer()
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     src = conversations.select("conv_id", "turn", empty("role"), empty("text"))
-    dealt = runs(numbered(sized(src, path)), RUN * budget, history)
+    dealt = runs(dealt_out(sized(src, path)), RUN * budget, history)
     kind, names = to_arrow_type(src.schema["conv_id"].dataType), ["conv_id", "window_no", "text", "turns", "n_tokens"]
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
