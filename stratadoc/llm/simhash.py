@@ -75,7 +75,7 @@ class WordHashes:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > 150_000:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = xxhash.xxh64_intdigest(w, 7)
@@ -295,8 +295,10 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The wide form, for similarity of shingle sets: this many bits, and min-wise blocking keys.
-WIDE_BITS, MIN_KEYS = 1024, 8
+#: The wide form, for similarity of shingle sets: bits of a fingerprint, and blocking keys of so many least hashes each.
+WIDE_BITS, KEYS, LEAST = 1024, 18, 3
+#: Rows, and shingles of all rows, that one side of a comparison holds (one row at least); larger blocks are split into tiles.
+TILE_ROWS, TILE_SHINGLES = 4096, 4 << 20
 
 
 def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
@@ -304,28 +306,50 @@ def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
     return int(round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits))
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their upper 40 bits, as differences, byte plane by byte plane."""
+    steps = np.diff(hashes >> np.uint64(24), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    planes = np.zeros((8, len(data) // 5), np.uint8)
+    planes[:5] = np.frombuffer(data, np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def block_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS keys of LEAST least hashes each, one from each of as many equal ranges of the sorted hashes; an empty range takes the next one's."""
+    n = KEYS * LEAST
+    bounds = (np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n)).astype(np.uint64)
+    place = np.searchsorted(hashes, bounds)
+    least = hashes[place % len(hashes)].reshape(KEYS, LEAST)  # the first at or after the range's beginning, around the end
+    key = np.arange(KEYS, dtype=np.uint64)
+    for k in range(LEAST):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, k])
+    return key.view(np.int64)
+
+
 def wide_prints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, class, print, keys): class hashes the words in order, keys are smallest shingle hashes under MIN_KEYS orders."""
-    spread, orders = seeds(WIDE_BITS // 64, 11), seeds(MIN_KEYS, 23)
+    """(id, class, print, keys, n, shingles): class hashes the words in order; a text without words has no keys and shingles."""
+    spread = seeds(WIDE_BITS // 64, 11)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            classes, prints, keys = [], [], []
+            classes, prints, keys, sizes, sets = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text or "")
                 classes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if not words:
-                    prints.append(bytes(WIDE_BITS // 8))
-                    keys.append([0])
-                    continue
-                own = shingle_hashes(hashes.of(words), size)
-                prints.append(majority(mixed(own[:, None] ^ spread)).tobytes())
-                keys.append([int(mixed(own ^ s).min().view(np.int64)) for s in orders])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "class", "print", "keys"])
+                own = shingle_hashes(hashes.of(words), size) if words else np.zeros(0, np.uint64)
+                prints.append(majority(mixed(own[:, None] ^ spread)).tobytes() if words else bytes(WIDE_BITS // 8))
+                keys.append(block_keys(own).tolist() if words else [])
+                sizes.append(len(own))
+                sets.append(packed_set(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["id", "class", "print", "keys", "n", "shingles"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(make, f"id {src.schema['id'].dataType.simpleString()}, class binary, print binary, keys array<long>")
+    return src.mapInArrow(make, f"id {src.schema['id'].dataType.simpleString()}, class binary, print binary, keys array<long>, n long, shingles binary")
 
 
 @functools.cache
@@ -349,104 +373,148 @@ def candidate_radius(similarity: float, bits: int = WIDE_BITS) -> int:
     return min(bits, math.ceil(bits * worst + 6 * math.sqrt(bits * worst * (1 - worst))))
 
 
-def proposals(blocks: DataFrame, radius: int, low: int, high: int) -> DataFrame:
-    """(a, b): candidate pairs of blocks(key, node, component, print), to be checked.
+class Block:
+    """Rows that meet under a key, the most central first: those whose shingles most others have."""
+
+    def __init__(self, nodes: list[int], components: list[int], prints: list[bytes], sets: list[bytes]):
+        self.nodes = np.array(nodes, np.int64)
+        self.label = np.unique(np.array(components, np.int64), return_inverse=True)[1]
+        self.prints = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+        own = [unpacked_set(x) for x in sets]
+        self.sizes = np.array([*map(len, own)], np.int64)
+        _, self.flat, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flags = np.zeros(len(counts), bool)
+        self.order = np.argsort(-np.add.reduceat(counts[self.flat], self.starts) / self.sizes, kind="stable")
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles a row has in common with each of the others."""
+        own = self.flat[self.starts[row] : self.starts[row] + self.sizes[row]]
+        self.flags[own] = True
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        hits = self.flags[self.flat[np.arange(ends[-1]) + np.repeat(self.starts[others] - ends + sizes, sizes)]]
+        self.flags[own] = False
+        return np.add.reduceat(hits, ends - sizes, dtype=np.int64)
+
+    def links(self, radius: int, similarity: float, first: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """Links that join components of the block: rows at least that similar. first: which rows are one side; they meet the others alone.
+
+        SimHashes within the radius propose pairs of different components; the shingles decide.
+        """
+        rows = self.order if first is None else self.order[first[self.order]]
+        others = self.order if first is None else self.order[~first[self.order]]
+        for low in range(0, len(rows), QUERIES):
+            if (self.label == self.label[0]).all():
+                return
+            own = rows[low : low + QUERIES]
+            rest = others[low:] if first is None else others
+            x, y = near(self.prints[own], self.prints[rest], radius)
+            a, b = self.sizes[own[x]], self.sizes[rest[y]]
+            fit = np.minimum(a, b) >= similarity * np.maximum(a, b)
+            cuts = np.searchsorted(x := x[fit], np.arange(len(own) + 1)) if (np.diff(x[fit]) >= 0).all() else None
+            y = y[fit]
+            if cuts is None:
+                by = np.argsort(x, kind="stable")
+                x, y = x[by], y[by]
+                cuts = np.searchsorted(x, np.arange(len(own) + 1))
+            for q, row in enumerate(own.tolist()):
+                found = rest[y[cuts[q] : cuts[q + 1]]]
+                found = found[self.label[found] != self.label[row]]
+                if not len(found):
+                    continue
+                both = self.common(row, found)
+                for other in found[both >= similarity * (self.sizes[row] + self.sizes[found] - both) - 1e-9].tolist():
+                    if self.label[other] != self.label[row]:
+                        self.label[self.label == self.label[other]] = self.label[row]
+                        u, v = int(self.nodes[row]), int(self.nodes[other])
+                        yield min(u, v), max(u, v)
+
+
+def similar_links(blocks: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links of blocks(key, left, right, tile, node, component, print, shingles) that join components.
 
-    They have one key, different components, places in the key's run that are `low` to under `high` apart, and prints
-    that differ in at most radius bits.
+    Rows of one (key, left, right) meet; where left and right differ, those of tile left meet those of tile right. Small
+    blocks are compared together, as a link across two of them is as good.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, node: np.ndarray, component: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-            first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-            longest = int(np.diff(first, append=len(key)).max())
-            for apart in range(low, min(high, longest)):
-                at = np.flatnonzero((key[apart:] == key[:-apart]) & (component[apart:] != component[:-apart]))
-                for i in range(0, len(at), 1 << 14):
-                    x = at[i : i + (1 << 14)]
-                    x = x[np.bitwise_count(prints[x] ^ prints[x + apart]).sum(1) <= radius]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[x + apart])), pa.array(np.maximum(node[x], node[x + apart]))], names=["a", "b"])
+        def found(run: list[tuple], apart: bool) -> pa.RecordBatch:
+            rows = [*{(r[4], r[7]): r for r in run}.values()]  # a row of each node and text
+            block = Block(*([r[k] for r in rows] for k in (4, 5, 6, 7)))
+            first = np.array([r[3] == r[1] for r in rows]) if apart else None
+            pairs = np.array([*block.links(radius, similarity, first)], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         held, size = [], 0
-
-        def rows() -> tuple[np.ndarray, ...]:
-            key, node, component = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-            return key, node, component, np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
-
-        for batch in batches:
-            if not batch.num_rows:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, left, right), group in itertools.groupby(rows, lambda r: r[:3]):
+            run = [*group]
+            if left != right:
+                yield found(run, True)
                 continue
-            if size >= 1 << 14 and batch.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
-                yield from out(*rows())
+            held += run
+            size += sum(len(r[7]) for r in run)
+            if len(held) >= QUERIES or size >= TILE_SHINGLES:
+                yield found(held, False)
                 held, size = [], 0
-            elif size >= 1 << 14:
-                own = batch.column(0).to_numpy()
-                end = int(np.argmax(own != own[0])) if own[-1] != own[0] else 0
-                if end:
-                    held.append(batch.slice(0, end))
-                    yield from out(*rows())
-                    held, size, batch = [], 0, batch.slice(end)
-            held.append(batch)
-            size += batch.num_rows
         if held:
-            yield from out(*rows())
-
-    dealt = blocks.select("key", "node", "component", "print").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
-
-
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the hashes of each text's distinct shingles; docs(node, text)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches):
-            sets = [shingle_hashes(hashes.of(w), size).view(np.int64) if (w := words_of(t or "")) else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield found(held, False)
 
-    return docs.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
+    columns = ["key", "left", "right", "tile", "node", "component", "print", "shingles"]
+    dealt = blocks.select(*columns).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "tile", "node")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: components of documents whose sets of `size`-word shingles are at least this similar.
 
-    Pairs are looked for where one of eight min-wise keys agrees, which two sets at 0.8 miss in three of a million
-    cases; SimHashes within candidate_radius propose them, and the exact Jaccard similarity of the shingles decides.
-    Each round offers the pairs of a key at some places apart and only across components, so a group of near copies is
-    joined by its first links and costs no pairs; a key is done when its rows are one component or all pairs were
-    offered. Rows of the same words (A-Z in lower case) are one node, wordless and null ones too. Rows without id link
-    nothing and take the component of their words.
+    Pairs are looked for where one of KEYS keys agrees, which two sets at 0.8 miss in three of a million cases; in a
+    block, SimHashes within candidate_radius propose them, and the exact Jaccard similarity of the shingles decides.
+    A block gives links that join components, never its pairs. The first key goes first, as its links spare the others
+    most of theirs. A block of more than TILE_ROWS rows is split into tiles: each is compared in itself, and each pair
+    of tiles in a task of its own if the block is then still in several components. Rows of the same words (A-Z in
+    lower case) are one node, wordless and null ones too; so are rows of one id. Rows without id link nothing and take
+    the component of their words. Ids are whole numbers.
     """
     rows = written(wide_prints(docs, size, id_col, text_col), "wide")
-    nodes = written(rows.groupBy("class").agg(F.min("id").cast("long").alias("node"), F.first("print").alias("print"), F.first("keys").alias("keys")), "nodes")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    keys = nodes.where("node is not null").select("node", F.posexplode("keys").alias("table", "least")).select("table", F.xxhash64("table", "least").alias("key"), "node")
-    prints = nodes.where("node is not null").select("node", "print")
+    nodes = rows.groupBy("class").agg(F.min("id").cast("long").alias("node"))
+    heads = rows.select("class", "id", "keys", "n").join(nodes.select("class", "node"), "class").where(F.col("id") == F.col("node"))
+    keyed = heads.select("node", "n", F.posexplode("keys").alias("table", "key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("least < most")
+    tiles = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    members = written(keyed.select("node", "table", "key").distinct().join(several.select("key", tiles.alias("tiles")), "key"), "members")
+    active = written(rows.select(F.col("id").cast("long").alias("node"), "print", "shingles").where("octet_length(shingles) > 0").join(members.select("node").distinct(), "node", "left_semi"), "active")
     radius, edges, found = candidate_radius(similarity), None, None
-    spans = itertools.chain([(0, 1, 2), (MIN_KEYS, 1, 2)], ((MIN_KEYS, 1 << i, 8 << i) for i in itertools.count(1, 3)))
-    for tables, low, high in spans:  # the first table alone at first: its links spare the others most of theirs
-        own = keys.withColumn("component", F.col("node")) if found is None else keys.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        still = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(f"n > {low} and least < most").select("key")
-        blocks = written(own.join(still, "key", "left_semi"), "blocks")
-        if not blocks.take(1):
-            break
-        keys = blocks.select("table", "key", "node")
-        pairs = written(proposals(blocks.where(F.col("table") <= tables).join(prints, "node"), radius, low, high), "pairs")
-        sets = written(shingle_sets(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), size), "sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        good = written(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
-        drop_written(pairs, sets)
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    for tables, crossing in ((0, False), (KEYS, False), (KEYS, True)):
+        own = members.where(F.col("table") <= tables)
+        own = own.where("tiles > 1") if crossing else own
+        own = own.withColumn("component", F.col("node")) if found is None else own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        blocks = own.join(still, "key", "left_semi").withColumn("tile", tile)
+        if crossing:
+            other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+            blocks = blocks.withColumn("other", other).where("other <> tile").withColumn("left", F.least("tile", "other")).withColumn("right", F.greatest("tile", "other"))
+            if not blocks.take(1):
+                break
+        else:
+            blocks = blocks.withColumn("left", F.col("tile")).withColumn("right", F.col("tile"))
+        good = written(similar_links(blocks.join(active, "node"), radius, similarity).distinct(), "links")
         edges = good if edges is None else edges.unionByName(good)
         found = components(edges)
-    classes = nodes.select("class", "node")
-    classes = classes.withColumn("component_id", F.col("node")) if found is None else classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("id", "class").join(classes.select("class", "component_id"), "class", "left").select(F.col("id").alias(id_col), "component_id")
+    drop_written(members, active)
+    classes = nodes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("id", "class").join(classes, "class", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id; rows without id always stay."""
+    """The rows of docs that stay: of each component the one with the smallest id, once if it is repeated with the same text; rows without id always stay."""
     verdicts = near_duplicates(docs, similarity, size, id_col, text_col)
     gone = verdicts.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return docs.join(gone.where(F.col(id_col).isNotNull()), id_col, "left_anti").select(*docs.columns)
+    stay = docs.join(gone.where(F.col(id_col).isNotNull()), id_col, "left_anti").select(*docs.columns)
+    repeated = stay.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if not repeated.take(1):
+        return stay
+    first = stay.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(repeated, id_col, "left_anti").unionByName(first)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from stratadoc.llm import simhash
@@ -121,8 +122,25 @@ def test_near_duplicates_at_the_similarity(spark):
     assert simhash.candidate_radius(0.8) > simhash.wide_radius(0.8) + 48
 
 
-def test_no_pivot_stands_for_unchecked_links(spark):
+def test_repeated_rows_stay_once(spark):
+    rows = [(5, "one text here", 1), (5, "one text here", 2), (6, "one text here", 3), (7, "another", 4), (7, "other words", 5), (None, "x", 6), (None, "x", 7)]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, class int")).collect())
+    assert kept == [(0, "x"), (0, "x"), (5, "one text here"), (7, "another"), (7, "other words")]
+
+
+def test_sets_and_keys():
+    own = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    assert (simhash.unpacked_set(simhash.packed_set(own)) == own >> np.uint64(24)).all()
+    assert len(simhash.unpacked_set(simhash.packed_set(own[:0]))) == 0
+    assert len(set(simhash.block_keys(own[:1]).tolist())) == simhash.KEYS
+    shared = [len(set(simhash.block_keys(own[:450]).tolist()) & set(simhash.block_keys(own[k:]).tolist())) for k in (0, 50, 440)]
+    assert shared[0] > shared[1] > 0 == shared[2]
+
+
+@pytest.mark.parametrize("rows_of_a_tile", [4096, 16])
+def test_no_pivot_stands_for_unchecked_links(spark, monkeypatch, rows_of_a_tile):
     """A group in which many pairs are near 0.8, against all pairs by brute force."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", rows_of_a_tile)
     rng, rows = random.Random(6), []
     base = [f"w{i}" for i in range(204)]
     for i in range(120):
