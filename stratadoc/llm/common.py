@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    A folder of this machine is used only where that setting is empty, as in tests.
+    Where that setting is empty, a session in one process takes a temporary folder, as in tests; a cluster's fails.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stratadoc-")
+    base, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not base:
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stratadoc-")
     return f"{base.rstrip('/')}/stratadoc-{uuid.uuid4().hex}"
 
 
@@ -53,8 +57,19 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int =
         yield batch.slice(start)
 
 
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, where rows are large: one at a time is in Python's memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner drop the shuffle files of steps whose results are written; it waits for a collection of garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
+    """Have Spark's cleaner drop the shuffle files of steps whose results are written; it waits for a collection of garbage.
+
+    It saves disk only: nothing depends on whether or when the files go.
+    """
+    for _ in range(2):  # what the first collection frees may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)

@@ -28,15 +28,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import release, slices, written
+from .common import release, single_rows, slices, written
 
 SIZE, GRAM = 50, 20
 BLOB = 2 << 20
 #: Text bytes whose anchors one bucket holds, and context bytes of one suffix array.
 BUCKET, SHARD = 256 << 20, 4 << 20
 LEAST_BUCKETS = 256
-STORE = "blob long, ids binary, sizes binary, digests array<binary>, n_bytes long, data binary, rest array<string>"
+STORE = "blob long, ids binary, sizes binary, digests array<binary>, n_bytes long, data binary"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -47,8 +48,8 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def store(docs: DataFrame, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
-    """Blobs of whole documents that have an id, some megabytes each; rest: what else to carry for each, as text."""
+def store(docs: DataFrame, id_col: str, text_col: str, rest: Column) -> DataFrame:
+    """Blobs of whole documents that have an id, some megabytes each; rest: what else to carry for each, of any type that Arrow has."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -56,13 +57,14 @@ def store(docs: DataFrame, id_col: str, text_col: str, rest: Column | None = Non
         for batch in slices(batches, 1, BLOB):
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
             whole = b"".join(data)
-            row = (number, pack(np.array(batch.column(0).to_pylist(), np.int64)), pack(np.array([*map(len, data)], np.int64)), [hashlib.blake2b(d, digest_size=16).digest() for d in data], len(whole), zstandard.compress(whole, 3), batch.column(2).to_pylist())
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+            row = (number, pack(np.array(batch.column(0).to_pylist(), np.int64)), pack(np.array([*map(len, data)], np.int64)), [hashlib.blake2b(d, digest_size=16).digest() for d in data], len(whole), zstandard.compress(whole, 3))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.binary()]
+            carried = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column(2)]))
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, kinds, strict=True)), carried], names=[*names, "rest"])
             number += 1
 
-    carried = F.lit(None).cast("string") if rest is None else rest
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried.alias("rest")).where("id is not null").mapInArrow(fill, STORE)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")).where("id is not null")
+    return src.mapInArrow(fill, T.StructType([*T.StructType.fromDDL(STORE).fields, T.StructField("rest", T.ArrayType(src.schema["rest"].dataType))]))
 
 
 def copies(blobs: DataFrame) -> DataFrame:
@@ -150,21 +152,20 @@ def anchors(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
     """(bucket, blob, n, hashes, several): the distinct anchor hashes of a blob's bucket in order, and which of them several of its documents have."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, _, _, doc = Blob(row, row["copied"]).contexts(size)
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, h, bucket))
-                h, doc, bucket = h[order], doc[order], bucket[order]
-                new = np.concatenate([[True], np.diff(h) != 0]) if len(h) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                last = np.concatenate([first[1:], [len(h)]]) - 1
-                several, h, bucket = doc[first] != doc[last], h[first], bucket[first]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]])
-                rows = [(int(bucket[a]), row["blob"], int(b - a), pack(np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), pack(np.packbits(several[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "blob", "n", "hashes", "several"])
+        for row in single_rows(batches):
+            h, _, _, doc = Blob(row, row["copied"]).contexts(size)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((doc, h, bucket))
+            h, doc, bucket = h[order], doc[order], bucket[order]
+            new = np.concatenate([[True], np.diff(h) != 0]) if len(h) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            last = np.concatenate([first[1:], [len(h)]]) - 1
+            several, h, bucket = doc[first] != doc[last], h[first], bucket[first]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]])
+            rows = [(int(bucket[a]), row["blob"], int(b - a), pack(np.diff(h[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), pack(np.packbits(several[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "blob", "n", "hashes", "several"])
 
     return blobs.mapInArrow(emit, "bucket int, blob long, n long, hashes binary, several binary")
 
@@ -195,42 +196,41 @@ def repeated_contexts(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in CONTEXTS.split(", ")]
-        for batch in batches:
-            for row in batch.to_pylist():
-                blob = Blob(row, row["copied"])
-                h, first, last, doc = blob.contexts(size)
-                if not len(h) or not row["kept"]:
-                    continue
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((h, bucket))
-                new = np.concatenate([[True], np.diff(h[order]) != 0])
-                rank = np.empty(len(h), np.int64)
-                rank[order] = np.cumsum(new) - 1  # the place of each hash in anchors()
-                kept = sorted((x["bucket"], x["keep"]) for x in row["kept"])
-                uniques = np.bincount(bucket[order][new], minlength=buckets)
-                keep = np.concatenate([np.unpackbits(unpack(x, np.uint8))[: uniques[b]] for b, x in kept]).astype(bool)
-                use = np.flatnonzero(keep[rank])
-                first, last, ids, bucket, h = first[use], last[use], blob.ids[doc[use]], bucket[use], h[use]
-                sizes = last - first + size
-                # equal contexts of a blob: the smallest document's go to the shard, the others are marked here
-                texts = blob.data.tobytes()
-                least: dict[bytes, int] = {}
-                slices_ = [texts[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
-                for text, i in zip(slices_, ids.tolist(), strict=True):
-                    if least.get(text, 1 << 62) > i:
-                        least[text] = i
-                sent = np.fromiter((least[t] == i for t, i in zip(slices_, ids.tolist(), strict=True)), bool, len(ids))
-                rows = []
-                if not sent.all():
-                    rows.append((row["blob"] % buckets, row["blob"], True, pack(first[~sent].astype(np.int32)), b"", pack(sizes[~sent].astype(np.int32)), b""))
-                go = np.flatnonzero(sent)
-                go = go[np.argsort(bucket[go], kind="stable")]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[go])) + 1, [len(go)]]) if len(go) else [0]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    i = go[a:b]
-                    rows.append((int(bucket[i[0]]), row["blob"], False, pack(first[i].astype(np.int32)), pack(ids[i]), pack(sizes[i].astype(np.int32)), zstandard.compress(b"".join([slices_[x] for x in i.tolist()]), 3)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for row in single_rows(batches):
+            blob = Blob(row, row["copied"])
+            h, first, last, doc = blob.contexts(size)
+            if not len(h) or not row["kept"]:
+                continue
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((h, bucket))
+            new = np.concatenate([[True], np.diff(h[order]) != 0])
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.cumsum(new) - 1  # the place of each hash in anchors()
+            kept = sorted((x["bucket"], x["keep"]) for x in row["kept"])
+            uniques = np.bincount(bucket[order][new], minlength=buckets)
+            keep = np.concatenate([np.unpackbits(unpack(x, np.uint8))[: uniques[b]] for b, x in kept]).astype(bool)
+            use = np.flatnonzero(keep[rank])
+            first, last, ids, bucket, h = first[use], last[use], blob.ids[doc[use]], bucket[use], h[use]
+            sizes = last - first + size
+            # equal contexts of a blob: the smallest document's go to the shard, the others are marked here
+            texts = blob.data.tobytes()
+            least: dict[bytes, int] = {}
+            slices_ = [texts[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+            for text, i in zip(slices_, ids.tolist(), strict=True):
+                if least.get(text, 1 << 62) > i:
+                    least[text] = i
+            sent = np.fromiter((least[t] == i for t, i in zip(slices_, ids.tolist(), strict=True)), bool, len(ids))
+            rows = []
+            if not sent.all():
+                rows.append((row["blob"] % buckets, row["blob"], True, pack(first[~sent].astype(np.int32)), b"", pack(sizes[~sent].astype(np.int32)), b""))
+            go = np.flatnonzero(sent)
+            go = go[np.argsort(bucket[go], kind="stable")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[go])) + 1, [len(go)]]) if len(go) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                i = go[a:b]
+                rows.append((int(bucket[i[0]]), row["blob"], False, pack(first[i].astype(np.int32)), pack(ids[i]), pack(sizes[i].astype(np.int32)), zstandard.compress(b"".join([slices_[x] for x in i.tolist()]), 3)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return blobs.mapInArrow(emit, CONTEXTS)
 
@@ -386,8 +386,9 @@ def marks(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.groupBy("shard").applyInPandas(judge, MARKS)
 
 
-def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest: Column | None = None) -> DataFrame:
+def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest: Column) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256, rest) of the rows that have an id."""
+    fields = [T.StructField(n, t) for n, t in (("id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()), ("kept_sha256", T.StringType()))]
     blobs = written(store(docs, id_col, text_col, rest), "blobs")
     total = blobs.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET)
@@ -401,9 +402,10 @@ def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rest"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
-            for row in batch.to_pylist():
+            carried = batch.column(batch.schema.get_field_index("rest"))
+            for number, row in enumerate(single_rows([batch.drop_columns(["rest"])])):
                 blob = Blob(row, row["copied"])
                 edge = np.zeros(len(blob.data) + 1, np.int32)
                 for mark in row["marks"] or []:
@@ -418,11 +420,12 @@ def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest:
                         own = np.ones(n, bool)
                     rest = text[~own].tobytes()
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-                    rows.append((doc, n, int(own.sum()), spans, rest, hashlib.sha256(rest).hexdigest(), row["rest"][i]))
+                    rows.append((doc, n, int(own.sum()), spans, rest, hashlib.sha256(rest).hexdigest()))
                     start += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), carried[number].values], names=names)
 
-    return with_blobs(blobs.select(*light, "rest"), same, gathered).mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, rest string")
+    rest_type = blobs.schema["rest"].dataType.elementType
+    return with_blobs(blobs.select(*light, "rest"), same, gathered).mapInArrow(cut, T.StructType([*fields, T.StructField("rest", rest_type)]))
 
 
 def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,7 +434,7 @@ def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     kept is binary: a cut may fall inside a character. Null texts are empty. Rows that share an id never judge each
     other; rows without id lose nothing and make nothing go. An empty table gives none; other columns are ignored.
     """
-    each = cut_documents(docs, size, id_col, text_col).drop("rest")
+    each = cut_documents(docs, size, id_col, text_col, F.lit(None).cast("boolean")).drop("rest")
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     nameless = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.alias("kept"), F.sha2(text, 256).alias("kept_sha256"))
     return each.unionByName(nameless).withColumnRenamed("id", id_col)
@@ -440,24 +443,19 @@ def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
 def deduplicated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with what is left of their texts; characters of which a part went, go whole.
 
-    Other columns pass as JSON, so they hold numbers, texts, booleans, or arrays and structs of such. A null text
-    stays null; rows without id stay as they are.
+    Other columns are carried as they are. A null text stays null; rows without id stay as they are. Ids are whole
+    numbers.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    empty = F.col(text_col).isNull().alias("no_text")
-    form = "no_text boolean"
-    rest = F.to_json(F.struct(empty))
-    if others:
-        rest = F.to_json(F.struct(empty, F.struct(*others).alias("own")))
-        form += ", own " + docs.select(F.struct(*others).alias("x")).schema["x"].dataType.simpleString()
+    rest = F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("boolean").alias("none")]).alias("own"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [x.decode(errors="ignore") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["id", "kept", "rest"])
 
-    each = cut_documents(docs, size, id_col, text_col, rest).select("id", "kept", "rest").mapInArrow(decode, "id long, kept string, rest string")
-    each = each.withColumn("rest", F.from_json("rest", form))
+    each = cut_documents(docs, size, id_col, text_col, rest).select("id", "kept", "rest")
+    each = each.mapInArrow(decode, T.StructType([T.StructField("id", T.LongType()), T.StructField("kept", T.StringType()), each.schema["rest"]]))
     cols = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.when(~F.col("rest.no_text"), F.col("kept"))}
     each = each.select(*[cols[c].alias(c) if c in cols else F.col(f"rest.own.`{c}`").alias(c) for c in docs.columns])
     return each.unionByName(docs.where(F.col(id_col).cast("long").isNull()))

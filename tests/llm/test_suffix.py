@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import hashlib
 import random
 
@@ -89,3 +91,14 @@ def test_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, text, "a", 2), (2, "x " + text + "é", None, 3), (3, None, "c", None), (None, text, "d", 4)], "doc_id long, text string, rest string, n int")
     got = {(r.doc_id, r.text, r.rest, r.n) for r in suffix.deduplicated(df).collect()}
     assert got == {(1, text, "a", 2), (2, "x é", None, 3), (3, None, "c", None), (None, text, "d", 4)}
+
+
+def test_other_columns_stay_as_they_are(spark):
+    when = datetime.datetime(2024, 5, 1, 10, 0, 1, 123456)
+    rows = [(1, "one text", when, b"\x00\xff", decimal.Decimal("1.10"), {"a": 1}, [None, 2], "id"), (2, None, None, None, None, None, None, None), (None, "free", when, b"", decimal.Decimal("0.01"), {}, [], "x")]
+    kind = "doc_id long, text string, at timestamp, raw binary, price decimal(5,2), of map<string,int>, list array<int>, rest string"
+    df = spark.createDataFrame(rows, kind)
+    got = suffix.deduplicated(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert suffix.deduplicated(df.select("doc_id", "text")).count() == 3
