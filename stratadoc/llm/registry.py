@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, media, packing, quality, simhash, suffix, tokens, warc
+from . import chat, decontam, langid, media, minhash, packing, quality, simhash, suffix, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
+    "op11_minhash": minhash.op11_minhash,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ QUERIES, COLUMNS = 256, 1 << 16
 #: The eight bits of each byte value.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: From two lists of fingerprints (rows of 8-byte words) the pairs (row of the first, row of the second) that may be similar.
+Proposal = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
@@ -397,10 +399,10 @@ class Block:
         self.flags[own] = False
         return np.add.reduceat(hits, ends - sizes, dtype=np.int64)
 
-    def links(self, radius: int, similarity: float, first: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    def links(self, propose: Proposal, similarity: float, first: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
         """Links that join components of the block: rows at least that similar. first: which rows are one side; they meet the others alone.
 
-        SimHashes within the radius propose pairs of different components; the shingles decide.
+        The fingerprints propose pairs of different components; the shingles decide.
         """
         rows = self.order if first is None else self.order[first[self.order]]
         others = self.order if first is None else self.order[~first[self.order]]
@@ -409,7 +411,7 @@ class Block:
                 return
             own = rows[low : low + QUERIES]
             rest = others[low:] if first is None else others
-            x, y = near(self.prints[own], self.prints[rest], radius)
+            x, y = propose(self.prints[own], self.prints[rest])
             a, b = self.sizes[own[x]], self.sizes[rest[y]]
             fit = np.minimum(a, b) >= similarity * np.maximum(a, b)
             cuts = np.searchsorted(x := x[fit], np.arange(len(own) + 1)) if (np.diff(x[fit]) >= 0).all() else None
@@ -431,7 +433,7 @@ class Block:
                         yield min(u, v), max(u, v)
 
 
-def similar_links(blocks: DataFrame, radius: int, similarity: float) -> DataFrame:
+def similar_links(blocks: DataFrame, propose: Proposal, similarity: float) -> DataFrame:
     """(a, b): links of blocks(key, left, right, tile, node, component, print, shingles) that join components.
 
     Rows of one (key, left, right) meet; where left and right differ, those of tile left meet those of tile right. Small
@@ -443,7 +445,7 @@ def similar_links(blocks: DataFrame, radius: int, similarity: float) -> DataFram
             rows = [*{(r[4], r[7]): r for r in run}.values()]  # a row of each node and text
             block = Block(*([r[k] for r in rows] for k in (4, 5, 6, 7)))
             first = np.array([r[3] == r[1] for r in rows]) if apart else None
-            pairs = np.array([*block.links(radius, similarity, first)], np.int64).reshape(-1, 2)
+            pairs = np.array([*block.links(propose, similarity, first)], np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         held, size = [], 0
@@ -477,7 +479,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_
     lower case) are one node, wordless and null ones too; so are rows of one id. Rows without id link nothing and take
     the component of their words. Ids are whole numbers.
     """
-    rows = written(wide_prints(docs, size, id_col, text_col), "wide")
+    radius = candidate_radius(similarity)
+    classes = similar_classes(written(wide_prints(docs, size, id_col, text_col), "wide"), lambda x, y: near(x, y, radius), similarity)
+    return classes.select(F.col("id").alias(id_col), "component_id")
+
+
+def similar_classes(rows: DataFrame, propose: Proposal, similarity: float) -> DataFrame:
+    """(id, n, component_id) of each of the rows(id, class, print, keys, n, shingles): components of links of at least this similarity.
+
+    Rows of one class are one node, the smallest id stands for it; a node without keys links nothing. propose gives
+    the pairs of two lists of prints that may be similar.
+    """
     nodes = rows.groupBy("class").agg(F.min("id").cast("long").alias("node"))
     heads = rows.select("class", "id", "keys", "n").join(nodes.select("class", "node"), "class").where(F.col("id") == F.col("node"))
     keyed = heads.select("node", "n", F.posexplode("keys").alias("table", "key"))
@@ -485,7 +497,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_
     tiles = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("shingles") / TILE_SHINGLES)).cast("int")
     members = written(keyed.select("node", "table", "key").distinct().join(several.select("key", tiles.alias("tiles")), "key"), "members")
     active = written(rows.select(F.col("id").cast("long").alias("node"), "print", "shingles").where("octet_length(shingles) > 0").join(members.select("node").distinct(), "node", "left_semi"), "active")
-    radius, edges, found = candidate_radius(similarity), None, None
+    edges, found = None, None
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     for tables, crossing in ((0, False), (KEYS, False), (KEYS, True)):
         own = members.where(F.col("table") <= tables)
@@ -500,12 +512,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_
                 break
         else:
             blocks = blocks.withColumn("left", F.col("tile")).withColumn("right", F.col("tile"))
-        good = written(similar_links(blocks.join(active, "node"), radius, similarity).distinct(), "links")
+        good = written(similar_links(blocks.join(active, "node"), propose, similarity).distinct(), "links")
         edges = good if edges is None else edges.unionByName(good)
         found = components(edges)
     drop_written(members, active)
     classes = nodes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("id", "class").join(classes, "class", "left").select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "n", "class").join(classes, "class", "left").select("id", "n", "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
