@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, media, minhash, packing, quality, simhash, suffix, tokens, warc
+from . import chat, crosstok, decontam, langid, media, minhash, packing, quality, simhash, spelling, suffix, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
     "op11_minhash": minhash.op11_minhash,
+    "op12_cross_tokenizer": crosstok.op12_cross_tokenizer,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
