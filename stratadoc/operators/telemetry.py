@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -290,50 +290,56 @@ def evict_by_priority(events: DataFrame, most: int, most_bytes: int) -> DataFram
     """Adds `kept`: events arrive in order; where a run is full, the oldest of the lowest class below the newcomer's goes, again and again.
 
     Where none is left below it, the newcomer goes itself. Classes are P0, P1 and P2, the first the highest; P0 is never
-    evicted. A run's events stream by in order; a task holds those that are kept, so at most `most` of a run.
+    evicted. An event without one of these classes or without a size is not kept. A run's events stream by in order; a
+    task holds those that are kept, so at most `most` of a run, as Arrow rows whose columns pass through as they are.
     """
     names = [f.name for f in events.schema.fields]
     order = ["run_id", "source_sequence", "source_event_id", "kind"]
-    at = {c: names.index(c) for c in ("run_id", "priority", "size")}
-
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, held, bytes_held, out = None, {"P0": deque(), "P1": deque(), "P2": deque()}, 0, []
-
-        def done() -> None:
-            nonlocal bytes_held
-            for queue in held.values():
-                out.extend((*row, True) for row in queue)
-                queue.clear()
-            bytes_held = 0
-
-        def frame() -> pd.DataFrame:
-            made = pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate([*names, "kept"])})
-            out.clear()
-            return made
-
-        for part in frames:
-            for row in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
-                if row[at["run_id"]] != run:
-                    done()
-                    run = row[at["run_id"]]
-                own, size = row[at["priority"]], row[at["size"]]
+    at = [names.index(c) for c in ("run_id", "priority", "size")]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, bytes_held, held, rows = None, 0, {c: deque() for c in PRIORITIES}, None  # held: numbers of rows
+
+        def taken(which: list[int], kept: bool) -> Iterator[pa.RecordBatch]:
+            for part in rows.take(pa.array(which, pa.int64())).to_batches() if which else ():
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([kept] * len(part))], names=[*names, "kept"])
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch.rename_columns(names)])
+            start = 0 if rows is None else rows.num_rows
+            rows = pa.concat_tables([*([] if rows is None else [rows]), new])
+            stay, go = [], []
+            for i, (its_run, own, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in at), strict=True), start):
+                if its_run != run:
+                    for queue in held.values():
+                        stay += queue
+                        queue.clear()
+                    run, bytes_held = its_run, 0
+                if own not in held or size is None:
+                    go.append(i)
+                    continue
                 full = lambda s=size: sum(map(len, held.values())) >= most or bytes_held + s > most_bytes
                 while full() and (lower := next((c for c in ("P2", "P1") if c > own and held[c]), None)):
                     gone = held[lower].popleft()
-                    bytes_held -= gone[at["size"]]
-                    out.append((*gone, False))
+                    bytes_held -= sizes[gone] if gone < start else batch.column(at[2])[gone - start].as_py()
+                    go.append(gone)
                 if full():
-                    out.append((*row, False))
+                    go.append(i)
                 else:
-                    held[own].append(row)
+                    held[own].append(i)
                     bytes_held += size
-            if len(out) > 5000:
-                yield frame()
-        done()
-        yield frame()
+            yield from taken(stay, True)
+            yield from taken(go, False)
+            left = sorted(i for queue in held.values() for i in queue)
+            place = {i: k for k, i in enumerate(left)}
+            rows = rows.take(pa.array(left, pa.int64())).combine_chunks()
+            sizes = rows.column(at[2]).to_pylist()
+            held = {c: deque(place[i] for i in queue) for c, queue in held.items()}
+        if rows is not None:
+            yield from taken([i for queue in held.values() for i in queue], True)
 
     dealt = events.repartition("run_id").sortWithinPartitions(*order)
-    return dealt.mapInPandas(decide, T.StructType([*events.schema.fields, T.StructField("kept", T.BooleanType())]))
+    return dealt.mapInArrow(decide, T.StructType([*events.schema.fields, T.StructField("kept", T.BooleanType())]))
 
 
 def retain(runs: DataFrame, now_ms: float, days: int, newest: int) -> DataFrame:

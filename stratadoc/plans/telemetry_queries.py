@@ -150,7 +150,7 @@ both("ss06_retain", lambda s, d: T.retain(runs(s, d), 2.6e9, 20, 25).select("run
 both("ss07_prune_bytes", lambda s, d: T.prune_bytes(runs(s, d), 60_000).select("run_id", "event_bytes"), RUNS + ", b AS (SELECT *, (SELECT sum(event_bytes) FROM rn) AS total, coalesce(sum(event_bytes) OVER (ORDER BY completed_ms, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM rn WHERE completed_ms IS NOT NULL) SELECT run_id, event_bytes FROM b WHERE total - gone > 60000")
 both("tk02_list_runs", lambda s, d: T.list_runs(runs(s, d), 10).select("run_id", "completed_ms", "last_ms"), RUNS + " SELECT run_id, completed_ms, last_ms FROM rn ORDER BY coalesce(completed_ms, last_ms) DESC, run_id LIMIT 10")
 both("tk03_replay", lambda s, d: events(s, d).orderBy("run_id", "source_sequence").select("run_id", "source_sequence", "kind"), " SELECT run_id, source_sequence, kind FROM ev ORDER BY run_id, source_sequence")
-QUERIES["ss05_evict_by_priority"] = lambda s, d: T.evict_by_priority(events(s, d).dropDuplicates(["run_id", "source_sequence"]), 20, 2200).select("run_id", "source_sequence", "priority", "size", "kept")
+QUERIES["ss05_evict_by_priority"] = lambda s, d: T.evict_by_priority(events(s, d), 20, 2200).select("run_id", "source_sequence", "priority", "size", "kept")
 
 
 def neighbours(spark, sf):

@@ -59,19 +59,3 @@ def test_a_batch_played_again_is_there_once(spark, tmp_path):
     once = spark.read.parquet(f"{tmp_path}/out").count()
     play("lost")  # a checkpoint that knows of no batch
     assert spark.read.parquet(f"{tmp_path}/out").count() == once > 0
-
-
-def test_open_lifecycles(spark, tmp_path):
-    kind = "run_id string, tool_use_id string, kind string"
-    batches = [[("r", "t1", "tool_use"), ("r", "t2", "tool_use"), ("r", None, "tool_use")], [("r", "t1", "tool_post")], [("r", "t3", "tool_use")]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/part{i}")
-    (tmp_path / "in").mkdir()
-    for i in range(len(batches)):  # one at a time, in order
-        stream = runs.open_lifecycles(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), 1)
-        source = next((tmp_path / f"part{i}").glob("*.parquet"))
-        source.rename(tmp_path / "in" / f"{i}.parquet")
-        stream.writeStream.foreachBatch(lambda batch, n, i=i: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/run={i}-{n}")).option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    got = {(r.run.split("-")[0], r.tool_use_id, r.state) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got >= {("0", "t1", "partial"), ("0", "t2", "partial"), ("1", "t1", "closed"), ("2", "t3", "partial")}
-    assert [t for _, t, s in got if s == "timeout" and t == "t2"] == ["t2"]
