@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,28 +39,37 @@ def trimmed(c: Column) -> Column:
     return without(without(c, f"^{WS}+"), f"{WS}+$")
 
 
-def _folds() -> tuple[dict[str, str], dict[str, str]]:
-    """What case folding makes of characters that are lower case already: of one character, and of several."""
-    made = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c or len(c.lower()) == 1}
-    lower = {c.lower(): fold for c, fold in made.items() if fold != c.lower()}
-    return {c: f for c, f in lower.items() if len(f) == 1}, {c: f for c, f in lower.items() if len(f) > 1}
+#: Full case folding by one version of Unicode, Python's: of one character, and of several. Lower case isn't asked for, as the JVM's may be of another.
+FOLD_ONE = {c: f for c in map(chr, range(0x20000)) if (f := c.casefold()) != c and len(f) == 1}
+FOLD_SEVERAL = {c: f for c in map(chr, range(0x20000)) if len(f := c.casefold()) > 1}
+#: White space as in WS, character by character.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c worked out once for each row, also where the optimizer doesn't share it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
-FOLD_ONE, FOLD_SEVERAL = _folds()
 
+def case_folded(c: Column, spaces: str = "") -> Column:
+    """Full case folding, as of the final sigma, the sharp s and ligatures; the characters of `spaces` become spaces.
 
-def case_folded(c: Column) -> Column:
-    """Full case folding: lower case, then what Unicode folds further, as the final sigma, the sharp s and ligatures."""
-    c = F.translate(F.lower(c), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
-    several = c
-    for char, fold in FOLD_SEVERAL.items():
+    One table does all that folds to one character and leaves out what folds to several but the sharp s; where the text
+    is shorter then, those are replaced one by one.
+    """
+    rare = {char: fold for char, fold in FOLD_SEVERAL.items() if char != "ß"}
+    source, target = "".join(FOLD_ONE) + spaces, "".join(FOLD_ONE.values()) + " " * len(spaces)
+    several = F.translate(c, source, target)
+    for char, fold in rare.items():
         several = F.replace(several, F.lit(char), F.lit(fold))
-    return F.when(c.rlike("[" + "".join(FOLD_SEVERAL) + "]"), several).otherwise(c)
+    # what isn't in the target goes
+    one = once(F.translate(c, source + "".join(rare), target), lambda x: F.when(F.char_length(x) == F.char_length(c), x).otherwise(several))
+    return F.replace(one, F.lit("ß"), F.lit("ss"))
 
 
 def norm_text(c: Column) -> Column:
     """Comparable text: no white space, case folded."""
-    return case_folded(without(c, WS))
+    return F.replace(case_folded(c, SPACES), F.lit(" "), F.lit(""))
 
 
 def match_norm(c: Column) -> Column:
