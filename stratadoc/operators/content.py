@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .patterns import held_strings
+
 HEADING = r"^body\.heading\.outline([1-5])$"
 
 
@@ -220,27 +222,13 @@ def audit_presence(placed: DataFrame, final: DataFrame, norm) -> DataFrame:
     return placed.join(final, "doc_id").where(~norm(F.col("final_text")).contains(norm(F.col("text")))).select("doc_id", "block")
 
 
-#: A protected string of 2 GRAM - 1 characters or more holds a whole aligned piece of GRAM characters of any text that has it.
-GRAM = 8
-
-
 def leak_scan(canaries: DataFrame, surfaces: DataFrame, names: list[str]) -> DataFrame:
     """How many texts of each surface hold a protected string, anywhere in it; strings without hits keep a zero.
 
-    names: the surfaces. Texts offer their pieces of GRAM characters from the start, strings those at their first GRAM
-    places; what meets by an equal join is tested for the string. Shorter strings are the stated side of a plain test
-    of each text. Empty strings are in every text; null strings and texts in none.
+    names: the surfaces. Empty strings are in every text; null strings and texts in none.
     """
     own = canaries.select("canary_id", F.col("text").alias("canary"))
-    long = own.where(F.length("canary") >= 2 * GRAM - 1)
-    short = own.where(F.length("canary") < 2 * GRAM - 1)
-    asked = long.select("canary_id", "canary", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda i: F.substring("canary", i, F.lit(GRAM)))).alias("piece"))
-    texts = surfaces.select("surface", "text", F.xxhash64("text").alias("digest"))
-    offered = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{GRAM}}}"), F.lit(0)))).alias("piece"))
-    met = offered.join(asked, "piece").select("digest", "canary_id", "canary").distinct()
-    hits = texts.join(met, "digest").where(F.col("text").contains(F.col("canary"))).select("canary_id", "surface")
-    if short.take(1):
-        hits = hits.unionByName(texts.join(F.broadcast(short), F.col("text").contains(F.col("canary"))).select("canary_id", "surface"))
-    counts = hits.groupBy("canary_id", "surface").agg(F.count("*").alias("hits"))
+    counts = held_strings(surfaces.select("surface", "text"), own, string_col="canary").groupBy("canary", "surface").agg(F.count("*").alias("hits"))
+    counts = own.join(counts, "canary").select("canary_id", "surface", "hits")
     every = own.select("canary_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("surface"))
     return every.join(counts, ["canary_id", "surface"], "left").select("canary_id", "surface", F.coalesce("hits", F.lit(0)).alias("hits"))
