@@ -20,7 +20,7 @@ def test_alignment(spark):
     assert got[0] == (1, 0.96) and got[1] == (2, 1.0) and got[2] == (3, 0.62) and got[3][0] == 4 and got[4] == (None, 0.0)
     score, method = alignment.paragraph_similarity(F.col("a"), F.col("b"))
     pairs = spark.createDataFrame([("x", "x"), ("ab c", "abc"), ("", ""), ("abcdefgh", "xabcdefghx"), ("abcdefghij", "abcdefghxj"), ("abc", "xyz")], "a string, b string")
-    assert [(r.m, round(r.s, 2)) for r in pairs.select(score.alias("s"), method.alias("m")).collect()] == [("exact", 1.0), ("normalised", 0.96), ("empty", 0.62), ("contained", 0.86), ("ratio", 0.81), ("none", 0.0)]
+    assert [(r.m, round(r.s, 2)) for r in pairs.select(score.alias("s"), method.alias("m")).collect()] == [("exact_text", 1.0), ("normalized_text", 0.96), ("empty_context", 0.62), ("gold_text_contained", 0.86), ("fuzzy_text", 0.81), ("no_evidence", 0.0)]
 
 
 def test_docx(spark, tmp_path):
