@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -64,6 +66,28 @@ def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(function: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator of a task that gives its memory back at the end, as Python workers stay between tasks."""
+
+    @functools.wraps(function)
+    def run(*args):
+        try:
+            yield from function(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's cleaner drop the shuffle files of steps whose results are written; it waits for a collection of garbage.
 

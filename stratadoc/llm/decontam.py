@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import frugal, slices, written
 from .words import Layout, WordTable
 
 FEATURES, RANK = 1 << 16, 256
@@ -77,6 +77,7 @@ def features(ids: np.ndarray) -> np.ndarray:
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """How many documents have each feature, and how many documents with words there are."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros(FEATURES + 1, np.int64)
         for batch in slices(batches, 0):
@@ -120,6 +121,7 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> t
     """
     sent = passages.sparkSession.sparkContext.broadcast(weight)
 
+    @frugal
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), {}
         for batch in batches:
@@ -143,6 +145,7 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> t
     q = q[:, np.abs(np.diag(r)) > 1e-9 * np.abs(np.diag(r)).max()]
     basis = passages.sparkSession.sparkContext.broadcast(q)
 
+    @frugal
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros((basis.value.shape[1],) * 2)
         for batch in batches:
@@ -184,6 +187,7 @@ def chunks(text: str) -> list[str]:
 def parted(items: DataFrame) -> DataFrame:
     """items(item_id, text, answer) with their chunks."""
 
+    @frugal
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([chunks(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
@@ -323,6 +327,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str =
             known, basis = latent_basis(own.select(F.explode("chunks").alias("text")), weight, rank)
             sent.append(context.broadcast(([tuple(r) for r in own.orderBy("item_id", "text").collect()], weight, known, basis)))  # bounded by BLOCK_WORDS
 
+        @frugal
         def search(batches: Iterator[pa.RecordBatch], sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
             indexes, words = [Index(*x.value) for x in sent], Words()
             for batch in slices(batches):

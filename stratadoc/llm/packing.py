@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import frugal, slices, written
 from .tokens import default_tokenizer
 from .words import Layout, WordTable
 
@@ -138,6 +138,7 @@ def encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, hilbert_key, doc_tokens, ids): ids binary, little-endian, 2 or 4 bytes each, the end id last."""
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in slices(batches):
@@ -206,6 +207,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, id_col: str = "do
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "hilbert_key"]
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, schema = Cutter(length, TaskContext.get().partitionId() << 32), None
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop_written, release, single_rows, slices, written
+from .common import drop_written, frugal, give_back, release, single_rows, slices, written
 
 ORDER, BITS = 4, 12
 BLOB = 8 << 20
@@ -51,6 +51,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
     schema = f"blob long, ids array<{src.schema[0].dataType.simpleString()}>, langs array<string>, sizes array<long>, n_bytes long, data binary"
 
+    @frugal
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1, BLOB):
@@ -129,6 +130,7 @@ def classes(blobs: DataFrame, labels: DataFrame) -> DataFrame:
 def counted(blobs: DataFrame) -> DataFrame:
     """(class, code, n) of labelled documents."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             of = {x["place"]: x["class"] for x in row["classes"]}
@@ -244,6 +246,7 @@ def codes_of(row: dict, known: set[int]) -> np.ndarray:
 def requests(blobs: DataFrame, known: set[int], shards: int) -> DataFrame:
     """(shard, blob, codes): the distinct n-grams of each blob, in order."""
 
+    @frugal
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             code = codes_of(row, known)
@@ -268,6 +271,7 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 
 def distinct_codes(asked: DataFrame) -> DataFrame:
+    @frugal
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for codes in batch.column(0).to_pylist():
@@ -298,6 +302,7 @@ def answers(asked: DataFrame, found: DataFrame, shards: int) -> DataFrame:
         for row in ask.itertuples():
             at = np.searchsorted(code, np.cumsum(unpack(row.codes, np.int64)))
             rows.append((row.blob, row.shard, *(pack(x[at]) for x in logs)))
+        give_back()
         return pd.DataFrame(rows, columns=["blob", "shard", "l_t", "l_x"])
 
     def sharded(codes: pd.Series) -> pd.Series:
@@ -315,6 +320,7 @@ def scores(blobs: DataFrame, answered: DataFrame, known: set[int], shards: int)
 
     kind = to_arrow_type(blobs.schema["ids"].dataType.elementType)
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             code = codes_of(row, known)

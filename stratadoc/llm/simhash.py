@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, slices, written
+from .common import drop_written, frugal, slices, written
 
 #: Fingerprints compared at once, and fingerprints a tile of columns holds.
 QUERIES, COLUMNS = 256, 1 << 16
@@ -200,6 +200,7 @@ def links(blocks: DataFrame, radius: int) -> DataFrame:
     two of them is as good), and a run's memory is its fingerprints.
     """
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, prints, key, run = [], [], None, []
 
@@ -259,6 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, print): the 64-bit fingerprint of each text as 8 little-endian bytes; null and wordless texts give zero."""
 
+    @frugal
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = [shingle_fingerprint(t or "", size).to_bytes(8, "little") for t in batch.column(1).to_pylist()]
@@ -336,6 +338,7 @@ def wide_prints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataF
     """(id, class, print, keys, n, shingles): class hashes the words in order; a text without words has no keys and shingles."""
     spread = seeds(WIDE_BITS // 64, 11)
 
+    @frugal
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
@@ -440,6 +443,7 @@ def similar_links(blocks: DataFrame, propose: Proposal, similarity: float) -> Da
     blocks are compared together, as a link across two of them is as good.
     """
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(run: list[tuple], apart: bool) -> pa.RecordBatch:
             rows = [*{(r[4], r[7]): r for r in run}.values()]  # a row of each node and text

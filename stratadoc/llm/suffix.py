@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, single_rows, slices, written
+from .common import frugal, release, single_rows, slices, written
 
 SIZE, GRAM = 50, 20
 BLOB = 2 << 20
@@ -51,6 +51,7 @@ def unpack(data: bytes, kind) -> np.ndarray:
 def store(docs: DataFrame, id_col: str, text_col: str, rest: Column) -> DataFrame:
     """Blobs of whole documents that have an id, some megabytes each; rest: what else to carry for each, of any type that Arrow has."""
 
+    @frugal
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in STORE.split(", ")]
@@ -73,6 +74,7 @@ def copies(blobs: DataFrame) -> DataFrame:
     def places(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"blob": frame["blob"][:1], "copied": [pack(np.sort(frame["place"].to_numpy(np.int32)))]})
 
+    @frugal
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, ids, digests in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -151,6 +153,7 @@ def with_blobs(blobs: DataFrame, *sides: DataFrame) -> DataFrame:
 def anchors(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
     """(bucket, blob, n, hashes, several): the distinct anchor hashes of a blob's bucket in order, and which of them several of its documents have."""
 
+    @frugal
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             h, _, _, doc = Blob(row, row["copied"]).contexts(size)
@@ -193,6 +196,7 @@ CONTEXTS = "shard int, blob long, local boolean, at binary, ids binary, sizes bi
 def repeated_contexts(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
     """Rows of CONTEXTS: for each shard a blob's contexts with shared anchors; `local` rows hold marks (at, sizes) that need no shard."""
 
+    @frugal
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in CONTEXTS.split(", ")]
@@ -400,6 +404,7 @@ def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest:
     found = marks(repeated_contexts(with_blobs(blobs.select(*light), same, kept), size, buckets), size)
     gathered = found.groupBy("blob").agg(F.collect_list(F.struct("at", "sizes")).alias("marks"))
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rest"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
@@ -449,6 +454,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("boolean").alias("none")]).alias("own"))
 
+    @frugal
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [x.decode(errors="ignore") for x in batch.column(1).to_pylist()]
