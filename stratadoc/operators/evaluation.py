@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .patterns import held_strings
 
-#: Queries of a search that are sent to every task at once.
-QUERY_BLOCK = 1000
-
-
 def first_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key in source order, so that a join never multiplies rows."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -47,6 +44,29 @@ def compare_values(actual: DataFrame, gold: DataFrame, equal) -> DataFrame:
     return rows.select("doc_id", "object_id", F.when(F.col("found").isNull(), "no_key").when(equal(F.col("value"), F.col("actual_value")), "exact").otherwise("mismatch").alias("result"))
 
 
+def compare_item_values(actual: DataFrame, gold: DataFrame, equal) -> DataFrame:
+    """(doc_id, item_id, object_id, result) of gold items' values: exact or mismatch, for whole groups (object_id null) or by source.
+
+    actual(doc_id, seq, sources, field_id, value): items with their ordered sources. gold(doc_id, item_id, field_id, value,
+    pieces): pieces are the sources in order, structs (object_id, text). A gold item whose sources and field an actual one
+    has as they are is compared as a whole. Any other is compared source by source, where an actual item of the field has
+    the source, the first by seq if several do: with the source's own text if the pieces' texts joined equal the item's
+    value, else with the whole value. What isn't there isn't compared. equal: whether two values are the same.
+    """
+    keyed = lambda df, sources: df.withColumn("_key", F.when(F.size(sources) > 0, F.to_json(F.struct(F.lit(0).alias("v"), sources.alias("s"), F.col("field_id").alias("f")))))
+    groups = first_per(keyed(actual, F.col("sources")).where("_key is not null"), ["doc_id", "_key"], "seq").select("doc_id", "_key", F.col("value").alias("_group"), F.lit(True).alias("_whole"))
+    own = keyed(gold, F.transform("pieces", lambda x: x["object_id"])).join(groups, ["doc_id", "_key"], "left")
+    judged = lambda observed, expected: F.when(equal(observed, expected), "exact").otherwise("mismatch").alias("result")
+    whole = own.where("_whole").select("doc_id", "item_id", F.lit(None).cast("string").alias("object_id"), judged(F.col("_group"), F.col("value")))
+    joined = F.array_join(F.transform("pieces", lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    pieces = own.where("_whole is null").withColumn("_split", F.col("value").isNotNull() & equal(F.col("value"), joined))
+    pieces = pieces.select("doc_id", "item_id", "field_id", "value", "_split", F.explode("pieces").alias("_p"))
+    expected = pieces.select("doc_id", "item_id", F.col("_p.object_id").alias("object_id"), "field_id", F.when(F.col("_split"), F.col("_p.text")).otherwise(F.col("value")).alias("_expected"))
+    found = actual.select("doc_id", "seq", "field_id", F.col("value").alias("_observed"), F.explode("sources").alias("object_id")).where("field_id is not null")
+    rows = expected.join(first_per(found, ["doc_id", "object_id", "field_id"], "seq").drop("seq"), ["doc_id", "object_id", "field_id"])
+    return whole.unionByName(rows.select("doc_id", "item_id", "object_id", judged(F.col("_observed"), F.col("_expected"))))
+
+
 def compare_grouping(actual: DataFrame, gold: DataFrame) -> DataFrame:
     """Bindings (ordered sources, field or status) of both sides: exact, missing, unexpected; `copies` tells duplicates."""
     count = lambda df, n: df.groupBy("doc_id", "binding").agg(F.count("*").alias(n))
@@ -209,24 +229,50 @@ def check_registry(registry: DataFrame) -> DataFrame:
     return blank.unionByName(twice).unionByName(parents).unionByName(sources).unionByName(policy)
 
 
+#: What a query scores where a field's id or label is the query, holds it, its meaning or its notes hold it; and what a term scores; fixed values.
+WHOLE, HELD, TERM = 1000, {"field_id": 800, "label": 800, "meaning": 500, "notes": 200}, {"field_id": 110, "label": 90, "meaning": 40, "notes": 20}
+
+
+def best(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of each key with the highest score, first by seq among equals; ranked in buckets first, so a frequent key is no single task."""
+    order = [F.desc("score"), F.col("seq")]
+    near = rows.withColumn("_r", F.row_number().over(W.partitionBy(key, F.pmod(F.xxhash64("seq"), F.lit(64))).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def search_registry(queries: DataFrame, registry: DataFrame, norm, k: int = 5) -> DataFrame:
-    """The k best fields for each query: exact 1000, contained 800, in the meaning 500, else per term; ties by registry order.
+    """(query_id, field_id, score, rank): the k best fields for queries(query_id, query, terms) in a registry(seq, field_id, label, meaning, notes), ties by seq.
+
+    A query scores 1000 where id or label is the query, 800 where they hold it, 500 where the meaning does, 200 where the
+    notes do; else each of its terms scores by the first of id, label, meaning and notes that holds it. norm: the
+    comparable form of texts. Empty queries find nothing, empty terms count for nothing.
 
-    Queries are the stated side: blocks of QUERY_BLOCK of them meet the fields where they lie. A query's fields are
-    ranked in buckets first, so a frequent term is no single task.
+    An index has for each different query and term the fields that hold it. A query's k-th best score is bounded from
+    below by the best few fields of its whole and of each term alone. Terms with the most fields, whose greatest scores
+    together are below that bound, can't bring in a field of their own: only those of the other terms are candidates, and
+    are looked up in the index for all terms. So a term that every field holds costs its best k fields alone.
     """
-    fields = registry.select("seq", "field_id", norm(F.col("field_id")).alias("_f"), norm(F.col("label")).alias("_l"), norm(F.col("meaning")).alias("_m"))
-    asked = queries.withColumn("_q", norm(F.col("query"))).select("query_id", "terms", "_q")
-    blocks, found = max(1, -(-asked.count() // QUERY_BLOCK)), None
-    inside = lambda x: F.coalesce(F.col("_f").contains(x) | F.col("_l").contains(x) | F.col("_m").contains(x), F.lit(False))
-    term = lambda t: F.when(F.col("_f").contains(t), 110).when(F.col("_l").contains(t), 90).when(F.col("_m").contains(t), 40).otherwise(0)
-    terms = F.aggregate("terms", F.lit(0), lambda a, t: a + term(t))
-    score = F.when((F.col("_q") == F.col("_f")) | (F.col("_q") == F.col("_l")), 1000).when(F.col("_f").contains(F.col("_q")) | F.col("_l").contains(F.col("_q")), 800).when(F.col("_m").contains(F.col("_q")), 500).otherwise(terms)
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = fields.join(F.broadcast(own), inside(F.col("_q")) | F.exists("terms", inside)).select("query_id", "seq", "field_id", score.cast("long").alias("score"))
-        found = rows if found is None else found.unionByName(rows)
-    best = [F.desc("score"), F.col("seq")]
-    near = found.where("score > 0").withColumn("_r", F.row_number().over(W.partitionBy("query_id", F.pmod(F.xxhash64("seq"), F.lit(64))).orderBy(*best))).where(F.col("_r") <= k)
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "field_id", "score", F.col("rank").cast("long").alias("rank"))
+    asked = queries.select("query_id", norm(F.col("query")).alias("q"), F.transform("terms", norm).alias("terms")).where("q <> ''")
+    if "notes" not in registry.columns:
+        registry = registry.withColumn("notes", F.lit(None).cast("string"))
+    parts = registry.select("seq", F.explode(F.array(*[F.struct(F.lit(c).alias("part"), norm(F.col(c)).alias("text")) for c in HELD])).alias("p")).select("seq", "p.part", "p.text").where("text is not null")
+    wanted = asked.select("query_id", F.explode("terms").alias("string")).where("string <> ''").groupBy("query_id", "string").agg(F.count("*").alias("times"))
+    strings = asked.select(F.col("q").alias("string")).unionByName(wanted.select("string"))
+    of = lambda scores: F.create_map(*[F.lit(x) for item in scores.items() for x in item])[F.col("part")]
+    held = held_strings(parts.withColumn("size", F.char_length("text")), strings)
+    same = F.when((F.col("size") == F.char_length("string")) & F.col("part").isin("field_id", "label"), WHOLE)
+    index = cut(held.groupBy("string", "seq").agg(F.max(F.coalesce(same, of(HELD))).cast("long").alias("whole"), F.max(of(TERM)).cast("long").alias("term")))
+    whole = asked.select("query_id", F.col("q").alias("string"))
+    few = best(index.withColumn("score", F.col("term")), "string", k).select("string", "seq", "term")
+    first = best(index.withColumn("score", F.col("whole")), "string", k).select("string", "seq", "whole")
+    held_whole = lambda rows: rows.join(whole, "query_id", "left").join(index.select("string", "seq", "whole"), ["string", "seq"], "left").select("query_id", "seq", F.coalesce("whole", "score").alias("score"))
+    by_whole = cut(whole.join(first, "string").select("query_id", "seq", F.col("whole").alias("score")))
+    some = wanted.join(few, "string").groupBy("query_id", "seq").agg(F.sum(F.col("term") * F.col("times")).alias("score"))
+    least = best(held_whole(some).unionByName(by_whole).distinct(), "query_id", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    sizes = index.groupBy("string").agg(F.count("*").alias("n"), F.max("term").alias("most"))
+    upto = F.sum(F.col("most") * F.col("times")).over(W.partitionBy("query_id").orderBy(F.desc("n"), "string").rowsBetween(W.unboundedPreceding, 0))
+    leading = wanted.join(sizes, "string").withColumn("upto", upto).join(least, "query_id", "left").where("least is null or upto >= least").select("query_id", "string")
+    candidates = leading.join(index.select("string", "seq"), "string").select("query_id", "seq").distinct()
+    scored = candidates.join(wanted, "query_id").join(index.select("string", "seq", "term"), ["string", "seq"]).groupBy("query_id", "seq").agg(F.sum(F.col("term") * F.col("times")).alias("score"))
+    ranked = best(held_whole(scored).unionByName(by_whole).distinct(), "query_id", k)
+    return ranked.join(registry.select("seq", "field_id"), "seq").select("query_id", "field_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))

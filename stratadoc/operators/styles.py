@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graphs import find_cycles, reachable  # noqa: F401  part of this module's operators
 from .lineage import cut
 
-#: Squared relations are followed only while they have at most so many times the rows of the first one.
-GROWTH = 4
-
-
 def style_chain(styles: DataFrame) -> DataFrame:
     """(style_id, ancestor, depth, reason): each style's chain upward, depth 0 itself.
 
@@ -56,84 +53,6 @@ def cascade(layers: DataFrame) -> DataFrame:
     return layers.groupBy("occurrence_id", "path").agg(flip.alias("value"), F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["rank"].cast("string"), x["value"])), ",").alias("trail"))
 
 
-def squared(jumps: DataFrame, most: int) -> DataFrame | None:
-    """Two jumps (src, dst) at once; none if there are more than `most` such pairs, or no pair."""
-    pairs = cut(jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct())
-    return pairs if 0 < pairs.count() <= most else None
-
-
-def reachable(seeds: DataFrame, edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node) reached from the seeds over edges(src, dst, external), and (node) targets that aren't known.
-
-    Breadth first, to the end: each round joins the new nodes alone. In deep graphs, squared edges are followed too,
-    as long as they are few.
-    """
-    steps = jumps = edges.where("not external").select("src", "dst").distinct()
-    seen = frontier = cut(seeds.select("node").distinct())
-    rounds, most = 0, None
-    while True:
-        fresh = cut(frontier.join(steps, frontier.node == steps.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if not fresh.take(1):
-            return seen, seen.join(known.select("node"), "node", "left_anti")
-        seen, frontier, rounds = seen.unionByName(fresh), fresh, rounds + 1
-        if rounds % 4 == 0 and jumps is not None:
-            most = steps.count() * GROWTH if most is None else most
-            jumps = squared(jumps, most)
-            if jumps is not None:
-                seen = frontier = cut(seen)
-                steps = steps.unionByName(jumps)
-
-
-def trimmed(edges: DataFrame) -> DataFrame:
-    """The edges on paths from cycle to cycle: what begins or ends a path that doesn't go on is taken away again and again.
-
-    Later rounds look 2, 4, 8 ... edges ahead and back at once, while such pairs are few.
-    """
-    left, rounds = cut(edges.select("src", "dst").distinct()), 0
-    n = left.count()
-    most = GROWTH * n
-    while n:
-        rounds, jumps = rounds + 1, left
-        for _ in range(rounds // 2):
-            if (more := squared(jumps, most)) is None:
-                break
-            jumps = more
-        left = cut(left.join(jumps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(jumps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        before, n = n, left.count()
-        if n == before:
-            break
-    return left
-
-
-def find_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle of edges(src, dst), an edge from a node to itself included.
-
-    What only leads into cycles or out of them is trimmed. If then each node has one edge, all are on cycles; else each
-    node takes the smallest name that reaches it as its colour, and the nodes of a colour that reach back to that name
-    are one component, whose edges go, until no edge is left.
-    """
-    left, found = trimmed(edges), edges.select(F.col("src").alias("node")).limit(0)
-    while n := left.count():
-        nodes = left.select(F.col("src").alias("node")).distinct()
-        if nodes.count() == n:
-            return found.unionByName(nodes)
-        colour, changed = cut(nodes.withColumn("colour", F.col("node"))), 1
-        while changed:
-            incoming = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
-            new = cut(colour.join(incoming, "node", "left").select("node", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("changed")))
-            changed, colour = new.where("changed").count(), new.select("node", "colour")
-        of_src, of_dst = (colour.select(F.col("node").alias(x), F.col("colour").alias(f"_{x}")) for x in ("src", "dst"))
-        back = left.join(of_src, "src").join(of_dst, "dst").where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("external"))
-        heads = colour.where("node = colour").select("node")
-        members = cut(reachable(heads, back, heads)[0].join(colour, "node"))
-        several = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
-        loops = left.where("src = dst").select(F.col("src").alias("node"))
-        found = found.unionByName(members.join(several, "colour", "left_semi").select("node")).unionByName(members.select("node").join(loops, "node", "left_semi"))
-        gone = members.select("node")
-        left = trimmed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return found.distinct()
-
-
 def select_roles(actual: DataFrame, school: DataFrame, preset: DataFrame) -> DataFrame:
     """Per role the complete school style, else the complete preset; never a mixture of both."""
     whole = lambda df, n: df.select("role", F.struct("digest", "properties").alias(n))

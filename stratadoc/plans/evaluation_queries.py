@@ -40,6 +40,34 @@ both(
 )
 
 
+def value_groups(s, d):
+    """Gold items of up to two blocks of a field, some with their first block's value alone; actual ones, some of which are single blocks, lack one or have another value."""
+    rows = X.items(s, d).where("field_id is not null").withColumn("g", F.floor(F.col("block") / 14))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "object_id", F.col("value").alias("text"))))
+    of = rows.groupBy("doc_id", "g", "field_id").agg(pieces.alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    gold = of.select("doc_id", F.concat_ws(":", "g", "field_id").alias("item_id"), "field_id", F.when(F.col("g") % 3 == 2, F.col("p")[0]["text"]).otherwise(joined).alias("value"), F.transform("p", lambda x: F.struct(x["object_id"].alias("object_id"), x["text"].alias("text"))).alias("pieces"))
+    whole = of.where("(doc_id + g) % 2 = 0").select("doc_id", F.col("g").alias("seq"), F.transform("p", lambda x: x["object_id"]).alias("sources"), "field_id", F.when(F.col("g") % 5 == 1, F.concat(F.upper(joined), F.lit(" "))).when(F.col("g") % 5 == 2, "other").otherwise(joined).alias("value"))
+    single = rows.where("(doc_id + g) % 2 = 1 and block % 9 > 0").select("doc_id", F.col("block").alias("seq"), F.array("object_id").alias("sources"), "field_id", F.when(F.col("block") % 4 == 1, F.concat(F.lit(" "), "value")).when(F.col("block") % 4 == 2, F.concat("value", F.lit("?"))).otherwise(F.col("value")).alias("value"))
+    return whole.unionByName(single), gold
+
+
+both(
+    "jn06_compare_item_values",
+    lambda s, d: E.compare_item_values(*value_groups(s, d), T.values_equal).groupBy("doc_id", "item_id", "result").agg(F.count("*").alias("n"), F.count("object_id").alias("by_source")),
+    f""", r AS (SELECT *, block // 14 AS g FROM items WHERE field_id IS NOT NULL), o AS (SELECT doc_id, g, field_id, list(object_id ORDER BY block) AS src, list(value ORDER BY block) AS txt, string_agg(value, '' ORDER BY block) AS j FROM r GROUP BY ALL),
+    gd AS (SELECT doc_id, g || ':' || field_id AS item_id, g, field_id, src, txt, CASE WHEN g % 3 = 2 THEN txt[1] ELSE j END AS v FROM o),
+    wh AS (SELECT doc_id, src, field_id, CASE WHEN g % 5 = 1 THEN upper(j) || ' ' WHEN g % 5 = 2 THEN 'other' ELSE j END AS v FROM o WHERE (doc_id + g) % 2 = 0),
+    si AS (SELECT doc_id, object_id, field_id, CASE WHEN block % 4 = 1 THEN ' ' || value WHEN block % 4 = 2 THEN value || '?' ELSE value END AS v FROM r WHERE (doc_id + g) % 2 = 1 AND block % 9 > 0),
+    every AS (SELECT doc_id, src, field_id, v FROM wh UNION ALL SELECT doc_id, [object_id], field_id, v FROM si),
+    grp AS (SELECT gd.doc_id, gd.item_id, CAST(NULL AS VARCHAR) AS object_id, {norm_sql('e.v')} = {norm_sql('gd.v')} AS same FROM gd JOIN every e ON e.doc_id = gd.doc_id AND e.src = gd.src AND e.field_id = gd.field_id),
+    pc AS (SELECT doc_id, item_id, field_id, v, j = 1 AS frag, unnest(src) AS object_id, unnest(txt) AS t FROM (SELECT *, CASE WHEN {norm_sql('v')} = {norm_sql("array_to_string(txt, '')")} THEN 1 ELSE 0 END AS j FROM gd) WHERE item_id || '@' || doc_id NOT IN (SELECT item_id || '@' || doc_id FROM grp)),
+    sr AS (SELECT doc_id, unnest(src) AS object_id, field_id, v FROM every),
+    res AS (SELECT * FROM grp UNION ALL SELECT pc.doc_id, pc.item_id, pc.object_id, {norm_sql('sr.v')} = {norm_sql('CASE WHEN pc.frag THEN pc.t ELSE pc.v END')} FROM pc JOIN sr USING (doc_id, object_id, field_id))
+    SELECT doc_id, item_id, CASE WHEN same THEN 'exact' ELSE 'mismatch' END AS result, count(*) AS n, count(object_id) AS by_source FROM res GROUP BY ALL""",
+)
+
+
 def bindings(df, again):
     own = df.withColumn("binding", E.binding(F.array("object_id"), F.col("field_id"), F.lit("classified")))
     return own.unionByName(own.where(again))
@@ -150,12 +178,13 @@ def registry(s, d):
         F.concat("p_type", F.lit(" "), "p_brand").alias("meaning"),
         F.when(p % 37 == 0, F.array().cast("array<string>")).when(p % 43 == 0, F.array(F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("a"))).alias("value_sources"),
         F.when(p % 61 == 0, "maybe").when(p % 2 == 0, "required").otherwise("optional").alias("student_extraction_policy"),
+        F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("notes"),
         F.lit("blue").alias("colour"),
     )
     return E.load_registry(X.table(s, d, "part").select(p.cast("long").alias("seq"), F.to_json(field).alias("json")))
 
 
-REGISTRY = ", reg AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 41 > 0 THEN 'f.' || CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE p_partkey END END AS field_id, CASE WHEN p_partkey % 7 = 0 THEN 'f.' || p_partkey // 7 WHEN p_partkey % 90 = 3 THEN 'f.none' END AS parent_field_id, p_name AS label, p_type || ' ' || p_brand AS meaning, p_partkey % 37 = 0 OR p_partkey % 43 = 0 AS bare, p_partkey % 61 = 0 AS maybe FROM part)"
+REGISTRY = ", reg AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 41 > 0 THEN 'f.' || CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE p_partkey END END AS field_id, CASE WHEN p_partkey % 7 = 0 THEN 'f.' || p_partkey // 7 WHEN p_partkey % 90 = 3 THEN 'f.none' END AS parent_field_id, p_name AS label, p_type || ' ' || p_brand AS meaning, 'size ' || p_size AS notes, p_partkey % 37 = 0 OR p_partkey % 43 = 0 AS bare, p_partkey % 61 = 0 AS maybe FROM part)"
 both(
     "src03_check_registry",
     lambda s, d: E.check_registry(registry(s, d)),
@@ -215,14 +244,14 @@ both(
 
 
 def asked(s, d):
-    return X.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in ("Cold Widget", "widget", "promo", "small promo", "brand#1", "nothing here")]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("query")).withColumn("terms", F.split("query", " "))
+    return X.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in ("Cold Widget", "widget", "promo", "small promo", "brand#1", "nothing here", "size 2", "size small")]), (F.col("n_nationkey") % 8 + 1).cast("int")).alias("query")).withColumn("terms", F.split("query", " "))
 
 
-TERM = "CASE WHEN contains(lower(field_id), lower(t)) THEN 110 WHEN contains(replace(lower(label), ' ', ''), lower(t)) THEN 90 WHEN contains(replace(lower(meaning), ' ', ''), lower(t)) THEN 40 ELSE 0 END"
+TERM = "CASE WHEN contains(lower(field_id), lower(t)) THEN 110 WHEN contains(replace(lower(label), ' ', ''), lower(t)) THEN 90 WHEN contains(replace(lower(meaning), ' ', ''), lower(t)) THEN 40 WHEN contains(replace(lower(notes), ' ', ''), lower(t)) THEN 20 ELSE 0 END"
 both(
     "tk01_search_registry",
-    lambda s, d: E.search_registry(asked(s, d).withColumn("terms", F.transform("terms", F.lower)), registry(s, d).where("field_id is not null"), T.norm_text, 3),
-    REGISTRY + f""", qs AS (SELECT n_nationkey AS query_id, ['Cold Widget', 'widget', 'promo', 'small promo', 'brand#1', 'nothing here'][n_nationkey % 6 + 1] AS q FROM nation), nq AS (SELECT *, replace(lower(q), ' ', '') AS x, replace(lower(label), ' ', '') AS l, replace(lower(meaning), ' ', '') AS m FROM qs, reg WHERE field_id IS NOT NULL),
-    sc AS (SELECT *, CASE WHEN x = field_id OR x = l THEN 1000 WHEN contains(field_id, x) OR contains(l, x) THEN 800 WHEN contains(m, x) THEN 500 ELSE CAST((SELECT sum({TERM}) FROM (SELECT unnest(string_split(q, ' ')) AS t)) AS BIGINT) END AS score FROM nq)
+    lambda s, d: E.search_registry(asked(s, d), registry(s, d).where("field_id is not null"), T.norm_text, 3),
+    REGISTRY + f""", qs AS (SELECT n_nationkey AS query_id, ['Cold Widget', 'widget', 'promo', 'small promo', 'brand#1', 'nothing here', 'size 2', 'size small'][n_nationkey % 8 + 1] AS q FROM nation), nq AS (SELECT *, replace(lower(q), ' ', '') AS x, replace(lower(label), ' ', '') AS l, replace(lower(meaning), ' ', '') AS m, replace(lower(notes), ' ', '') AS o FROM qs, reg WHERE field_id IS NOT NULL),
+    sc AS (SELECT *, CASE WHEN x = field_id OR x = l THEN 1000 WHEN contains(field_id, x) OR contains(l, x) THEN 800 WHEN contains(m, x) THEN 500 WHEN contains(o, x) THEN 200 ELSE CAST((SELECT sum({TERM}) FROM (SELECT unnest(string_split(q, ' ')) AS t)) AS BIGINT) END AS score FROM nq)
     SELECT query_id, field_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""",
 )

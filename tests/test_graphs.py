@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratadoc.operators import content as C
+from stratadoc.operators import graphs as G
 from stratadoc.operators import styles as S
 
 
@@ -61,6 +63,53 @@ def test_cycles(spark, kind):
     assert len(got) == len(set(got)) and set(got) == plain_cycles(edges)
 
 
+def test_a_ring_of_ten_thousand_with_chords(spark, monkeypatch):
+    """Rounds, each one checkpoint at most, grow with the logarithm of the ring."""
+    rounds, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: rounds.append(1) or cut(df))
+    rng, n = random.Random(4), 10_000
+    edges = [(k, (k + 1) % n) for k in range(n)] + [(k, k + 5000) for k in range(50, 4000, 900)] + [(77, 20_000)] + [(20_000 + k, 20_001 + k) for k in range(500)] + [(30_000 + k, 30_000 + (k + 1) % 700) for k in range(700)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node for r in G.find_cycles(df).collect()} == {*range(n), *range(30_000, 30_700)} and len(rounds) < 80
+    rounds.clear()
+    seen, missing = G.reachable(spark.createDataFrame([(20_100,), (5,)], "node long"), df.withColumn("external", F.lit(False)), df.select(F.col("src").alias("node")))
+    assert seen.count() == n + 501 and [r.node for r in missing.collect()] == [20_500] and len(rounds) < 80
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_graphs(spark, seed):
+    """Trees, rings, rings with tails and knots, against plain search."""
+    rng = random.Random(seed)
+    edges = [(f"t{k}", f"t{rng.randrange(k)}") if seed % 2 else (f"t{rng.randrange(k)}", f"t{k}") for k in range(1, 60)]
+    edges += [(f"r{k}", f"r{(k + 1) % 20}") for k in range(20)] + [(f"g{rng.randrange(25)}", f"g{rng.randrange(25)}") for _ in range(rng.randrange(15, 45))]
+    every = [x for e in edges for x in e]
+    edges += [(rng.choice(every), rng.choice(every)) for _ in range(6)]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(todo):
+        seen = {*todo}
+        todo = [*todo]
+        while todo:
+            for x in out.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    df = spark.createDataFrame(edges, "src string, dst string")
+    labels = {r.node: r.component for r in G.strong_components(df).collect()}
+    far = {v: reach([v]) for v in set(every)}
+    assert all((labels[a] == labels[b]) == (a in far[b] and b in far[a]) for a in far for b in far) and labels.keys() == far.keys()
+    seeds = rng.sample(sorted(far), 3)
+    seen, _ = G.reachable(spark.createDataFrame([(v,) for v in seeds], "node string"), df.withColumn("external", F.lit(False)), df.select(F.col("src").alias("node")))
+    got = [r.node for r in seen.collect()]
+    assert len(got) == len(set(got)) and set(got) == reach(seeds)
+    assert {r.node for r in G.find_cycles(df).collect()} == plain_cycles(edges)
+
+
 def test_a_chain_of_a_thousand(spark):
     edges = spark.createDataFrame([(a, b, False) for a, b in DEEP] + [("n0500", "out", True)], "src string, dst string, external boolean")
     seen, missing = S.reachable(spark.createDataFrame([("n0000",)], "node string"), edges, edges.select(edges.src.alias("node")))

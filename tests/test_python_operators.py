@@ -24,19 +24,42 @@ def test_alignment(spark):
 
 
 def test_docx(spark, tmp_path):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>One</w:t></w:r><w:r><w:t>Two</w:t></w:r></w:p><w:p><w:pPr><w:sectPr/></w:pPr></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:sdt><w:sdtPr><w:tag w:val="title"/></w:sdtPr></w:sdt></w:body></w:document>'
+    spaces = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    t = lambda x: f"<w:r><w:t>{x}</w:t></w:r>"
+    box = f"<w:r><w:txbxContent><w:p>{t('in a box')}</w:p><w:p>{t('second')}</w:p></w:txbxContent></w:r>"
+    rows = f"<w:tr><w:tc><w:p>{t('a')}</w:p></w:tc><w:tc><w:p>{t('b')}</w:p></w:tc></w:tr><w:tr><w:tc><w:p>{t('c')}</w:p><w:tbl><w:tr><w:tc><w:p>{t('deep')}</w:p></w:tc></w:tr></w:tbl></w:tc></w:tr>"
+    body = (
+        f'<w:document {spaces}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{t("One")}{t("Two")}{box}</w:p><w:p><w:pPr><w:sectPr/></w:pPr></w:p><w:tbl>{rows}</w:tbl>'
+        f'<w:p>{t("see ")}<w:sdt><w:sdtPr><w:alias w:val="A"/><w:tag w:val="inline"/></w:sdtPr><w:sdtContent>{t("here")}</w:sdtContent></w:sdt><w:fldSimple w:instr="PAGE"/><m:oMath><m:t>x=1</m:t></m:oMath><a:blip r:embed="r1"/></w:p>'
+        f'<w:sdt><w:sdtPr><w:tag w:val="title"/></w:sdtPr><w:sdtContent><w:p>{t("block")}</w:p></w:sdtContent></w:sdt></w:body></w:document>'
+    )
     rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="image" Target="media/a.png"/></Relationships>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", body)
+        z.writestr("word/header1.xml", f"<w:hdr {spaces}><w:p>{t('top')}</w:p></w:hdr>")
+        z.writestr("word/footer1.xml", "<w:ftr")
         z.writestr("word/_rels/document.xml.rels", rels)
+        z.writestr("word/_rels/header1.xml.rels", "<Relationships")
     (tmp_path / "a.docx").write_bytes(out.getvalue())
     (tmp_path / "b.docx").write_bytes(b"no package")
     tables = docx.ingest_docx(spark, str(tmp_path))
-    assert [(r.seq, r.text, r.style, r.section) for r in tables["paragraph"].orderBy("seq").collect()] == [(1, "OneTwo", "Heading1", 0), (2, "", None, 0), (3, "c", None, 1)]
-    assert [(r.start, r.stop) for r in tables["run"].where("parent = 1").orderBy("seq").collect()] == [(0, 3), (3, 6)]
-    assert tables["cell"].first().text == "c" and tables["control"].first().style == "title" and tables["relationship"].first().target == "media/a.png" and tables["error"].first().text == "package_invalid"
+    got = lambda kind, *columns: sorted(map(tuple, tables[kind].select(*columns).collect()), key=str)
+    assert got("paragraph", "story", "seq", "text", "style", "section", "table_index", "row", "cell") == sorted(
+        [
+            ("body", 1, "OneTwo", "Heading1", 0, None, None, None), ("textbox", 1, "in a box", None, 0, None, None, None), ("textbox", 2, "second", None, 0, None, None, None), ("body", 2, "", None, 0, None, None, None),
+            ("body", 3, "a", None, 1, 0, 0, 0), ("body", 4, "b", None, 1, 0, 0, 1), ("body", 5, "c", None, 1, 0, 1, 0), ("body", 6, "deep", None, 1, 1, 0, 0),
+            ("body", 7, "see here", None, 1, None, None, None), ("body", 8, "block", None, 1, None, None, None), ("header", 1, "top", None, 0, None, None, None),
+        ],
+        key=str,
+    )
+    assert [r for r in got("run", "story", "parent", "seq", "start", "stop") if r[:2] == ("body", 1)] == [("body", 1, 1, 0, 3), ("body", 1, 2, 3, 6), ("body", 1, 3, 6, 6)]
+    assert got("control", "style", "alias", "text", "block", "seq", "start", "stop") == [("inline", "A", "here", False, 7, 4, 8), ("title", None, "block", True, 8, 0, 5)]
+    assert got("cell", "table_index", "row", "cell", "text") == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "cdeep"), (1, 0, 0, "deep")]
+    assert got("object", "style", "text", "target", "parent") == [("field", "PAGE", None, 7), ("formula", "x=1", None, 7), ("image", "", "r1", 7)]
+    assert got("relationship", "part", "target") == [("word/_rels/document.xml.rels", "media/a.png")]
+    assert got("error", "part", "text") == sorted([("word/_rels/header1.xml.rels", "xml_invalid"), ("word/footer1.xml", "xml_invalid"), (None, "package_invalid")], key=str)
+    assert "mapInPandas" not in tables["cell"]._jdf.queryExecution().toString() and "kind" in tables["cell"]._jdf.queryExecution().toString()
 
 
 def test_streams_equal_batches(spark, tmp_path):
