@@ -43,6 +43,22 @@ def disambiguate(hits: DataFrame, context: DataFrame) -> DataFrame:
     return best.withColumn("_n", n).where("_n = 1 and score > 0").drop("_top", "_n")
 
 
+def locate_gaps(objects: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(object_id, page, x0, y0, x1, y1): where an object without a text of its own lies, between what stands before and after it; null without a single such gap.
+
+    boxes(object_id, page, side, x0, y0, x1, y1): places of the text before (side before) and after it. A gap is a pair of
+    one page with the first ending where the second begins, or above. Along a page, each place after meets the number of
+    places before that have ended by then, so gaps are counted without making the pairs.
+    """
+    at = F.when(F.col("side") == "before", F.col("y1")).otherwise(F.col("y0"))
+    along = W.partitionBy("object_id", "page").orderBy(at, F.col("side") == "after").rowsBetween(W.unboundedPreceding, 0)
+    first = F.when(F.col("side") == "before", F.struct("x0", "y1", "x1"))
+    rows = boxes.select("*", F.count(first).over(along).alias("_n"), F.last(first, ignorenulls=True).over(along).alias("_b")).where("side = 'after' and _n > 0")
+    gap = F.struct("page", F.least("x0", "_b.x0").alias("x0"), F.col("_b.y1").alias("y0"), F.greatest("x1", "_b.x1").alias("x1"), F.col("y0").alias("y1"))
+    only = rows.groupBy("object_id").agg(F.sum("_n").alias("_gaps"), F.max(gap).alias("_gap")).where("_gaps = 1")
+    return objects.select("object_id").join(only, "object_id", "left").select("object_id", "_gap.*")
+
+
 def objects_on_page(objects: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """Objects found on a page and all below them by locator, the first `limit` of each page, with an overflow flag."""
     parts = F.split("locator", "/")

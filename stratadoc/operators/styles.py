@@ -42,6 +42,64 @@ def resolve_chain(chain: DataFrame, props: DataFrame) -> DataFrame:
     return rows.groupBy("style_id", "path").agg(F.min_by("value", "depth").alias("value"), F.min_by("ancestor", "depth").alias("source"))
 
 
+#: A value that stands for a parameter as a whole; fixed pattern.
+PARAMETER = r"^\$\{([a-z][a-z0-9_]*)\}$"
+
+
+def prefixes(path: Column) -> Column:
+    """The paths that a dotted path lies below."""
+    parts = F.split(path, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
+def merged(layers: DataFrame, key: str) -> DataFrame:
+    """(key, path, value, source) of layers(key, path, value, source, rank): nested values merged by dotted paths, lower ranks over higher ones.
+
+    A value replaces one at its path, all below it, and one at a path that it lies below, of every higher rank.
+    """
+    best = layers.groupBy(key, "path").agg(F.min_by(F.struct("value", "source"), "rank").alias("_v"), F.min("rank").alias("rank"))
+    above = best.where(F.contains("path", F.lit("."))).select(key, "path", F.col("rank").alias("_own"), F.explode(prefixes(F.col("path"))).alias("_prefix"))
+    below = above.groupBy(key, F.col("_prefix").alias("path")).agg(F.min("_own").alias("_below"))
+    hidden = above.join(best.select(key, F.col("path").alias("_prefix"), "rank"), [key, "_prefix"]).where("rank < _own").select(key, "path").distinct()
+    kept = best.join(hidden, [key, "path"], "left_anti").join(below, [key, "path"], "left").where("_below is null or _below >= rank")
+    return kept.select(key, "path", F.col("_v.value").alias("value"), F.col("_v.source").alias("source"))
+
+
+def resolve_roles(roles: DataFrame, values: DataFrame, profiles: DataFrame, required: DataFrame, parameters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(role_id, path, state, value, source) of each path that a role's type requires, and (role_id, code, detail) of what is wrong.
+
+    roles(role_id, role_type, based_on), values(role_id, overrides, path, value) with dotted paths, profiles(role_type,
+    path, value), required(role_type, path), parameters(name, value). From the weakest: the type's profile, the roles it
+    is based on from the farthest, its own values, its overrides. A value that is a parameter as a whole becomes that
+    parameter's. States are VALUE, NONE (none) and N/A; a required path with others below it has them as JSON. Codes:
+    role_cycle, role_missing, type_mismatch (a base of another type), type_unknown (nothing required), profile_missing,
+    parameter_missing, path_missing and value_blank. A role with one of the first five has no properties.
+    """
+    chain = cut(style_chain(roles.select(F.col("role_id").alias("style_id"), "based_on", F.col("role_type").alias("style_type"))))
+    code = F.create_map(*[F.lit(x) for x in ("cycle", "role_cycle", "missing", "role_missing", "wrong_type", "type_mismatch")])[F.col("reason")]
+    wrong = chain.where("reason is not null").select(F.col("style_id").alias("role_id"), code.alias("code"), F.col("ancestor").cast("string").alias("detail"))
+    kinds = roles.select("role_id", "role_type")
+    wrong = wrong.unionByName(kinds.join(required, "role_type", "left_anti").select("role_id", F.lit("type_unknown").alias("code"), F.col("role_type").alias("detail")))
+    wrong = wrong.unionByName(kinds.join(required, "role_type", "left_semi").join(profiles, "role_type", "left_anti").select("role_id", F.lit("profile_missing").alias("code"), F.col("role_type").alias("detail")))
+    good = kinds.join(wrong.select("role_id").distinct(), "role_id", "left_anti")
+    of_chain = chain.where("reason is null").select(F.col("style_id").alias("role_id"), F.col("ancestor").alias("_of"), "depth").join(good, "role_id", "left_semi")
+    own = of_chain.join(values.withColumnRenamed("role_id", "_of"), "_of").select("role_id", "path", "value", F.col("_of").cast("string").alias("source"), (2 * F.col("depth") + F.when(F.col("overrides"), 0).otherwise(1)).alias("rank"))
+    weakest = good.join(profiles, "role_type").select("role_id", "path", "value", F.concat(F.lit("profile:"), "role_type").alias("source"), F.lit(2**31 - 1).alias("rank"))
+    name = F.regexp_extract("value", PARAMETER, 1)
+    known = parameters.select(F.col("name").alias("_name"), F.col("value").alias("_value"), F.lit(True).alias("_known"))
+    whole = cut(merged(own.unionByName(weakest), "role_id").withColumn("_name", F.when(name != "", name)).join(known, "_name", "left"))
+    wrong = wrong.unionByName(whole.where("_name is not null and _known is null").select("role_id", F.lit("parameter_missing").alias("code"), F.col("_name").alias("detail")).distinct())
+    leaves = whole.select("role_id", "path", F.when(F.col("_name").isNull(), F.col("value")).otherwise(F.col("_value")).alias("value"), "source")
+    nested = leaves.where(F.contains("path", F.lit("."))).select("role_id", F.explode(prefixes(F.col("path"))).alias("_at"), "path", "value")
+    nested = nested.groupBy("role_id", F.col("_at").alias("path")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.expr("substring(path, length(_at) + 2)"), "value"))))).alias("_below"))
+    asked = good.join(required, "role_type").select("role_id", "path")
+    rows = asked.join(leaves.withColumn("_there", F.lit(True)), ["role_id", "path"], "left").join(nested, ["role_id", "path"], "left").withColumn("value", F.coalesce("value", "_below"))
+    absent, blank = F.col("_there").isNull() & F.col("_below").isNull(), F.coalesce(F.col("value"), F.lit("")) == ""
+    wrong = wrong.unionByName(rows.where(absent).select("role_id", F.lit("path_missing").alias("code"), F.col("path").alias("detail"))).unionByName(rows.where(~absent & blank).select("role_id", F.lit("value_blank").alias("code"), F.col("path").alias("detail")))
+    state = F.when(F.col("value") == "N/A", "N/A").when(F.col("value") == "none", "NONE").otherwise("VALUE")
+    return rows.where(~absent & ~blank).select("role_id", "path", state.alias("state"), F.when(state == "VALUE", F.col("value")).alias("value"), "source"), wrong
+
+
 def cascade(layers: DataFrame) -> DataFrame:
     """(occurrence_id, path, value, trail): layers in rank order; the last writer wins, but toggles of style layers flip.
 

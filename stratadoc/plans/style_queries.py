@@ -44,6 +44,37 @@ both(
 )
 
 
+def preset_values(s, d):
+    p, key = X.table(s, d, "part"), F.col("p_partkey")
+    size = F.when(key % 5 == 0, "${size}").when(key % 5 == 1, "none").otherwise(F.col("p_size").cast("string"))
+    row = lambda of, path, value: p.where(of).select(key.alias("role_id"), (key % 4 == 0).alias("overrides"), F.lit(path).alias("path"), value.alias("value"))
+    return row("p_partkey % 2 = 0", "font.size", size).unionByName(row("p_partkey % 3 = 0", "font.name", F.col("p_brand")))
+
+
+def presets(s, d):
+    """Roles of parts, of two types of which one has no profile."""
+    roles = styles(s, d).select(F.col("style_id").alias("role_id"), F.col("style_type").alias("role_type"), "based_on")
+    profiles = s.createDataFrame([("paragraph", "font.size", "10"), ("paragraph", "font.name", "N/A")], "role_type string, path string, value string")
+    required = s.createDataFrame([("paragraph", "font.size"), ("paragraph", "font.name"), ("character", "font.size")], "role_type string, path string")
+    return S.resolve_roles(roles, preset_values(s, d), profiles, required, s.createDataFrame([("size", "12")], "name string, value string"))
+
+
+both(
+    "rc03_resolve_roles",
+    lambda s, d: presets(s, d)[0].select("role_id", "path", "state", "value"),
+    STYLES + """, pv AS (SELECT p_partkey AS role_id, p_partkey % 4 = 0 AS ov, 'font.size' AS path, CASE p_partkey % 5 WHEN 0 THEN '12' WHEN 1 THEN 'none' ELSE CAST(p_size AS VARCHAR) END AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_partkey % 4 = 0, 'font.name', p_brand FROM part WHERE p_partkey % 3 = 0),
+    rk AS (SELECT c.style_id AS role_id, v.path, arg_min(v.value, 2 * c.depth + CASE WHEN v.ov THEN 0 ELSE 1 END) AS value FROM ch c JOIN pv v ON v.role_id = c.ancestor WHERE c.reason IS NULL GROUP BY ALL),
+    ok AS (SELECT style_id AS role_id FROM st WHERE style_type = 'paragraph' AND style_id NOT IN (SELECT style_id FROM ch WHERE reason IS NOT NULL)),
+    a AS (SELECT role_id, path, coalesce(rk.value, base) AS v FROM ok CROSS JOIN (VALUES ('font.size', '10'), ('font.name', 'N/A')) x(path, base) LEFT JOIN rk USING (role_id, path))
+    SELECT role_id, path, CASE v WHEN 'N/A' THEN 'N/A' WHEN 'none' THEN 'NONE' ELSE 'VALUE' END AS state, CASE WHEN v NOT IN ('N/A', 'none') THEN v END AS value FROM a""",
+)
+both(
+    "rc03_role_violations",
+    lambda s, d: presets(s, d)[1].select("role_id", "code", "detail"),
+    STYLES + " SELECT style_id AS role_id, CASE reason WHEN 'cycle' THEN 'role_cycle' WHEN 'missing' THEN 'role_missing' ELSE 'type_mismatch' END AS code, CAST(ancestor AS VARCHAR) AS detail FROM ch WHERE reason IS NOT NULL UNION ALL SELECT style_id, 'profile_missing', 'character' FROM st WHERE style_type = 'character'",
+)
+
+
 def layers(s, d):
     return X.table(s, d, "lineitem").select(F.col("l_orderkey").alias("occurrence_id"), F.when(F.col("l_suppkey") % 2 == 0, "bold").otherwise("size").alias("path"), (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).cast("long").alias("rank"), F.when(F.col("l_suppkey") % 2 == 0, F.when(F.col("l_partkey") % 3 > 0, "true").otherwise("false")).otherwise(F.col("l_quantity").cast("long").cast("string")).alias("value"), (F.col("l_suppkey") % 2 == 0).alias("toggle"), (F.col("l_partkey") % 7 == 0).alias("direct"))
 
@@ -167,6 +198,20 @@ both(
     repeated,
     WORDS + ", h AS (SELECT page_id, lower(text) AS target_id, word_no FROM w WHERE text <> ''), sc AS (SELECT h.*, (SELECT count(*) FROM w c WHERE c.page_id = h.page_id AND ((c.word_no = 3 AND 3 < h.word_no) OR (c.word_no = 40 AND 40 > h.word_no))) AS score FROM h), b AS (SELECT *, max(score) OVER (PARTITION BY page_id, target_id) AS top FROM sc) SELECT page_id, target_id, word_no AS first_word, word_no AS last_word, score FROM b WHERE score = top AND score > 0 QUALIFY count(*) OVER (PARTITION BY page_id, target_id) = 1",
 )
+def gaps(s, d):
+    """An object of each page between its words 3 and 40, wherever such words are; lines of five words."""
+    w = words(s, d).withColumn("y0", F.floor((F.col("word_no") - 1) / 5).cast("double")).withColumn("y1", F.col("y0") + 1)
+    side = lambda n, name: w.where(F.col("word_no") == n).select("page_id", F.col("text").alias("said"), F.lit(name).alias("side"))
+    context = side(3, "before").unionByName(side(40, "after"))
+    boxes = w.join(context, "page_id").where("text = said").select(F.col("page_id").alias("object_id"), (F.col("word_no") > 60).cast("int").alias("page"), "side", "x0", "y0", "x1", "y1")
+    return P.locate_gaps(X.table(s, d, "pages").select(F.col("page_id").alias("object_id")), boxes)
+
+
+both(
+    "jn32_locate_gaps",
+    gaps,
+    WORDS + ", y AS (SELECT *, (word_no - 1) // 5 AS y0, CAST(word_no > 60 AS INT) AS page FROM wx), c AS (SELECT page_id, text, word_no FROM w WHERE word_no IN (3, 40)), b AS (SELECT y.* FROM y JOIN c USING (page_id, text) WHERE c.word_no = 3), a AS (SELECT y.* FROM y JOIN c USING (page_id, text) WHERE c.word_no = 40), g AS (SELECT b.page_id, b.page, least(b.x0, a.x0) AS x0, b.y0 + 1.0 AS y0, greatest(b.x1, a.x1) AS x1, a.y0::DOUBLE AS y1 FROM b JOIN a ON a.page_id = b.page_id AND a.page = b.page AND b.y0 + 1 <= a.y0), o AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY page_id) = 1) SELECT p.page_id AS object_id, o.page, o.x0, o.y0, o.x1, o.y1 FROM pages p LEFT JOIN o USING (page_id)",
+)
 both(
     "jn33_objects_on_page",
     lambda s, d: P.objects_on_page(X.items(s, d).select("doc_id", F.concat(F.lit("/p["), F.floor(F.col("block") / 4).cast("string"), F.lit("]/r["), F.col("block").cast("string"), F.lit("]")).alias("locator")), X.table(s, d, "documents").select("doc_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("page")).withColumn("locator", F.concat(F.lit("/p["), F.col("page").cast("string"), F.lit("]"))), 3),
