@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,90 @@ def resolve_chain(chain: DataFrame, props: DataFrame) -> DataFrame:
     return rows.groupBy("style_id", "path").agg(F.min_by("value", "depth").alias("value"), F.min_by("ancestor", "depth").alias("source"))
 
 
+#: Order in which layers are written, the weakest first; the path whose values are tab stops; what stands in for each other; implicit values; fixed values.
+LAYERS = ("doc_defaults", "paragraph_style", "paragraph_direct", "paragraph_mark_direct", "character_style", "run_direct")
+TABS = "paragraph.tab_stops"
+FALLBACKS = (("run.font_ascii", "run.font_hansi"), ("run.font_hansi", "run.font_ascii"))
+IMPLICIT = {
+    "run.bold": "false", "run.italic": "false", "run.color": "auto", "run.underline": None, "run.strikethrough": "false", "run.vertical_position": "baseline", "run.character_spacing_pt": "0.0",
+    "paragraph.space_before_pt": "0.0", "paragraph.space_after_pt": "0.0", "paragraph.page_break_before": "false", "paragraph.numbering": None, "paragraph.tab_stops": None,
+}
+STEP = "struct<layer:string,source:string,path:string,value:string,toggle:boolean,tabs:array<struct<key:int,value:string>>>"
+TRAIL = "array<struct<layer:string,source:string,action:string,value:string>>"
+
+
+def tab_text(tabs: Column) -> Column:
+    """Tab stops by position as JSON, null for none."""
+    stops = F.transform(F.array_sort(F.map_entries(tabs)), lambda e: F.struct(e["key"].alias("position"), e["value"].alias("alignment")))
+    return F.when(F.size(tabs) > 0, F.to_json(stops))
+
+
+def written_by(steps: Column, path: Column) -> Column:
+    """(value, trail) of a path after the steps in order: the last writer wins, toggles of styles flip, tab stops merge by position and `clear` takes one away."""
+    own = F.filter(steps, lambda x: x["path"] == path)
+    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("map<int,string>").alias("tabs"), F.array().cast(TRAIL).alias("trail"))
+
+    def step(at: Column, x: Column) -> Column:
+        style = x["layer"].endswith("_style") & F.coalesce(x["toggle"], F.lit(False))
+        before = F.coalesce(at["value"], F.lit("false"))
+        flipped = F.when(before == "true", "false").otherwise("true")
+        none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
+        tabs = F.map_filter(F.map_zip_with(F.coalesce(at["tabs"], none), F.coalesce(F.map_from_entries(x["tabs"]), none), lambda _, old, new: F.coalesce(new, old)), lambda _, v: v != "clear")
+        value = F.when(path == TABS, tab_text(tabs)).when(style & (x["value"] == "true"), flipped).when(style, before).otherwise(x["value"])
+        action = F.when(path == TABS, "merge").when(style & (x["value"] == "true"), "toggle").when(style, "toggle_noop").otherwise("set")
+        made = F.struct(x["layer"].alias("layer"), x["source"].alias("source"), action.alias("action"), value.alias("value"))
+        return F.struct(value.alias("value"), F.when(path == TABS, tabs).alias("tabs"), F.concat(at["trail"], F.array(made)).cast(TRAIL).alias("trail"))
+
+    return F.aggregate(own, start, step, lambda at: F.struct(at["value"].alias("value"), at["trail"].alias("trail")))
+
+
+def effective_styles(occurrences: DataFrame, styles: DataFrame, properties: DataFrame) -> DataFrame:
+    """(occurrence_id, path, value, trail) of each property in effect at each occurrence, with all that wrote it in order.
+
+    occurrences(occurrence_id, paragraph_style, character_style), styles(style_id, based_on, style_type), properties(layer,
+    owner, part, path, value, toggle, tabs): those of a style have layer style and its id as owner, others a layer of
+    LAYERS and an occurrence's id (none for doc_defaults); part is run or paragraph, tabs map positions to alignments.
+    Document defaults come first, run before paragraph, then the paragraph's style from its farthest base, each with its
+    paragraph's properties before its run's, then what the paragraph says itself, its mark, the character's style and the
+    run. A chain of styles ends before a base that is missing or of another type; one that meets itself gives nothing.
+    Then each of the two font names stands in for the other, and implicit values fill what nobody wrote.
+    A style's steps are put together once and joined to occurrences whole; the rest is done row by row.
+    """
+    step = F.struct("layer", F.col("owner").cast("string").alias("source"), "path", "value", "toggle", F.map_entries("tabs").alias("tabs")).cast(STEP)
+    listed = lambda *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"])
+    chain = style_chain(styles)
+    void = chain.where("reason = 'cycle'").select("style_id").distinct()
+    chain = chain.where("reason is null").join(void, "style_id", "left_anti").join(styles.select("style_id", "style_type"), "style_id")
+    of_style = properties.where("layer = 'style'").drop("layer").withColumnRenamed("owner", "ancestor")
+    steps = chain.join(of_style, "ancestor").where("style_type <> 'character' or part = 'run'").withColumn("layer", F.concat("style_type", F.lit("_style"))).withColumn("owner", F.col("ancestor"))
+    steps = cut(steps.groupBy("style_id", "style_type").agg(listed((-F.col("depth")).alias("_d"), F.col("part").alias("_s")).alias("steps")))
+    direct = properties.where("layer <> 'style' and layer <> 'doc_defaults'").groupBy(F.col("owner").alias("occurrence_id"))
+    direct = direct.agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == x, F.struct(F.col("path").alias("_p"), step.alias("step"))))), lambda v: v["step"]).alias(f"_{x}") for x in LAYERS if x.endswith("_direct")])
+    defaults = properties.where("layer = 'doc_defaults'").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("part") == "paragraph").alias("_s"), F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"]).alias("steps")).first()[0]
+    known = F.from_json(F.lit(json.dumps([x.asDict(True) for x in defaults or []])), f"array<{STEP}>")
+    rows = occurrences.select("occurrence_id", "paragraph_style", "character_style")
+    for kind in ("paragraph", "character"):
+        rows = rows.join(steps.where(F.col("style_type") == kind).select(F.col("style_id").alias(f"{kind}_style"), F.col("steps").alias(f"_{kind}_style")), f"{kind}_style", "left")
+    rows = rows.join(direct, "occurrence_id", "left")
+    every = F.concat(known, *[F.coalesce(F.col(f"_{x}"), F.array().cast(f"array<{STEP}>")) for x in LAYERS[1:]])
+    rows = rows.select("occurrence_id", every.alias("_steps"))
+    entry = lambda path, of: F.struct(path.alias("path"), of["value"].alias("value"), of["trail"].alias("trail"))
+    own = F.transform(F.array_distinct(F.transform("_steps", lambda x: x["path"])), lambda p: entry(p, written_by(F.col("_steps"), p)))
+    rows = rows.select("occurrence_id", own.alias("_own"))
+    has = lambda path: F.exists("_own", lambda x: x["path"] == path)
+    of = lambda path: F.get(F.filter("_own", lambda x: x["path"] == path), F.lit(0))
+    one = lambda path, source, layer, action, value: F.array(F.struct(F.lit(layer).alias("layer"), F.lit(source).alias("source"), F.lit(action).alias("action"), value.alias("value"))).cast(TRAIL)
+    added = []
+    for path, other in FALLBACKS:
+        found = of(other)
+        made = F.struct(F.lit(path).alias("path"), found["value"].alias("value"), F.concat(found["trail"], one(path, other, "word_font_fallback", "derive", found["value"])).alias("trail"))
+        added.append(F.when(~has(path) & has(other), made))
+    for path, value in IMPLICIT.items():
+        v = F.lit(value).cast("string")
+        added.append(F.when(~has(path), F.struct(F.lit(path).alias("path"), v.alias("value"), one(path, "ECMA-376", "word_implicit_default", "default", v).alias("trail"))))
+    return rows.select("occurrence_id", F.inline(F.concat("_own", F.array_compact(F.array(*added)))))
+
+
 #: A value that stands for a parameter as a whole; fixed pattern.
 PARAMETER = r"^\$\{([a-z][a-z0-9_]*)\}$"
 

@@ -79,6 +79,30 @@ def layers(s, d):
     return X.table(s, d, "lineitem").select(F.col("l_orderkey").alias("occurrence_id"), F.when(F.col("l_suppkey") % 2 == 0, "bold").otherwise("size").alias("path"), (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).cast("long").alias("rank"), F.when(F.col("l_suppkey") % 2 == 0, F.when(F.col("l_partkey") % 3 > 0, "true").otherwise("false")).otherwise(F.col("l_quantity").cast("long").cast("string")).alias("value"), (F.col("l_suppkey") % 2 == 0).alias("toggle"), (F.col("l_partkey") % 7 == 0).alias("direct"))
 
 
+def in_effect(s, d):
+    """Orders as occurrences of their customer's number as a style; styles of parts, a default size, and what some orders say themselves."""
+    key = F.col("style_id")
+    own = lambda rows, owner, layer, path, value, toggle: rows.select(F.lit(layer).alias("layer"), owner.cast("long").alias("owner"), F.lit("run").alias("part"), F.lit(path).alias("path"), value.alias("value"), F.lit(toggle).alias("toggle"), F.lit(None).cast("map<int,string>").alias("tabs"))
+    st, orders = styles(s, d), X.table(s, d, "orders")
+    sizes = X.table(s, d, "part").select(F.col("p_partkey").alias("style_id"), "p_size")
+    order = F.col("o_orderkey")
+    properties = own(sizes.where("style_id % 2 = 0"), key, "style", "run.size", F.col("p_size").cast("string"), False).unionByName(own(st.where("style_id % 3 = 0"), key, "style", "run.bold", F.lit("true"), True))
+    properties = properties.unionByName(own(orders.where("o_orderkey % 5 = 0"), order, "run_direct", "run.size", F.lit("99"), False)).unionByName(own(orders.where("o_orderkey % 7 = 0"), order, "paragraph_mark_direct", "run.bold", F.lit("false"), True))
+    properties = properties.unionByName(own(s.range(1), F.lit(None), "doc_defaults", "run.size", F.lit("11"), False))
+    occurrences = orders.select(order.alias("occurrence_id"), F.col("o_custkey").alias("paragraph_style"), F.lit(None).cast("long").alias("character_style"))
+    return S.effective_styles(occurrences, st, properties)
+
+
+both(
+    "rc02_effective_styles",
+    lambda s, d: in_effect(s, d).where("path in ('run.size', 'run.bold', 'run.color')").select("occurrence_id", "path", "value", F.size("trail").cast("long").alias("steps")),
+    STYLES + """, good AS (SELECT c.* FROM ch c JOIN st ON st.style_id = c.style_id WHERE c.reason IS NULL AND st.style_type = 'paragraph' AND c.style_id NOT IN (SELECT style_id FROM ch WHERE reason = 'cycle')),
+    z AS (SELECT g.style_id, arg_min(CAST(p_size AS VARCHAR), depth) FILTER (ancestor % 2 = 0) AS size, count(*) FILTER (ancestor % 2 = 0) AS sized, count(*) FILTER (ancestor % 3 = 0) AS bolds FROM good g JOIN part ON p_partkey = ancestor GROUP BY ALL),
+    o AS (SELECT o_orderkey AS k, size, coalesce(sized, 0) AS sized, coalesce(bolds, 0) AS bolds FROM orders LEFT JOIN z ON z.style_id = o_custkey)
+    SELECT k AS occurrence_id, 'run.size' AS path, CASE WHEN k % 5 = 0 THEN '99' ELSE coalesce(size, '11') END AS value, 1 + sized + CAST(k % 5 = 0 AS INT) AS steps FROM o
+    UNION ALL SELECT k, 'run.bold', CASE WHEN k % 7 > 0 AND bolds % 2 = 1 THEN 'true' ELSE 'false' END, greatest(bolds + CAST(k % 7 = 0 AS INT), 1) FROM o
+    UNION ALL SELECT k, 'run.color', 'auto', 1 FROM o""",
+)
 both(
     "rc02_cascade",
     lambda s, d: S.cascade(layers(s, d)).select("occurrence_id", "path", "value"),
