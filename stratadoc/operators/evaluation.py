@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,6 +149,46 @@ def content_report(parts: dict[str, DataFrame]) -> DataFrame:
     return out.select("doc_id", failed.alias("blockers"), F.when(F.size(failed) == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
+#: What is measured of a document in each of the eight dimensions, and the codes of a report's blockers in order with the measures behind them; fixed values.
+DIMENSIONS = {
+    "provenance": ("provenance_mismatch",),
+    "source_coverage": ("missing_mapped_source", "unexpected_actual_source", "incorrectly_handled_excluded"),
+    "field_semantics": ("missing_source_field", "field_mismatch", "field_count_difference"),
+    "value_fidelity": ("value_mismatch",),
+    "semantic_grouping": ("missing_binding_group", "unexpected_binding_group", "duplicate_binding"),
+    "content_order": ("sequence_mismatch",),
+    "hierarchy": ("parent_mismatch",),
+    "live_run_evidence": ("evidence_incomplete",),
+}
+BLOCKERS = {
+    "provenance_mismatch": ("provenance_mismatch",),
+    "actual_not_ready": ("not_ready",),
+    "duplicate_source_binding": ("duplicate_binding",),
+    "source_coverage_mismatch": ("missing_mapped_source", "unexpected_actual_source"),
+    "excluded_source_misclassified": ("incorrectly_handled_excluded",),
+    "field_semantics_mismatch": ("missing_source_field", "field_mismatch", "field_count_difference"),
+    "observed_value_mismatch": ("value_mismatch",),
+    "semantic_item_grouping_mismatch": ("missing_binding_group", "unexpected_binding_group"),
+    "content_order_mismatch": ("sequence_mismatch",),
+    "hierarchy_mismatch": ("parent_mismatch",),
+    "live_api_evidence_incomplete": ("evidence_incomplete",),
+}
+
+
+def dimension_report(documents: DataFrame, measures: DataFrame) -> DataFrame:
+    """(doc_id, status, blockers, one column PASS or FAIL for each dimension) of each of the documents(doc_id).
+
+    measures(doc_id, measure, n): what comparisons found, in any number of rows; a measure that isn't there is 0. All of
+    them are summed in one grouping. Unknown measures and documents are passed over.
+    """
+    names = sorted({m for group in (*DIMENSIONS.values(), *BLOCKERS.values()) for m in group})
+    found = measures.groupBy("doc_id").agg(*[(F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("n"))), F.lit(0)) > 0).alias(f"_{m}") for m in names])
+    rows = documents.select("doc_id").join(found, "doc_id", "left")
+    hit = lambda group: functools.reduce(Column.__or__, [F.coalesce(F.col(f"_{m}"), F.lit(False)) for m in group])
+    blockers = F.array_compact(F.array(*[F.when(hit(group), F.lit(code)) for code, group in BLOCKERS.items()]))
+    return rows.select("doc_id", F.when(F.size(blockers) == 0, "PASS").otherwise("FAIL").alias("status"), blockers.alias("blockers"), *[F.when(hit(group), "FAIL").otherwise("PASS").alias(d) for d, group in DIMENSIONS.items()])
+
+
 def guard_binding(left: DataFrame, right: DataFrame, key: str, snapshot: str) -> DataFrame:
     """Rows that would join, and why they may not: their snapshots must be the same."""
     r = right.select(key, F.col(snapshot).alias("_s"))

@@ -255,3 +255,44 @@ both(
     sc AS (SELECT *, CASE WHEN x = field_id OR x = l THEN 1000 WHEN contains(field_id, x) OR contains(l, x) THEN 800 WHEN contains(m, x) THEN 500 WHEN contains(o, x) THEN 200 ELSE CAST((SELECT sum({TERM}) FROM (SELECT unnest(string_split(q, ' ')) AS t)) AS BIGINT) END AS score FROM nq)
     SELECT query_id, field_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""",
 )
+
+
+def evidence(s, d):
+    """Conversations as runs of the document of their number; those of a multiple of three turns lack evidence."""
+    return X.table(s, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg((F.count("*") % 3 == 0).alias("lacks"))
+
+
+#: Of each comparison of documents: rows that count, how often, and the measure.
+MEASURED = [
+    ("jn03_compare_provenance", "not (source and registry_identity and registry_hash and item_ids and orders and bindings and source_references)", "1", "provenance_mismatch"),
+    ("jn04_compare_coverage", "missing > 0", "missing", "missing_mapped_source"),
+    ("jn04_compare_coverage", "unexpected > 0", "unexpected", "unexpected_actual_source"),
+    ("jn05_compare_fields", "result = 'missing'", "n", "missing_source_field"),
+    ("jn05_compare_fields", "result = 'mismatch'", "n", "field_mismatch"),
+    ("jn05_field_deltas", "delta <> 0", "1", "field_count_difference"),
+    ("jn06_compare_values", "result = 'mismatch'", "n", "value_mismatch"),
+    ("jn07_compare_grouping", "result = 'missing'", "n", "missing_binding_group"),
+    ("jn07_compare_grouping", "result = 'unexpected'", "n", "unexpected_binding_group"),
+    ("jn07_compare_grouping", "copies > 1", "n", "duplicate_binding"),
+    ("jn08_compare_order", "not equal", "1", "sequence_mismatch"),
+    ("jn09_compare_hierarchy", "result = 'mismatch'", "n", "parent_mismatch"),
+]
+
+
+def dimensions(s, d):
+    rows = evidence(s, d).where("lacks").select("doc_id", F.lit("evidence_incomplete").alias("measure"), F.lit(1).cast("long").alias("n"))
+    for name, which, n, measure in MEASURED:
+        rows = rows.unionByName(QUERIES[name](s, d).where(which).select("doc_id", F.lit(measure).alias("measure"), F.expr(n).cast("long").alias("n")))
+    return E.dimension_report(X.table(s, d, "documents"), rows)
+
+
+def dimensions_sql() -> str:
+    parts = [f"SELECT doc_id, '{measure}' AS measure, {n} AS n FROM ({ORACLES[name]}) WHERE {which}" for name, which, n, measure in MEASURED]
+    parts.append("SELECT conv_id, 'evidence_incomplete', 1 FROM conversations GROUP BY conv_id HAVING count(*) % 3 = 0")
+    failed = lambda group: "coalesce(list_has_any(ms, [" + ", ".join(f"'{m}'" for m in group) + "]), false)"
+    blockers = ", ".join(f"CASE WHEN {failed(group)} THEN '{code}' END" for code, group in E.BLOCKERS.items())
+    columns = ", ".join(f"CASE WHEN {failed(group)} THEN 'FAIL' ELSE 'PASS' END AS {name}" for name, group in E.DIMENSIONS.items())
+    return f"WITH m AS ({' UNION ALL '.join(parts)}), f AS (SELECT doc_id, list(DISTINCT measure) AS ms FROM m WHERE n > 0 GROUP BY doc_id), r AS (SELECT d.doc_id, list_filter([{blockers}], lambda v: v IS NOT NULL) AS blockers, {columns} FROM documents d LEFT JOIN f USING (doc_id)) SELECT *, CASE WHEN len(blockers) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r"
+
+
+QUERIES["ag11_dimension_report"], ORACLES["ag11_dimension_report"] = dimensions, dimensions_sql()
