@@ -211,6 +211,51 @@ def place(slots: DataFrame, items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "slot_id", "field_id", "required").agg(F.count("block").alias("n"), F.array_join(texts, "\n").alias("text")).withColumn("status", F.when(F.col("n") > 0, "filled").otherwise("missing"))
 
 
+#: Prefixes of the fields of body items, and the codes of what leaves a placement partial, in order; fixed values.
+BODY = ("body.", "conclusion.")
+PARTIAL = ("template_fill_contract_not_human_accepted", "required_slots_missing", "generated_regions_not_materialized")
+
+
+def build_placement(slots: DataFrame, items: DataFrame, registry: DataFrame, body_fields: list[str]) -> DataFrame:
+    """(doc_id, slot_id, field_id, tag, required, status, action, value, sources): what each slot of a document is filled with.
+
+    slots(doc_id, slot_no, slot_id, field_id, tag, required), items(doc_id, block, inline, field_id, value, object_id),
+    registry(field_id, content_type). A slot of a text field takes its items' values in source order, one to a line; one of
+    another type takes their blocks, as ordered different sources. Slots of body_fields are filled by the body as a whole:
+    one more row, slot.body.aggregate, puts all items of BODY fields at the first such slot of the document. It has no tag
+    where a document has body items and no such slot.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("block", "inline", "object_id", "value")))
+    texts = lambda c: F.filter(F.transform(c, lambda x: x["value"]), lambda v: v.isNotNull())
+    ids = lambda c: F.array_distinct(F.transform(c, lambda x: x["object_id"]))
+    own = items.where("field_id is not null")
+    of_field = own.groupBy("doc_id", "field_id").agg(ordered.alias("_i"))
+    rows = slots.join(of_field, ["doc_id", "field_id"], "left").join(registry.select("field_id", "content_type").dropDuplicates(["field_id"]), "field_id", "left")
+    body, there = F.col("field_id").isin(*body_fields), F.col("_i").isNotNull()
+    status = F.when(~there, "missing").when(body, "filled_by_body_items").otherwise("filled")
+    plain = F.coalesce(F.col("content_type") == "text", F.lit(False))
+    action = F.when(there & ~body, F.when(plain, "replace_text_content_control").otherwise("replace_block_content_control"))
+    placed = rows.select("doc_id", "slot_id", "field_id", "tag", "required", status.alias("status"), action.alias("action"), F.when(there & ~body & plain, F.array_join(texts(F.col("_i")), "\n")).alias("value"), F.when(there & ~body, ids(F.col("_i"))).alias("sources"))
+    is_body = F.col("field_id").startswith(BODY[0]) | F.col("field_id").startswith(BODY[1])
+    whole = own.where(is_body).groupBy("doc_id").agg(ordered.alias("_i"))
+    anchor = slots.where(body).groupBy("doc_id").agg(F.min_by("tag", "slot_no").alias("tag"))
+    one = whole.join(anchor, "doc_id", "left").select("doc_id", F.lit("slot.body.aggregate").alias("slot_id"), F.lit("body.ordered_items").alias("field_id"), "tag", F.lit(False).alias("required"), F.when(F.col("tag").isNotNull(), "filled").otherwise("missing").alias("status"), F.lit("replace_block_content_control").alias("action"), F.lit(None).cast("string").alias("value"), ids(F.col("_i")).alias("sources"))
+    return placed.unionByName(one)
+
+
+def placement_report(placed: DataFrame, regions: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(doc_id, status, missing_required, unresolved_regions, reasons) of each of the contracts(doc_id, status): PARTIAL for any of the reasons of PARTIAL.
+
+    regions(doc_id, region_id, required): required ones are generated later and so unresolved.
+    """
+    missing = placed.where(F.col("required") & (F.col("status") == "missing")).groupBy("doc_id").agg(F.array_sort(F.collect_set("slot_id")).alias("missing_required"))
+    open_ = regions.where("required").groupBy("doc_id").agg(F.array_sort(F.collect_set("region_id")).alias("unresolved_regions"))
+    rows = contracts.select("doc_id", (~F.col("status").eqNullSafe(F.lit("accepted"))).alias("_open")).join(missing, "doc_id", "left").join(open_, "doc_id", "left")
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in zip(PARTIAL, (F.col("_open"), F.col("missing_required").isNotNull(), F.col("unresolved_regions").isNotNull()), strict=True)]))
+    none = F.array().cast("array<string>")
+    return rows.select("doc_id", F.when(F.size(reasons) == 0, "COMPLETE").otherwise("PARTIAL").alias("status"), F.coalesce("missing_required", none).alias("missing_required"), F.coalesce("unresolved_regions", none).alias("unresolved_regions"), reasons.alias("reasons"))
+
+
 def placement_status(placed: DataFrame) -> DataFrame:
     missing = F.count_if(F.col("required") & (F.col("status") == "missing"))
     return placed.groupBy("doc_id").agg(missing.alias("missing_required"), F.when(missing > 0, "PARTIAL").otherwise("COMPLETE").alias("status"))

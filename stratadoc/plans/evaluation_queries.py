@@ -296,3 +296,27 @@ def dimensions_sql() -> str:
 
 
 QUERIES["ag11_dimension_report"], ORACLES["ag11_dimension_report"] = dimensions, dimensions_sql()
+
+
+def placement(s, d):
+    """First blocks as titles, second ones as abstracts, the others as body; slots of each document, not all of which have items."""
+    block = F.col("block")
+    rows = X.items(s, d).withColumn("field_id", F.when(block == 1, "title").when((block == 2) & (F.col("doc_id") % 4 > 0), "abstract").otherwise(F.col("field_id")))
+    kinds = [("title", "title", True), ("abstract", "abstract", False), ("keywords", "keywords", True), ("figure", "body.figure", False), ("text", "body.paragraph", True)]
+    slot = F.array(*[F.struct(F.lit(k).alias("slot_no"), F.lit(n).alias("slot_id"), F.lit(f).alias("field_id"), F.lit(f"tag.{n}").alias("tag"), F.lit(r).alias("required")) for k, (n, f, r) in enumerate(kinds)])
+    slots = X.table(s, d, "documents").select("doc_id", F.inline(slot)).where("slot_id <> 'keywords' or doc_id % 5 = 0")
+    registry = s.createDataFrame([("title", "text"), ("keywords", "text"), ("abstract", "blocks"), ("body.paragraph", "text")], "field_id string, content_type string")
+    return E.build_placement(slots, rows, registry, ["body.paragraph", "body.figure"])
+
+
+PLACED = """, it AS (SELECT doc_id, block, object_id, value, CASE WHEN block = 1 THEN 'title' WHEN block = 2 AND doc_id % 4 > 0 THEN 'abstract' ELSE field_id END AS field_id FROM items),
+sl AS (SELECT doc_id, * FROM documents, (VALUES ('title', 'title', true), ('abstract', 'abstract', false), ('keywords', 'keywords', true), ('figure', 'body.figure', false), ('text', 'body.paragraph', true)) v(slot_id, field_id, required)),
+og AS (SELECT doc_id, field_id, list(object_id ORDER BY block) AS ids, string_agg(value, chr(10) ORDER BY block) AS txt FROM it WHERE field_id IS NOT NULL GROUP BY ALL),
+pl AS (SELECT s.doc_id, s.slot_id, s.field_id, 'tag.' || s.slot_id AS tag, s.required, CASE WHEN ids IS NULL THEN 'missing' WHEN s.field_id LIKE 'body.%' THEN 'filled_by_body_items' ELSE 'filled' END AS status, CASE WHEN ids IS NOT NULL AND s.field_id NOT LIKE 'body.%' THEN CASE WHEN s.field_id = 'abstract' THEN 'replace_block_content_control' ELSE 'replace_text_content_control' END END AS action, CASE WHEN s.field_id IN ('title', 'keywords') THEN txt END AS value, CASE WHEN s.field_id NOT LIKE 'body.%' THEN ids END AS sources FROM sl s LEFT JOIN og USING (doc_id, field_id) WHERE s.slot_id <> 'keywords' OR s.doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'slot.body.aggregate', 'body.ordered_items', 'tag.figure', false, 'filled', 'replace_block_content_control', NULL, list(object_id ORDER BY block) FROM it WHERE field_id LIKE 'body.%' GROUP BY doc_id)"""
+both("jn11_build_placement", placement, PLACED + " SELECT * FROM pl")
+both(
+    "ag27_placement_report",
+    lambda s, d: E.placement_report(placement(s, d), X.items(s, d).select("doc_id", F.concat(F.lit("r"), F.col("block").cast("string")).alias("region_id"), ((F.col("doc_id") + F.col("block")) % 11 == 0).alias("required")), X.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 > 0, "accepted").alias("status"))),
+    PLACED + ", ms AS (SELECT doc_id, list_sort(list(slot_id)) AS m FROM pl WHERE required AND status = 'missing' GROUP BY doc_id), rg AS (SELECT doc_id, list_sort(list('r' || block)) AS u FROM items WHERE (doc_id + block) % 11 = 0 GROUP BY doc_id), z AS (SELECT doc_id, coalesce(m, []) AS missing_required, coalesce(u, []) AS unresolved_regions, list_filter([CASE WHEN doc_id % 7 = 0 THEN 'template_fill_contract_not_human_accepted' END, CASE WHEN m IS NOT NULL THEN 'required_slots_missing' END, CASE WHEN u IS NOT NULL THEN 'generated_regions_not_materialized' END], lambda v: v IS NOT NULL) AS reasons FROM documents LEFT JOIN ms USING (doc_id) LEFT JOIN rg USING (doc_id)) SELECT *, CASE WHEN len(reasons) = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM z",
+)
