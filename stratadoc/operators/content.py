@@ -124,8 +124,12 @@ def offsets(runs: DataFrame) -> DataFrame:
 
 def toc(items: DataFrame) -> DataFrame:
     """(doc_id, outline): headings of levels one to three as an indented tree, in order."""
-    level = F.regexp_extract("field_id", HEADING, 1).try_cast("int")
-    rows = items.withColumn("level", level).where("level between 1 and 3")
+    return outline_tree(items.withColumn("level", F.regexp_extract("field_id", HEADING, 1).try_cast("int")))
+
+
+def outline_tree(rows: DataFrame) -> DataFrame:
+    """(doc_id, outline, entries) of rows(doc_id, block, inline, level, value): those of levels one to three as an indented tree, in order."""
+    rows = rows.where("level between 1 and 3")
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), "value")
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "inline", line.alias("line")))), lambda x: x["line"]), "\n").alias("outline"), F.count("*").alias("entries"))
 

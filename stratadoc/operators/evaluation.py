@@ -131,10 +131,28 @@ def compare_provenance(heads: DataFrame, actual: DataFrame, inventory: DataFrame
     return checks, bad
 
 
+#: The paragraph or table of the body that a locator begins with; fixed pattern.
+HOST = r"^(/body/p\[@paraId=[^]]+\]|/body/tbl\[[0-9]+\])(/|$)"
+
+
+def locator_aliases(objects: DataFrame) -> DataFrame:
+    """(doc_id, object_id, locator): each object's locator, and host/image[n] of pictures and shapes, the n-th of their host by seq."""
+    own = objects.where("locator is not null").select("doc_id", "object_id", "locator")
+    if "kind" not in objects.columns:
+        return own.distinct()
+    pictures = objects.where("kind in ('picture', 'shape')").withColumn("_host", F.regexp_extract("locator", HOST, 1)).where("_host <> ''")
+    n = F.row_number().over(W.partitionBy("doc_id", "_host").orderBy("seq", "object_id"))
+    images = pictures.select("doc_id", "object_id", F.concat("_host", F.lit("/image["), n.cast("string"), F.lit("]")).alias("locator"))
+    return own.unionByName(images).distinct()
+
+
 def crosswalk(refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Gold references by id, else by locator if it names exactly one object; the rest say why not."""
-    direct = refs.join(objects.select("doc_id", "object_id", F.col("object_id").alias("by_id")), ["doc_id", "object_id"], "left")
-    aliases = objects.groupBy("doc_id", "locator").agg(F.count("*").alias("n"), F.min("object_id").alias("by_locator"))
+    """Gold references by id, else by a locator that names exactly one object; the rest say why not.
+
+    objects(doc_id, object_id, locator[, kind, seq]): with kinds, pictures have their alias in their host too.
+    """
+    direct = refs.join(objects.select("doc_id", "object_id", F.col("object_id").alias("by_id")).distinct(), ["doc_id", "object_id"], "left")
+    aliases = locator_aliases(objects).groupBy("doc_id", "locator").agg(F.count("*").alias("n"), F.min("object_id").alias("by_locator"))
     rows = direct.join(aliases, ["doc_id", "locator"], "left")
     return rows.select("doc_id", "object_id", F.coalesce("by_id", F.when(F.col("n") == 1, F.col("by_locator"))).alias("resolved"), F.when(F.col("by_id").isNotNull(), "id").when(F.col("n") == 1, "locator").when(F.col("n") > 1, "locator_ambiguous").otherwise("locator_missing").alias("how"))
 

@@ -37,6 +37,28 @@ def style_chain(styles: DataFrame) -> DataFrame:
     return rows.unionByName(last.select("style_id", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.col("end").alias("reason")))
 
 
+#: Names of heading styles with their levels; fixed pattern.
+HEADING_STYLE = r"^(?i:heading|标题)\s*([1-3])$"
+
+
+def outline_levels(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
+    """Paragraphs with level (0 to 2) and source, those of the outline alone: the paragraph's own level, else that of the nearest style of its chain that has one, else its style's name.
+
+    paragraphs(.., outline, style_id), styles(style_id, based_on, style_type, outline, name). An own level that is no
+    number or above 2 keeps a paragraph out; a style's that is no number leaves it to the name; one above 2 keeps it out.
+    """
+    chain = style_chain(styles.select("style_id", "based_on", "style_type"))
+    void = chain.where("reason = 'cycle'").select("style_id").distinct()
+    chain = chain.where("reason is null").join(void, "style_id", "left_anti")
+    own = styles.select(F.col("style_id").alias("ancestor"), F.col("outline").alias("_outline"), "name")
+    of_style = chain.join(own, "ancestor").groupBy("style_id").agg(F.min_by("_outline", F.when(F.col("_outline").isNotNull(), F.col("depth"))).try_cast("int").alias("_inherited"), F.max(F.when(F.col("depth") == 0, F.regexp_extract("name", HEADING_STYLE, 1))).alias("_heading"))
+    rows = paragraphs.join(of_style, "style_id", "left")
+    direct, named = F.col("outline").try_cast("int"), F.col("_heading").try_cast("int") - 1
+    level = F.when(F.col("outline").isNotNull(), direct).otherwise(F.coalesce("_inherited", named))
+    source = F.when(F.col("outline").isNotNull(), "paragraph_outline_level").when(F.col("_inherited").isNotNull(), "paragraph_style_outline_level").otherwise("built_in_heading_style")
+    return rows.withColumn("level", level).withColumn("source", source).where("level between 0 and 2").select(*paragraphs.columns, "level", "source")
+
+
 def resolve_chain(chain: DataFrame, props: DataFrame) -> DataFrame:
     """(style_id, path, value, source): for each property the value of the nearest ancestor that sets it; void chains give none."""
     void = chain.where("reason = 'cycle'").select("style_id").distinct()

@@ -140,6 +140,13 @@ def walked(s, d):
     return E.crosswalk(refs, objects).groupBy("doc_id", "how").agg(F.count("*").alias("n"), F.count("resolved").alias("resolved"))
 
 
+def pictured(s, d):
+    """References to pictures by their place in a host of three blocks, with ids of another run."""
+    block, host = F.col("block"), F.concat(F.lit("/body/tbl["), F.floor(F.col("block") / 3).cast("string"), F.lit("]"))
+    objects = X.items(s, d).select("doc_id", "object_id", block.alias("seq"), F.concat(host, F.lit("/r["), block.cast("string"), F.lit("]")).alias("locator"), F.when(block % 2 == 0, "picture").otherwise("text").alias("kind"))
+    refs = X.items(s, d).where("block % 2 = 0").select("doc_id", F.concat(F.lit("old-"), "object_id").alias("object_id"), F.concat(host, F.lit("/image["), (1 + block % 5).cast("string"), F.lit("]")).alias("locator"))
+    return E.crosswalk(refs, objects)
+
 
 
 both(
@@ -168,6 +175,13 @@ both(
     lambda s, d: E.guard_binding(X.items(s, d).select("doc_id", "block", F.sha2(F.col("doc_id").cast("string"), 256).alias("snapshot")), X.table(s, d, "documents").where("doc_id % 6 > 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("doc_id").cast("string")), 256).alias("snapshot")), "doc_id", "snapshot").groupBy("code").agg(F.count("*").alias("n")),
     " SELECT CASE WHEN doc_id % 6 = 0 THEN 'absent' WHEN doc_id % 5 = 0 THEN 'stale' ELSE 'current' END AS code, count(*) AS n FROM items GROUP BY ALL",
 )
+both(
+    "jn02_image_aliases",
+    pictured,
+    ", ob AS (SELECT doc_id, object_id, block, block // 3 AS h FROM items), im AS (SELECT doc_id, h, object_id, row_number() OVER (PARTITION BY doc_id, h ORDER BY block) AS n FROM ob WHERE block % 2 = 0) SELECT o.doc_id, 'old-' || o.object_id AS object_id, im.object_id AS resolved, CASE WHEN im.n IS NULL THEN 'locator_missing' ELSE 'locator' END AS how FROM ob o LEFT JOIN im ON im.doc_id = o.doc_id AND im.h = o.h AND im.n = 1 + o.block % 5 WHERE o.block % 2 = 0",
+)
+
+
 def registry(s, d):
     """A registry with a field for each part: some lack their id, repeat one, or name no parent, no sources or an odd policy."""
     p = F.col("p_partkey")

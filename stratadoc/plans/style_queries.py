@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import content as C
 from ..operators import pages as P
 from ..operators import styles as S
 from ..sources import fixtures as X
@@ -44,6 +45,21 @@ both(
 )
 
 
+def outlined(s, d):
+    """Blocks with styles of parts; every fifth says its own level, every fourth part has one, and some are named as headings."""
+    key, block = F.col("p_partkey"), F.col("block")
+    own = X.table(s, d, "part").select(key.alias("style_id"), F.when(key % 4 == 0, F.when(key % 12 == 8, "x").otherwise((key % 5).cast("string"))).alias("outline"), F.when(key % 3 == 1, F.concat(F.lit("Heading "), (key % 5).cast("string"))).otherwise(F.lit("plain")).alias("name"))
+    rows = X.blocks(s, d).select("doc_id", "block", F.lit(0).alias("inline"), F.col("text").alias("value"), F.when(block % 5 == 0, (block % 4).cast("string")).alias("outline"), (F.col("doc_id") + block).alias("style_id"))
+    return S.outline_levels(rows, styles(s, d).join(own, "style_id"))
+
+
+OUTLINED = STYLES + """, oz AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 12 = 8 THEN 'x' ELSE CAST(p_partkey % 5 AS VARCHAR) END END AS o, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 5 BETWEEN 1 AND 3 THEN p_partkey % 5 - 1 END AS named FROM part),
+    ih AS (SELECT c.style_id, TRY_CAST(arg_min(o, depth) FILTER (o IS NOT NULL) AS INT) AS lv, max(named) FILTER (depth = 0) AS named FROM ch c JOIN oz ON oz.id = c.ancestor WHERE c.reason IS NULL AND c.style_id NOT IN (SELECT style_id FROM ch WHERE reason = 'cycle') GROUP BY c.style_id),
+    """ + X.BLOCKS + """, lv AS (SELECT doc_id, block, text, CASE WHEN block % 5 = 0 THEN block % 4 ELSE coalesce(ih.lv, ih.named) END AS level, CASE WHEN block % 5 = 0 THEN 'paragraph_outline_level' WHEN ih.lv IS NOT NULL THEN 'paragraph_style_outline_level' ELSE 'built_in_heading_style' END AS source FROM blocks LEFT JOIN ih ON ih.style_id = doc_id + block)"""
+both("wn11_outline_levels", lambda s, d: outlined(s, d).select("doc_id", "block", F.col("level").cast("long").alias("level"), "source"), OUTLINED + " SELECT doc_id, block, level, source FROM lv WHERE level BETWEEN 0 AND 2")
+both("wn11_outline_tree", lambda s, d: C.outline_tree(outlined(s, d).withColumn("level", F.col("level") + 1)), OUTLINED + " SELECT doc_id, string_agg(repeat('  ', CAST(level AS INT)) || text, chr(10) ORDER BY block) AS outline, count(*) AS entries FROM lv WHERE level BETWEEN 0 AND 2 GROUP BY doc_id")
+
+
 def preset_values(s, d):
     p, key = X.table(s, d, "part"), F.col("p_partkey")
     size = F.when(key % 5 == 0, "${size}").when(key % 5 == 1, "none").otherwise(F.col("p_size").cast("string"))
