@@ -226,6 +226,21 @@ def audit_presence(placed: DataFrame, final: DataFrame, norm) -> DataFrame:
     return placed.join(final, "doc_id").where(~norm(F.col("final_text")).contains(norm(F.col("text")))).select("doc_id", "block")
 
 
+#: What an audit counts besides texts; fixed values.
+COMPLEX = ("images", "equations", "tables")
+
+
+def audit_shortfalls(selected: DataFrame, final: DataFrame) -> DataFrame:
+    """(doc_id, missing_images, missing_equations, missing_tables, missing_complex): by how much a final document has fewer than were selected for it.
+
+    Both have doc_id and a count of each kind; a document that isn't there, or a null, counts as none.
+    """
+    count = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0)).cast("long")
+    rows = selected.alias("a").join(final.alias("b"), "doc_id", "left")
+    short = [F.greatest(F.lit(0).cast("long"), count("a", c) - count("b", c)).alias(f"missing_{c}") for c in COMPLEX]
+    return rows.select("doc_id", *short).withColumn("missing_complex", F.expr(" + ".join(f"missing_{c}" for c in COMPLEX)))
+
+
 def leak_scan(canaries: DataFrame, surfaces: DataFrame, names: list[str]) -> DataFrame:
     """How many texts of each surface hold a protected string, anywhere in it; strings without hits keep a zero.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Iterator
 
@@ -69,6 +70,28 @@ def project_safe(attributes: Column, allowed: list[str]) -> Column:
     return F.map_filter(attributes, lambda k, v: k.isin(*allowed) & v.rlike(IDENTIFIER))
 
 
+#: Identifiers and codes that may leave a message; fixed patterns.
+SAFE_ID, SAFE_CODE, SHA256 = r"^[\p{L}\p{N}_.:-]{1,256}$", r"^[\p{L}\p{N}_.:-]{1,128}$", r"^[0-9a-f]{64}$"
+
+
+def project_private(messages: DataFrame, ids: tuple[str, ...] = (), codes: tuple[str, ...] = (), numbers: tuple[str, ...] = (), hashes: tuple[str, ...] = (), texts: tuple[str, ...] = (), known: dict[str, list[str]] | None = None) -> DataFrame:
+    """What of messages may be kept: nothing but the named columns, each reduced by its kind.
+
+    Ids and codes stay if they are safe identifiers (codes in lower case), numbers if they aren't negative, hashes if they
+    are SHA-256, values of `known` columns if they are on their lists; others are null. A text becomes its number of
+    characters and bytes, <name>_chars and <name>_bytes.
+    """
+    kept = lambda c, good: F.when(good, F.col(c)).alias(c)
+    columns = [kept(c, F.col(c).rlike(SAFE_ID)) for c in ids]
+    columns += [kept(c, F.col(c).rlike(SAFE_CODE) & (F.lower(c) == F.col(c))) for c in codes]
+    columns += [kept(c, (F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double"))) for c in numbers]
+    columns += [kept(c, F.col(c).rlike(SHA256)) for c in hashes]
+    columns += [kept(c, F.col(c).isin(*values)) for c, values in (known or {}).items()]
+    for c in texts:
+        columns += [F.char_length(c).cast("long").alias(f"{c}_chars"), F.octet_length(c).cast("long").alias(f"{c}_bytes")]
+    return messages.select(*columns)
+
+
 def action_counts(events: DataFrame, by: str, action: str) -> DataFrame:
     """name:count of each known action, by name, in one text."""
     n = events.groupBy(by, action).agg(F.count("*").alias("n"))
@@ -247,6 +270,48 @@ def run_coverage(events: DataFrame) -> DataFrame:
     return rows.select("run_id", F.array_join("missing", ",").alias("missing"), F.when(F.array_except("_s", F.array(F.lit("report"))) == F.array().cast("array<string>"), "unavailable").when(F.size("missing") > 0, "degraded").otherwise("complete").alias("coverage"))
 
 
+#: Events that a run must have, with what is missing without them; fixed values.
+MILESTONES = {"run_started": "app_run_start", "run_finished": "app_run_terminal", "conversion_report": "report_event"}
+
+
+def observation_coverage(runs: DataFrame, events: DataFrame, associations: DataFrame, receipts: DataFrame, sanitized: DataFrame, rejected: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(run_id, state, missing, failures, dropped) of each of the runs(run_id): what of it was observed, and what went wrong.
+
+    events(run_id, kind), associations(run_id, status, association, reasons) of tools and subagents, receipts(run_id,
+    source, state, failure_code) of adapters, sanitized(run_id, status, reason_code), rejected(run_id), conflicts(run_id,
+    code). Missing: adapters without a receipt or with another state than available, milestones, and what associations
+    that aren't verified lack (denied ones aside). Failures: codes of receipts and drops, contradicting receipts, conflicts
+    and rejections. unavailable without any event but reports, degraded with anything missing, failed or dropped, else
+    complete. dropped is null for a run without receipts. Everything is a row (run_id, missing or failure) of one grouping.
+    """
+    none = F.lit(None).cast("string")
+    note = lambda df, missing=none, failure=none: df.select("run_id", missing.alias("missing"), failure.alias("failure"))
+    states = receipts.groupBy("run_id", "source").agg(F.collect_set("state").alias("states"))
+    sources = runs.select("run_id", F.explode(F.array(*[F.lit(x) for x in SOURCES])).alias("source")).join(states, ["run_id", "source"], "left")
+    bad = F.when(F.col("states").isNull(), F.concat("source", F.lit("_adapter_receipt"))).when(F.col("states") != F.array(F.lit("available")), F.concat("source", F.lit("_adapter")))
+    seen = runs.select("run_id").join(events.groupBy("run_id").agg(F.collect_set("kind").alias("kinds")), "run_id", "left")
+    lacks = F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(F.array_contains("kinds", kind), F.lit(False)), F.lit(code)) for kind, code in MILESTONES.items()])))
+    loose = associations.where("association <> 'verified' and not (status <=> 'denied')")
+    notes = [
+        note(sources, bad, F.when(F.size("states") > 1, "observer_adapter_receipt_conflict")),
+        note(receipts.where("failure_code is not null"), failure=F.col("failure_code")),
+        note(sanitized.where("status = 'dropped'"), failure=F.col("reason_code")),
+        seen.select("run_id", lacks.alias("missing"), none.alias("failure")),
+        loose.select("run_id", F.explode(F.filter("reasons", lambda r: r.endswith("_missing"))).alias("missing"), none.alias("failure")),
+        note(loose.where("association = 'conflict'"), failure=F.lit("observer_association_conflict")),
+        note(rejected, failure=F.lit("observer_event_rejected")),
+        note(conflicts, failure=F.col("code")),
+    ]
+    found = functools.reduce(DataFrame.unionByName, notes).groupBy("run_id").agg(F.array_sort(F.collect_set("missing")).alias("missing"), F.array_sort(F.collect_set("failure")).alias("failures"))
+    drops = sanitized.where("status = 'dropped'").groupBy("run_id").agg(F.count("*").alias("n"))
+    rows = seen.join(found, "run_id", "left").join(drops, "run_id", "left").join(receipts.select("run_id", F.lit(True).alias("told")).distinct(), "run_id", "left")
+    empty = F.array().cast("array<string>")
+    missing, failures = F.coalesce("missing", empty), F.coalesce("failures", empty)
+    other = F.size(F.array_except(F.coalesce("kinds", empty), F.array(F.lit("conversion_report")))) > 0
+    state = F.when(~other, "unavailable").when((F.size(missing) > 0) | (F.size(failures) > 0) | F.col("n").isNotNull(), "degraded").otherwise("complete")
+    return rows.select("run_id", state.alias("state"), missing.alias("missing"), failures.alias("failures"), F.when(F.col("told"), F.coalesce("n", F.lit(0))).alias("dropped"))
+
+
 def worst_status(rows: DataFrame, by: str, status: str) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for p in RANKS.items() for x in p])[F.col(status)]
     return rows.groupBy(by).agg(F.max_by(status, rank).alias("worst"))

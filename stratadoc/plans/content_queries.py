@@ -237,6 +237,17 @@ def surfaces(spark, sf):
     return X.table(spark, sf, "documents").select(F.lit("documents").alias("surface"), "text").unionByName(X.table(spark, sf, "conversations").select(F.lit("conversations").alias("surface"), "text"))
 
 
+def complex_counts(s, d, seen):
+    kinds = {"images": F.col("block") % 7 == 6, "equations": F.col("block") % 11 == 3, "tables": F.col("block") % 13 == 5}
+    return X.blocks(s, d).groupBy("doc_id").agg(*[F.count_if(which & seen).alias(c) for c, which in kinds.items()])
+
+
+COUNTED = "SELECT doc_id, count(*) FILTER (block % 7 = 6 AND {0}) AS images, count(*) FILTER (block % 11 = 3 AND {0}) AS equations, count(*) FILTER (block % 13 = 5 AND {0}) AS tables FROM blocks {1} GROUP BY doc_id"
+both(
+    "jn35_audit_shortfalls",
+    lambda s, d: C.audit_shortfalls(complex_counts(s, d, F.lit(True)), complex_counts(s, d, F.col("block") % 4 > 0).where("doc_id % 9 > 0").withColumn("tables", F.col("tables") + 1)),
+    f"WITH {X.BLOCKS}, a AS ({COUNTED.format('true', '')}), b AS ({COUNTED.format('block % 4 > 0', 'WHERE doc_id % 9 > 0')}), x AS (SELECT a.doc_id, greatest(0, a.images - coalesce(b.images, 0)) AS missing_images, greatest(0, a.equations - coalesce(b.equations, 0)) AS missing_equations, greatest(0, a.tables - coalesce(b.tables + 1, 0)) AS missing_tables FROM a LEFT JOIN b USING (doc_id)) SELECT *, missing_images + missing_equations + missing_tables AS missing_complex FROM x",
+)
 both(
     "jn36_leak_scan",
     lambda s, d: C.leak_scan(X.table(s, d, "benchmark").select(F.col("item_id").alias("canary_id"), F.substring("text", 1, 60).alias("text")), surfaces(s, d), ["documents", "conversations"]),

@@ -150,6 +150,36 @@ both("ss06_retain", lambda s, d: T.retain(runs(s, d), 2.6e9, 20, 25).select("run
 both("ss07_prune_bytes", lambda s, d: T.prune_bytes(runs(s, d), 60_000).select("run_id", "event_bytes"), RUNS + ", b AS (SELECT *, (SELECT sum(event_bytes) FROM rn) AS total, coalesce(sum(event_bytes) OVER (ORDER BY completed_ms, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM rn WHERE completed_ms IS NOT NULL) SELECT run_id, event_bytes FROM b WHERE total - gone > 60000")
 both("tk02_list_runs", lambda s, d: T.list_runs(runs(s, d), 10).select("run_id", "completed_ms", "last_ms"), RUNS + " SELECT run_id, completed_ms, last_ms FROM rn ORDER BY coalesce(completed_ms, last_ms) DESC, run_id LIMIT 10")
 both("tk03_replay", lambda s, d: events(s, d).orderBy("run_id", "source_sequence").select("run_id", "source_sequence", "kind"), " SELECT run_id, source_sequence, kind FROM ev ORDER BY run_id, source_sequence")
+both(
+    "fn18_project_private",
+    lambda s, d: T.project_private(events(s, d).withColumn("duration_ms", F.when(F.col("source_sequence") % 4 == 0, -F.col("duration_ms")).otherwise(F.col("duration_ms"))).withColumn("digest", F.when(F.col("source_sequence") % 3 > 0, F.sha2("props", 256)).otherwise(F.upper(F.sha2("props", 256)))), ("run_id", "source_event_id", "tool_name"), ("kind",), ("duration_ms", "source_sequence"), ("digest",), ("props",), {"status": ["ok"]}),
+    ", p AS (SELECT *, CASE WHEN source_sequence % 4 = 0 THEN -duration_ms ELSE duration_ms END AS ms, CASE WHEN source_sequence % 3 > 0 THEN sha256(props) END AS digest FROM ev) SELECT run_id, source_event_id, CASE WHEN tool_name <> 'bad name' THEN tool_name END AS tool_name, kind, CASE WHEN ms >= 0 THEN ms END AS duration_ms, source_sequence, digest, length(props) AS props_chars, strlen(props) AS props_bytes, CASE WHEN status = 'ok' THEN status END AS status FROM p",
+)
+def observed(s, d):
+    """Runs with milestones among their events, receipts of adapters, and now and then a drop, a rejection or a conflict."""
+    q = F.col("source_sequence")
+    rows = events(s, d).withColumn("kind", F.when(q % 3 == 0, "run_started").when(q % 3 == 1, "run_finished").when(q % 5 == 2, "conversion_report").otherwise(F.col("kind")))
+    receipts = rows.select("run_id", "source", F.when(q % 31 == 0, "broken").otherwise("available").alias("state"), F.when(q % 31 == 0, "adapter_slow").alias("failure_code"))
+    sanitized = rows.where("source_sequence % 17 = 3").select("run_id", F.when(q % 2 == 0, "dropped").otherwise("kept").alias("status"), F.lit("observer_text_removed").alias("reason_code"))
+    conflicts = rows.where("source_sequence % 59 = 0").select("run_id", F.lit("observer_association_conflict").alias("code"))
+    return T.observation_coverage(rows.select("run_id").distinct(), rows, tools(s, d).where("tool_name = 'read'"), receipts, sanitized, rows.where("source_sequence % 53 = 0"), conflicts)
+
+
+both(
+    "ag17_observation_coverage",
+    lambda s, d: observed(s, d).withColumn("dropped", F.col("dropped").cast("long")),
+    TOOLS + f""", e AS (SELECT run_id, source, source_sequence AS q, CASE WHEN source_sequence % 3 = 0 THEN 'run_started' WHEN source_sequence % 3 = 1 THEN 'run_finished' WHEN source_sequence % 5 = 2 THEN 'conversion_report' ELSE kind END AS kind FROM ev),
+    st AS (SELECT run_id, source, list_sort(list(DISTINCT CASE WHEN q % 31 = 0 THEN 'broken' ELSE 'available' END)) AS s FROM e GROUP BY ALL),
+    rs AS (SELECT DISTINCT run_id, unnest({array(T.SOURCES)}) AS source FROM e),
+    lo AS (SELECT run_id, association, reasons FROM tl WHERE tool_name = 'read' AND association <> 'verified' AND status IS DISTINCT FROM 'denied'),
+    n AS (SELECT run_id, CASE WHEN s IS NULL THEN source || '_adapter_receipt' WHEN s <> ['available'] THEN source || '_adapter' END AS m, CASE WHEN len(s) > 1 THEN 'observer_adapter_receipt_conflict' END AS f FROM rs LEFT JOIN st USING (run_id, source)
+    UNION ALL SELECT run_id, NULL, 'adapter_slow' FROM e WHERE q % 31 = 0 UNION ALL SELECT run_id, NULL, 'observer_text_removed' FROM e WHERE q % 17 = 3 AND q % 2 = 0
+    UNION ALL SELECT run_id, 'app_run_start', NULL FROM e GROUP BY run_id HAVING NOT bool_or(kind = 'run_started') UNION ALL SELECT run_id, 'app_run_terminal', NULL FROM e GROUP BY run_id HAVING NOT bool_or(kind = 'run_finished') UNION ALL SELECT run_id, 'report_event', NULL FROM e GROUP BY run_id HAVING NOT bool_or(kind = 'conversion_report')
+    UNION ALL SELECT run_id, r, NULL FROM (SELECT run_id, unnest(reasons) AS r FROM lo) WHERE ends_with(r, '_missing') UNION ALL SELECT run_id, NULL, 'observer_association_conflict' FROM lo WHERE association = 'conflict'
+    UNION ALL SELECT run_id, NULL, 'observer_event_rejected' FROM e WHERE q % 53 = 0 UNION ALL SELECT run_id, NULL, 'observer_association_conflict' FROM e WHERE q % 59 = 0),
+    gg AS (SELECT run_id, coalesce(list_sort(list(DISTINCT m) FILTER (m IS NOT NULL)), []) AS missing, coalesce(list_sort(list(DISTINCT f) FILTER (f IS NOT NULL)), []) AS failures FROM n GROUP BY run_id)
+    SELECT run_id, CASE WHEN NOT bool_or(kind <> 'conversion_report') THEN 'unavailable' WHEN len(any_value(missing)) + len(any_value(failures)) > 0 THEN 'degraded' ELSE 'complete' END AS state, any_value(missing) AS missing, any_value(failures) AS failures, count(*) FILTER (q % 17 = 3 AND q % 2 = 0) AS dropped FROM e JOIN gg USING (run_id) GROUP BY run_id""",
+)
 QUERIES["ss05_evict_by_priority"] = lambda s, d: T.evict_by_priority(events(s, d), 20, 2200).select("run_id", "source_sequence", "priority", "size", "kept")
 
 
