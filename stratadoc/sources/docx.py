@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_folder
@@ -25,8 +25,10 @@ OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 RELATIONS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 STORIES = {"document": "body", "header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}
 #: seq: number in its story (paragraphs), paragraph (runs), row (cells) or part. parent: the paragraph of runs and objects. style: style, tag of a control, kind of an object, id of a relationship.
-FACTS = "path string, kind string, part string, story string, seq long, parent long, text string, style string, alias string, section long, start long, stop long, table_index long, row long, cell long, block boolean, target string"
-KINDS = ("paragraph", "run", "control", "cell", "object", "relationship", "error")
+FACTS = "path string, kind string, part string, story string, seq long, parent long, text string, style string, alias string, section long, start long, stop long, table_index long, row long, cell long, block boolean, target string, external boolean"
+KINDS = ("paragraph", "run", "control", "cell", "object", "relationship", "part", "error")
+#: Parts that every package has; fixed values.
+REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
 COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
 
 
@@ -116,9 +118,13 @@ def facts_of(content: bytes) -> Iterator[dict]:
     except (zipfile.BadZipFile, ValueError, NotImplementedError):
         yield {"kind": "error", "text": "package_invalid"}
         return
-    for part in (n for n in names if n.endswith(".rels") or n.startswith("word/") and n.endswith(".xml")):
+    for part in names:
+        yield {"kind": "part", "part": part}
         try:
-            root = ElementTree.fromstring(package.read(part))
+            content = package.read(part)
+            if not part.endswith((".xml", ".rels")):
+                continue
+            root = ElementTree.fromstring(content)
         except ElementTree.ParseError:
             yield {"kind": "error", "part": part, "text": "xml_invalid"}
             continue
@@ -127,7 +133,7 @@ def facts_of(content: bytes) -> Iterator[dict]:
             continue
         if part.endswith(".rels"):
             for k, node in enumerate(root.iter(f"{RELATIONS}Relationship")):
-                yield {"kind": "relationship", "part": part, "seq": k + 1, "text": node.get("Type"), "style": node.get("Id"), "target": node.get("Target")}
+                yield {"kind": "relationship", "part": part, "seq": k + 1, "text": node.get("Type"), "style": node.get("Id"), "target": node.get("Target"), "external": node.get("TargetMode") == "External"}
         elif (name := re.fullmatch(r"word/([a-z]+)\d*\.xml", part)) and name[1] in STORIES:
             for fact in Part(root).facts(STORIES[name[1]]):
                 yield {"part": part, **fact}
@@ -141,7 +147,7 @@ def ingest_docx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = {x.split()[0]: "Int64" for x in FACTS.split(", ") if x.endswith(" long")} | {"block": "boolean"}
+        kinds = {x.split()[0]: "Int64" for x in FACTS.split(", ") if x.endswith(" long")} | {"block": "boolean", "external": "boolean"}
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 facts = [{**fact, "path": file} for fact in facts_of(bytes(content))]
@@ -153,3 +159,24 @@ def ingest_docx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     facts.write.partitionBy("kind").parquet(store)
     stored = spark.read.schema(facts.schema).parquet(store)
     return {kind: stored.where(F.col("kind") == kind).select(COLUMNS) for kind in KINDS}
+
+
+def target_part(part: Column, target: Column) -> Column:
+    """The part that a relationship of a .rels part names, from the folder of its owner; dots are resolved."""
+    base = F.regexp_replace(part, r"(^|/)_rels/[^/]*$", "")
+    steps = F.filter(F.split(F.when(target.startswith("/"), target).otherwise(F.concat(base, F.lit("/"), target)), "/"), lambda x: (x != "") & (x != "."))
+    up = lambda at: F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), lambda at, x: F.when(x == "..", up(at)).otherwise(F.concat(at, F.array(x)))), "/")
+
+
+def check_packages(tables: dict[str, DataFrame]) -> DataFrame:
+    """(path, code, part) of what is wrong with packages: unreadable ones and parts, required parts that aren't there, relationships without a target or to parts that aren't there; external ones are passed over."""
+    codes = F.create_map(*[F.lit(x) for x in ("package_invalid", "invalid_docx_package", "xml_invalid", "invalid_package_xml", "part_unreadable", "corrupt_zip_member")])
+    parts = tables["part"].select("path", "part").distinct()
+    wrong = tables["error"].select("path", codes[F.col("text")].alias("code"), "part")
+    needed = parts.select("path").distinct().select("path", F.explode(F.array(*[F.lit(x) for x in REQUIRED])).alias("part"))
+    wrong = wrong.unionByName(needed.join(parts, ["path", "part"], "left_anti").select("path", F.lit("missing_package_parts").alias("code"), "part"))
+    inner = tables["relationship"].where("not external")
+    wrong = wrong.unionByName(inner.where("coalesce(target, '') = ''").select("path", F.lit("relationship_without_target").alias("code"), "part"))
+    named = inner.where("target <> ''").select("path", target_part(F.col("part"), F.col("target")).alias("part"))
+    return wrong.unionByName(named.join(parts, ["path", "part"], "left_anti").select("path", F.lit("dangling_relationship").alias("code"), "part").distinct())

@@ -33,7 +33,7 @@ def test_docx(spark, tmp_path):
         f'<w:p>{t("see ")}<w:sdt><w:sdtPr><w:alias w:val="A"/><w:tag w:val="inline"/></w:sdtPr><w:sdtContent>{t("here")}</w:sdtContent></w:sdt><w:fldSimple w:instr="PAGE"/><m:oMath><m:t>x=1</m:t></m:oMath><a:blip r:embed="r1"/></w:p>'
         f'<w:sdt><w:sdtPr><w:tag w:val="title"/></w:sdtPr><w:sdtContent><w:p>{t("block")}</w:p></w:sdtContent></w:sdt></w:body></w:document>'
     )
-    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="image" Target="media/a.png"/></Relationships>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="image" Target="media/a.png"/><Relationship Id="r2" Type="link" Target="../gone/./b.xml"/><Relationship Id="r3" Type="link"/><Relationship Id="r4" Type="link" Target="http://x" TargetMode="External"/><Relationship Id="r5" Type="x" Target="/word/header1.xml"/></Relationships>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", body)
@@ -41,6 +41,7 @@ def test_docx(spark, tmp_path):
         z.writestr("word/footer1.xml", "<w:ftr")
         z.writestr("word/_rels/document.xml.rels", rels)
         z.writestr("word/_rels/header1.xml.rels", "<Relationships")
+        z.writestr("word/media/a.png", b"png")
     (tmp_path / "a.docx").write_bytes(out.getvalue())
     (tmp_path / "b.docx").write_bytes(b"no package")
     tables = docx.ingest_docx(spark, str(tmp_path))
@@ -57,7 +58,12 @@ def test_docx(spark, tmp_path):
     assert got("control", "style", "alias", "text", "block", "seq", "start", "stop") == [("inline", "A", "here", False, 7, 4, 8), ("title", None, "block", True, 8, 0, 5)]
     assert got("cell", "table_index", "row", "cell", "text") == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "cdeep"), (1, 0, 0, "deep")]
     assert got("object", "style", "text", "target", "parent") == [("field", "PAGE", None, 7), ("formula", "x=1", None, 7), ("image", "", "r1", 7)]
-    assert got("relationship", "part", "target") == [("word/_rels/document.xml.rels", "media/a.png")]
+    assert {t for (t,) in got("relationship", "target")} == {"../gone/./b.xml", "/word/header1.xml", None, "http://x", "media/a.png"}
+    wrong = {(r.path[-6:], r.code, r.part) for r in docx.check_packages(tables).collect()}
+    assert wrong == {
+        ("b.docx", "invalid_docx_package", None), ("a.docx", "invalid_package_xml", "word/footer1.xml"), ("a.docx", "invalid_package_xml", "word/_rels/header1.xml.rels"), ("a.docx", "missing_package_parts", "[Content_Types].xml"),
+        ("a.docx", "missing_package_parts", "_rels/.rels"), ("a.docx", "relationship_without_target", "word/_rels/document.xml.rels"), ("a.docx", "dangling_relationship", "gone/b.xml"),
+    }
     assert got("error", "part", "text") == sorted([("word/_rels/header1.xml.rels", "xml_invalid"), ("word/footer1.xml", "xml_invalid"), (None, "package_invalid")], key=str)
     assert "mapInPandas" not in tables["cell"]._jdf.queryExecution().toString() and "kind" in tables["cell"]._jdf.queryExecution().toString()
 
