@@ -27,16 +27,37 @@ CONDITIONS = {
     "tool_version": "runtime", "officecli_version": "runtime", "renderer": "runtime", "renderer_version": "runtime", "route_fingerprint": "runtime", "routing_policy": "runtime", "task_authorization": "runtime", "validation_requirement": "validation", "final_evidence_category": "validation",
 }
 BLOCKING = ("input", "validation")
+ROLES = ("main", "subagent", "app", "tool", "unknown")
+#: Keys that an event's attributes may have; fixed values.
+ATTRIBUTES = """
+    answered api_error_status app_version artifact_published association attempt backend block_count cache_creation_input_tokens cache_hit
+    cache_read_input_tokens check_count committed coverage_state dpi duration_api_ms errors events_dropped events_persisted evidence_count
+    final_evidence_category final_sha256 focus focus_count focus_ref_count image_bytes image_count input_tokens issues knowledge_digest
+    knowledge_version mode model num_turns object_count object_ref_count officecli_version operation_count operation_types overview option_count
+    output_tokens page_count pages_available payload_bytes pdf_available provider provider_version region_count renderer renderer_version
+    question_count reason_code report_run_id report_schema required_visual_coverage requirements_sha256 risk_count route_fingerprint routing_policy
+    sdk_version side_effect_possible skill_name source_sha256 stop_hook_active stop_reason subagent_type subtype task_rule_count task_authorization
+    task_ref template_sha256 terminal_reason tool_use_count tool_version total_cost_usd transcript_residual_count transcript_status
+    validation_requirement warning_count warnings
+""".split()
+#: What values of attributes look like as JSON, and of references by kind; fixed patterns.
+SAFE_VALUE = r'^(null|true|false|[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|"[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}"|\[([0-9]+(,[0-9]+)*)?\]|\["[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}"(,"[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}")*\])$'
+OBJECT_ID, EVIDENCE_ID = r"^obj-[0-9a-f]{24}$", r"^[a-z0-9][a-z0-9_.:-]{0,255}$"
+REFERENCES = {"document": r"^[0-9a-f]{64}$", "render": r"^[0-9a-f]{64}$", "object": OBJECT_ID, "evidence": EVIDENCE_ID, "page": r"^[1-9][0-9]*$"}
 RANKS = {"verified": 0, "partial": 1, "broken": 2, "conflict": 3}
 
 
-def rejection(most_bytes: int = MOST_BYTES) -> Column:
-    """The code of the first rule that an event breaks; null if it breaks none."""
+def rejection(most_bytes: int = MOST_BYTES, full: bool = False) -> Column:
+    """The code of the first rule that an event breaks; null if it breaks none.
+
+    full: also the rules on schema_version, actor(role, agent_id, agent_type), attributes (key, value as compact JSON),
+    evidence_refs (kind, value, document_sha256, render_sha256) and error(code, origin), at their places in the order.
+    """
     def bad(name, ok):
         return F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"event_{name}_invalid"))
 
     optional = lambda c, pattern: F.col(c).isNull() | F.col(c).rlike(pattern)
-    return F.coalesce(
+    rules = [
         bad("run_id", F.col("run_id").rlike(RUN_ID)),
         bad("source_id", F.col("source_event_id").rlike(IDENTIFIER)),
         bad("sequence", F.col("source_sequence") >= 0),
@@ -45,15 +66,28 @@ def rejection(most_bytes: int = MOST_BYTES) -> Column:
         bad("priority", F.col("priority").isin(*PRIORITIES)),
         bad("kind", F.col("kind").rlike(CODE)),
         bad("status", optional("status", CODE)),
-        bad("identifier", optional("tool_use_id", IDENTIFIER) & optional("tool_name", IDENTIFIER)),
-        bad("duration", F.col("duration_ms").isNull() | (F.col("duration_ms") >= 0)),
-        F.when(F.octet_length(F.to_json(F.struct("run_id", "source_event_id", "kind", "status", "tool_name"))) > most_bytes, F.lit("event_too_large")),
-    )
-
-
-def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a code)."""
-    rows = events.withColumn("code", rejection())
+    ]
+    named, counted = ["run_id", "source_event_id", "kind", "status", "tool_name"], [bad("duration", F.col("duration_ms").isNull() | (F.col("duration_ms") >= 0))]
+    identified = optional("tool_use_id", IDENTIFIER) & optional("tool_name", IDENTIFIER)
+    if full:
+        rules = [bad("schema", F.col("schema_version") == 1), *rules, bad("actor", F.col("actor.role").isin(*ROLES))]
+        identified = identified & optional("actor.agent_id", IDENTIFIER) & optional("actor.agent_type", IDENTIFIER)
+        keys = F.transform("attributes", lambda x: x["key"])
+        short = lambda v: ~v.startswith("[") | (F.json_array_length(v) <= 256)
+        known = F.forall("attributes", lambda x: F.coalesce(x["key"].isin(*ATTRIBUTES) & x["value"].rlike(SAFE_VALUE) & short(x["value"]), F.lit(False)))
+        counted.append(bad("attributes", F.col("attributes").isNull() | (F.size("attributes") <= 128) & known & (F.size(F.array_distinct(keys)) == F.size(keys))))
+        sha = lambda v: v.isNull() | v.rlike(REFERENCES["document"])
+        fits = lambda x: functools.reduce(Column.__or__, [(x["kind"] == k) & x["value"].rlike(p) for k, p in REFERENCES.items()])
+        counted.append(bad("evidence", F.col("evidence_refs").isNull() | (F.size("evidence_refs") <= 256) & F.forall("evidence_refs", lambda x: F.coalesce(sha(x["document_sha256"]) & sha(x["render_sha256"]) & fits(x), F.lit(False)))))
+        counted.append(bad("error", F.col("error").isNull() | F.col("error.code").rlike(CODE) & F.col("error.origin").rlike(CODE)))
+        named += ["actor", "attributes", "evidence_refs", "error"]
+    large = F.when(F.octet_length(F.to_json(F.struct(*named))) > most_bytes, F.lit("event_too_large"))
+    return F.coalesce(*rules, bad("identifier", identified), *counted, large)
+
+
+def validate_events(events: DataFrame, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a code); full: with the rules on actors, attributes, evidence and errors."""
+    rows = events.withColumn("code", rejection(full=full))
     return rows.where("code is null").drop("code"), rows.where("code is not null")
 
 

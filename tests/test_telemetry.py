@@ -82,3 +82,20 @@ def test_nearest_rank(spark):
         got = {r.k: r.rank_value for r in T.nearest_rank(df, "k", "v", share).collect()}
         values = {k: sorted(v for x, v in rows if x == k and v is not None) for k in "abcd"}
         assert got == {k: v[math.ceil(share * len(v)) - 1] for k, v in values.items()}
+
+
+def test_rules_on_actors_attributes_evidence_and_errors(spark):
+    kinds = "n long, schema_version int, run_id string, source_event_id string, source_sequence long, observed_at string, offset_ms double, source string, priority string, kind string, status string, tool_use_id string, tool_name string, duration_ms double, actor struct<role:string,agent_id:string,agent_type:string>, attributes array<struct<key:string,value:string>>, evidence_refs array<struct<kind:string,value:string,document_sha256:string,render_sha256:string>>, error struct<code:string,origin:string>"
+    good = {"n": 0, "schema_version": 1, "run_id": "run_" + "a" * 32, "source_event_id": "e1", "source_sequence": 0, "observed_at": "2024-01-01", "offset_ms": 1.0, "source": "sdk", "priority": "P0", "kind": "tool_use", "status": None, "tool_use_id": None, "tool_name": None, "duration_ms": None, "actor": ("main", None, None), "attributes": [("dpi", "96"), ("mode", '"pages"'), ("errors", '["a","b"]'), ("issues", "[]"), ("overview", "true"), ("focus", "null")], "evidence_refs": [("page", "3", None, None), ("document", "0" * 64, "1" * 64, None)], "error": ("bad_input", "request")}
+    cases = [
+        ({}, None), ({"attributes": None, "evidence_refs": None, "error": None}, None), ({"schema_version": 2}, "schema"), ({"schema_version": None, "run_id": "x"}, "schema"), ({"run_id": "x", "actor": ("boss", None, None)}, "run_id"),
+        ({"actor": ("boss", None, None)}, "actor"), ({"actor": None}, "actor"), ({"actor": ("tool", "a b", None)}, "identifier"), ({"attributes": [("unknown_key", "1")]}, "attributes"), ({"attributes": [("dpi", "-1")]}, "attributes"),
+        ({"attributes": [("dpi", "1"), ("dpi", "2")]}, "attributes"), ({"attributes": [("mode", '"a b"')]}, "attributes"), ({"attributes": [("errors", "[" + ",".join(["1"] * 257) + "]")]}, "attributes"), ({"attributes": [("errors", "[" + ",".join(["1"] * 256) + "]")]}, None),
+        ({"attributes": [("dpi", None)]}, "attributes"), ({"evidence_refs": [("page", "0", None, None)]}, "evidence"), ({"evidence_refs": [("page", "1", "xyz", None)]}, "evidence"), ({"evidence_refs": [("other", "1", None, None)]}, "evidence"),
+        ({"evidence_refs": [("page", "1", None, None)] * 257}, "evidence"), ({"error": ("Bad", "request")}, "error"), ({"error": (None, "request")}, "error"), ({"duration_ms": -1.0, "error": ("Bad", "x")}, "duration"), ({"evidence_refs": [("page", "1" * 70_000, None, None)]}, "too_large"),
+    ]
+    rows = [tuple((good | change | {"n": k}).values()) for k, (change, _) in enumerate(cases)]
+    accepted, rejected = T.validate_events(spark.createDataFrame(rows, kinds), full=True)
+    got = {r.n: r.code for r in rejected.collect()} | {r.n: None for r in accepted.collect()}
+    code = lambda c: None if c is None else "event_too_large" if c == "too_large" else f"event_{c}_invalid"
+    assert got == {k: code(c) for k, (_, c) in enumerate(cases)}
