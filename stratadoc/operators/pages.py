@@ -19,13 +19,16 @@ def locate_text(words: DataFrame, targets: DataFrame, norm) -> DataFrame:
     """(page_id, target_id, first_word, last_word, left, right, quality): runs of words whose joined form is a target's.
 
     A run starts and stops on word borders; words without comparable characters also open one. Words that begin a target
-    meet it by page; where the target's length ends on a border too, the words between are joined and compared. quality
+    meet it by page and first character; where the target's length ends on a border too, the words between are joined and compared. quality
     tells whether the words as they stand make the target (exact_text) or their comparable forms do (normalized_text).
     """
     rows = with_offsets(words, norm)
     goals = targets.select("page_id", "target_id", "target", norm(F.col("target")).alias("goal")).where("goal <> ''")
-    starts = rows.select("page_id", F.col("start").alias("at"), F.col("word_no").alias("first_word"), F.col("norm").alias("head"))
-    opened = goals.join(starts, "page_id").where(F.col("goal").startswith(F.col("head"))).withColumn("end", F.col("at") + F.length("goal")).drop("at", "head")
+    heads = rows.where("norm <> ''").select("page_id", F.substring("norm", 1, 1).alias("letter"), F.col("start").alias("at"), F.col("norm").alias("head"))
+    met = goals.withColumn("letter", F.substring("goal", 1, 1)).join(heads, ["page_id", "letter"]).where(F.col("goal").startswith(F.col("head")))
+    # words without a letter of their own begin where the next one does
+    starts = rows.select("page_id", F.col("start").alias("at"), F.col("word_no").alias("first_word"))
+    opened = met.select("page_id", "target_id", "target", "goal", "at").join(starts, ["page_id", "at"]).withColumn("end", F.col("at") + F.length("goal")).drop("at")
     stops = rows.where("norm <> ''").select("page_id", F.col("stop").alias("end"), F.col("word_no").alias("last_word"))
     runs = opened.join(stops, ["page_id", "end"]).where("first_word <= last_word").withColumn("word_no", F.explode(F.sequence("first_word", "last_word")))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", c))), lambda x: x[c]), "")

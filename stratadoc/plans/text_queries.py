@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import fixtures as X
 
+#: Words that a search passes over; fixed values.
 STOP_WORDS = ["all", "available", "cover", "current", "field", "fields", "fillable", "list", "object", "page", "template"]
 #: Search words and what they mean; fixed values.
 ALIASES = {
