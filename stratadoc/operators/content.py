@@ -171,6 +171,15 @@ def merge_batches(results: DataFrame, relations: DataFrame, primary: DataFrame)
     return own, kept
 
 
+def dropped_relations(relations: DataFrame, primary: DataFrame) -> DataFrame:
+    """(doc_id, batch, relations, dropped): a batch's relations, repeated ones too, and how many of them have no end in its own items."""
+    own = primary.select("doc_id", "batch", F.col("object_id").alias("end")).distinct()
+    numbered = relations.groupBy("doc_id", "batch", "source_id", "target_id", "relation").agg(F.count("*").alias("n"))
+    ends = numbered.select("*", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end")).join(own.withColumn("own", F.lit(True)), ["doc_id", "batch", "end"], "left")
+    each = ends.groupBy("doc_id", "batch", "source_id", "target_id", "relation").agg(F.max("n").alias("n"), F.max("own").alias("own"))
+    return each.groupBy("doc_id", "batch").agg(F.sum("n").alias("relations"), F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(0)).alias("dropped"))
+
+
 def attach_to_host(children: DataFrame, hosts: DataFrame) -> DataFrame:
     """Each child with the host whose locator and a slash is its longest prefix; children without one are dropped.
 

@@ -154,12 +154,18 @@ both(
 )
 
 
-def merged(spark, sf):
+def batched(spark, sf):
+    """Items in batches of five, and relations of each with the third after it, some told by a batch that has neither."""
     rows = X.items(spark, sf).select("doc_id", "block", "object_id", F.floor((F.col("block") - 1) / 5).cast("long").alias("batch"))
-    again = rows.where("block % 5 = 1 and batch > 0").withColumn("batch", F.col("batch") - 1)
     nxt = rows.select("doc_id", (F.col("block") - 3).alias("block"), F.col("object_id").alias("target_id"))
     relations = rows.join(nxt, ["doc_id", "block"]).select("doc_id", (F.col("batch") + F.col("block") % 3).alias("batch"), F.col("object_id").alias("source_id"), "target_id", F.lit("same_fact_as").alias("relation"))
-    own, kept = C.merge_batches(rows.unionByName(again), relations.unionByName(relations), rows)
+    return rows, relations.unionByName(relations)
+
+
+def merged(spark, sf):
+    rows, relations = batched(spark, sf)
+    again = rows.where("block % 5 = 1 and batch > 0").withColumn("batch", F.col("batch") - 1)
+    own, kept = C.merge_batches(rows.unionByName(again), relations, rows)
     return own.groupBy("doc_id").agg(F.count("*").alias("items"), F.sum("batch").alias("batches")).join(kept.groupBy("doc_id").agg(F.count("*").alias("relations")), "doc_id", "left")
 
 
@@ -171,6 +177,13 @@ both(
 )
 
 
+both(
+    "wn14_dropped_relations",
+    lambda s, d: C.dropped_relations(*reversed(batched(s, d))),
+    with_items(", r AS (SELECT doc_id, block, (block - 1) // 5 AS batch FROM items), k AS (SELECT a.doc_id, a.batch + a.block % 3 AS batch, a.batch AS x, b.batch AS y FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.block = a.block + 3) SELECT doc_id, batch, 2 * count(*) AS relations, 2 * count(*) FILTER (batch NOT IN (x, y)) AS dropped FROM k GROUP BY ALL"),
+)
+
+
 def located(spark, sf):
     rows = X.items(spark, sf).where("block % 4 > 0").select("doc_id", F.concat(F.lit("/body/p["), F.col("block").cast("string"), F.lit("]")).alias("locator"))
     every = X.items(spark, sf).select("doc_id", F.concat(F.lit("/body/p["), F.col("block").cast("string"), F.lit("]/r["), (F.col("block") % 3).cast("string"), F.lit("]/t")).alias("locator"))

@@ -1,4 +1,8 @@
-"""Telemetry as Structured Streaming queries; the batch forms are in operators.telemetry."""
+"""Telemetry as Structured Streaming queries; the batch forms are in operators.telemetry.
+
+Open lifecycles and quotas keep state with timers, for which Spark needs the RocksDB state store
+(spark.sql.streaming.stateStore.providerClass).
+"""
 
 from __future__ import annotations
 
