@@ -41,8 +41,8 @@ def similarity(s, d):
     other = actual.select("doc_id", "block", F.col("text").alias("other"), F.col("table_index").alias("t"), F.col("row").alias("r"), F.col("cell").alias("c"))
     pairs = gold.join(other, ["doc_id", "block"])
     same = F.col("t").isNotNull() & F.col("table_index").isNotNull() & (F.col("r") == F.col("row")) & (F.col("c") == F.col("cell"))
-    score, method = A.paragraph_similarity(F.col("text"), F.col("other"), same, F.col("t").isNull() != F.col("table_index").isNull())
-    return pairs.select("doc_id", "block", F.round(score, 6).alias("similarity"), method.alias("method"))
+    rows = A.with_similarity(pairs, "text", "other", same, F.col("t").isNull() != F.col("table_index").isNull())
+    return rows.select("doc_id", "block", F.round("similarity", 6).alias("similarity"), "method")
 
 
 def verdicts(s, d):
