@@ -20,10 +20,11 @@ STATUSES = {"passed": "PASS", "failed": "FAIL", "unknown": "UNKNOWN", "not_appli
 
 
 def status_counts(assertions: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(pair_id, dimension, weight, counts): one aggregation, then the weights keep each pair's empty dimensions."""
-    counts = assertions.groupBy("pair_id", "dimension").agg(*[F.count_if(F.col("status") == s).alias(k) for k, s in STATUSES.items()])
-    pairs = assertions.groupBy("pair_id").agg(F.lit(1).alias("_one")).select("pair_id", F.explode(F.create_map(*[F.lit(x) for p in weights.items() for x in p])).alias("dimension", "weight"))
-    return pairs.join(counts, ["pair_id", "dimension"], "left").na.fill(0, [*STATUSES])
+    """(pair_id, dimension, weight, counts) of each weighted dimension, also those that a pair has none of: one row a pair until its counts are complete. Null is no pair, so it has no counts."""
+    named = {(d, k): f"_{i}_{k}" for i, d in enumerate(weights) for k in STATUSES}
+    counts = assertions.groupBy("pair_id").agg(*[F.count_if(F.col("pair_id").isNotNull() & (F.col("dimension") == d) & (F.col("status") == STATUSES[k])).alias(c) for (d, k), c in named.items()])
+    rows = [F.struct(F.lit(d).alias("dimension"), F.lit(w).alias("weight"), *[F.col(named[d, k]).alias(k) for k in STATUSES]) for d, w in weights.items()]
+    return counts.select("pair_id", F.inline(F.array(*rows)))
 
 
 def dimension_scores(assertions: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -58,9 +59,12 @@ def view(dimension: str = "dimension") -> Column:
 
 
 def view_scores(dimensions: DataFrame) -> DataFrame:
-    """Totals per view and, with a null view, per pair, in one pass of grouping sets."""
-    rows = dimensions.withColumn("view", view())
-    return rows.groupingSets([["pair_id", "view"], ["pair_id"]], "pair_id", "view").agg(F.round(F.sum("score"), 4).alias("score"), F.sum("weight").alias("weight"), *[F.sum(k).alias(k) for k in STATUSES])
+    """Totals per view and, with a null view, per pair; those of pairs add up those of views, so rows move by pair only."""
+    sums = ["score", "weight", *STATUSES]
+    views = dimensions.groupBy("pair_id", view().alias("view")).agg(*[F.sum(k).alias(k) for k in sums])
+    pairs = views.groupBy("pair_id").agg(F.collect_list(F.struct("view", *sums)).alias("_views"), *[F.sum(k).alias(k) for k in sums])
+    rows = pairs.select("pair_id", F.inline(F.concat("_views", F.array(F.struct(F.lit(None).cast("string").alias("view"), *sums)))))
+    return rows.withColumn("score", F.round("score", 4))
 
 
 def issues(assertions: DataFrame) -> DataFrame:
