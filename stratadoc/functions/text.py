@@ -123,19 +123,20 @@ def caption_number(c: Column) -> Column:
 
 def classify_block(text: Column, kind: Column, content_type: Column) -> Column:
     """What a block is; the first rule that fits wins, a blank one is null."""
-    t = trimmed(text)
-    return (
-        F.when(kind == "table", "body.table")
-        .when(content_type == "equation", "body.equation")
-        .when(t == "", F.lit(None))
-        .when(t.rlike(FIGURE), "body.figure.caption")
-        .when(t.rlike(TABLE), "body.table.caption")
-        .when(t.rlike(CHAPTER), "body.heading.level1")
-        .when((F.length(t) <= 100) & t.rlike(THIRD), "body.heading.level3")
-        .when((F.length(t) <= 80) & t.rlike(SECOND), "body.heading.level2")
-        .when(t.rlike(PARENTHESIZED), "body.numbered_list_item")
-        .otherwise("body.paragraph")
-    )
+
+    def told(t: Column) -> Column:
+        return (
+            F.when(t == "", F.lit(None))
+            .when(t.rlike(FIGURE), "body.figure.caption")
+            .when(t.rlike(TABLE), "body.table.caption")
+            .when(t.rlike(CHAPTER), "body.heading.level1")
+            .when((F.length(t) <= 100) & t.rlike(THIRD), "body.heading.level3")
+            .when((F.length(t) <= 80) & t.rlike(SECOND), "body.heading.level2")
+            .when(t.rlike(PARENTHESIZED), "body.numbered_list_item")
+            .otherwise("body.paragraph")
+        )
+
+    return F.when(kind == "table", "body.table").when(content_type == "equation", "body.equation").otherwise(once(trimmed(text), told))
 
 
 def stable_id(prefix: str, **identity: Column) -> Column:
