@@ -116,10 +116,12 @@ def unique_ids(df: DataFrame, base: str, *order: str) -> DataFrame:
 def offsets(runs: DataFrame) -> DataFrame:
     """Running character offsets of runs in their block, and the section: it rises after a block that ends one."""
     past = W.partitionBy("doc_id", "block").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text")).over(past), F.lit(0))
+    start = F.coalesce(F.sum("_size").over(past), F.lit(0))
     sections = W.partitionBy("doc_id").orderBy("block").rangeBetween(W.unboundedPreceding, -1)
     section = F.coalesce(F.sum(F.when((F.col("run") == 1) & F.col("ends_section"), 1).otherwise(0)).over(sections), F.lit(0))
-    return runs.withColumn("start", start).withColumn("stop", start + F.length("text")).withColumn("section", section)
+    # sections first: what lies by document also lies by block, and only sizes have to move
+    rows = runs.withColumn("_size", F.length("text")).withColumn("section", section)
+    return rows.withColumn("start", start).withColumn("stop", F.col("start") + F.col("_size")).select(*runs.columns, "start", "stop", "section")
 
 
 def toc(items: DataFrame) -> DataFrame:
@@ -232,7 +234,9 @@ def verify_hashes(found: DataFrame, declared: DataFrame) -> DataFrame:
 
 def audit_presence(placed: DataFrame, final: DataFrame, norm) -> DataFrame:
     """Placed texts whose comparable form isn't in their final document's."""
-    return placed.join(final, "doc_id").where(~norm(F.col("final_text")).contains(norm(F.col("text")))).select("doc_id", "block")
+    whole = final.select("doc_id", norm(F.col("final_text")).alias("_final"))  # once a document, not for each of its texts
+    own = placed.select("doc_id", "block", norm(F.col("text")).alias("_text"))
+    return own.join(whole, "doc_id").where(~F.col("_final").contains(F.col("_text"))).select("doc_id", "block")
 
 
 #: What an audit counts besides texts; fixed values.
