@@ -7,7 +7,7 @@ A byte goes if a string of `size` bytes that covers it also starts in a document
    Anchor hashes are dealt into buckets; those found in one document alone are dropped.
 3. Each run of windows with one remaining anchor is a context of some 70 bytes. Contexts go to the shard of their
    anchor, each blob sending equal contexts once.
-4. A shard builds a suffix array over its contexts: ranks by the first eight bytes, refined by doubling where groups
+4. A shard builds a suffix array over its different contexts: ranks by the first eight bytes, refined by doubling where groups
    are still unsorted (Larsson and Sadakane), then common prefixes with the suffix before (Kasai's Phi order). A
    shard that is too large for one array has several, whose sorted windows are merged by binary search. Windows
    whose smallest document lies before their own are marked.
@@ -348,46 +348,58 @@ class Windows:
 MARKS = "blob long, at binary, sizes binary"
 
 
-def marks(contexts: DataFrame, size: int) -> DataFrame:
-    """(blob, at, sizes): runs of windows (first window, bytes covered) whose string starts in an earlier document."""
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        done = frame[frame["local"]]
-        rows = [*zip(done["blob"], done["at"], done["sizes"], strict=True)]
-        todo = frame[~frame["local"]].sort_values("blob")
-        parts, held, n = [], [], 0
-        for row in todo.itertuples():
-            sizes = unpack(row.sizes, np.int32).astype(np.int64)
-            held.append((np.frombuffer(zstandard.decompress(row.data), np.uint8), sizes, unpack(row.ids, np.int64), unpack(row.at, np.int32).astype(np.int64), np.full(len(sizes), row.blob)))
-            n += len(held[-1][0])
-            if n >= SHARD:
-                parts.append([np.concatenate(x) for x in zip(*held, strict=True)])
-                held, n = [], 0
-        if held:
-            parts.append([np.concatenate(x) for x in zip(*held, strict=True)])
-        windows = [Windows(data, sizes, ids, size) for data, sizes, ids, _, _ in parts]
-        for i, a in enumerate(windows):
-            for b in windows[i + 1 :]:
-                a.merge(b)
-        for i in range(len(windows) - 2, -1, -1):  # so that the first ones also know what later merges found
-            for b in windows[i + 1 :]:
-                windows[i].merge(b)
-        for w, (_, sizes, _, at, blob) in zip(windows, parts, strict=True):
-            hit = w.order[w.ids > w.least[w.group]]
-            owner = w.owner[hit]
-            place = at[owner] + hit - (np.cumsum(sizes) - sizes)[owner]
-            by = np.lexsort((place, blob[owner]))
-            place, home = place[by], blob[owner][by]
-            if not len(place):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(place) > 1) | (np.diff(home) != 0)]))
-            last = np.append(first[1:], len(place)) - 1
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(home[first])) + 1, [len(first)]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rows.append((int(home[first[a]]), pack(place[first[a:b]].astype(np.int32)), pack((place[last[a:b]] - place[first[a:b]] + size).astype(np.int32))))
+def judged(frame: pd.DataFrame, size: int) -> pd.DataFrame:
+    """MARKS of a shard's contexts."""
+    done = frame[frame["local"]]
+    rows = [*zip(done["blob"], done["at"], done["sizes"], strict=True)]
+    known: dict[bytes, int] = {}
+    held = []
+    for row in frame[~frame["local"]].sort_values("blob").itertuples():
+        data, sizes = zstandard.decompress(row.data), unpack(row.sizes, np.int32).astype(np.int64)
+        ends = np.cumsum(sizes).tolist()
+        of = [known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)]
+        held.append((np.array(of, np.int64), sizes, unpack(row.ids, np.int64), unpack(row.at, np.int32).astype(np.int64), np.full(len(sizes), row.blob)))
+    if not held:
         return pd.DataFrame(rows, columns=["blob", "at", "sizes"])
+    of, sizes, ids, at, blob = (np.concatenate(x) for x in zip(*held, strict=True))
+    # equal contexts are in the suffix arrays once, for their smallest document; what later documents have of them goes whole
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, ids)
+    later = ids > least[of]
+    own = np.fromiter(map(len, known), np.int64, len(known))
+    starts, texts = np.cumsum(own) - own, [*known]
+    known.clear()
+    cuts = np.flatnonzero(np.diff(starts // SHARD, prepend=-1, append=-1)).tolist()
+    windows = [Windows(np.frombuffer(b"".join(texts[a:b]), np.uint8), own[a:b], least[a:b], size) for a, b in zip(cuts, cuts[1:])]
+    del texts
+    for i, a in enumerate(windows):
+        for b in windows[i + 1 :]:
+            a.merge(b)
+    for i in range(len(windows) - 2, -1, -1):  # so that the first ones also know what later merges found
+        for b in windows[i + 1 :]:
+            windows[i].merge(b)
+    gone = np.concatenate([np.sort(w.order[w.ids > w.least[w.group]]) + starts[a] for w, a in zip(windows, cuts)])
+    owner = np.searchsorted(starts, gone, "right") - 1
+    counts = np.bincount(owner, minlength=len(own))
+    low = np.cumsum(counts) - counts
+    mine = np.flatnonzero(~later)
+    n = counts[of[mine]]
+    hit = np.arange(n.sum()) + np.repeat(low[of[mine]] - (np.cumsum(n) - n), n)
+    place, home = np.repeat(at[mine], n) + gone[hit] - starts[owner[hit]], np.repeat(blob[mine], n)
+    by = np.lexsort((place, home))
+    place, home = place[by], home[by]
+    first = np.flatnonzero((np.diff(place, prepend=-1) > 1) | (np.diff(home, prepend=-1) != 0))
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    found = [(home[first], place[first], place[last] - place[first] + size), (blob[later], at[later], sizes[later])]
+    for home, place, covered in found:
+        for a, b in zip(edges := [*np.flatnonzero(np.diff(home, prepend=-1)), len(home)], edges[1:]):
+            rows.append((int(home[a]), pack(place[a:b].astype(np.int32)), pack(covered[a:b].astype(np.int32))))
+    return pd.DataFrame(rows, columns=["blob", "at", "sizes"])
+
 
-    return contexts.groupBy("shard").applyInPandas(judge, MARKS)
+def marks(contexts: DataFrame, size: int) -> DataFrame:
+    """(blob, at, sizes): runs of windows (first window, bytes covered) whose string starts in an earlier document."""
+    return contexts.groupBy("shard").applyInPandas(lambda frame: judged(frame, size), MARKS)
 
 
 def cut_documents(docs: DataFrame, size: int, id_col: str, text_col: str, rest: Column) -> DataFrame:

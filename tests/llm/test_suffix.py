@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import zstandard
 
 from stratadoc.llm import suffix
 
@@ -102,3 +104,15 @@ def test_other_columns_stay_as_they_are(spark):
     assert got.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert suffix.deduplicated(df.select("doc_id", "text")).count() == 3
+
+
+def test_equal_contexts_of_a_shard_are_sorted_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    text, other = (bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (70, 60))
+    contexts = [(0, 5, [(0, 9, text), (100, 7, other)]), (1, 6, [(50, 4, text)]), (2, 7, [(0, 12, text), (90, 8, other + b"z")])]
+    frame = pd.DataFrame([(0, blob, False, suffix.pack(np.array([c[0] for c in own], np.int32)), suffix.pack(np.array([c[1] for c in own], np.int64)), suffix.pack(np.array([len(c[2]) for c in own], np.int32)), zstandard.compress(b"".join(c[2] for c in own))) for _, blob, own in contexts], columns=["shard", "blob", "local", "at", "ids", "sizes", "data"])
+    sorted_bytes = []
+    monkeypatch.setattr(suffix, "Windows", lambda data, *more, own=suffix.Windows: (sorted_bytes.append(len(data)), own(data, *more))[1])
+    got = sorted((r.blob, *pair) for r in suffix.judged(frame, 50).itertuples() for pair in zip(suffix.unpack(r.at, np.int32).tolist(), suffix.unpack(r.sizes, np.int32).tolist(), strict=True))
+    assert got == [(5, 0, 70), (7, 0, 70), (7, 90, 60)]
+    assert sum(sorted_bytes) == 70 + 60 + 61
