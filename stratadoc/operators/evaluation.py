@@ -39,34 +39,48 @@ def field_deltas(actual: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("actual") - F.col("gold"))
 
 
-def compare_values(actual: DataFrame, gold: DataFrame, equal) -> DataFrame:
-    """Gold values by semantic key (source and field): exact, mismatch, or not comparable where the key is absent."""
-    a = first_per(actual.where("field_id is not null"), ["doc_id", "object_id", "field_id"], "block").select("doc_id", "object_id", "field_id", F.col("value").alias("actual_value"), F.lit(True).alias("found"))
-    rows = gold.join(a, ["doc_id", "object_id", "field_id"], "left")
-    return rows.select("doc_id", "object_id", F.when(F.col("found").isNull(), "no_key").when(equal(F.col("value"), F.col("actual_value")), "exact").otherwise("mismatch").alias("result"))
+def digest(text: Column) -> Column:
+    """A text's digest in 16 bytes, null for null: what moves of texts that are only held equal or not."""
+    return F.unhex(F.md5(text))
 
 
-def compare_item_values(actual: DataFrame, gold: DataFrame, equal) -> DataFrame:
+def compare_values(actual: DataFrame, gold: DataFrame, form) -> DataFrame:
+    """Gold values by semantic key (source and field): exact, mismatch, or not comparable where the key is absent.
+
+    form: the comparable form of a value; null equals null alone. Digests of forms move, not values.
+    """
+    said = lambda df: df.withColumn("value", digest(form(F.col("value"))))
+    keys = ["doc_id", "object_id", "field_id"]
+    a = first_per(said(actual.where("field_id is not null").select(*keys, "block", "value")), keys, "block").select(*keys, F.col("value").alias("actual_value"), F.lit(True).alias("found"))
+    rows = said(gold.select(*keys, "value")).join(a, keys, "left")
+    return rows.select("doc_id", "object_id", F.when(F.col("found").isNull(), "no_key").when(F.col("value").eqNullSafe(F.col("actual_value")), "exact").otherwise("mismatch").alias("result"))
+
+
+def compare_item_values(actual: DataFrame, gold: DataFrame, form) -> DataFrame:
     """(doc_id, item_id, object_id, result) of gold items' values: exact or mismatch, for whole groups (object_id null) or by source.
 
     actual(doc_id, seq, sources, field_id, value): items with their ordered sources. gold(doc_id, item_id, field_id, value,
     pieces): pieces are the sources in order, structs (object_id, text). A gold item whose sources and field an actual one
     has as they are is compared as a whole. Any other is compared source by source, where an actual item of the field has
     the source, the first by seq if several do: with the source's own text if the pieces' texts joined equal the item's
-    value, else with the whole value. What isn't there isn't compared. equal: whether two values are the same.
+    value, else with the whole value. What isn't there isn't compared. form: the comparable form of a value; null equals
+    null alone. Digests of forms and of keys move, not values.
     """
-    keyed = lambda df, sources: df.withColumn("_key", F.when(F.size(sources) > 0, F.to_json(F.struct(F.lit(0).alias("v"), sources.alias("s"), F.col("field_id").alias("f")))))
-    groups = first_per(keyed(actual, F.col("sources")).where("_key is not null"), ["doc_id", "_key"], "seq").select("doc_id", "_key", F.col("value").alias("_group"), F.lit(True).alias("_whole"))
-    own = keyed(gold, F.transform("pieces", lambda x: x["object_id"])).join(groups, ["doc_id", "_key"], "left")
-    judged = lambda observed, expected: F.when(equal(observed, expected), "exact").otherwise("mismatch").alias("result")
-    whole = own.where("_whole").select("doc_id", "item_id", F.lit(None).cast("string").alias("object_id"), judged(F.col("_group"), F.col("value")))
+    keyed = lambda sources: F.when(F.size(sources) > 0, digest(F.to_json(F.struct(F.lit(0).alias("v"), sources.alias("s"), F.col("field_id").alias("f"))))).alias("_key")
+    said = digest(form(F.col("value")))
+    groups = first_per(actual.select("doc_id", "seq", keyed(F.col("sources")), said.alias("_group")).where("_key is not null"), ["doc_id", "_key"], "seq").select("doc_id", "_key", "_group", F.lit(True).alias("_whole"))
     joined = F.array_join(F.transform("pieces", lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    pieces = own.where("_whole is null").withColumn("_split", F.col("value").isNotNull() & equal(F.col("value"), joined))
-    pieces = pieces.select("doc_id", "item_id", "field_id", "value", "_split", F.explode("pieces").alias("_p"))
-    expected = pieces.select("doc_id", "item_id", F.col("_p.object_id").alias("object_id"), "field_id", F.when(F.col("_split"), F.col("_p.text")).otherwise(F.col("value")).alias("_expected"))
-    found = actual.select("doc_id", "seq", "field_id", F.col("value").alias("_observed"), F.explode("sources").alias("object_id")).where("field_id is not null")
-    rows = expected.join(first_per(found, ["doc_id", "object_id", "field_id"], "seq").drop("seq"), ["doc_id", "object_id", "field_id"])
-    return whole.unionByName(rows.select("doc_id", "item_id", "object_id", judged(F.col("_observed"), F.col("_expected"))))
+    own = gold.select("doc_id", "item_id", "field_id", "pieces", keyed(F.transform("pieces", lambda x: x["object_id"])), said.alias("_value"), digest(form(joined)).alias("_joined"))
+    pieces = lambda expected: F.transform("pieces", lambda x: F.struct(x["object_id"].alias("object_id"), expected(x).alias("expected")))
+    pieces = F.when(F.col("_value") == F.col("_joined"), pieces(lambda x: digest(form(x["text"])))).otherwise(pieces(lambda x: F.col("_value")))
+    own = own.select("doc_id", "item_id", "field_id", "_key", "_value", pieces.alias("_pieces"))
+    own = own.join(groups, ["doc_id", "_key"], "left")
+    judged = lambda observed, expected: F.when(F.col(observed).eqNullSafe(F.col(expected)), "exact").otherwise("mismatch").alias("result")
+    whole = own.where("_whole").select("doc_id", "item_id", F.lit(None).cast("string").alias("object_id"), judged("_group", "_value"))
+    pieces = own.where("_whole is null").select("doc_id", "item_id", "field_id", F.inline("_pieces"))
+    found = actual.select("doc_id", "seq", "field_id", said.alias("_observed"), F.explode("sources").alias("object_id")).where("field_id is not null")
+    rows = pieces.join(first_per(found, ["doc_id", "object_id", "field_id"], "seq").drop("seq"), ["doc_id", "object_id", "field_id"])
+    return whole.unionByName(rows.select("doc_id", "item_id", "object_id", judged("_observed", "expected")))
 
 
 def compare_grouping(actual: DataFrame, gold: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ both(
 )
 both(
     "jn06_compare_values",
-    lambda s, d: E.compare_values(X.items(s, d).withColumn("value", F.when(F.col("block") % 8 == 0, F.upper("value")).otherwise(F.col("value"))), X.gold(s, d), T.values_equal).groupBy("doc_id", "result").agg(F.count("*").alias("n")),
+    lambda s, d: E.compare_values(X.items(s, d).withColumn("value", F.when(F.col("block") % 8 == 0, F.upper("value")).otherwise(F.col("value"))), X.gold(s, d), T.norm_text).groupBy("doc_id", "result").agg(F.count("*").alias("n")),
     f" SELECT g.doc_id, CASE WHEN i.object_id IS NULL THEN 'no_key' WHEN {norm_sql('g.value')} IS NOT DISTINCT FROM {norm_sql('CASE WHEN i.block % 8 = 0 THEN upper(i.value) ELSE i.value END')} THEN 'exact' ELSE 'mismatch' END AS result, count(*) AS n FROM gold g LEFT JOIN items i ON i.doc_id = g.doc_id AND i.object_id = g.object_id AND i.field_id = g.field_id GROUP BY ALL",
 )
 
@@ -54,7 +54,7 @@ def value_groups(s, d):
 
 both(
     "jn06_compare_item_values",
-    lambda s, d: E.compare_item_values(*value_groups(s, d), T.values_equal).groupBy("doc_id", "item_id", "result").agg(F.count("*").alias("n"), F.count("object_id").alias("by_source")),
+    lambda s, d: E.compare_item_values(*value_groups(s, d), T.norm_text).groupBy("doc_id", "item_id", "result").agg(F.count("*").alias("n"), F.count("object_id").alias("by_source")),
     f""", r AS (SELECT *, block // 14 AS g FROM items WHERE field_id IS NOT NULL), o AS (SELECT doc_id, g, field_id, list(object_id ORDER BY block) AS src, list(value ORDER BY block) AS txt, string_agg(value, '' ORDER BY block) AS j FROM r GROUP BY ALL),
     gd AS (SELECT doc_id, g || ':' || field_id AS item_id, g, field_id, src, txt, CASE WHEN g % 3 = 2 THEN txt[1] ELSE j END AS v FROM o),
     wh AS (SELECT doc_id, src, field_id, CASE WHEN g % 5 = 1 THEN upper(j) || ' ' WHEN g % 5 = 2 THEN 'other' ELSE j END AS v FROM o WHERE (doc_id + g) % 2 = 0),
@@ -295,8 +295,9 @@ MEASURED = [
 
 def dimensions(s, d):
     rows = evidence(s, d).where("lacks").select("doc_id", F.lit("evidence_incomplete").alias("measure"), F.lit(1).cast("long").alias("n"))
-    for name, which, n, measure in MEASURED:
-        rows = rows.unionByName(QUERIES[name](s, d).where(which).select("doc_id", F.lit(measure).alias("measure"), F.expr(n).cast("long").alias("n")))
+    for name in dict.fromkeys(m[0] for m in MEASURED):
+        found = [F.when(F.expr(which), F.struct(F.lit(measure).alias("measure"), F.expr(n).cast("long").alias("n"))) for of, which, n, measure in MEASURED if of == name]
+        rows = rows.unionByName(QUERIES[name](s, d).select("doc_id", F.inline(F.array_compact(F.array(*found)))))
     return E.dimension_report(X.table(s, d, "documents"), rows)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
 from stratadoc.operators import content as C
+from stratadoc.operators import evaluation as E
 
 
 def optimized(df) -> str:
@@ -33,3 +34,18 @@ def test_a_block_is_trimmed_once(spark):
     rows = texts.select(T.classify_block(F.col("text"), F.lit("paragraph"), F.lit("text")).alias("label"))
     assert [r.label for r in rows.collect()] == [None, "body.figure.caption", "body.heading.level1", "body.heading.level3", "body.heading.level2", "body.numbered_list_item", "body.paragraph", "body.paragraph"]
     assert optimized(texts.select(T.classify_block(F.col("text"), F.col("text"), F.col("text")).alias("label"))).count("regexp_replace") <= 2
+
+
+def moved(df):
+    """What an exchange of the plan takes, for each."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return [part.split("Arguments:")[0] for part in df._jdf.queryExecution().explainString(mode).split("\n\n") if ") Exchange\n" in part]
+
+
+def test_values_move_as_digests(spark):
+    """Values that are only held equal or not, and their texts, aren't shuffled; null equals null alone."""
+    gold = spark.createDataFrame([(1, "i", "f", "A b", [("o", "a"), ("p", "b")]), (1, "j", "f", "x", [("q", "x")]), (1, "k", "f", None, [("r", None)])], "doc_id long, item_id string, field_id string, value string, pieces array<struct<object_id:string,text:string>>")
+    actual = spark.createDataFrame([(1, 1, ["o"], "f", "a "), (1, 2, ["p"], "f", "c"), (1, 3, ["q"], "f", "X"), (1, 4, ["r"], "f", None)], "doc_id long, seq long, sources array<string>, field_id string, value string")
+    df = E.compare_item_values(actual, gold, T.norm_text)
+    assert {(r.item_id, r.object_id, r.result) for r in df.collect()} == {("i", "o", "exact"), ("i", "p", "mismatch"), ("j", None, "exact"), ("k", None, "exact")}
+    assert moved(df) and not [x for x in moved(df) if " value#" in x or "[value#" in x or " pieces#" in x]
