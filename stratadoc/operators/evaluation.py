@@ -16,18 +16,28 @@ def first_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def digest(text: Column) -> Column:
+    """A text's digest in 16 bytes, null for null: what moves of texts that are only held equal or not."""
+    return F.unhex(F.md5(text))
+
+
+def known_by(df: DataFrame, name: str = "object_id") -> DataFrame:
+    """df with _id, the digest of a name: rows meet by it, so that names move only where they are asked for."""
+    return df.withColumn("_id", digest(F.col(name).cast("string")))
+
+
 def compare_coverage(actual: DataFrame, gold: DataFrame) -> DataFrame:
     """Per document: gold sources missing, and actual ones beyond gold, split by whether all their items are layout without a field."""
-    a = actual.groupBy("doc_id", "object_id").agg(F.bool_and((F.col("status") == "layout_only") & F.col("field_id").isNull()).alias("excluded"))
-    g = gold.select("doc_id", F.col("object_id"), F.lit(True).alias("in_gold")).distinct()
-    rows = a.join(g, ["doc_id", "object_id"], "full")
+    a = known_by(actual).groupBy("doc_id", "_id").agg(F.bool_and((F.col("status") == "layout_only") & F.col("field_id").isNull()).alias("excluded"))
+    g = known_by(gold).select("doc_id", "_id", F.lit(True).alias("in_gold")).distinct()
+    rows = a.join(g, ["doc_id", "_id"], "full")
     return rows.groupBy("doc_id").agg(F.count_if(F.col("excluded").isNull()).alias("missing"), F.count_if(F.col("in_gold").isNull() & F.col("excluded")).alias("correctly_excluded"), F.count_if(F.col("in_gold").isNull() & ~F.col("excluded")).alias("unexpected"))
 
 
 def compare_fields(actual: DataFrame, gold: DataFrame) -> DataFrame:
     """Each gold (source, field) as exact, mismatch or missing."""
-    a = first_per(actual, ["doc_id", "object_id"], "block").select("doc_id", "object_id", F.col("field_id").alias("actual_field"), F.lit(True).alias("found"))
-    rows = gold.join(a, ["doc_id", "object_id"], "left")
+    a = first_per(known_by(actual), ["doc_id", "_id"], "block").select("doc_id", "_id", F.col("field_id").alias("actual_field"), F.lit(True).alias("found"))
+    rows = known_by(gold).join(a, ["doc_id", "_id"], "left")
     verdict = F.when(F.col("found").isNull(), "missing").when(F.col("actual_field").eqNullSafe(F.col("field_id")), "exact").otherwise("mismatch")
     return rows.select("doc_id", "object_id", "field_id", verdict.alias("result"))
 
@@ -39,20 +49,15 @@ def field_deltas(actual: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("actual") - F.col("gold"))
 
 
-def digest(text: Column) -> Column:
-    """A text's digest in 16 bytes, null for null: what moves of texts that are only held equal or not."""
-    return F.unhex(F.md5(text))
-
-
 def compare_values(actual: DataFrame, gold: DataFrame, form) -> DataFrame:
     """Gold values by semantic key (source and field): exact, mismatch, or not comparable where the key is absent.
 
     form: the comparable form of a value; null equals null alone. Digests of forms move, not values.
     """
-    said = lambda df: df.withColumn("value", digest(form(F.col("value"))))
-    keys = ["doc_id", "object_id", "field_id"]
-    a = first_per(said(actual.where("field_id is not null").select(*keys, "block", "value")), keys, "block").select(*keys, F.col("value").alias("actual_value"), F.lit(True).alias("found"))
-    rows = said(gold.select(*keys, "value")).join(a, keys, "left")
+    said = lambda df: known_by(df).withColumn("value", digest(form(F.col("value"))))
+    keys = ["doc_id", "_id", "field_id"]
+    a = first_per(said(actual.where("field_id is not null")), keys, "block").select(*keys, F.col("value").alias("actual_value"), F.lit(True).alias("found"))
+    rows = said(gold).join(a, keys, "left")
     return rows.select("doc_id", "object_id", F.when(F.col("found").isNull(), "no_key").when(F.col("value").eqNullSafe(F.col("actual_value")), "exact").otherwise("mismatch").alias("result"))
 
 
@@ -85,9 +90,9 @@ def compare_item_values(actual: DataFrame, gold: DataFrame, form) -> DataFrame:
 
 def compare_grouping(actual: DataFrame, gold: DataFrame) -> DataFrame:
     """Bindings (ordered sources, field or status) of both sides: exact, missing, unexpected; `copies` tells duplicates."""
-    count = lambda df, n: df.groupBy("doc_id", "binding").agg(F.count("*").alias(n))
-    rows = count(actual, "a").join(count(gold, "g"), ["doc_id", "binding"], "full")
-    return rows.select("doc_id", "binding", F.when(F.col("a").isNull(), "missing").when(F.col("g").isNull(), "unexpected").otherwise("exact").alias("result"), F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("g", F.lit(0))).alias("copies"))
+    count = lambda df, n: known_by(df, "binding").groupBy("doc_id", "_id").agg(F.count("*").alias(n), F.first("binding").alias(f"{n}_binding"))
+    rows = count(actual, "a").join(count(gold, "g"), ["doc_id", "_id"], "full")
+    return rows.select("doc_id", F.coalesce("a_binding", "g_binding").alias("binding"), F.when(F.col("a").isNull(), "missing").when(F.col("g").isNull(), "unexpected").otherwise("exact").alias("result"), F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("g", F.lit(0))).alias("copies"))
 
 
 def binding(ids: Column, field: Column, status: Column) -> Column:
@@ -97,7 +102,8 @@ def binding(ids: Column, field: Column, status: Column) -> Column:
 def compare_order(actual: DataFrame, gold: DataFrame) -> DataFrame:
     """Per document: equal sequences of keys, the first place that differs, and whether common keys keep their order."""
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
-    a, g = actual.withColumn("n", place).select("doc_id", "n", F.col("key").alias("a")), gold.withColumn("n", place).select("doc_id", "n", F.col("key").alias("g"))
+    numbered = lambda df, side: known_by(df, "key").withColumn("n", place).select("doc_id", "n", F.col("_id").alias(side))
+    a, g = numbered(actual, "a"), numbered(gold, "g")
     both = a.join(g, ["doc_id", "n"], "full").groupBy("doc_id").agg(F.bool_and(F.col("a").eqNullSafe(F.col("g"))).alias("equal"), F.min(F.when(~F.col("a").eqNullSafe(F.col("g")), F.col("n"))).alias("first_mismatch"))
     common = a.select("doc_id", F.col("a").alias("key"), F.col("n").alias("an")).join(g.select("doc_id", F.col("g").alias("key"), F.col("n").alias("gn")), ["doc_id", "key"])
     before = F.lag("gn").over(W.partitionBy("doc_id").orderBy("an"))
@@ -107,9 +113,10 @@ def compare_order(actual: DataFrame, gold: DataFrame) -> DataFrame:
 
 def compare_hierarchy(actual: DataFrame, gold: DataFrame, relations: DataFrame) -> DataFrame:
     """Children of both sides by parent: direct, relation (through a caption or note), root, or mismatch."""
-    a = actual.select("doc_id", "object_id", F.col("parent_id").alias("actual_parent"))
-    via = relations.select("doc_id", F.col("caption_id").alias("object_id"), F.col("target_id").alias("expected_parent"), F.lit(True).alias("via")).distinct()
-    rows = gold.select("doc_id", "object_id", F.col("parent_id").alias("expected_parent")).join(a, ["doc_id", "object_id"]).join(via, ["doc_id", "object_id", "expected_parent"], "left")
+    of = lambda name: digest(F.col(name).cast("string"))
+    a = known_by(actual).select("doc_id", "_id", of("parent_id").alias("actual_parent"))
+    via = known_by(relations, "caption_id").select("doc_id", "_id", of("target_id").alias("expected_parent"), F.lit(True).alias("via")).distinct()
+    rows = known_by(gold).select("doc_id", "object_id", "_id", of("parent_id").alias("expected_parent")).join(a, ["doc_id", "_id"]).join(via, ["doc_id", "_id", "expected_parent"], "left")
     how = F.when(F.col("expected_parent").isNull() & F.col("actual_parent").isNull(), "root").when(F.col("expected_parent") == F.col("actual_parent"), "direct").when(F.col("via"), "relation").otherwise("mismatch")
     return rows.select("doc_id", "object_id", how.alias("result"))
 
@@ -121,12 +128,13 @@ def compare_provenance(heads: DataFrame, actual: DataFrame, inventory: DataFrame
     block, inline, object_ids, locators), whose lists must agree place by place. refs: the gold's (doc_id, object_id,
     document_sha256, locator), nulls unchecked; objects: (doc_id, object_id, locators), all names of each.
     """
-    side = lambda df, n: df.select("doc_id", "pos", F.struct("item_id").alias(f"{n}_id"), F.struct("block", "inline").alias(f"{n}_order"), F.struct("item_id", "object_ids", "locators", "block", "inline").alias(f"{n}_bound"))
+    whole = lambda *names: digest(F.to_json(F.struct(*names)))
+    side = lambda df, n: df.select("doc_id", "pos", whole("item_id").alias(f"{n}_id"), F.struct("block", "inline").alias(f"{n}_order"), whole("item_id", "object_ids", "locators", "block", "inline").alias(f"{n}_bound"))
     both = side(actual, "a").join(side(inventory, "i"), ["doc_id", "pos"], "full")
     agree = lambda n: F.bool_and(F.col(f"a_{n}").eqNullSafe(F.col(f"i_{n}")))
     places = both.groupBy("doc_id").agg(agree("id").alias("item_ids"), agree("order").alias("orders"), agree("bound").alias("bindings"))
-    own = objects.select("doc_id", "object_id", "locators", F.lit(True).alias("there"))
-    found = refs.join(own, ["doc_id", "object_id"], "left").join(heads.select("doc_id", "inventory_sha256"), "doc_id", "left")
+    own = known_by(objects).select("doc_id", "_id", "locators", F.lit(True).alias("there"))
+    found = known_by(refs).join(own, ["doc_id", "_id"], "left").join(heads.select("doc_id", "inventory_sha256"), "doc_id", "left")
     present = F.coalesce("there", F.lit(False))
     document = present & (F.col("document_sha256").isNull() | F.coalesce(F.col("document_sha256") == F.col("inventory_sha256"), F.lit(False)))
     locator = present & (F.col("locator").isNull() | F.coalesce(F.array_contains("locators", F.col("locator")), F.lit(False)))

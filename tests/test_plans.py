@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stratadoc.functions import text as T
 from stratadoc.operators import content as C
 from stratadoc.operators import evaluation as E
+from stratadoc.plans import evaluation_queries as Q
 
 
 def optimized(df) -> str:
@@ -49,3 +50,12 @@ def test_values_move_as_digests(spark):
     df = E.compare_item_values(actual, gold, T.norm_text)
     assert {(r.item_id, r.object_id, r.result) for r in df.collect()} == {("i", "o", "exact"), ("i", "p", "mismatch"), ("j", None, "exact"), ("k", None, "exact")}
     assert moved(df) and not [x for x in moved(df) if " value#" in x or "[value#" in x or " pieces#" in x]
+
+
+def test_documents_are_compared_once_and_names_move_as_digests(spark):
+    """Comparisons with several measures are in the report's plan once; names that only meet aren't shuffled there."""
+    read = optimized(Q.dimensions(spark, "/root/testdata/sf0.001")).count("Join FullOuter")
+    assert read == 5  # one for each of provenance, coverage, counts of fields, groups and order
+    rows = spark.createDataFrame([(1, "a", "x", 1, None), (1, "b", "y", 2, "f")], "doc_id long, object_id string, status string, block long, field_id string")
+    plain = moved(E.compare_coverage(rows, rows)) + moved(E.compare_fields(rows, rows).groupBy("doc_id", "result").count())
+    assert plain and not [x for x in plain if "object_id#" in x]
