@@ -113,10 +113,11 @@ def effective_styles(occurrences: DataFrame, styles: DataFrame, properties: Data
     paragraph's properties before its run's, then what the paragraph says itself, its mark, the character's style and the
     run. A chain of styles ends before a base that is missing or of another type; one that meets itself gives nothing.
     Then each of the two font names stands in for the other, and implicit values fill what nobody wrote.
-    A style's steps are put together once and joined to occurrences whole; the rest is done row by row.
+    What the styles of an occurrence give is worked out once for each pair of them, defaults and fallbacks included; an
+    occurrence works out again only the paths that it writes itself.
     """
     step = F.struct("layer", F.col("owner").cast("string").alias("source"), "path", "value", "toggle", F.map_entries("tabs").alias("tabs")).cast(STEP)
-    listed = lambda *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"])
+    listed = lambda *order: F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"])
     chain = style_chain(styles)
     void = chain.where("reason = 'cycle'").select("style_id").distinct()
     chain = chain.where("reason is null").join(void, "style_id", "left_anti").join(styles.select("style_id", "style_type"), "style_id")
@@ -124,30 +125,44 @@ def effective_styles(occurrences: DataFrame, styles: DataFrame, properties: Data
     steps = chain.join(of_style, "ancestor").where("style_type <> 'character' or part = 'run'").withColumn("layer", F.concat("style_type", F.lit("_style"))).withColumn("owner", F.col("ancestor"))
     steps = cut(steps.groupBy("style_id", "style_type").agg(listed((-F.col("depth")).alias("_d"), F.col("part").alias("_s")).alias("steps")))
     direct = properties.where("layer <> 'style' and layer <> 'doc_defaults'").groupBy(F.col("owner").alias("occurrence_id"))
-    direct = direct.agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == x, F.struct(F.col("path").alias("_p"), step.alias("step"))))), lambda v: v["step"]).alias(f"_{x}") for x in LAYERS if x.endswith("_direct")])
-    defaults = properties.where("layer = 'doc_defaults'").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("part") == "paragraph").alias("_s"), F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"]).alias("steps")).first()[0]
+    direct = direct.agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("layer") == x, F.struct(F.col("path").alias("_p"), step.alias("step"))))), lambda v: v["step"]).alias(f"_{x}") for x in LAYERS if x.endswith("_direct")])
+    defaults = properties.where("layer = 'doc_defaults'").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("part") == "paragraph").alias("_s"), F.col("path").alias("_p"), step.alias("step")))), lambda x: x["step"]).alias("steps")).first()[0]
     known = F.from_json(F.lit(json.dumps([x.asDict(True) for x in defaults or []])), f"array<{STEP}>")
-    rows = occurrences.select("occurrence_id", "paragraph_style", "character_style")
-    for kind in ("paragraph", "character"):
-        rows = rows.join(steps.where(F.col("style_type") == kind).select(F.col("style_id").alias(f"{kind}_style"), F.col("steps").alias(f"_{kind}_style")), f"{kind}_style", "left")
-    rows = rows.join(direct, "occurrence_id", "left")
-    every = F.concat(known, *[F.coalesce(F.col(f"_{x}"), F.array().cast(f"array<{STEP}>")) for x in LAYERS[1:]])
-    rows = rows.select("occurrence_id", every.alias("_steps"))
+    none = F.array().cast(f"array<{STEP}>")
     entry = lambda path, of: F.struct(path.alias("path"), of["value"].alias("value"), of["trail"].alias("trail"))
-    own = F.transform(F.array_distinct(F.transform("_steps", lambda x: x["path"])), lambda p: entry(p, written_by(F.col("_steps"), p)))
-    rows = rows.select("occurrence_id", own.alias("_own"))
-    has = lambda path: F.exists("_own", lambda x: x["path"] == path)
-    of = lambda path: F.get(F.filter("_own", lambda x: x["path"] == path), F.lit(0))
+    has = lambda own, path: F.exists(own, lambda x: x["path"] == path)
+    of = lambda own, path: F.get(F.filter(own, lambda x: x["path"] == path), F.lit(0))
     one = lambda path, source, layer, action, value: F.array(F.struct(F.lit(layer).alias("layer"), F.lit(source).alias("source"), F.lit(action).alias("action"), value.alias("value"))).cast(TRAIL)
-    added = []
-    for path, other in FALLBACKS:
-        found = of(other)
-        made = F.struct(F.lit(path).alias("path"), found["value"].alias("value"), F.concat(found["trail"], one(path, other, "word_font_fallback", "derive", found["value"])).alias("trail"))
-        added.append(F.when(~has(path) & has(other), made))
+
+    def derived(own: str) -> list[Column]:
+        made = lambda path, other, found: F.struct(F.lit(path).alias("path"), found["value"].alias("value"), F.concat(found["trail"], one(path, other, "word_font_fallback", "derive", found["value"])).alias("trail"))
+        return [F.when(~has(own, path) & has(own, other), made(path, other, of(own, other))) for path, other in FALLBACKS]
+
+    pairs = occurrences.select("paragraph_style", "character_style").distinct()
+    for kind in ("paragraph", "character"):
+        # styles that aren't there have no steps; they are dealt by the other one, so that they don't all meet in one task
+        other = F.when(F.col(f"{kind}_style").isNull(), F.hash("character_style" if kind == "paragraph" else "paragraph_style") % 4096)
+        mine = steps.where(F.col("style_type") == kind).select(F.col("style_id").alias(f"{kind}_style"), F.lit(0).alias("_deal"), F.col("steps").alias(f"_{kind}_style"))
+        pairs = pairs.withColumn("_deal", F.coalesce(other, F.lit(0))).join(mine, [f"{kind}_style", "_deal"], "left").drop("_deal")
+    given = F.concat(known, F.coalesce("_paragraph_style", none), F.coalesce("_character_style", none))
+    own = F.transform(F.array_distinct(F.transform(given, lambda x: x["path"])), lambda p: entry(p, written_by(given, p)))
+    pairs = pairs.withColumn("_own", own)
+    added = derived("_own")
     for path, value in IMPLICIT.items():
         v = F.lit(value).cast("string")
-        added.append(F.when(~has(path), F.struct(F.lit(path).alias("path"), v.alias("value"), one(path, "ECMA-376", "word_implicit_default", "default", v).alias("trail"))))
-    return rows.select("occurrence_id", F.inline(F.concat("_own", F.array_compact(F.array(*added)))))
+        added.append(F.when(~has("_own", path), F.struct(F.lit(path).alias("path"), v.alias("value"), one(path, "ECMA-376", "word_implicit_default", "default", v).alias("trail"))))
+    pairs = pairs.select(F.struct("paragraph_style", "character_style").alias("_pair"), "_paragraph_style", "_character_style", F.concat("_own", F.array_compact(F.array(*added))).alias("_given"))
+    rows = occurrences.select("occurrence_id", F.struct("paragraph_style", "character_style").alias("_pair")).join(direct, "occurrence_id", "left").join(pairs, "_pair")
+    every = F.concat(known, *[F.coalesce(F.col(f"_{x}"), none) for x in LAYERS[1:]])
+    touched = F.array_distinct(F.transform(F.concat(*[f"_{x}" for x in LAYERS if x.endswith("_direct")]), lambda x: x["path"]))
+    fonts = F.array(*[F.lit(path) for path, _ in FALLBACKS])
+    rows = rows.withColumn("_touched", F.when(F.arrays_overlap(touched, fonts), F.array_union(touched, fonts)).otherwise(touched))
+    again = F.filter(F.transform("_touched", lambda p: entry(p, written_by(every, p))), lambda x: (F.size(x["trail"]) > 0) | x["path"].isNull())
+    rows = rows.withColumn("_again", F.when(F.col("_touched").isNotNull(), again))
+    left = F.filter("_given", lambda x: ~F.exists("_touched", lambda p: p.eqNullSafe(x["path"])))
+    rows = rows.select("occurrence_id", F.when(F.col("_touched").isNull(), F.col("_given")).otherwise(F.concat(left, "_again", F.array_compact(F.array(*derived("_again"))))).alias("_all"))
+    # never empty; a plain inline would test that first, working out each row thrice
+    return rows.select("occurrence_id", F.inline_outer("_all"))
 
 
 #: A value that stands for a parameter as a whole; fixed pattern.

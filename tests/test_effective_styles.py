@@ -85,3 +85,26 @@ def test_effective_styles(spark):
     assert got == {o[0]: plain_effective(o, styles, properties) for o in occurrences}
     actions = {a for o in got.values() for _, trail in o.values() for _, _, a, _ in trail}
     assert actions == {"set", "merge", "toggle", "toggle_noop", "derive", "default"}
+
+
+def test_styles_are_worked_out_once_a_pair(spark):
+    styles = {"p": (None, "paragraph"), "q": ("p", "paragraph"), "c": (None, "character")}
+    properties = [("style", "p", "run", "run.bold", "true", True, None), ("style", "q", "paragraph", S.TABS, None, False, {10: "left"}), ("style", "p", "run", "run.font_ascii", "a", False, None), ("style", "c", "run", "run.bold", "true", True, None), ("doc_defaults", None, "run", "run.size", "11", False, None)]
+    occurrences = [(f"{p}{c}{k}", p, c) for p in ("p", "q", "gone", None) for c in ("c", None) for k in range(6)]
+    for name, _, _ in occurrences:
+        direct = {"1": [("paragraph_direct", "paragraph", S.TABS, None, {10: "clear"})], "2": [("run_direct", "run", "run.font_hansi", "h", None)], "3": [("paragraph_mark_direct", "run", "run.bold", "false", None), ("run_direct", "run", "run.font_ascii", None, None)], "4": [("run_direct", "run", "run.color", "red", None)]}
+        properties += [(layer, name, part, path, value, False, tabs) for layer, part, path, value, tabs in direct.get(name[-1], [])]
+    df = S.effective_styles(
+        spark.createDataFrame(occurrences, "occurrence_id string, paragraph_style string, character_style string"),
+        spark.createDataFrame([(s, *v) for s, v in styles.items()], "style_id string, based_on string, style_type string"),
+        spark.createDataFrame(properties, "layer string, owner string, part string, path string, value string, toggle boolean, tabs map<int,string>"),
+    )
+    got = {}
+    for r in df.collect():
+        assert r.path not in got.setdefault(r.occurrence_id, {})
+        got[r.occurrence_id][r.path] = (r.value, [tuple(x) for x in r.trail])
+    assert got == {o[0]: plain_effective(o, styles, properties) for o in occurrences}
+    # implicit values are put in below the join that brings them to occurrences, and no test of the rows works them out again
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "ECMA-376" in plan and "ECMA-376" not in top and "Filter" not in top
