@@ -19,36 +19,8 @@ def fits(wanted: Column, given: Column) -> Column:
     return wanted.isNull() | (wanted == given)
 
 
-def controls_of(slots: DataFrame, controls: DataFrame) -> DataFrame:
-    """(pair_id, slot_id, n, control): how many controls each slot's locator names, and the first.
-
-    A locator gives story and part, and may give tag, paragraph and occurrence.
-    """
-    own = slots.select("pair_id", "slot_id", "story", "part", F.col("tag").alias("_tag"), F.col("paragraph").alias("_paragraph"), "occurrence")
-    rows = own.join(controls, ["pair_id", "story", "part"]).where(fits(F.col("_tag"), F.col("tag")) & fits(F.col("_paragraph"), F.col("paragraph")))
-    place = F.row_number().over(W.partitionBy("pair_id", "slot_id").orderBy("control_no"))
-    rows = rows.withColumn("_n", place).where("occurrence is null or occurrence = _n")
-    control = F.struct("control_no", "story", "part", "paragraph", "alias", "start", "stop", "placeholder", "style")
-    return rows.groupBy("pair_id", "slot_id").agg(F.count("*").alias("n"), F.min_by(control, "control_no").alias("control"))
-
-
-def match_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame, actual_controls: DataFrame) -> DataFrame:
-    """(pair_id, slot_id, gold, actual, gold_control, actual_control, status): MATCHED, MISSING or AMBIGUOUS.
-
-    An actual slot has the gold slot's id, else its tag, story and part, if just one has; then each side's locator must
-    name one control.
-    """
-    whole = lambda df, n: df.select("pair_id", "slot_id", F.struct(*df.columns).alias(n))
-    by_id = actual.groupBy("pair_id", "slot_id").agg(F.count("*").alias("n_id"), F.first(F.struct(*actual.columns)).alias("same_id"))
-    tags = actual.groupBy(F.col("pair_id").alias("_pair"), F.col("tag").alias("_tag"), F.col("story").alias("_story"), F.col("part").alias("_part")).agg(F.count("*").alias("n_tag"), F.first(F.struct(*actual.columns)).alias("same_tag"))
-    rows = gold.join(by_id, ["pair_id", "slot_id"], "left").join(tags, (F.col("pair_id") == F.col("_pair")) & F.col("tag").eqNullSafe(F.col("_tag")) & (F.col("story") == F.col("_story")) & (F.col("part") == F.col("_part")), "left")
-    found = rows.select("pair_id", "slot_id", F.coalesce("n_id", "n_tag", F.lit(0)).alias("found"), F.when(F.coalesce("n_id", "n_tag") == 1, F.coalesce("same_id", "same_tag")).alias("actual"))
-    mine = controls_of(gold, gold_controls).select("pair_id", "slot_id", F.col("n").alias("n_gold"), F.col("control").alias("gold_control"))
-    theirs = controls_of(actual, actual_controls).select("pair_id", F.col("slot_id").alias("_slot"), F.col("n").alias("n_actual"), F.col("control").alias("actual_control"))
-    rows = whole(gold, "gold").join(found, ["pair_id", "slot_id"]).join(mine, ["pair_id", "slot_id"], "left").withColumn("_slot", F.col("actual.slot_id")).join(theirs, ["pair_id", "_slot"], "left")
-    n_gold, n_actual = F.coalesce("n_gold", F.lit(0)), F.coalesce("n_actual", F.lit(0))
-    status = F.when(F.col("found") > 1, "AMBIGUOUS").when(F.col("found") == 0, "MISSING").when((n_gold == 1) & (n_actual == 1), "MATCHED").when((n_gold == 0) | (n_actual == 0), "MISSING").otherwise("AMBIGUOUS")
-    return rows.select("pair_id", "slot_id", "gold", "actual", "gold_control", "actual_control", status.alias("status"))
+#: What an evaluation asks of a slot on each side besides its keys; fixed values.
+GOLD_SLOT, ACTUAL_SLOT = ("required", "field_id", "style"), ("slot_id", "field_id", "content_type", "style")
 
 
 def boundary(slot: Column, control: Column, text: Column) -> Column:
@@ -67,6 +39,45 @@ def marker_differs(style: Column, control: Column) -> Column:
     return styles_differ(named, control["style"])
 
 
+def controls_of(slots: DataFrame, controls: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pair_id, slot_id, n, control): how many controls each slot's locator names, and the first: where it is, its alias, the slot's boundary there and whether its style is another (marker).
+
+    A locator gives story and part, and may give tag, paragraph and occurrence. Controls meet their texts before they
+    meet slots, so that neither texts nor whole slots move on.
+    """
+    own = slots.select("pair_id", "slot_id", "story", "part", "occurrence", *[F.col(c).alias(f"_{c}") for c in ("tag", "paragraph")], F.struct("start", "stop", "left_anchor", "right_anchor", "style").alias("_slot"))
+    given = controls.join(texts.select("pair_id", "story", "part", "paragraph", "text"), ["pair_id", "story", "part", "paragraph"], "left")
+    rows = own.join(given, ["pair_id", "story", "part"]).where(fits(F.col("_tag"), F.col("tag")) & fits(F.col("_paragraph"), F.col("paragraph")))
+    told, slot = F.struct("start", "stop", "placeholder", "style"), F.col("_slot")
+    rows = rows.select("pair_id", "slot_id", "occurrence", "control_no", "story", "part", "paragraph", "alias", boundary(slot, told, F.col("text")).alias("boundary"), marker_differs(slot["style"], told).alias("marker"))
+    place = F.row_number().over(W.partitionBy("pair_id", "slot_id").orderBy("control_no"))
+    rows = rows.withColumn("_n", place).where("occurrence is null or occurrence = _n")
+    control = F.struct("story", "part", "paragraph", "alias", "boundary", "marker")
+    return rows.groupBy("pair_id", "slot_id").agg(F.count("*").alias("n"), F.min_by(control, "control_no").alias("control"))
+
+
+def match_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame, actual_controls: DataFrame) -> DataFrame:
+    """(pair_id, slot_id, gold, actual, gold_control, actual_control, status): MATCHED, MISSING or AMBIGUOUS; the controls are those of controls_of.
+
+    An actual slot has the gold slot's id, else its tag, story and part, if just one has; then each side's locator must
+    name one control. Slots meet all that has their id where they lie; only those without it go on to ask by tag.
+    """
+    mine = gold_controls.select("pair_id", "slot_id", F.col("n").alias("n_gold"), F.col("control").alias("gold_control"))
+    theirs = actual_controls.select("pair_id", "slot_id", F.col("n").alias("n_actual"), F.col("control").alias("actual_control"))
+    some = F.first(F.struct(*ACTUAL_SLOT))
+    by_id = actual.groupBy("pair_id", "slot_id").agg(F.count("*").alias("found"), some.alias("actual"))
+    tags = actual.groupBy(F.col("pair_id").alias("_pair"), F.col("tag").alias("_tag"), F.col("story").alias("_story"), F.col("part").alias("_part")).agg(F.count("*").alias("found"), some.alias("actual"))
+    rows = gold.select("pair_id", "slot_id", "tag", "story", "part", F.struct(*GOLD_SLOT).alias("gold")).join(mine, ["pair_id", "slot_id"], "left").join(by_id, ["pair_id", "slot_id"], "left")
+    named = rows.where("found is not null").join(theirs, ["pair_id", "slot_id"], "left")
+    other = rows.where("found is null").drop("found", "actual").join(tags, (F.col("pair_id") == F.col("_pair")) & F.col("tag").eqNullSafe(F.col("_tag")) & (F.col("story") == F.col("_story")) & (F.col("part") == F.col("_part")), "left")
+    other = other.withColumn("_slot", F.when(F.col("found") == 1, F.col("actual.slot_id"))).join(theirs.withColumnRenamed("slot_id", "_slot"), ["pair_id", "_slot"], "left")
+    every = ["pair_id", "slot_id", "gold", "found", "actual", "n_gold", "gold_control", "n_actual", "actual_control"]
+    rows = named.select(*every).unionByName(other.select(*every))
+    n_gold, n_actual, found = (F.coalesce(c, F.lit(0)) for c in ("n_gold", "n_actual", "found"))
+    status = F.when(found > 1, "AMBIGUOUS").when(found == 0, "MISSING").when((n_gold == 1) & (n_actual == 1), "MATCHED").when((n_gold == 0) | (n_actual == 0), "MISSING").otherwise("AMBIGUOUS")
+    return rows.select("pair_id", "slot_id", "gold", F.when(found == 1, F.col("actual")).alias("actual"), "gold_control", "actual_control", status.alias("status"))
+
+
 def evaluate_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame, actual_controls: DataFrame, gold_texts: DataFrame, actual_texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(pair_id, slot_id, check, dimension, status, required, code): slots of a contract against the gold one's.
 
@@ -74,13 +85,7 @@ def evaluate_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame,
     field_id, content_type, style map); controls: (pair_id, control_no, tag, alias, story, part, paragraph, start, stop,
     placeholder, style map); texts: (pair_id, story, part, paragraph, text); registry: (field_id, content_type).
     """
-    text_of = lambda df, side: df.select("pair_id", *[F.col(c).alias(f"{side}_{c}") for c in ("story", "part", "paragraph", "text")])
-    rows = match_slots(gold, actual, gold_controls, actual_controls)
-    for side, df in (("g", gold_texts), ("a", actual_texts)):
-        control = F.col("gold_control" if side == "g" else "actual_control")
-        for c in ("story", "part", "paragraph"):
-            rows = rows.withColumn(f"{side}_{c}", control[c])
-        rows = rows.join(text_of(df, side), ["pair_id", f"{side}_story", f"{side}_part", f"{side}_paragraph"], "left")
+    rows = match_slots(gold, actual, controls_of(gold, gold_controls, gold_texts), controls_of(actual, actual_controls, actual_texts))
     rows = rows.join(registry.select(F.col("field_id").alias("_field"), F.col("content_type").alias("_type")), F.col("actual.field_id") == F.col("_field"), "left")
     g, a, gc, ac = (F.col(c) for c in ("gold", "actual", "gold_control", "actual_control"))
     required = g["required"]
@@ -88,18 +93,20 @@ def evaluate_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame,
     row = lambda check, dimension, good, code: F.struct(F.lit(check).alias("check"), F.lit(dimension).alias("dimension"), F.when(good, "PASS").otherwise("FAIL").alias("status"), F.when(~good, code).alias("code"))
     sure = lambda c: F.coalesce(c, F.lit(False))
     mapped = sure((a["field_id"] == g["field_id"]) & (ac["alias"] == a["field_id"]) & (gc["alias"] == g["field_id"]) & (F.col("_type") == a["content_type"]))
-    styled = ~(styles_differ(g["style"], a["style"]) | marker_differs(a["style"], ac) | marker_differs(g["style"], gc))
+    styled = ~(styles_differ(g["style"], a["style"]) | ac["marker"] | gc["marker"])
     matched = F.array(
         row("inventory", "slot.inventory", F.lit(True), F.lit(None).cast("string")),
         row("location", "slot.location_boundary", of(gc).eqNullSafe(of(ac)), F.lit(MOVED)),
-        row("boundary", "slot.location_boundary", boundary(g, gc, F.col("g_text")).eqNullSafe(boundary(a, ac, F.col("a_text"))), F.lit("slot_overlaps_protected")),
+        row("boundary", "slot.location_boundary", gc["boundary"].eqNullSafe(ac["boundary"]), F.lit("slot_overlaps_protected")),
         row("field_id", "slot.field_mapping", mapped, F.lit("slot_field_mapping_invalid")),
         row("value_style", "slot.value_style", sure(styled), F.lit(None).cast("string")),
     )
     gone = F.when((F.col("status") == "MISSING") & a.isNull(), F.when(required, "required_slot_missing").otherwise("optional_slot_missing")).otherwise(MISMATCH)
     before = F.when(required, "required_slot_prerequisite_missing").otherwise("optional_slot_prerequisite_missing")
     failed = F.array(row("inventory", "slot.inventory", F.lit(False), gone), *[row("prerequisite", d, F.lit(False), before) for d in PREREQUISITES])
-    own = rows.select("pair_id", "slot_id", required.alias("required"), F.inline(F.when(F.col("status") == "MATCHED", matched).otherwise(failed)))
+    told = rows.select("pair_id", "slot_id", required.alias("required"), F.when(F.col("status") == "MATCHED", matched).otherwise(failed).alias("_rows"))
+    # never empty; a plain inline would test that first, working out each row twice
+    own = told.select("pair_id", "slot_id", "required", F.inline_outer("_rows"))
     extra = actual.select("pair_id", "slot_id").distinct().join(gold.select("pair_id", "slot_id"), ["pair_id", "slot_id"], "left_anti").withColumn("check", F.lit("inventory.extra")).withColumn("code", F.lit("extra_slot"))
     loose = actual_controls.where("tag is not null").join(actual.select("pair_id", "tag"), ["pair_id", "tag"], "left_anti").select("pair_id", F.col("tag").alias("slot_id"), F.lit("inventory.broken").alias("check"), F.lit(MISMATCH).alias("code"))
     more = extra.unionByName(loose).select("pair_id", "slot_id", "check", F.lit("slot.inventory").alias("dimension"), F.lit("FAIL").alias("status"), F.lit(True).alias("required"), "code")
