@@ -24,15 +24,17 @@ def locate_text(words: DataFrame, targets: DataFrame, norm) -> DataFrame:
     """
     rows = with_offsets(words, norm)
     goals = targets.select("page_id", "target_id", "target", norm(F.col("target")).alias("goal")).where("goal <> ''")
-    heads = rows.where("norm <> ''").select("page_id", F.substring("norm", 1, 1).alias("letter"), F.col("start").alias("at"), F.col("norm").alias("head"))
+    heads = rows.where("norm <> ''").select("page_id", F.substring("norm", 1, 1).alias("letter"), F.col("start").alias("at"), F.col("norm").alias("head"), F.col("word_no").alias("head_word"))
     met = goals.withColumn("letter", F.substring("goal", 1, 1)).join(heads, ["page_id", "letter"]).where(F.col("goal").startswith(F.col("head")))
-    # words without a letter of their own begin where the next one does
-    starts = rows.select("page_id", F.col("start").alias("at"), F.col("word_no").alias("first_word"))
-    opened = met.select("page_id", "target_id", "target", "goal", "at").join(starts, ["page_id", "at"]).withColumn("end", F.col("at") + F.length("goal")).drop("at")
-    stops = rows.where("norm <> ''").select("page_id", F.col("stop").alias("end"), F.col("word_no").alias("last_word"))
-    runs = opened.join(stops, ["page_id", "end"]).where("first_word <= last_word").withColumn("word_no", F.explode(F.sequence("first_word", "last_word")))
+    # words without a letter of their own begin where the next one does; they and the words at the end are asked for in one join
+    asked = met.withColumn("_ask", F.explode(F.array(F.struct(F.lit(True).alias("opens"), F.col("at").alias("place")), F.struct(F.lit(False).alias("opens"), (F.col("at") + F.length("goal")).alias("place")))))
+    asked = asked.select("page_id", "target_id", "target", "goal", "head_word", "_ask.opens", "_ask.place")
+    marks = rows.where("norm is not null").select("page_id", (F.col("norm") == "").alias("opens"), F.when(F.col("norm") == "", F.col("start")).otherwise(F.col("stop")).alias("place"), F.col("word_no").alias("_at"))
+    ends = asked.join(marks, ["page_id", "opens", "place"]).groupBy("page_id", "target_id", "target", "goal", "head_word").agg(F.collect_list(F.when(F.col("opens"), F.col("_at"))).alias("_before"), F.max(F.when(~F.col("opens"), F.col("_at"))).alias("last_word"))
+    opened = ends.where("last_word is not null").withColumn("first_word", F.explode(F.array_append("_before", F.col("head_word")))).drop("_before", "head_word")
+    runs = opened.where("first_word <= last_word").withColumn("word_no", F.explode(F.sequence("first_word", "last_word")))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", c))), lambda x: x[c]), "")
-    said = runs.join(rows.select("page_id", "word_no", "text", "norm", "x0", "x1"), ["page_id", "word_no"]).groupBy("page_id", "target_id", "target", "goal", "first_word", "last_word").agg(joined("norm").alias("said"), joined("text").alias("raw"), F.min("x0").alias("left"), F.max("x1").alias("right"))
+    said = runs.join(words.select("page_id", "word_no", "text", "x0", "x1"), ["page_id", "word_no"]).withColumn("norm", norm(F.col("text"))).groupBy("page_id", "target_id", "target", "goal", "first_word", "last_word").agg(joined("norm").alias("said"), joined("text").alias("raw"), F.min("x0").alias("left"), F.max("x1").alias("right"))
     return said.where("said = goal").select("page_id", "target_id", "first_word", "last_word", "left", "right", F.when(F.col("raw") == F.col("target"), "exact_text").otherwise("normalized_text").alias("quality"))
 
 
