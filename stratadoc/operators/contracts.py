@@ -105,7 +105,7 @@ def evaluate_slots(gold: DataFrame, actual: DataFrame, gold_controls: DataFrame,
     before = F.when(required, "required_slot_prerequisite_missing").otherwise("optional_slot_prerequisite_missing")
     failed = F.array(row("inventory", "slot.inventory", F.lit(False), gone), *[row("prerequisite", d, F.lit(False), before) for d in PREREQUISITES])
     told = rows.select("pair_id", "slot_id", required.alias("required"), F.when(F.col("status") == "MATCHED", matched).otherwise(failed).alias("_rows"))
-    # never empty; a plain inline would test that first, working out each row twice
+    # never empty; over a column, a plain inline would test that first, working out each row again
     own = told.select("pair_id", "slot_id", "required", F.inline_outer("_rows"))
     extra = actual.select("pair_id", "slot_id").distinct().join(gold.select("pair_id", "slot_id"), ["pair_id", "slot_id"], "left_anti").withColumn("check", F.lit("inventory.extra")).withColumn("code", F.lit("extra_slot"))
     loose = actual_controls.where("tag is not null").join(actual.select("pair_id", "tag"), ["pair_id", "tag"], "left_anti").select("pair_id", F.col("tag").alias("slot_id"), F.lit("inventory.broken").alias("check"), F.lit(MISMATCH).alias("code"))

@@ -161,7 +161,7 @@ def effective_styles(occurrences: DataFrame, styles: DataFrame, properties: Data
     rows = rows.withColumn("_again", F.when(F.col("_touched").isNotNull(), again))
     left = F.filter("_given", lambda x: ~F.exists("_touched", lambda p: p.eqNullSafe(x["path"])))
     rows = rows.select("occurrence_id", F.when(F.col("_touched").isNull(), F.col("_given")).otherwise(F.concat(left, "_again", F.array_compact(F.array(*derived("_again"))))).alias("_all"))
-    # never empty; a plain inline would test that first, working out each row thrice
+    # never empty; over a column, a plain inline would test that first, working out each row again
     return rows.select("occurrence_id", F.inline_outer("_all"))
 
 
