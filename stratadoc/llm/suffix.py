@@ -9,8 +9,9 @@ A byte goes if a string of `size` bytes that covers it also starts in a document
    anchor, each blob sending equal contexts once.
 4. A shard builds a suffix array over its different contexts: ranks by the first eight bytes, refined by doubling where groups
    are still unsorted (Larsson and Sadakane), then common prefixes with the suffix before (Kasai's Phi order). A
-   shard that is too large for one array has several, whose sorted windows are merged by binary search. Windows
-   whose smallest document lies before their own are marked.
+   shard that is too large for one array has several, dealt by further bits of the anchors, so equal windows are in
+   one of them. Only an anchor with too many contexts for one array has windows in several; their sorted windows are
+   merged range by range. Windows whose smallest document lies before their own are marked.
 5. Marks return to their blobs, where the marked bytes are dropped.
 
 No step gathers the windows of a document group: what is shuffled is anchors, contexts of repeated text, and marks.
@@ -37,6 +38,8 @@ BLOB = 2 << 20
 #: Text bytes whose anchors one bucket holds, and context bytes of one suffix array.
 BUCKET, SHARD = 256 << 20, 4 << 20
 LEAST_BUCKETS = 256
+#: Parts of a shard that never share a window; small ones share a suffix array that a core's cache holds.
+PARTS, TOGETHER = 256, 256 << 10
 STORE = "blob long, ids binary, sizes binary, digests array<binary>, n_bytes long, data binary"
 
 
@@ -86,6 +89,20 @@ def copies(blobs: DataFrame) -> DataFrame:
     return each.join(first, "digest").where("id > first").select("blob", "place").groupBy("blob").applyInPandas(places, "blob long, copied binary")
 
 
+def gram_hashes(part: np.ndarray, gram: int) -> np.ndarray:
+    """The polynomial hash of each run of `gram` bytes, from those of runs half as long."""
+    base = 0x9E3779B97F4A7C15
+    power, length, out, done = part.astype(np.uint64), 1, None, 0
+    while True:
+        if gram & length:  # the bits of gram from below, the runs put together from the left
+            out = power if out is None else out[: len(power) - done] * np.uint64(pow(base, length, 1 << 64)) + power[done:]
+            done += length
+        if 2 * length > gram:
+            return out
+        power = power[:-length] * np.uint64(pow(base, length, 1 << 64)) + power[length:]
+        length *= 2
+
+
 class Blob:
     """A blob's bytes and documents, without those that are copies."""
 
@@ -97,8 +114,11 @@ class Blob:
         if copied is not None:
             self.copied[unpack(copied, np.int32)] = True
 
-    def contexts(self, size: int, step: int = 1 << 20) -> tuple[np.ndarray, ...]:
-        """Runs of windows with one anchor: (hash, first window, last window, document), by first window."""
+    def contexts(self, size: int, step: int = 1 << 15) -> tuple[np.ndarray, ...]:
+        """Runs of windows with one anchor: (hash, first window, last window, document), by first window.
+
+        A step's arrays fit into a core's cache; a run that crosses its end is two.
+        """
         gram = min(GRAM, size)
         width, out = size - gram + 1, []
         for low in range(0, len(self.data), step):
@@ -106,10 +126,7 @@ class Blob:
             n = len(part) - size + 1
             if n <= 0:
                 break
-            h = np.zeros(len(part) - gram + 1, np.uint64)
-            for i in range(gram):
-                h *= np.uint64(0x9E3779B97F4A7C15)
-                h += part[i : i + len(h)]
+            h = gram_hashes(part, gram)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
@@ -122,8 +139,10 @@ class Blob:
                 least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
             anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
             at = np.arange(low, low + n)
-            doc = np.searchsorted(self.ends, at, "right")
-            good = np.flatnonzero((at + size <= self.ends[doc]) & ~self.copied[doc])
+            a, b = np.searchsorted(self.ends, [low, low + n - 1], "right")
+            here = np.diff(np.minimum(self.ends[a : b + 1], low + n), prepend=low)
+            doc = np.repeat(np.arange(a, b + 1), here)
+            good = np.flatnonzero(at <= np.repeat(np.where(self.copied[a : b + 1], -1, self.ends[a : b + 1] - size), here))
             if len(good):
                 anchor, at, doc = anchor[good], at[good], doc[good]
                 new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0)])
@@ -194,7 +213,7 @@ CONTEXTS = "shard int, blob long, local boolean, at binary, ids binary, sizes bi
 
 
 def repeated_contexts(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
-    """Rows of CONTEXTS: for each shard a blob's contexts with shared anchors; `local` rows hold marks (at, sizes) that need no shard."""
+    """Rows of CONTEXTS: for each shard a blob's contexts with shared anchors, their parts above 24 bits of size; `local` rows hold marks (at, sizes) that need no shard."""
 
     @frugal
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +233,8 @@ def repeated_contexts(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
             uniques = np.bincount(bucket[order][new], minlength=buckets)
             keep = np.concatenate([np.unpackbits(unpack(x, np.uint8))[: uniques[b]] for b, x in kept]).astype(bool)
             use = np.flatnonzero(keep[rank])
-            first, last, ids, bucket, h = first[use], last[use], blob.ids[doc[use]], bucket[use], h[use]
+            first, last, ids, bucket = first[use], last[use], blob.ids[doc[use]], bucket[use]
+            parts = (h[use] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint32)
             sizes = last - first + size
             # equal contexts of a blob: the smallest document's go to the shard, the others are marked here
             texts = blob.data.tobytes()
@@ -232,7 +252,7 @@ def repeated_contexts(blobs: DataFrame, size: int, buckets: int) -> DataFrame:
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[go])) + 1, [len(go)]]) if len(go) else [0]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 i = go[a:b]
-                rows.append((int(bucket[i[0]]), row["blob"], False, pack(first[i].astype(np.int32)), pack(ids[i]), pack(sizes[i].astype(np.int32)), zstandard.compress(b"".join([slices_[x] for x in i.tolist()]), 3)))
+                rows.append((int(bucket[i[0]]), row["blob"], False, pack(first[i].astype(np.int32)), pack(ids[i]), pack(sizes[i].astype(np.uint32) | parts[i] << np.uint32(24)), zstandard.compress(b"".join([slices_[x] for x in i.tolist()]), 3)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -260,15 +280,17 @@ def refined(order: np.ndarray, rank: np.ndarray, step: int, wanted: np.ndarray)
     return order, deeper
 
 
+def words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte highest; zeros beyond the end."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes with at least `depth` bytes before their end (room), sorted by those bytes."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
     have = min(8, depth)
-    key >>= np.uint64(8 * (8 - have))
+    key = words(text) >> np.uint64(8 * (8 - have))
     order = np.flatnonzero(room >= have)
     order = order[np.argsort(key[order])]
     heads = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else order
@@ -291,20 +313,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     phi[order[1:]] = order[:-1]
     at = np.flatnonzero(phi >= 0)
     before = phi[at]
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    eight = words(np.concatenate([text, np.zeros(depth, np.uint8)]))
     shared_ = np.zeros(len(text), np.int64)
     live = np.arange(len(at))
     for low in range(0, depth, 8):
         if not len(live):
             break
-        words = [np.zeros(len(live), np.uint64) for _ in range(2)]
-        for i in range(min(8, depth - low)):
-            for word, place in zip(words, (at, before), strict=True):
-                word <<= np.uint64(8)
-                word |= padded[place[live] + low + i]
-        differ = words[0] ^ words[1]
-        equal = differ == 0
         n = min(8, depth - low)
+        differ = (eight[at[live] + low] ^ eight[before[live] + low]) >> np.uint64(8 * (8 - n))
+        equal = differ == 0
         part = np.full(len(live), n, np.int64)
         if not equal.all():
             part[~equal] = n - 1 - (np.frexp(differ[~equal].astype(np.float64))[1] - 1) // 8
@@ -329,25 +346,52 @@ class Windows:
         self.least = np.minimum.reduceat(own, heads) if len(heads) else own
         self.ids, self.starts, self.data, self.size = own, self.order[heads], data, size
 
-    def sorted_windows(self) -> np.ndarray:
-        """The distinct windows in order; bytes are raised by one, as NumPy's strings end at a zero (UTF-8 has no 255)."""
-        grid = self.data[self.starts[:, None] + np.arange(self.size)] + np.uint8(1)
+    def sorted_windows(self, part: slice = slice(None)) -> np.ndarray:
+        """The distinct windows in order, or a part of them; bytes are raised by one, as NumPy's strings end at a zero (UTF-8 has no 255)."""
+        grid = self.data[self.starts[part, None] + np.arange(self.size)] + np.uint8(1)
         return np.ascontiguousarray(grid).view(f"S{self.size}").reshape(-1)
 
-    def merge(self, other: Windows) -> None:
-        """Smallest documents of windows that both have, found by binary search."""
-        a, b = self.sorted_windows(), other.sorted_windows()
-        if len(a) and len(b):
-            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-            both = np.flatnonzero(a[at] == b)
-            low = np.minimum(self.least[at[both]], other.least[both])
-            self.least[at[both]] = low
-            other.least[both] = low
+def united(shards: list[Windows]) -> None:
+    """Smallest documents of windows that several sub-shards have: a range of the sorted windows at a time, all sub-shards together."""
+    sample = np.sort(np.concatenate([w.sorted_windows(slice(None, None, max(1, len(w.starts) // len(shards)))) for w in shards]))
+    pivots = sample[len(shards) :: len(shards)]
+    edges = [np.concatenate([[0], np.searchsorted(w.sorted_windows(), pivots), [len(w.starts)]]) for w in shards]
+    for i in range(len(pivots) + 1):
+        cuts = [slice(e[i], e[i + 1]) for e in edges]
+        texts = np.concatenate([w.sorted_windows(c) for w, c in zip(shards, cuts, strict=True)])
+        if not len(texts):
+            continue
+        order = np.argsort(texts, kind="stable")
+        texts = texts[order]
+        heads = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+        least = np.concatenate([w.least[c] for w, c in zip(shards, cuts, strict=True)])
+        least[order] = np.repeat(np.minimum.reduceat(least[order], heads), np.diff(np.append(heads, len(order))))
+        for w, c, own in zip(shards, cuts, np.split(least, np.cumsum([c.stop - c.start for c in cuts])[:-1]), strict=True):
+            w.least[c] = own
 
 
 MARKS = "blob long, at binary, sizes binary"
 
 
+def sub_shards(part: np.ndarray, starts: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of contexts, which are in order of their parts, for one suffix array each; several at once are of one large part.
+
+    starts: where each context begins, and the end of the last.
+    """
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    low = 0
+    for a, b in zip(edges, edges[1:]):
+        if low < a and starts[b] - starts[low] > min(TOGETHER, SHARD):
+            yield [(low, a)]
+            low = a
+        if starts[b] - starts[a] > SHARD:
+            cuts = [*(a + np.flatnonzero(np.diff((starts[a:b] - starts[a]) // SHARD, prepend=-1))).tolist(), b]
+            yield [*zip(cuts, cuts[1:])]
+            low = b
+    if low < len(part):
+        yield [(low, len(part))]
+
+
 def judged(frame: pd.DataFrame, size: int) -> pd.DataFrame:
     """MARKS of a shard's contexts."""
     done = frame[frame["local"]]
@@ -355,30 +399,37 @@ def judged(frame: pd.DataFrame, size: int) -> pd.DataFrame:
     known: dict[bytes, int] = {}
     held = []
     for row in frame[~frame["local"]].sort_values("blob").itertuples():
-        data, sizes = zstandard.decompress(row.data), unpack(row.sizes, np.int32).astype(np.int64)
+        data, sizes = zstandard.decompress(row.data), unpack(row.sizes, np.uint32).astype(np.int64)
+        part, sizes = sizes >> 24, sizes & ((1 << 24) - 1)
         ends = np.cumsum(sizes).tolist()
         of = [known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)]
-        held.append((np.array(of, np.int64), sizes, unpack(row.ids, np.int64), unpack(row.at, np.int32).astype(np.int64), np.full(len(sizes), row.blob)))
+        held.append((np.array(of, np.int64), sizes, unpack(row.ids, np.int64), unpack(row.at, np.int32).astype(np.int64), np.full(len(sizes), row.blob), part))
     if not held:
         return pd.DataFrame(rows, columns=["blob", "at", "sizes"])
-    of, sizes, ids, at, blob = (np.concatenate(x) for x in zip(*held, strict=True))
+    of, sizes, ids, at, blob, parts = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
     # equal contexts are in the suffix arrays once, for their smallest document; what later documents have of them goes whole
-    least = np.full(len(known), np.iinfo(np.int64).max)
+    part = np.empty(len(known), np.int64)
+    part[of] = parts
+    by = np.argsort(part, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    of, part, texts = rank[of], part[by], [*known]
+    texts = [texts[i] for i in by.tolist()]
+    known.clear()
+    least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, of, ids)
     later = ids > least[of]
-    own = np.fromiter(map(len, known), np.int64, len(known))
-    starts, texts = np.cumsum(own) - own, [*known]
-    known.clear()
-    cuts = np.flatnonzero(np.diff(starts // SHARD, prepend=-1, append=-1)).tolist()
-    windows = [Windows(np.frombuffer(b"".join(texts[a:b]), np.uint8), own[a:b], least[a:b], size) for a, b in zip(cuts, cuts[1:])]
+    own = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.concatenate([[0], np.cumsum(own)])
+    found = []
+    for ranges in sub_shards(part, starts):
+        shards = [Windows(np.frombuffer(b"".join(texts[a:b]), np.uint8), own[a:b], least[a:b], size) for a, b in ranges]
+        if len(shards) > 1:
+            united(shards)
+        found += [np.sort(w.order[w.ids > w.least[w.group]]) + starts[a] for w, (a, _) in zip(shards, ranges, strict=True)]
     del texts
-    for i, a in enumerate(windows):
-        for b in windows[i + 1 :]:
-            a.merge(b)
-    for i in range(len(windows) - 2, -1, -1):  # so that the first ones also know what later merges found
-        for b in windows[i + 1 :]:
-            windows[i].merge(b)
-    gone = np.concatenate([np.sort(w.order[w.ids > w.least[w.group]]) + starts[a] for w, a in zip(windows, cuts)])
+    gone = np.concatenate(found)
     owner = np.searchsorted(starts, gone, "right") - 1
     counts = np.bincount(owner, minlength=len(own))
     low = np.cumsum(counts) - counts

@@ -116,3 +116,45 @@ def test_equal_contexts_of_a_shard_are_sorted_once(monkeypatch):
     got = sorted((r.blob, *pair) for r in suffix.judged(frame, 50).itertuples() for pair in zip(suffix.unpack(r.at, np.int32).tolist(), suffix.unpack(r.sizes, np.int32).tolist(), strict=True))
     assert got == [(5, 0, 70), (7, 0, 70), (7, 90, 60)]
     assert sum(sorted_bytes) == 70 + 60 + 61
+
+
+def test_gram_hashes():
+    part = np.random.default_rng(2).integers(0, 255, 300, dtype=np.uint8)
+    for gram in (1, 2, 5, 8, 13, 20):
+        want = np.zeros(301 - gram, np.uint64)
+        for i in range(gram):
+            want = want * np.uint64(0x9E3779B97F4A7C15) + part[i : i + len(want)]
+        assert (suffix.gram_hashes(part, gram) == want).all()
+
+
+def shard_of(texts, size):
+    """The one shard's row that a blob of documents sends."""
+    row = {"ids": suffix.pack(np.arange(len(texts))), "sizes": suffix.pack(np.array([*map(len, texts)])), "data": zstandard.compress(b"".join(texts)), "n_bytes": sum(map(len, texts))}
+    blob = suffix.Blob(row, None)
+    h, first, last, doc = blob.contexts(size)
+    sizes = last - first + size
+    data = b"".join(blob.data[a : a + n].tobytes() for a, n in zip(first, sizes))
+    parts = (h % np.uint64(suffix.PARTS)).astype(np.uint32) << np.uint32(24)
+    return pd.DataFrame([(0, 0, False, suffix.pack(first.astype(np.int32)), suffix.pack(doc), suffix.pack(sizes.astype(np.uint32) | parts), zstandard.compress(data))], columns=[x.split()[0] for x in suffix.CONTEXTS.split(", ")])
+
+
+def test_arrays_of_a_shard_share_no_window(monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(60)]
+    texts = ["".join(rng.choice(lines) for _ in range(rng.randint(1, 6))).encode() for _ in range(80)]
+    grids, own = [], suffix.Windows.sorted_windows
+    monkeypatch.setattr(suffix.Windows, "sorted_windows", lambda self, *part: (grids.append(len(own(self, *part))), own(self, *part))[1])
+    want = [(n, gone) for _, n, gone, _, _ in sorted(plain([*enumerate(texts)], 50), key=lambda r: r[0])]
+    # parts that fit: no window is written out; one part in many arrays: each window twice, and a sample
+    for shard, parts, most in ((4 << 20, 256, 0), (5000, 256, 0), (5000, 1, 3 * sum(map(len, texts)))):
+        monkeypatch.setattr(suffix, "SHARD", shard)
+        monkeypatch.setattr(suffix, "PARTS", parts)
+        grids.clear()
+        edge = np.zeros(sum(map(len, texts)) + 1, int)
+        for mark in suffix.judged(shard_of(texts, 50), 50).itertuples():
+            at, sizes = suffix.unpack(mark.at, np.int32), suffix.unpack(mark.sizes, np.int32)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + sizes, -1)
+        gone = np.split(np.cumsum(edge[:-1]) > 0, np.cumsum([*map(len, texts)])[:-1])
+        assert [(len(x), int(x.sum())) for x in gone] == want
+        assert sum(grids) <= most and bool(grids) == (parts == 1)
